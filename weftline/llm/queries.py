@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_codec, token_counts
+from weftline.llm import bpe_codec, collision_ann, minhash, token_counts, toxicity
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision_ann.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
@@ -21,7 +34,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_bpe_codec": op7_bpe_codec, "op8_token_counts": op8_token_counts}
+    return {f.__name__: f for f in (op3_minhash, op4_toxicity, op6_collision_ann, op7_bpe_codec, op8_token_counts)}
 
 
 def oracles() -> dict[str, str]:
