@@ -84,7 +84,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """node, comp, n, h: the shingles of each set that come first, rarest (by counter) before common."""
+    """node, comp, n, i, h: the shingles of each set that come first (at place i), rarest (by counter) before common."""
     mask = np.uint64(len(counts) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 first.append(v[np.lexsort((v, counts[v & mask]))[:take]].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), b.column("n"), pa.array(first, pa.list_(pa.int64()))], names=["node", "comp", "n", "h"])
 
-    return sets.select("node", "comp", F.size("s").alias("n"), "s").mapInArrow(run, "node long, comp long, n int, h array<long>").withColumn("h", F.explode("h"))
+    return sets.select("node", "comp", F.size("s").alias("n"), "s").mapInArrow(run, "node long, comp long, n int, h array<long>").select("node", "comp", "n", F.posexplode("h").alias("i", "h"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
@@ -121,11 +121,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     for r in open_sets.select(slot.alias("slot")).groupBy("slot").count().toLocalIterator():
         counts[r.slot] = r["count"]
     first = materialize(prefixes(open_sets, counts, percent), "prefixes")
-    shared = first.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    first = first.join(shared, "h", "left_semi")
-    l, r = first.alias("l"), first.alias("r")
-    ok = F.expr(f"l.h = r.h and l.node < r.node and l.comp <> r.comp and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)")
-    pairs = l.join(r, ok).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    # a shingle's largest component meets the others only, never itself
+    by_comp = first.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    shared = by_comp.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("m.comp").alias("main"))
+    first = materialize(first.join(shared, "h"), "prefixes")
+    l, r = first.where("comp <> main").alias("l"), first.alias("r")
+    # at the first shingle that two sets share, what follows in both bounds their intersection
+    enough = f"(100 + {percent}) * least(l.n - l.i, r.n - r.i) >= {percent} * (l.n + r.n)"
+    ok = F.expr(f"l.h = r.h and l.comp <> r.comp and (r.comp = r.main or l.node < r.node) and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {enough}")
+    pairs = l.join(r, ok).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     more = materialize(confirmed(pairs, sets, percent), "links")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
