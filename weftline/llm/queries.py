@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_codec, collision_ann, minhash, mixing, quality, suffix_dedup, syncmers, token_counts, toxicity
+from weftline.llm import bpe_codec, collision_ann, katz, minhash, mixing, quality, suffix_dedup, syncmers, token_counts, toxicity
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_syncmers, op3_minhash, op4_toxicity, op5_mixing, op6_collision_ann, op7_bpe_codec, op8_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_syncmers, op3_minhash, op4_toxicity, op5_mixing, op6_collision_ann, op7_bpe_codec, op8_token_counts, op9_katz, op10_quality)}
 
 
 def oracles() -> dict[str, str]:
