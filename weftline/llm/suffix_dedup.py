@@ -201,7 +201,8 @@ def repeated_contexts(contexts: DataFrame, length: int, core: int, hot: int, per
 def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int = 8192, per_bucket: int = 20_000) -> DataFrame:
     """tkey, spans (array of struct pos, runs) of the texts that hold repeated strings; docs: doc_id, text, tkey."""
     found = materialize(anchor_table(docs, length, core), "anchors")
-    often = found.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    # written tables on the small sides let Spark split the hot keys of the large sides
+    often = materialize(found.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "cores")
     found = materialize(found.join(often, "core", "left_semi"), "repeated")
     distinct = materialize(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "doc_id", "pos", "lo", "hi")).alias("r")), "contexts")
     mixed = distinct.groupBy("core").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("core", "c")
@@ -224,7 +225,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int
     whole = distinct.where("n > 1").select("core", "ctx", F.array(F.col("r.lo"), F.col("r.hi") + 1).alias("runs"))
     status = whole.unionByName(repeated_contexts(contexts, length, core, hot, per_bucket))
     hits = found.select("tkey", "pos", "core", "ctx").distinct().join(status, ["core", "ctx"])
-    return hits.groupBy("tkey").agg(F.collect_list(F.struct("pos", "runs")).alias("spans"))
+    return materialize(hits.groupBy("tkey").agg(F.collect_list(F.struct("pos", "runs")).alias("spans")), "spans")
 
 
 def cover(n: int, spans: list[dict] | None, length: int) -> np.ndarray:
