@@ -106,6 +106,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     reps = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("tkey").alias("tkey"), F.first("bands").alias("bands"))
     rows = reps.select("node", "tkey", F.explode("bands").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
+    # written tables on the small sides let Spark split the hot keys of the large sides
+    leaders = materialize(leaders, "leaders")
     multi = materialize(rows.join(leaders, "key"), "buckets")
     sets = materialize(full_sets(docs, multi, k), "sets")
     star = multi.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -134,6 +136,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     placed = sigs.join(comp, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
-    ids = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    ids = materialize(placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "ids")
     out = placed.join(ids, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("comp").alias("component"))
