@@ -65,14 +65,16 @@ def signatures(docs: DataFrame, bands: int, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, s (its whole set) of the texts whose tkey is wanted."""
+    """node, s (its whole set) of the wanted rows (tkey, owner: a doc_id with that text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingles(word_hashes(t), k) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "s"])
 
-    rows = docs.withColumn("tkey", F.xxhash64("text")).join(wanted.select("tkey").distinct(), "tkey", "left_semi").dropDuplicates(["tkey"])
+    wanted = wanted.select(F.col("tkey").alias("t"), "owner").distinct()
+    rows = docs.withColumn("tkey", F.xxhash64("text"))
+    rows = rows.join(wanted, (rows["tkey"] == wanted["t"]) & rows["doc_id"].eqNullSafe(wanted["owner"]), "left_semi")
     return rows.select("text").mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
@@ -99,12 +101,11 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return sets.select("node", "comp", F.size("s").alias("n"), "s").mapInArrow(run, "node long, comp long, n int, h array<long>").select("node", "comp", "n", F.posexplode("h").alias("i", "h"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, component (the node that names it, null without shingles) of each row."""
-    docs = texts(docs)
+def placed_documents(docs: DataFrame, percent: int, k: int, bands: int, slots: int) -> DataFrame:
+    """doc_id, tkey, n_shingles, comp (the node that names the component, null without shingles) of each row."""
     sigs = materialize(signatures(docs, bands, k), "signatures")
-    reps = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("tkey").alias("tkey"), F.first("bands").alias("bands"))
-    rows = reps.select("node", "tkey", F.explode("bands").alias("key"))
+    reps = sigs.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("tkey", "doc_id")).alias("own"), F.first("bands").alias("bands"))
+    rows = reps.select("node", F.col("own.tkey").alias("tkey"), F.col("own.doc_id").alias("owner"), F.explode("bands").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader")
     # written tables on the small sides let Spark split the hot keys of the large sides
     leaders = materialize(leaders, "leaders")
@@ -135,7 +136,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     more = materialize(confirmed(pairs, sets, percent), "links")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    placed = sigs.join(comp, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
+    return sigs.join(comp, "node", "left").select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, component (the node that names it, null without shingles) of each row."""
+    placed = placed_documents(texts(docs), percent, k, bands, slots)
     ids = materialize(placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "ids")
     out = placed.join(ids, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("comp").alias("component"))
+
+
+def survivors(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the one of the smallest doc_id, and every text without words.
+
+    Repeated rows of one doc_id and text are one document, so one of them stays.
+    """
+    placed = placed_documents(texts(docs), percent, k, bands, slots)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("own")
+    best = placed.where("comp is not null").groupBy("comp").agg(first).select(F.col("own.doc_id").alias("d_"), F.col("own.tkey").alias("t_"))
+    stay = materialize(best.unionByName(placed.where("comp is null").select(F.col("doc_id").alias("d_"), F.col("tkey").alias("t_")).distinct()), "stay")
+    rows = docs.withColumn("k_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(stay, (F.col("k_") == F.col("t_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d_")), "left_semi")
+    return rows.dropDuplicates(["k_", "doc_id"]).drop("k_")

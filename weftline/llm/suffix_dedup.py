@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import slices, texts
 from weftline.llm.words import mix, powers
@@ -242,8 +243,9 @@ def cover(n: int, spans: list[dict] | None, length: int) -> np.ndarray:
     return turn.reshape(-1, 2)
 
 
-def _mapped(docs: DataFrame, length: int, schema: str, f, **settings) -> DataFrame:
+def _mapped(docs: DataFrame, length: int, schema: str, f, keep: tuple[str, ...] = (), **settings) -> DataFrame:
     keyed = texts(docs).withColumn("tkey", F.xxhash64("text"))
+    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("tkey", F.xxhash64("text"))
     spans = repeated_spans(keyed, length, **settings).withColumnRenamed("tkey", "k")
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -256,9 +258,11 @@ def _mapped(docs: DataFrame, length: int, schema: str, f, **settings) -> DataFra
                 kept = data if not len(gone) else b"".join(data[i:j] for i, j in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(data)]))
                 made.append(f(data, gone, kept))
             cols = list(zip(*made))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in cols)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in cols), *(b.column(c) for c in keep)], names=["doc_id", *names, *keep])
 
-    return keyed.join(spans, F.col("tkey") == F.col("k"), "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, {schema}")
+    rows = carried.join(spans, F.col("tkey") == F.col("k"), "left").select("doc_id", "text", "spans", *keep)
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *T.StructType.fromDDL(schema).fields, *(rows.schema[c] for c in keep)])
+    return rows.mapInArrow(run, out)
 
 
 def digests(docs: DataFrame, length: int = 400, **settings) -> DataFrame:
@@ -267,6 +271,6 @@ def digests(docs: DataFrame, length: int = 400, **settings) -> DataFrame:
     return _mapped(docs, length, schema, lambda data, gone, kept: (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()), **settings)
 
 
-def cleaned(docs: DataFrame, length: int = 400, **settings) -> DataFrame:
-    """doc_id, text of each row without its repeated strings (a character cut in half is dropped whole)."""
-    return _mapped(docs, length, "text string", lambda data, gone, kept: (kept.decode("utf-8", "ignore"),), **settings)
+def cleaned(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (), **settings) -> DataFrame:
+    """doc_id, text (and the columns in keep) of each row without its repeated strings (a character cut in half is dropped whole)."""
+    return _mapped(docs, length, "text string", lambda data, gone, kept: (kept.decode("utf-8", "ignore"),), keep, **settings)
