@@ -31,7 +31,11 @@ def places(text: str, k: int, s: int) -> str:
     w = k - s + 1
     smers = rf"transform(regexp_extract_all({text}, r'(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{s}}}))', 1), x -> xxhash64(x))"
     inner = ", ".join(f"get(h, i + {j})" for j in sorted({*range(0, w, s), w - 1}))
-    anchor = f"transform(sequence(0, size(h) - {w}), i -> if(array_min(slice(h, i + 1, {w})) in (get(h, i), get(h, i + {w - 1})), shiftrightunsigned(xxhash64({inner}), 32), null))"
+    # the smaller edge against the inner s-mers one by one, the middle first: most k-mers fail early
+    middle = sorted(range(1, w - 1), key=lambda j: abs(2 * j - w + 1))
+    edge = " and ".join(f"m <= get(h, i + {j})" for j in middle) or "true"
+    chosen = f"transform(array(least(get(h, i), get(h, i + {w - 1}))), m -> {edge})[0]"
+    anchor = f"transform(sequence(0, size(h) - {w}), i -> if({chosen}, shiftrightunsigned(xxhash64({inner}), 32), null))"
     return f"transform(array({smers}), h -> if(size(h) >= {w}, {anchor}, cast(array() as array<bigint>)))[0]"
 
 
