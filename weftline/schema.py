@@ -25,7 +25,7 @@ STATEMENT = T.StructType(
 )
 
 #: Closed domains.
-EFFECTS = ("file_read", "file_write", "workspace_read", "workspace_write", "output", "path_change", "function_handle", "call_or_index", "unknown")
+EFFECTS = ("file_read", "file_write", "workspace_read", "workspace_write", "output", "path_mutation", "function_handle", "call_or_index", "unknown")
 CONTROL_EFFECTS = ("break", "continue", "return", "throw")
 ROLES = ("acquisition", "transformation", "aggregation", "normalization", "shaping", "decision", "output", "control_computation", "unknown")
 RISKS = ("parse_error", "dynamic_evaluation", "workspace_injection", "global_state", "persistent_state", "ambiguous_call_or_index", "indirect_call", "external_dependency", "path_dependency")
