@@ -1 +1,326 @@
-"""Further registered queries."""
+"""Further registered queries: metrics, corpus rules, programs rendered from tables, flow graphs, structured model."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.operators import dependence, energy, facts, flow, metrics, project, semantic, training
+from weftline.plans.catalog import events, flat, read, register
+from weftline.plans.oracle import chain
+from weftline.schema import KEY
+from weftline.sources import corpus, mlang
+
+# matching and metrics: cuts after purchases against cuts after large purchases and sign-ups
+
+
+def samples(spark, sf_dir) -> DataFrame:
+    st = events(spark, sf_dir)
+    value = read(spark, sf_dir, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("region_id"), "ts", "event_id", "value", "event_type", "user_id")
+    cut = lambda cond: F.array_sort(F.filter(F.collect_list(F.when(cond, F.col("idx") + 1)), lambda x: x.isNotNull()))
+    rows = st.select("region_id", "idx", "kind", F.col("call_sites")[0]["is_only_operation"].alias("big"))
+    out = rows.groupBy("region_id").agg(cut(F.col("kind") == "purchase").alias("predicted"), cut(((F.col("kind") == "purchase") & F.col("big")) | (F.col("kind") == "signup")).alias("truth"), F.count("*").cast("int").alias("n"))
+    who = value.select("region_id", "user_id").distinct()
+    out = out.join(who, "region_id")
+    return out.select("region_id", F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("project"), F.when(F.col("user_id") % 3 == 0, "script").otherwise("function").alias("region_kind"), metrics.length_bucket(F.col("n")).alias("length_bucket"), "predicted", "truth", (F.col("n") / 10.0).alias("nll"), (F.col("n") % 2).cast("int").alias("violations"))
+
+
+SAMPLES = [
+    ("mt", "SELECT region_id, count(*) FILTER (kind = 'purchase' AND v >= 20) AS tp, count(*) FILTER (kind = 'purchase' AND v < 20) AS fp, count(*) FILTER (kind = 'signup') AS fn, count(*) AS n, CAST(split_part(region_id, ':', 2) AS BIGINT) AS u FROM st GROUP BY 1"),
+    ("ms", "SELECT *, 'p' || (u % 7) AS project, CASE WHEN u % 3 = 0 THEN 'script' ELSE 'function' END AS region_kind, CASE WHEN n < 30 THEN 'short_lt_30' WHEN n <= 80 THEN 'medium_30_80' ELSE 'long_gt_80' END AS bucket FROM mt"),
+]
+PRF = "CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) WHEN tp + fn > 0 THEN 0.0 ELSE 1.0 END"
+REC = "CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) WHEN tp + fp > 0 THEN 0.0 ELSE 1.0 END"
+
+
+def rates_sql(by: str) -> str:
+    return f"SELECT *, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT *, {PRF} AS p, {REC} AS r FROM ({by}))"
+
+
+@register("q_match_exact", chain("mt", "SELECT region_id, tp, fp, fn FROM mt", SAMPLES))
+def match_exact(spark, sf_dir):
+    return flat(metrics.matched(samples(spark, sf_dir)).select("region_id", "tp", "fp", "fn"))
+
+
+@register("q_match_tolerance")
+def match_tolerance(spark, sf_dir):
+    return flat(metrics.matched(samples(spark, sf_dir), 1).select("region_id", "tp", "fp", "fn"))
+
+
+@register("q_micro_prf", chain("ms", f"SELECT project, tp, fp, fn, precision, recall, f1 FROM ({rates_sql('SELECT project, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ms GROUP BY 1')})", SAMPLES))
+def micro_prf(spark, sf_dir):
+    return flat(metrics.micro(metrics.matched(samples(spark, sf_dir)), "project"))
+
+
+_SETS = "SELECT CASE WHEN grouping(project) = 0 THEN 'project' WHEN grouping(region_kind) = 0 THEN 'region_kind' WHEN grouping(bucket) = 0 THEN 'length_bucket' ELSE 'overall' END AS stratum, coalesce(project, region_kind, bucket, 'all') AS name, count(*) AS samples, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(n / 10.0) AS nll, avg(CASE WHEN fp = 0 AND fn = 0 THEN 1.0 ELSE 0.0 END) AS same, avg(abs(fp - fn)) AS err, avg(greatest(fp - fn, 0)) AS over, avg(greatest(fn - fp, 0)) AS under, CAST(sum(n % 2) AS BIGINT) AS violations FROM ms GROUP BY GROUPING SETS ((), (project), (region_kind), (bucket))"
+_ROLL = "samples, precision AS precision_exact, recall AS recall_exact, f1 AS f1_exact, round(nll, 6) AS structured_nll, round(same, 6) AS exact_segmentation_accuracy, round(err, 6) AS average_cut_count_error, round(over, 6) AS average_overcut, round(under, 6) AS average_undercut, violations AS hard_constraint_violations"
+
+
+@register("q_metrics_rollup", chain("ms", f"SELECT stratum, name, {_ROLL} FROM ({rates_sql(_SETS)})", SAMPLES))
+def metrics_rollup(spark, sf_dir):
+    rows = metrics.rollup(samples(spark, sf_dir)).where("stratum <> 'project_macro'")
+    return flat(rows.drop(*(c for c in rows.columns if "tolerance" in c)))
+
+
+@register("q_metrics_rollup_all")
+def metrics_rollup_all(spark, sf_dir):
+    return flat(metrics.rollup(samples(spark, sf_dir)))
+
+
+@register("q_distribution", "SELECT event_type, count(*) AS count, round(min(value), 6) AS minimum, round(avg(value), 6) AS mean, round(list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.1, 0) AS BIGINT) + 1], 6) AS p10, round(list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.5, 0) AS BIGINT) + 1], 6) AS median FROM events GROUP BY 1")
+def distribution(spark, sf_dir):
+    return flat(metrics.distribution(read(spark, sf_dir, "events"), "value", "event_type"))
+
+
+# a labelled manifest made of documents and labels
+
+SPLIT = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END"
+KIND = "CASE doc_id % 8 WHEN 0 THEN 'real_project' WHEN 1 THEN NULL WHEN 2 THEN 'sketch' ELSE 'curated_real_gold' END"
+STATUS = "CASE doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'user_adjudicated' ELSE 'expert_accepted' END"
+CONFIDENCE = "CASE WHEN doc_id % 7 < 5 THEN 'high' ELSE 'medium' END"
+PROJECT = "CASE WHEN doc_id % 97 = 0 THEN 'shared' ELSE source END"
+REVISION = "CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'r1' END"
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    n = (F.col("n_chars") % 5 + 1).cast("int")
+    segments = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("script:top-level").alias("region_id"), (i * 10).alias("start_line"), (i * 10 + 9).alias("end_line")))
+    labels = F.array(*(F.lit(x) for x in ("preferred_cut", "acceptable_cut", "discouraged_cut", "no_cut")))
+    bounds = F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.struct(F.lit(None).cast("string").alias("region_id"), i.alias("boundary"), (i * 10).alias("after_line"), F.get(labels, ((F.col("doc_id") + i) % 4).cast("int")).alias("label")))
+    prov = F.struct(F.expr(PROJECT).alias("project"), F.expr(KIND).alias("source_kind"), F.expr(STATUS).alias("annotation_status"), F.expr(CONFIDENCE).alias("annotation_confidence"), F.lit("aa").alias("source_sha256"), F.expr(REVISION).alias("revision"))
+    rows = docs.select(F.concat(F.lit("d"), (F.col("doc_id") - F.col("doc_id") % 3 * F.when(F.col("doc_id") % 50 == 1, 1).otherwise(0)).cast("string")).alias("sample_id"), F.expr(SPLIT).alias("split"), F.concat(F.lit("sources/"), F.col("doc_id").cast("string")).alias("relative_path"), F.lit("aa").alias("source_sha256"), segments.alias("segments"), bounds.alias("boundaries"), prov.alias("provenance"))
+    return rows.withColumn("_corrupt_record", F.lit(None).cast("string"))
+
+
+SAMPLE_ID = "'d' || (doc_id - (doc_id % 3) * CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END)"
+
+
+@register("q_audit_duplicates", f"SELECT {SAMPLE_ID} AS sample_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def audit_duplicates(spark, sf_dir):
+    return flat(corpus.duplicates(manifest(spark, sf_dir)))
+
+
+@register("q_split_leakage", f"SELECT {PROJECT} AS project, string_agg(DISTINCT {SPLIT}, ',' ORDER BY {SPLIT}) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT}) > 1")
+def split_leakage(spark, sf_dir):
+    return flat(corpus.split_leakage(manifest(spark, sf_dir)))
+
+
+@register("q_source_anti_join", "SELECT 'sources/' || doc_id AS relative_path, CASE WHEN l.doc_id IS NULL THEN 'missing' END AS state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE l.doc_id IS NULL")
+def source_anti_join(spark, sf_dir):
+    have = read(spark, sf_dir, "labels").select(F.concat(F.lit("sources/"), F.col("doc_id").cast("string")).alias("relative_path"))
+    return manifest(spark, sf_dir).join(have, "relative_path", "left_anti").select("relative_path", F.lit("missing").alias("state"))
+
+
+@register("q_policy_gate", f"""SELECT rule, count(*) AS n FROM (SELECT CASE WHEN k IS NULL THEN 'no_source_kind' WHEN k = 'real_project' THEN 'forbidden_source_kind' WHEN k = 'curated_real_gold' AND s NOT IN ('expert_accepted', 'user_adjudicated') THEN 'not_reviewed'
+    WHEN k = 'curated_real_gold' AND s = 'expert_accepted' AND c <> 'high' THEN 'not_high_confidence' WHEN k = 'curated_real_gold' AND r = '' THEN 'no_immutable_provenance' WHEN k <> 'curated_real_gold' THEN 'unapproved_source_kind' ELSE 'trainable' END AS rule FROM (SELECT {KIND} AS k, {STATUS} AS s, {CONFIDENCE} AS c, {REVISION} AS r FROM documents)) GROUP BY 1""")
+def policy_gate(spark, sf_dir):
+    return manifest(spark, sf_dir).groupBy(F.coalesce(corpus.policy_violation(), F.lit("trainable")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+@register("q_example_cuts", f"""SELECT 'sources/' || doc_id AS path, {SAMPLE_ID} || ':script:top-level' AS sample_id, {PROJECT} AS project, {SPLIT} AS split, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 7) t(i) WHERE i <= d.n_chars % 5 + 1 AND (d.doc_id + i) % 4 < 2), '') AS cuts FROM documents d WHERE NOT doc_id % 50 = 1""")
+def example_cuts(spark, sf_dir):
+    rows = manifest(spark, sf_dir).where("not (cast(substring(relative_path, 9) as bigint) % 50 = 1)")
+    return flat(corpus.truth(rows).drop("region_id"))
+
+
+@register("q_access_domain_regex", r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[a-z]+\.[a-z]+'))), ',') AS domains FROM pages")
+def access_domain_regex(spark, sf_dir):
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit(r"([a-z]+\.[a-z]+)"), 1)))
+    return flat(read(spark, sf_dir, "pages").select("page_id", found.alias("domains")))
+
+
+_HOPS = 3
+
+
+@register("q_reachability", chain("ed", f"""SELECT DISTINCT region_id, a AS source, b AS target FROM (SELECT region_id, src AS a, tgt AS b FROM ed UNION SELECT x.region_id, x.src, y.tgt FROM ed x JOIN ed y ON y.region_id = x.region_id AND y.src = x.tgt UNION SELECT x.region_id, x.src, z.tgt FROM ed x JOIN ed y ON y.region_id = x.region_id AND y.src = x.tgt JOIN ed z ON z.region_id = x.region_id AND z.src = y.tgt)"""))
+def reachability(spark, sf_dir):
+    """Statements that a value reaches in at most three uses; each step joins the frontier and drops repeats."""
+    step = dependence.linear_def_use(events(spark, sf_dir)).select("region_id", "source", "target").distinct()
+    hop = step.select("region_id", F.col("source").alias("target"), F.col("target").alias("next"))
+    found = [step]
+    for _ in range(_HOPS - 1):
+        found.append(found[-1].join(hop, ["region_id", "target"]).select("region_id", "source", F.col("next").alias("target")).distinct())
+    return flat(reduce(DataFrame.unionByName, found).distinct())
+
+
+# programs rendered from conversations
+
+ROLES = ("acquisition", "transformation", "aggregation", "normalization", "shaping", "decision", "output")
+
+
+def graphs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    conv = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"))
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    t, c = F.col("turn"), F.col("conv_id")
+    gid = F.concat(F.lit("conv"), c.cast("string"))
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    tasks = conv.select(gid.alias("graph_id"), t.alias("ordinal"), text("t", t).alias("task_id"), pick(ROLES, (c + t) % 7).alias("role"), F.when(t == 0, F.array().cast("array<string>")).otherwise(F.array(text("x", t - 1))).alias("inputs"), F.array(text("x", t)).alias("outputs"), (t % 3 + 1).alias("steps"), pick(semantic.CONTROLS, (c + t) % 7).alias("control"), (t % 2).alias("tail"), text("m", F.floor(t / 2)).alias("module_id"))
+    bounds = conv.where("turn % 3 = 1").select(gid.alias("graph_id"), text("b", t).alias("boundary_id"), text("t", t).alias("left_task_id"), text("t", t + 1).alias("right_task_id"), F.when(c % 2 == 0, "ambiguous").otherwise("cut").alias("label"))
+    ops = spark.createDataFrame([], semantic.OPERATION)
+    links = spark.createDataFrame([], "graph_id string, source_op string, target_op string")
+    return tasks, ops, links, bounds
+
+
+GRAPHS = """WITH tk AS (SELECT 'conv' || conv_id AS graph_id, conv_id AS c, CAST(turn AS BIGINT) AS t, turn % 3 + 1 AS steps, turn % 2 AS tail FROM conversations)"""
+
+
+@register("q_task_boundaries", f"""{GRAPHS}, w AS (SELECT *, lead(t) OVER (PARTITION BY graph_id ORDER BY t) AS nt, sum(steps + tail) OVER (PARTITION BY graph_id ORDER BY t) AS cut FROM tk)
+    SELECT graph_id, 't' || t AS left_task_id, 't' || nt AS right_task_id, CASE WHEN t % 3 = 1 AND nt = t + 1 THEN (CASE WHEN c % 2 = 0 THEN 'ambiguous' ELSE 'cut' END) WHEN t // 2 = nt // 2 THEN 'no_cut' ELSE 'cut' END AS label, CAST(cut AS BIGINT) AS cut FROM w WHERE nt IS NOT NULL""")
+def task_boundaries(spark, sf_dir):
+    tasks, _, _, bounds = graphs(spark, sf_dir)
+    return flat(semantic.boundary_truth(tasks, bounds).select("graph_id", "left_task_id", "right_task_id", "label", "cut"))
+
+
+@register("q_resolved_ops", f"""{GRAPHS}, o AS (SELECT *, unnest(range(1, CAST(steps + tail + 1 AS BIGINT))) AS i FROM tk)
+    SELECT graph_id, 't' || t || CASE WHEN i > steps THEN '.completion' || (i - steps) ELSE '.op' || i END AS op_id, CASE WHEN i > steps THEN 't' || t || '.final' || (i - steps) ELSE 'x' || t END AS definitions, CASE WHEN i = 1 THEN (CASE WHEN t = 0 THEN '' ELSE 'x' || (t - 1) END) WHEN i - 1 > steps THEN 't' || t || '.final' || (i - 1 - steps) ELSE 'x' || t END AS reads FROM o""")
+def resolved_ops(spark, sf_dir):
+    tasks, ops, _, _ = graphs(spark, sf_dir)
+    return flat(semantic.resolved_operations(tasks, ops).select("graph_id", "op_id", "definitions", "reads"))
+
+
+@register("q_graph_violations", f"{GRAPHS} SELECT DISTINCT graph_id, 'boundary references an unknown task' AS error FROM tk a WHERE t % 3 = 1 AND NOT EXISTS (SELECT 1 FROM tk b WHERE b.graph_id = a.graph_id AND b.t = a.t + 1)")
+def graph_violations(spark, sf_dir):
+    return semantic.violations(*graphs(spark, sf_dir))
+
+
+def sources(spark, sf_dir) -> DataFrame:
+    tasks, ops, _, bounds = graphs(spark, sf_dir)
+    return semantic.rendered(tasks, ops, bounds).select(F.concat("graph_id", F.lit(".m")).alias("path"), F.encode("source", "UTF-8").alias("content"))
+
+
+@register("q_render")
+def render(spark, sf_dir):
+    tasks, ops, _, bounds = graphs(spark, sf_dir)
+    return flat(semantic.rendered(tasks, ops, bounds).select("graph_id", "source", "true_cuts", "ambiguous", "trace"))
+
+
+def regions(spark, sf_dir) -> DataFrame:
+    return mlang.programs(sources(spark, sf_dir))
+
+
+@register("q_parse_m")
+def parse_m(spark, sf_dir):
+    return flat(mlang.statements(regions(spark, sf_dir)).drop("call_sites"))
+
+
+@register("q_reaching_defs_cfg")
+def reaching_defs_cfg(spark, sf_dir):
+    return flat(flow.reaching_definitions(regions(spark, sf_dir)))
+
+
+@register("q_postdominators")
+def postdominators(spark, sf_dir):
+    return flat(flow.postdominance(regions(spark, sf_dir)))
+
+
+@register("q_control_dep")
+def control_dep(spark, sf_dir):
+    return flat(flow.control_dependence(regions(spark, sf_dir)))
+
+
+@register("q_pdg_union")
+def pdg_union(spark, sf_dir):
+    return flat(flow.projected(regions(spark, sf_dir), include_internal=True))
+
+
+@register("q_project_scan")
+def project_scan(spark, sf_dir):
+    return flat(project.scan(project.worker_summary(regions(spark, sf_dir))))
+
+
+@register("q_project_enrich")
+def project_enrich(spark, sf_dir):
+    r = regions(spark, sf_dir)
+    return flat(project.enrich(mlang.statements(r), project.scan(project.worker_summary(r))).drop("call_sites"))
+
+
+# structured model
+
+EIGHT = [
+    ("e8", "SELECT region_id, idx, v FROM st WHERE idx < 8 AND region_id IN (SELECT region_id FROM n WHERE n >= 8)"),
+    ("mask", "SELECT CAST(m AS BIGINT) AS m FROM range(128) t(m)"),
+    ("sg", "SELECT region_id, m, bit_count(m & ((1 << CAST(idx AS INTEGER)) - 1)) AS k, 0.4 - 0.01 * (max(v) - min(v)) - 0.05 * count(*) AS e FROM e8, mask GROUP BY 1, 2, 3"),
+    ("bn", "SELECT a.region_id, m, sum(0.004 * abs(b.v - a.v) - 0.3) AS e FROM e8 a JOIN e8 b ON b.region_id = a.region_id AND b.idx = a.idx + 1 JOIN mask ON (m >> CAST(a.idx AS INTEGER)) & 1 = 1 GROUP BY 1, 2"),
+    ("en", "SELECT s.region_id, s.m, s.e + coalesce(b.e, 0.0) AS e FROM (SELECT region_id, m, sum(e) AS e FROM sg GROUP BY 1, 2) s LEFT JOIN bn b ON b.region_id = s.region_id AND b.m = s.m"),
+]
+
+
+def eight(spark, sf_dir) -> DataFrame:
+    """region_id, values of the first eight statements: a small problem whose 128 segmentations SQL can list."""
+    from pyspark.sql import Window
+
+    rows = read(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).where("i < 8")
+    out = rows.groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("region_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
+    return out.where("size(v) = 8")
+
+
+def small_energy(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(v)
+    seg = np.full((n + 1, n + 1), -np.inf)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            seg[i, j] = 0.4 - 0.01 * (v[i:j].max() - v[i:j].min()) - 0.05 * (j - i)
+    return 0.004 * np.abs(np.diff(v)) - 0.3, seg
+
+
+def solve(f, schema: str):
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([(r, *f(*small_energy(np.array(v, float)))) for r, v in zip(frame["region_id"], frame["v"])], columns=["region_id", *names])
+
+    return lambda df: df.mapInPandas(run, f"region_id string, {schema}")
+
+
+@register("q_hard_dp", chain("en", "SELECT region_id, round(max(e), 6) AS energy, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 8) t(i) WHERE (arg_max(en.m, en.e) >> CAST(i - 1 AS INTEGER)) & 1 = 1), '') AS cuts FROM en GROUP BY region_id".replace("coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 8) t(i) WHERE (arg_max(en.m, en.e) >> CAST(i - 1 AS INTEGER)) & 1 = 1), '')", "array_to_string(list_filter(range(1, 8), lambda i: (arg_max(m, e) >> CAST(i - 1 AS INTEGER)) & 1 = 1), ',')"), EIGHT))
+def hard_dp(spark, sf_dir):
+    run = solve(lambda b, s: ((r := energy.best_segmentation(b, s))[1], r[0]), "energy double, cuts array<int>")
+    return flat(run(eight(spark, sf_dir)))
+
+
+@register("q_log_partition", chain("en", "SELECT region_id, round(ln(sum(exp(e))), 6) AS log_partition FROM en GROUP BY region_id", EIGHT))
+def log_partition(spark, sf_dir):
+    return flat(solve(lambda b, s: (energy.log_partition(b, s),), "log_partition double")(eight(spark, sf_dir)))
+
+
+@register("q_marginals", chain("en", "SELECT region_id, i AS boundary, round(sum(CASE WHEN (m >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN exp(e) ELSE 0.0 END) / sum(exp(e)), 6) AS probability FROM en, range(1, 8) t(i) GROUP BY 1, 2", EIGHT))
+def marginals(spark, sf_dir):
+    rows = solve(lambda b, s: (energy.soft(b, s)[1].tolist(),), "p array<double>")(eight(spark, sf_dir))
+    return flat(rows.select("region_id", F.posexplode("p").alias("i", "probability")).select("region_id", (F.col("i") + 1).alias("boundary"), "probability"))
+
+
+def examples(spark, sf_dir) -> DataFrame:
+    """Every user's sequence with cuts after purchases where a cut is legal."""
+    st = events(spark, sf_dir)
+    rows = energy.region_rows(st)
+    legal = F.transform(F.filter("marks", lambda m: m["legal"]), lambda m: m["b"])
+    bought = st.where("kind = 'purchase'").groupBy(*KEY).agg(F.collect_set("idx").alias("bought"))
+    rows = rows.join(bought, KEY, "left").withColumn("cuts", F.array_sort(F.transform(F.array_intersect(legal, F.coalesce("bought", F.array().cast("array<int>"))), lambda b: b + 1)))
+    user = F.split("region_id", ":")[1].cast("long")
+    split = F.when(user % 5 < 3, "train").when(user % 5 == 3, "validation").otherwise("test")
+    return rows.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>"))).withColumn("sample_id", F.col("region_id")).withColumn("project", F.concat(F.lit("p"), (user % 5).cast("string"), F.lit("-"), F.floor(user / 50).cast("string"))).withColumn("split", split).drop("bought")
+
+
+@register("q_structured_analysis")
+def structured_analysis(spark, sf_dir):
+    return flat(energy.structured_analysis(events(spark, sf_dir), energy.initial()).drop("features"))
+
+
+@register("q_eval")
+def evaluate(spark, sf_dir):
+    return flat(metrics.rollup(metrics.evaluate(examples(spark, sf_dir), energy.initial())))
+
+
+@register("q_train_epoch")
+def train_epoch(spark, sf_dir):
+    """The gradient of one pass over the training split, by parameter."""
+    losses, grad, n = training.batch_gradient(examples(spark, sf_dir).where("split = 'train'"), energy.initial(), 0.5, 1.0)
+    return spark.createDataFrame([(i, round(float(g / max(1, n)), 6)) for i, g in enumerate(grad)], "parameter long, gradient double")
+
+
