@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import energy, facts, flow, project, quality, scoring, training
 from weftline.schema import KEY
+from weftline.session import materialize
 from weftline.sources import corpus, mlang
 from weftline.sources.registry import default
 
@@ -20,7 +21,7 @@ def program(spark: SparkSession, path: str, index: DataFrame | None = None) -> t
             raise ValueError("a project index applies to source files only")
         return frontend(spark, path), None
     folder, _, name = path.rpartition("/")
-    regions = mlang.programs(corpus.read_sources(spark, folder or ".", name)).cache()
+    regions = materialize(mlang.programs(corpus.read_sources(spark, folder or ".", name)), "regions")
     st = mlang.statements(regions)
     return (st if index is None else project.enrich(st, index)), flow.projected(regions, include_internal=True)
 
@@ -53,17 +54,17 @@ def explain(analysis: DataFrame, after_line: int, region: str | None = None):
 
 
 def project_scan(spark: SparkSession, root: str) -> DataFrame:
-    regions = mlang.programs(corpus.read_sources(spark, root)).cache()
+    regions = materialize(mlang.programs(corpus.read_sources(spark, root)), "regions")
     return project.scan(project.worker_summary(regions))
 
 
 def corpus_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     sources = corpus.read_sources(spark, folder)
-    regions = mlang.programs(sources).cache()
+    regions = materialize(mlang.programs(sources), "regions")
     st = mlang.statements(regions)
     edges = flow.projected(regions, include_internal=True)
     data = edges.where("kind = 'DATA' and source <> target").select(*KEY, "source", "target", "symbol").distinct()
-    return {"manifest": corpus.read_manifest(spark, f"{folder}/manifest.jsonl").cache(), "sources": sources, "statements": st, "edges": edges, "facts": facts.boundary_facts(st, data)}
+    return {"manifest": corpus.read_manifest(spark, f"{folder}/manifest.jsonl"), "sources": sources, "statements": st, "edges": edges, "facts": facts.boundary_facts(st, data)}
 
 
 def audit(spark: SparkSession, folder: str) -> dict:

@@ -167,7 +167,7 @@ def dataset_hash(manifest_lines: DataFrame, sources: DataFrame) -> str:
 
 def identity(spark: SparkSession, folder: str, pattern: str = "*.m") -> dict:
     """The dataset's hash, splits and projects; raises if sources, hashes or the declared split don't hold."""
-    manifest = read_manifest(spark, f"{folder}/manifest.jsonl").cache()
+    manifest = read_manifest(spark, f"{folder}/manifest.jsonl")
     sources = read_sources(spark, folder, pattern).select("path", "sha256")
     declared = read_split_map(spark, f"{folder}/split_projects.json").withColumnRenamed("split", "declared")
     rows = manifest.select("sample_id", "split", F.col("relative_path").alias("path"), F.coalesce("source_sha256", "provenance.source_sha256").alias("want"), "provenance.project").join(sources, "path", "left").join(declared, "project", "left")

@@ -78,13 +78,15 @@ def lex(src: str) -> list[Tok]:
             line += text.count("\n")
             at = m.end()
             continue
-        elif kind == "nl" and depth:
-            if depth[-1] in "[{":
-                out.append(Tok("op", ";", line, at, m.end(), spaced))
+        elif kind == "nl" and depth and depth[-1] in "[{":
+            # brackets and braces go on over lines, parentheses don't
+            out.append(Tok("op", ";", line, at, m.end(), spaced))
             line += 1
             spaced = True
         else:
             out.append(Tok("str" if kind == "dstr" else kind, text, line, at, m.end(), spaced))
+            if kind == "nl":
+                depth.clear()
             if kind == "op":
                 if text in "([{":
                     depth.append(text)
@@ -356,7 +358,9 @@ class Parser:
         while self.t.text != close:
             if self.t.kind == "eof":
                 raise Unparsed(f"missing {close!r}")
-            if self.t.text in (",", ";") or self.t.kind == "nl" or self.t.text == "=":
+            if self.t.kind == "nl":
+                raise Unparsed(f"missing {close!r} at line {self.t.line}")
+            if self.t.text in (",", ";", "="):
                 self.take()
                 continue
             out.append(self.expression(inside="(" if close == ")" else inside))
