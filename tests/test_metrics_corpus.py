@@ -130,21 +130,27 @@ def graph(spark, control="none"):
     return tasks, spark.createDataFrame([], semantic.OPERATION), spark.createDataFrame([], "graph_id string, source_op string, target_op string"), spark.createDataFrame([("g", "b1", "load", "clean", "cut")], semantic.BOUNDARY)
 
 
-@pytest.mark.parametrize("control", semantic.CONTROLS)
 @pytest.mark.parametrize("style", ["vectorized", "descriptive", "reused"])
-def test_rendered_programs_parse_back(spark, control, style):
+def test_rendered_programs_parse_back(spark, style):
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
     from weftline.sources import mlang
 
-    tasks, ops, edges, bounds = graph(spark, control)
+    named = [[t.withColumn("graph_id", F.lit(c)) for t in graph(spark, c)] for c in semantic.CONTROLS]
+    tasks, ops, edges, bounds = (reduce(lambda a, b: a.unionByName(b), [g[i] for g in named]) for i in range(4))
     assert semantic.violations(tasks, ops, edges, bounds).isEmpty()
-    assert semantic.true_cuts(tasks, bounds).first().cuts == [1, 4]
-    r = semantic.rendered(tasks, ops, bounds, style).first()
-    got = mlang.analyze(r.source)
-    assert not got["diagnostics"]
-    st = got["regions"][0]["statements"]
-    assert r.true_cuts == [1] and len(st) == (5 if control == "none" else 4)
-    assert st[0]["end_line"] == r.task_end[0] and st[1]["start_line"] == r.task_start[1]
-    assert len({x.split("=")[1] for x in r.symbols}) == len(r.symbols)
+    assert all(r.cuts == [1, 4] for r in semantic.true_cuts(tasks, bounds).collect())
+    rows = semantic.rendered(tasks, ops, bounds, style).collect()
+    assert len(rows) == len(semantic.CONTROLS)
+    for r in rows:
+        got = mlang.analyze(r.source)
+        assert not got["diagnostics"]
+        st = got["regions"][0]["statements"]
+        assert r.true_cuts == [1] and len(st) == (5 if r.graph_id == "none" else 4)
+        assert st[0]["end_line"] == r.task_end[0] and st[1]["start_line"] == r.task_start[1]
+        assert len({x.split("=")[1] for x in r.symbols}) == len(r.symbols)
 
 
 def test_graph_violations(spark):

@@ -64,7 +64,7 @@ def corpus_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     st = mlang.statements(regions)
     edges = flow.projected(regions, include_internal=True)
     data = edges.where("kind = 'DATA' and source <> target").select(*KEY, "source", "target", "symbol").distinct()
-    return {"manifest": corpus.read_manifest(spark, f"{folder}/manifest.jsonl"), "sources": sources, "statements": st, "edges": edges, "facts": facts.boundary_facts(st, data)}
+    return {"manifest": materialize(corpus.read_manifest(spark, f"{folder}/manifest.jsonl"), "manifest"), "sources": sources, "statements": st, "edges": edges, "facts": facts.boundary_facts(st, data)}
 
 
 def audit(spark: SparkSession, folder: str) -> dict:
