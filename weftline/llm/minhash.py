@@ -147,6 +147,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("comp").alias("component"))
 
 
+#: DuckDB SQL of near_duplicates' first four columns: every pair of documents that share a shingle, and their closure.
+ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+    x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+    SELECT s.doc_id, any_value(len(sh)) AS n_shingles, min(r.c) AS component_id, s.doc_id = min(r.c) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id"""
+
+
 def survivors(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the one of the smallest doc_id, and every text without words.
 

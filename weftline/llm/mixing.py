@@ -9,8 +9,9 @@ bounded by parameters) and every row finds its slot by arithmetic. When a source
 others go on in the same order: no row is dropped or repeated. `position` is the row's place in the mixed stream: over
 the sources, the rows that go before its slot, in closed form.
 
-Rows of a source are ordered by a hash of doc_id (then doc_id). Ranks come from counts over hash ranges and a numbering
-within each range, so a source with a third of all rows spreads over `ranges` groups.
+Rows of a source are ordered by the MD5 of doc_id (then doc_id). Ranks come from counts over hash ranges (the first
+`digits` hex digits) and a numbering within each range, so a source with a third of all rows spreads over 16 ** digits
+groups.
 
 A null source is a source of its own; null doc_ids are kept (hashed like any value); repeated rows are separate rows, in
 any order among themselves; texts are not read; an empty table gives none; further columns are ignored, or carried with
@@ -57,13 +58,30 @@ def period(counts: DataFrame, weights: dict[str, int], default: int, most: int,
     return slots.select(F.expr("s[slot.i].key").alias("key"), F.expr("slot.had[slot.i]").alias("turn"), F.col("t").cast("long").alias("t"), "p", F.expr("s[slot.i].e").alias("e"), F.col("slot.had").alias("before"), F.expr("transform(s, x -> x.n)").alias("ns"), F.expr("transform(s, x -> x.e)").alias("es"))
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = 1, ranges: int = 4096, most: int = 4096, longest: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+def oracle(weights: dict[str, int], default: int = 1) -> str:
+    """DuckDB SQL of the mixed stream for blocks of one row: the schedule slot by slot, in a recursive query."""
+    table = ", ".join(f"('+{k}', {v})" for k, v in weights.items())
+    return f"""WITH RECURSIVE w(key, e) AS (VALUES {table}),
+        d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key FROM documents),
+        s AS (SELECT key, n, coalesce(e, {default}) AS e, row_number() OVER (ORDER BY key) AS i FROM (SELECT key, count(*) AS n FROM d GROUP BY 1) LEFT JOIN w USING (key)),
+        one AS (SELECT list(e ORDER BY i) AS es, list(n ORDER BY i) AS ns, CAST(sum(e) AS BIGINT) AS p FROM s),
+        sim(t, pick, had) AS (
+            SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), list_transform(es, lambda x: CAST(0 AS BIGINT)) FROM one
+            UNION ALL
+            SELECT t + 1, nxt, list_transform(had, lambda v, i: CASE WHEN i = nxt THEN v + 1 ELSE v END) FROM (
+                SELECT t, had, p, list_min(list_filter(list_transform(es, lambda e, i: CASE WHEN had[i] * p // e <= t + 1 THEN ((had[i] + 1) * p + e - 1) // e * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS nxt FROM sim, one) WHERE t + 1 < p),
+        slots AS (SELECT a.t + 1 AS t, b.pick AS i, a.had AS before, a.had[b.pick] AS turn FROM sim a JOIN sim b ON b.t = a.t + 1),
+        r AS (SELECT d.doc_id, d.source, s.i, s.e, row_number() OVER (PARTITION BY key ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS b FROM d JOIN s USING (key))
+        SELECT doc_id, source, b AS block, CAST(b // e * p + t AS BIGINT) AS slot, CAST(b * p // e AS BIGINT) AS release, CAST(((b + 1) * p + e - 1) // e AS BIGINT) AS deadline,
+            CAST(list_sum(list_transform(es, lambda x, j: least(ns[j], b // e * x + before[j]))) AS BIGINT) AS position FROM r JOIN slots ON slots.i = r.i AND slots.turn = r.b % r.e, one"""
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = 1, digits: int = 3, most: int = 4096, longest: int = 100_000, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, block, slot, release, deadline, position of each row (and the columns in `keep`)."""
     keep = keep or []
-    h = F.xxhash64(F.col("doc_id"))
-    bits = 64 - (ranges - 1).bit_length()
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), *keep).withColumn("h_", h).withColumn("key", named("source"))
-    rows = rows.withColumn("r_", F.shiftrightunsigned("h_", bits) if bits < 64 else F.lit(0).cast("long"))
+    rows = rows.withColumn("r_", F.substring("h_", 1, digits))
     tally = rows.groupBy("key", "r_").count()
     slots = period(tally.groupBy("key").agg(F.sum("count").alias("n")), weights or {}, default, most, longest)
     before = F.sum("count").over(Window.partitionBy("key").orderBy("r_").rowsBetween(Window.unboundedPreceding, -1))
