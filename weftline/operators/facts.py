@@ -155,17 +155,30 @@ def sizes(st: DataFrame) -> DataFrame:
     return st.groupBy(*KEY).agg(F.count("*").cast("int").alias("n"))
 
 
-def boundary_facts(st: DataFrame, edges: DataFrame | None = None, window: int = 4, medium: int = 12) -> DataFrame:
-    """One wide row of facts for each boundary. Regions of fewer than two statements have none."""
+PARTS = ("spans", "edges", "completion")
+
+
+def boundary_facts(st: DataFrame, edges: DataFrame | None = None, window: int = 4, medium: int = 12, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One wide row of facts for each boundary. Regions of fewer than two statements have none.
+
+    parts: which of the joined groups of facts are wanted; one that is left out costs nothing and adds no columns.
+    """
     edges = dependence.linear_def_use(st) if edges is None else edges
     on = [*KEY, "b"]
-    done = dependence.completion(st, edges).select(*KEY, F.col("boundary").alias("b"), (F.col("through") - F.col("boundary")).alias("completion_chain_length"), F.col("roles").alias("completion_roles"), F.col("symbols").alias("completion_symbols"))
-    parts = [statement_facts(st, window), span_facts(st), edge_facts(edges, sizes(st), window, medium), done]
-    rows = reduce(lambda a, b: a.join(b, on, "left"), parts)
-    sets = [c for c in ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "completion_roles", "completion_symbols")]
+    made = {"spans": lambda: span_facts(st), "edges": lambda: edge_facts(edges, sizes(st), window, medium), "completion": lambda: completion_facts(st, edges)}
+    rows = reduce(lambda a, p: a.join(made[p](), on, "left"), parts, statement_facts(st, window))
+    sets = ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "completion_roles", "completion_symbols")
     fill = {c: F.coalesce(c, F.lit(0)) for c in (*COUNTS, "completion_chain_length")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("dependency_span_mean", "unfinished_work_mass")} | {c: F.coalesce(c, empty_strings()) for c in sets}
-    rows = rows.withColumns(fill).withColumn("output_symbols", F.array_intersect("input_symbols", "left_writes"))
-    return rows.withColumns({f"{c.removesuffix('s')}_count": F.size(c) for c in ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "output_symbols")}).drop("left_writes")
+    rows = rows.withColumns({c: e for c, e in fill.items() if c in rows.columns})
+    if "edges" in parts:
+        rows = rows.withColumn("output_symbols", F.array_intersect("input_symbols", "left_writes"))
+    counted = [c for c in ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "output_symbols") if c in rows.columns]
+    return rows.withColumns({f"{c.removesuffix('s')}_count": F.size(c) for c in counted}).drop("left_writes")
+
+
+def completion_facts(st: DataFrame, edges: DataFrame) -> DataFrame:
+    done = dependence.completion(st, edges)
+    return done.select(*KEY, F.col("boundary").alias("b"), (F.col("through") - F.col("boundary")).alias("completion_chain_length"), F.col("roles").alias("completion_roles"), F.col("symbols").alias("completion_symbols"))
 
 
 def fingerprint(facts: DataFrame) -> DataFrame:

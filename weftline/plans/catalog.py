@@ -56,7 +56,11 @@ def flat(df: DataFrame, **rename: str) -> DataFrame:
 
 
 def from_facts(spark: SparkSession, sf_dir: str, *cols: str, **rename: str) -> DataFrame:
-    return flat(facts.boundary_facts(events(spark, sf_dir)).select("region_id", "b", *cols), **rename)
+    """Some facts of every boundary; groups of facts that none of them belongs to aren't computed."""
+    edge = (*facts.COUNTS, "dependency_span_mean", "unfinished_work_mass", "input_symbols", "output_symbols")
+    wanted = {"spans": ("dead_symbols", "born_symbols", "cross_symbols"), "edges": edge, "completion": ("completion_chain_length",)}
+    parts = tuple(p for p in facts.PARTS if set(wanted[p]) & set(cols))
+    return flat(facts.boundary_facts(events(spark, sf_dir), parts=parts).select("region_id", "b", *cols), **rename)
 
 
 @register("q_statements_events", chain("stx", "SELECT region_id, idx, kind, line, CASE WHEN d THEN s ELSE '' END AS definitions, CASE WHEN r THEN s ELSE '' END AS reads, CASE WHEN m THEN s ELSE '' END AS mutations, coalesce(effect, '') AS effects, role AS roles, compound AS is_compound FROM stx"))
@@ -138,7 +142,7 @@ def constraints_risks(spark, sf_dir):
 
 @register("q_reliability", chain("relx", "SELECT region_id, b, parse, round(call_resolution, 6) AS call_resolution, round(dependency, 6) AS dependency, round(role_reliability, 6) AS role, round(callsite, 6) AS callsite, codes AS reason_codes FROM relx"))
 def reliability(spark, sf_dir):
-    rows = facts.boundary_facts(events(spark, sf_dir)).select("region_id", "b", *(F.col(f"reliability.{c}").alias(c) for c in ("parse", "call_resolution", "dependency", "role", "callsite", "reason_codes")))
+    rows = facts.statement_facts(events(spark, sf_dir)).select("region_id", "b", *(F.col(f"reliability.{c}").alias(c) for c in ("parse", "call_resolution", "dependency", "role", "callsite", "reason_codes")))
     return flat(rows)
 
 
