@@ -51,3 +51,13 @@ def test_entry_and_some_oracles(spark):
         assert cols == sorted(theirs.columns)
         rows = [sorted(str(tuple(round(float(v), 6) + 0.0 if isinstance(v, float) else v for v in r)) for r in d[cols].astype(object).itertuples(index=False, name=None)) for d in (mine, theirs)]
         assert rows[0] == rows[1], name
+
+
+def test_written_tables_are_released(spark):
+    from weftline import session
+
+    session.release(spark)
+    df = session.materialize(spark.range(5), "t")
+    path = session._WRITTEN[0]
+    assert df.count() == 5 and path.startswith(session.shared_dir(spark)) and os.path.exists(path)
+    assert session.release(spark) == 1 and not os.path.exists(path)

@@ -30,8 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that materialize wrote in this process; frames that read them are of no use afterwards."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
+
+    Written tables survive lost executors, unlike cached blocks; they stay until release() or until the folder is cleaned.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
