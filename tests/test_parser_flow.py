@@ -204,3 +204,12 @@ def test_registry(language, path):
         with pytest.raises(ValueError):
             r.register(name, (suffix,), lambda s, p: None)
     assert default().select("dir/A.M") is mlang.read and F is not None
+
+
+def test_region_semantics_bundle(spark, tmp_path):
+    from weftline import api
+
+    (tmp_path / "a.m").write_text(MERGE)
+    got = api.region_semantics(spark, f"{tmp_path}/a.m")
+    assert got["regions"].count() == 1 and {r.kind for r in got["graph"].select("kind").distinct().collect()} == {"DATA", "CONTROL"}
+    assert got["facts"].count() == len(statements(MERGE)) - 1

@@ -53,6 +53,14 @@ def explain(analysis: DataFrame, after_line: int, region: str | None = None):
     return found[0]
 
 
+def region_semantics(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A source file's regions with their flow graphs, the dependence graph of each, and the facts of each boundary."""
+    folder, _, name = path.rpartition("/")
+    regions = materialize(mlang.programs(corpus.read_sources(spark, folder or ".", name)), "regions")
+    graph = flow.dependence_graph(regions)
+    return {"regions": regions, "graph": graph, "facts": facts.boundary_facts(mlang.statements(regions), flow.semantic_def_use(regions))}
+
+
 def project_scan(spark: SparkSession, root: str) -> DataFrame:
     regions = materialize(mlang.programs(corpus.read_sources(spark, root)), "regions")
     return project.scan(project.worker_summary(regions))

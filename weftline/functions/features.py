@@ -98,3 +98,32 @@ def features_long(featured: DataFrame) -> DataFrame:
     """key, boundary_index, feature, value."""
     pairs = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in FEATURES))
     return featured.select(*KEY, "boundary_index", F.explode(pairs).alias("f")).select(*KEY, "boundary_index", "f.feature", "f.value")
+
+
+def raw_features() -> dict[str, Column]:
+    """The counts behind the features, as doubles."""
+    size = lambda c: F.size(c)
+    raw = {
+        "dead_symbol_count": F.col("dead_symbol_count"),
+        "born_symbol_count": F.col("born_symbol_count"),
+        "cross_symbol_count": F.col("cross_symbol_count"),
+        "input_interface_count": F.col("input_symbol_count"),
+        "output_interface_count": F.col("output_symbol_count"),
+        "cross_dependency_count": F.col("cross_dependency_count"),
+        "local_cross_dependency_count": F.col("local_cross_dependency_count"),
+        "nearby_dependency_count": F.col("nearby_dependency_count"),
+        "left_internal_edge_count": F.col("left_internal_data_edge_count"),
+        "right_internal_edge_count": F.col("right_internal_data_edge_count"),
+        "left_call_count": size("left_calls"),
+        "right_call_count": size("right_calls"),
+        "left_effect_count": size("left_effect_histogram"),
+        "right_effect_count": size("right_effect_histogram"),
+        "control_followup_edge_count": F.col("control_followup_edge_count"),
+        "dependency_target_count": F.col("dependency_target_count"),
+        "raw_structural_completion": F.col("compound_ends_here").cast("int"),
+        "unfinished_completion_chain": (F.col("completion_chain_length") > 0).cast("int"),
+        "unfinished_call_setup": F.col("unfinished_call_setup"),
+        "unfinished_call_finalization": F.col("unfinished_call_finalization"),
+        "primitive_call_chain": F.col("primitive_call_chain"),
+    }
+    return {k: c.cast("double") for k, c in raw.items()}

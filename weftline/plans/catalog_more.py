@@ -324,3 +324,32 @@ def train_epoch(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(g / max(1, n)), 6)) for i, g in enumerate(grad)], "parameter long, gradient double")
 
 
+
+
+_RAW = {"dead_symbol_count": "dead_n", "born_symbol_count": "born_n", "cross_symbol_count": "cross_n", "input_interface_count": "inputs_n", "output_interface_count": "outputs_n", "cross_dependency_count": "cross_dep", "local_cross_dependency_count": "near_cross", "nearby_dependency_count": "nearby", "left_internal_edge_count": "near_left", "right_internal_edge_count": "near_right", "left_call_count": "len(left_call_list)", "right_call_count": "len(right_call_list)", "left_effect_count": "len(left_effects)", "right_effect_count": "len(right_effects)", "control_followup_edge_count": "followups", "dependency_target_count": "targets", "raw_structural_completion": "CAST(compound AS INTEGER)", "unfinished_completion_chain": "CAST(chained AS INTEGER)", "unfinished_call_setup": "setup", "unfinished_call_finalization": "finalization", "primitive_call_chain": "primitive_chain"}
+
+
+@register("q_raw_features", chain("fx", "SELECT region_id, b, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _RAW.items()) + " FROM fx"))
+def raw_features(spark, sf_dir):
+    from weftline.functions.features import raw_features as columns
+
+    return flat(facts.boundary_facts(events(spark, sf_dir)).select("region_id", "b", *(c.alias(k) for k, c in columns().items())))
+
+
+_A, _TAU = "1.000001", "4.000001"
+_LEARNED = {
+    "death": f"1 - exp(-{_A} * dead_n / greatest(1, left_symbols))",
+    "birth": f"1 - exp(-{_A} * born_n / greatest(1, right_symbols))",
+    "symbol_distance": "1 - least(cross_n, left_symbols, right_symbols) * 1.0 / greatest(1, left_symbols + right_symbols - least(cross_n, left_symbols, right_symbols))",
+    "interface": f"exp(-{_A} * (inputs_n + outputs_n))",
+    "dependency_release": "1 - least(1.0, cross_dep * 1.0 / greatest(1, nearby))",
+    "reuse_release": f"exp(-{_A} * coalesce(reuse, 0))",
+    "span_release": f"exp(-coalesce(span_mean, 0.0) / {_TAU})",
+    "completion": f"1 / (1 + exp(-(1.0 - {_A} * coalesce(unfinished, 0.0) / {_TAU})))",
+}
+
+
+@register("q_learned_features", chain("fx", "SELECT region_id, b + 1 AS boundary_index, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _LEARNED.items()) + " FROM fx LEFT JOIN (SELECT region_id, b, reuse, span_mean, unfinished FROM xst) q USING (region_id, b)"))
+def learned_features(spark, sf_dir):
+    rows = energy.structured_analysis(events(spark, sf_dir), energy.initial())
+    return flat(rows.select("region_id", "boundary_index", *(F.col("features")[energy.LEARNED.index(k)].alias(k) for k in _LEARNED)))
