@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from weftline.operators import energy, facts, flow, project, quality, scoring, training
 from weftline.schema import KEY
-from weftline.session import materialize
+from weftline.session import materialize, shipped
 from weftline.sources import corpus, mlang
 from weftline.sources.registry import default
 
 
+@shipped
 def program(spark: SparkSession, path: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Statements and dependence edges of a path; source files have flow graphs, other frontends linear def-use."""
     frontend = default().select(path)
@@ -26,6 +27,7 @@ def program(spark: SparkSession, path: str, index: DataFrame | None = None) -> t
     return (st if index is None else project.enrich(st, index)), flow.projected(regions, include_internal=True)
 
 
+@shipped
 def analyze(spark: SparkSession, path: str, config: scoring.Config = scoring.Config(), window: int = 4, medium: int = 12, index: DataFrame | None = None) -> DataFrame:
     """Every boundary with facts, features, score, peak, prominence, rejections, recommendation, adjacent quality."""
     st, edges = program(spark, path, index)
@@ -35,6 +37,7 @@ def analyze(spark: SparkSession, path: str, config: scoring.Config = scoring.Con
     return rows.join(near, [*KEY, "boundary_index"], "left")
 
 
+@shipped
 def analyze_structured(spark: SparkSession, path: str, theta: np.ndarray, index: DataFrame | None = None) -> DataFrame:
     st, edges = program(spark, path, index)
     return energy.structured_analysis(st, theta, edges)
@@ -53,6 +56,7 @@ def explain(analysis: DataFrame, after_line: int, region: str | None = None):
     return found[0]
 
 
+@shipped
 def region_semantics(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A source file's regions with their flow graphs, the dependence graph of each, and the facts of each boundary."""
     folder, _, name = path.rpartition("/")
@@ -61,11 +65,13 @@ def region_semantics(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"regions": regions, "graph": graph, "facts": facts.boundary_facts(mlang.statements(regions), flow.semantic_def_use(regions))}
 
 
+@shipped
 def project_scan(spark: SparkSession, root: str) -> DataFrame:
     regions = materialize(mlang.programs(corpus.read_sources(spark, root)), "regions")
     return project.scan(project.worker_summary(regions))
 
 
+@shipped
 def corpus_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     sources = corpus.read_sources(spark, folder)
     regions = materialize(mlang.programs(sources), "regions")
@@ -75,6 +81,7 @@ def corpus_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"manifest": materialize(corpus.read_manifest(spark, f"{folder}/manifest.jsonl"), "manifest"), "sources": sources, "statements": st, "edges": edges, "facts": facts.boundary_facts(st, data)}
 
 
+@shipped
 def audit(spark: SparkSession, folder: str) -> dict:
     t = corpus_tables(spark, folder)
     rows = corpus.audit_errors(t["manifest"], t["sources"], t["statements"], t["facts"]).orderBy("subject", "error").collect()
@@ -84,12 +91,14 @@ def audit(spark: SparkSession, folder: str) -> dict:
     }
 
 
+@shipped
 def corpus_examples(spark: SparkSession, folder: str, splits: tuple[str, ...]) -> DataFrame:
     t = corpus_tables(spark, folder)
     chosen = corpus.require_trainable(t["manifest"].where(F.col("split").isin(*splits)))
     return training.examples_of(t["statements"], corpus.truth(chosen), t["edges"])
 
 
+@shipped
 def train(spark: SparkSession, folder: str, artifact: str, config: training.TrainingConfig = training.TrainingConfig(), progress=None) -> dict:
     """Trains and selects on train and validation, writes the artifact; the test split is not read."""
     who = corpus.identity(spark, folder)
@@ -99,5 +108,6 @@ def train(spark: SparkSession, folder: str, artifact: str, config: training.Trai
     return payload
 
 
+@shipped
 def open_test(spark: SparkSession, folder: str, artifact: str, report: str) -> dict:
     return training.open_sealed_test(corpus_examples(spark, folder, ("test",)), corpus.identity(spark, folder)["dataset_sha256"], artifact, report)

@@ -11,6 +11,7 @@ from weftline.functions import features as feat
 from weftline.operators import dependence, facts, quality, scoring
 from weftline.plans.oracle import chain
 from weftline.schema import KEY
+from weftline.session import shipped
 from weftline.sources.tables import conversation_statements, events_statements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,7 +266,7 @@ def role_cosine(spark, sf_dir):
 def queries() -> dict[str, Query]:
     from weftline.plans import catalog_more  # noqa: F401  registers the rest
 
-    return dict(QUERIES)
+    return {k: shipped(f) for k, f in QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
@@ -274,4 +275,4 @@ def oracles() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["q_selection"](spark, sf_dir)
+    return shipped(QUERIES["q_selection"])(spark, sf_dir)

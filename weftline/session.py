@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        folder = Path(__file__).resolve().parent
+        target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="weftline-")), "weftline.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(folder.rglob("*.py")):
+                z.write(f, f"{folder.name}/{f.relative_to(folder).as_posix()}")
+        spark.sparkContext.addPyFile(target)
+        _SHIPPED.add(app)
+
+
+def shipped(f: Callable) -> Callable:
+    """f(spark, ...) with the package sent ahead."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args, **kwargs):
+        ship(spark)
+        return f(spark, *args, **kwargs)
+
+    return run
+
+
 _WRITTEN: list[str] = []
 
 
