@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import bpe_codec, minhash, mixing, suffix_dedup, toxicity
 from weftline.llm.common import table
-from weftline.session import materialize
+from weftline.session import materialize, shipped
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +42,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_codec.tokenized(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", cut_repeats), ("mixing", mix_sources), ("tokens", tokenize)]
+STAGES = [(name, shipped(f)) for name, f in (("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", cut_repeats), ("mixing", mix_sources), ("tokens", tokenize))]
 
 #: string kernels, component search and tokenizers have no SQL form; tests hold each stage against brute force
 ORACLE_SQL = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,11 +19,24 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, by: str = "text") -> Iterator[pa.RecordBatch]:
     """Smaller record batches, so that a worker holds few long texts as Python objects at once."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+    try:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        if not isinstance(batches, list):
+            give_back()
 
 
 def map_texts(docs: DataFrame, f: Callable[[list[str]], dict[str, list]], schema: str, rows: int = 512) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe_codec, collision_ann, katz, minhash, mixing, quality, suffix_dedup, syncmers, token_counts, toxicity
 from weftline.llm.common import table
+from weftline.session import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_suffix_dedup, op2_syncmers, op3_minhash, op4_toxicity, op5_mixing, op6_collision_ann, op7_bpe_codec, op8_token_counts, op9_katz, op10_quality)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_syncmers, op3_minhash, op4_toxicity, op5_mixing, op6_collision_ann, op7_bpe_codec, op8_token_counts, op9_katz, op10_quality)}
 
 
 def oracles() -> dict[str, str]:

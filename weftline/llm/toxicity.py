@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import slices, texts
+from weftline.llm.common import give_back, slices, texts
 
 SPAN, DECAY, LONGEST = 6, 0.6, 24
 PAIRS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
@@ -214,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> tuple[np
 CACHE: dict[bytes, dict[str, float]] = {}
 
 
-def score_texts(ts: list[str], model, key: bytes, most: int = 500_000) -> list[float]:
-    """Scores of texts; words' scores are kept in a bounded cache per worker."""
+def score_texts(ts: list[str], model, key: bytes, most: int = 300_000) -> list[float]:
+    """Scores of texts; words' scores are kept in a bounded cache for the length of a task."""
     beta, bias, cal = model
     cache = CACHE.setdefault(key, {})
     if len(CACHE) > 1:
@@ -252,5 +252,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
         for b in slices(batches, 256):
             got = score_texts(["" if t is None else t for t in b.column("text").to_pylist()], model, key)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "score"])
+        CACHE.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)
