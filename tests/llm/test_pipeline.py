@@ -69,3 +69,20 @@ def test_run_is_the_stages_put_together(spark, tables):
     d, _, _ = tables
     got = {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, d).collect()}
     assert got == {(r.doc_id, r.ids_sha256) for r in spark.read.parquet(f"{d}/tokens").collect()}
+
+
+def test_stages_take_empty_tables_nulls_and_further_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, tkey string, position int, k string, node int"
+    long = " ".join(f"w{i}" for i in range(150))
+    rows = [(None, None, None, None, None), (None, "a b c d e f", None, "s", None), (1, "", "en", None, 0), (2, long, "en", "s", 5), (3, long + " end", "en", "s", 5), (3, long + " end", "en", "s", 5)]
+    d = str(tmp_path)
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for name, part in (("none", []), ("some", rows)):
+        docs = spark.createDataFrame([(*r, 0.9, "t", 7, "k", 1) for r in part], schema)
+        for stage, f in corpus_pipeline.STAGES:
+            out = f"{d}/{name}-{stage}"
+            f(spark, docs, d).write.parquet(out)
+            docs = spark.read.parquet(out)
+        got = docs.collect()
+        assert len(got) == (4 if part else 0)
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got) == [-1, -1, 1, 2]
