@@ -207,6 +207,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int
     found = materialize(found.join(often, "core", "left_semi"), "repeated")
     distinct = materialize(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "doc_id", "pos", "lo", "hi")).alias("r")), "contexts")
     mixed = distinct.groupBy("core").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("core", "c")
+    mixed = materialize(mixed, "mixed")
     asked = distinct.join(mixed, "core").groupBy("r.tkey", "r.doc_id").agg(F.collect_list(F.struct("core", "ctx", "n", "c", "r.pos", "r.lo", "r.hi")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
