@@ -108,3 +108,15 @@ def test_groups_of_batches_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(katz, "groups_of", lambda d, fan: 3)
     assert {(r.doc_id, round(r.score, 9)) for r in katz.score(docs).collect()} == one
     assert katz.score(docs.limit(0)).count() == 0
+
+
+def test_more_words_than_16_bits_can_tell_apart(spark):
+    rows = [(i, " ".join("v%d" % (k % 72_000) for k in range(i * 240, i * 240 + 300))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows]
+    train, c, total, base = model(rows, None)
+    assert len(c) > 65_536
+    prob, _, _ = chain(train, base, set(c))
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        ws = words(t)
+        assert np.isclose(got[i], sum(math.log10(prob(h, w)) for h, w in zip(["</s>", *ws], ws)), rtol=1e-9)

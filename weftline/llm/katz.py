@@ -1,17 +1,20 @@
 """Language-model scores by a bigram Katz back-off model, learned from and applied to whole texts.
 
 Tokens are a text's words (A-Z lower-cased) and one end mark. Word counts cover every training token; the unigram level
-is the base P(w) = (c + 0.5) / (N + 0.5 (V + 1)). The bigram level has the most frequent words (at most `vocabulary`,
-all words above the smallest count that allows it) as its alphabet and all others as one class; inside the class a word has its unigram share, so the distribution stays
+is the base P(w) = (c + 0.5) / (N + 0.5 (V + 1)). The bigram level holds every pair of training words; the distribution is
 proper over all words, known or not. A bigram seen r times has probability d_r r / c(h) with Good-Turing discounts
 d_r for r <= 5; a bigram not seen has alpha(h) P(w), alpha chosen so that every context adds up to exactly 1. The text
 starts in the context of the end mark. A context whose discounts leave nothing gives 0.5 / (c(h) + 0.5) to what it hasn't
-seen; Good-Turing values outside (0, 1] (too few counts) count as no discount.
+seen; Good-Turing values outside (0, 1] (too few counts) count as no discount. With `vocabulary` (none by default) the
+bigram level has at most so many words, all those above the smallest count that allows it, and one class of all others;
+inside the class a word has its unigram share.
 
-Tables: word counts in one table; bigrams in a table of `parts` rows ranges of contexts, packed (sorted pairs, counts). Of
-65,536 ** 2 possible pairs a part holds a bounded share, whatever the input's size. Counts are summed per batch of texts
-before the shuffle and again over groups of `fan` batches. Scoring sends each batch's pairs and rare words to the parts
-that hold their tables (in groups of `fan` batches, so hot contexts spread), which send back sums per text.
+Tables: word counts in one table, dealt by leading bits of the word's hash; bigrams dealt by leading bits of the context's,
+packed (sorted contexts and words, counts), and beside them the counts of their words. The number of parts grows with the number of tokens.
+Counts are summed per batch of texts before the shuffle and again over groups of `fan` batches. Scoring sends each batch's
+pairs and words to the parts that hold their tables (in groups of `fan` batches, so hot contexts spread), which send back
+sums per text. The `common` most frequent words are sent along with their counts, which saves asking for them; packed words
+are places among them, or hashes.
 
 Null and empty texts have the end mark alone; a null doc_id counts as a training row; repeated rows each count and are
 scored alike; further columns are ignored; an empty table gives none. Words are told apart by 64-bit hashes.
@@ -20,6 +23,7 @@ scored alike; further columns are ignored; an empty table gives none. Words are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +36,19 @@ from weftline.llm.words import word_hashes
 from weftline.session import materialize
 
 END = np.uint64(0x5851F42D4C957F2D)
+CLASS = np.uint64(0)  # stands for the words outside a bounded vocabulary
 KEPT = 5  # counts above it aren't discounted
-ROWS = "kind int, key long, salt long, batch long, n int, a binary, b binary, c binary"
+ROWS = "kind int, key long, salt long, batch long, n int, a binary, b binary, c binary, d binary"
+PAIRS = "n int, a binary, b binary, c binary"
 SUMS = "batch long, kind int, n int, a binary, b binary, c binary"
 
 
 def pack(v: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes."""
+    if not len(v):
+        return b""
     raw = np.ascontiguousarray(v.astype(v.dtype.newbyteorder("<"))).view(np.uint8).reshape(len(v), -1).T.tobytes()
-    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, n: int, kind: str) -> np.ndarray:
@@ -60,7 +68,7 @@ def unpack_sorted(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 def rows_of(**cols) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "n": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+    types = {"kind": pa.int32(), "n": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in cols.items()], names=list(cols))
 
 
@@ -68,12 +76,12 @@ def tokens(text: str) -> np.ndarray:
     return np.append(word_hashes(text), END)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def summed(h: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs and the sums of their counts."""
+    order = np.lexsort((w, h))
+    h, w, counts = h[order], w[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.zeros(0, int)
+    return h[first], w[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -90,27 +98,71 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Alphabet:
-    """The bigram level's words: id 0 is the class of all others, id i the i-th word by hash."""
+    """Counts of the most frequent words; if they are the whole vocabulary, the others are one class."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, closed: bool):
         order = np.argsort(words)
-        self.words, self.total, self.distinct = words[order], total, distinct
+        self.words, self.counts, self.closed = words[order], counts[order].astype(np.int64), closed
         self.base = np.log10(total + 0.5 * (distinct + 1)) if total or distinct else np.log10(0.5)
-        self.log_count = np.r_[0.0, np.log10(counts[order] + 0.5)]
-        p = np.r_[0.0, (counts[order] + 0.5) / 10**self.base]
-        p[0] = max(1.0 - p.sum(), 0.5 / 10**self.base)
-        self.p, self.log_p = p / p.sum(), np.log10(p / p.sum())
-        self.end = int(self.ids(np.array([END]))[0])
+        self.rest = max(1.0 - ((counts + 0.5) / 10**self.base).sum(), 0.5 / 10**self.base)
 
-    def ids(self, words: np.ndarray) -> np.ndarray:
+    def place(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are held, and their places."""
         if not len(self.words):
-            return np.zeros(len(words), np.uint32)
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at + 1, 0).astype(np.uint32)
+        return self.words[at] == words, at
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are held, and their counts."""
+        held, at = self.place(words)
+        return held, np.where(held, self.counts[at], 0) if len(self.words) else at
+
+    def pack(self, words: np.ndarray) -> bytes:
+        """Words by their places, those that aren't held by their hashes."""
+        held, at = self.place(words)
+        places = at[held].astype("u2" if len(self.words) <= 1 << 16 else "u4")
+        out = [pack(np.packbits(held)), pack_sorted(places), pack_sorted(words[~held])]
+        return np.array([held.sum(), len(out[0]), len(out[1])], "<u4").tobytes() + b"".join(out)
+
+    def unpack(self, data: bytes, n: int) -> np.ndarray:
+        k, i, j = (int(v) for v in np.frombuffer(data[:12], "<u4"))
+        held = np.unpackbits(unpack(data[12 : 12 + i], -(-n // 8), "u1"), count=n).astype(bool)
+        out = np.zeros(n, np.uint64)
+        out[held] = self.words[unpack_sorted(data[12 + i : 12 + i + j], k, "u2" if len(self.words) <= 1 << 16 else "u4")]
+        out[~held] = unpack_sorted(data[12 + i + j :], n - k, "u8")
+        return out
+
+    def pack_runs(self, words: np.ndarray) -> bytes:
+        """Sorted words that recur, as words and run lengths."""
+        own, times = np.unique(words, return_counts=True)
+        lead = self.pack(own)
+        return np.array([len(own), len(lead)], "<u4").tobytes() + lead + pack(times.astype(np.uint32))
+
+    def unpack_runs(self, data: bytes) -> np.ndarray:
+        n, i = (int(v) for v in np.frombuffer(data[:8], "<u4"))
+        return np.repeat(self.unpack(data[8 : 8 + i], n), unpack(data[8 + i :], n, "u4").astype(np.int64))
+
+    def names(self, words: np.ndarray) -> np.ndarray:
+        """The words as the bigram level knows them."""
+        return np.where(self.find(words)[0], words, CLASS) if self.closed else words
+
+    def low(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        p = (counts + 0.5) / 10**self.base
+        return np.where(words == CLASS, self.rest, p) if self.closed else p
+
 
+def pairs_of(names: np.ndarray, inverse: np.ndarray, starts: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in order, and each token's pair as two places in them; names: distinct words, starts: each text's first token."""
+    every, place = np.unique(np.append(names, end), return_inverse=True)
+    w = place[inverse].astype(np.uint64)
+    h = np.r_[w[:1], w[:-1]]
+    h[starts] = place[-1]
+    return every, h << np.uint64(32) | w, w
 
-def pairs_of(ids: np.ndarray, end: int) -> np.ndarray:
-    return np.r_[np.uint32(end), ids[:-1]].astype(np.uint32) << np.uint32(16) | ids
+
+def unfold(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words[(pairs >> np.uint64(32)).astype(np.int64)], words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def split(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
@@ -122,34 +174,72 @@ def split(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
             yield int(top[i]), slice(int(i), int(j))
 
 
-def merge(keys: list[str]):
+def merge(keys: list[str], alphabet: Alphabet):
     """Adds up rows of packed pairs and counts that share the keys."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        p, c = summed(np.concatenate([unpack_sorted(r["a"], r["n"], "u4") for r in rows]), np.concatenate([unpack(r["b"], r["n"], "u4") for r in rows]))
+        h, w, c = summed(*(np.concatenate(v) for v in zip(*((alphabet.unpack_runs(r["a"]), alphabet.unpack(r["b"], r["n"]), unpack(r["c"], r["n"], "u4").astype(np.int64)) for r in rows))))
         hist = np.bincount(np.minimum(c, KEPT + 2), minlength=KEPT + 3)
-        cols = {k: [rows[0][k]] for k in keys} | {"n": [len(p)], "a": [pack_sorted(p)], "b": [pack(c.astype(np.uint32))]}
+        cols = {k: [rows[0][k]] for k in keys} | {"n": [len(h)], "a": [alphabet.pack_runs(h)], "b": [alphabet.pack(w)], "c": [pack(c.astype(np.uint32))]}
         return pa.Table.from_batches([rows_of(**cols)]).append_column("hist", pa.array([hist.astype(np.int64)], pa.list_(pa.int64())))
 
     return run
 
 
-def bigram_table(docs: DataFrame, alphabet: Alphabet, shift: int, fan: int) -> DataFrame:
-    """key (leading bits of the context), n, a (pairs), b (counts), hist (counts of counts)."""
+def bigram_table(docs: DataFrame, alphabet: Alphabet, bits: int, fan: int) -> DataFrame:
+    """key (leading bits of the context), n, a (contexts), b (words), c (counts), hist (counts of counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             salt = xxhash.xxh3_64_intdigest(str((b.num_rows, b.column("text")[0].as_py()[:200])).encode()) >> 1
-            p, c = np.unique(np.concatenate([pairs_of(alphabet.ids(tokens(t)), alphabet.end) for t in b.column("text").to_pylist()]), return_counts=True)
-            cut = list(split(p, shift))
-            yield rows_of(key=[k for k, _ in cut], salt=[salt] * len(cut), n=[s.stop - s.start for _, s in cut], a=[pack_sorted(p[s]) for _, s in cut], b=[pack(c[s].astype(np.uint32)) for _, s in cut])
-
-    rows = docs.select("text").mapInArrow(run, "key long, salt long, n int, a binary, b binary")
+            toks = [tokens(t) for t in b.column("text").to_pylist()]
+            starts = np.r_[0, np.cumsum([len(t) for t in toks])[:-1]].astype(np.int64)
+            own, inverse = np.unique(np.concatenate(toks), return_inverse=True)
+            words, pairs, _ = pairs_of(alphabet.names(own), inverse, starts, alphabet.names(np.array([END]))[0])
+            pairs, c = np.unique(pairs, return_counts=True)
+            h, w = unfold(words, pairs)
+            cut = list(split(h, 64 - bits))
+            yield rows_of(key=[k for k, _ in cut], salt=[salt] * len(cut), n=[s.stop - s.start for _, s in cut], a=[alphabet.pack_runs(h[s]) for _, s in cut], b=[alphabet.pack(w[s]) for _, s in cut], c=[pack(c[s].astype(np.uint32)) for _, s in cut])
+
+    rows = docs.select("text").mapInArrow(run, f"key long, salt long, {PAIRS}")
     groups = groups_of(docs, fan)
     if groups > 1:
-        rows = rows.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("key", "salt").applyInArrow(merge(["key", "salt"]), "key long, salt long, n int, a binary, b binary, hist array<long>").drop("hist")
-    return rows.groupBy("key").applyInArrow(merge(["key"]), "key long, n int, a binary, b binary, hist array<long>")
+        rows = rows.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("key", "salt").applyInArrow(merge(["key", "salt"], alphabet), f"key long, salt long, {PAIRS}, hist array<long>").drop("hist")
+    return rows.groupBy("key").applyInArrow(merge(["key"], alphabet), f"key long, {PAIRS}, hist array<long>")
+
+
+def rare_counts(bigrams: DataFrame, held: DataFrame, alphabet: Alphabet, words: int) -> DataFrame:
+    """key, n, a, b: in several rows, the words of a part of bigrams that the alphabet lacks, and their counts; held: packed_counts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                w = np.unique(alphabet.unpack(r["b"], r["n"]))
+                w = w[~alphabet.place(w)[0] & ~(alphabet.closed & (w == CLASS))]
+                cut = list(split(w, 64 - words))
+                yield rows_of(key=[k for k, _ in cut], batch=[r["key"]] * len(cut), n=[s.stop - s.start for _, s in cut], a=[pack_sorted(w[s]) for _, s in cut])
+
+    def look(l: pa.Table, r: pa.Table) -> pa.Table:
+        w, c = unpacked_counts(r.to_pylist())
+        out = [(x["batch"], x["n"], x["a"], pack(counted(w, c, unpack_sorted(x["a"], x["n"], "u8")).astype(np.uint64))) for x in l.to_pylist()]
+        cols = list(zip(*out)) or [[]] * 4
+        return pa.Table.from_batches([rows_of(key=cols[0], n=cols[1], a=cols[2], b=cols[3])])
+
+    asked = bigrams.select("key", "n", "b").mapInArrow(ask, "key long, batch long, n int, a binary")
+    return asked.groupBy("key").cogroup(held.groupBy("key")).applyInArrow(look, "key long, n int, a binary, b binary")
+
+
+def unpacked_counts(tables: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    return (unpack_sorted(tables[0]["a"], tables[0]["n"], "u8"), unpack(tables[0]["b"], tables[0]["n"], "u8")) if tables else (np.zeros(0, np.uint64),) * 2
+
+
+def counted(w: np.ndarray, c: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Counts of the asked words by a table of sorted words; 0 for others."""
+    if not len(w):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(w, asked), len(w) - 1)
+    return np.where(w[at] == asked, c[at].astype(np.int64), 0)
 
 
 def groups_of(docs: DataFrame, fan: int) -> int:
@@ -170,92 +260,105 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """Probabilities of one range of contexts."""
+    """What one range of contexts adds to the words' base log probabilities."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, alphabet: Alphabet, d: np.ndarray):
-        self.pairs, h, w = pairs, pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
-        self.contexts, first = np.unique(h, return_index=True)
+    def __init__(self, h: np.ndarray, w: np.ndarray, counts: np.ndarray, own: np.ndarray, alphabet: Alphabet, d: np.ndarray):
+        self.contexts, first, place = np.unique(h, return_index=True, return_inverse=True)
         size = np.diff(np.r_[first, len(h)])
         per = lambda v: np.add.reduceat(v, first) if len(first) else np.zeros(0)
-        c = counts.astype(float)
+        c, base = counts.astype(float), alphabet.low(w, own.astype(float))
         total = per(c)
         p = d[np.minimum(counts, KEPT + 1)] * c / np.repeat(total, size)
-        seen, low = per(p), per(alphabet.p[w])
+        seen, low = per(p), per(base)
         full = low > 1 - 1e-12
         scale = np.where(full, 1 / seen, np.where(seen > 1 - 1e-9, total / (total + 0.5) / seen, 1.0))
         p, seen = p * np.repeat(scale, size), seen * scale
-        self.log_p = np.log10(p)
+        self.gain = np.log10(p) - np.log10(base)
         self.log_alpha = np.where(full, -300.0, np.log10(np.maximum(1 - seen, 1e-300)) - np.log10(np.maximum(1 - low, 1e-300)))
-        self.alphabet = alphabet
-
-    def score(self, pairs: np.ndarray) -> np.ndarray:
-        out = self.alphabet.log_p[pairs & np.uint32(0xFFFF)].copy()
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-            known = self.pairs[at] == pairs
-            h = pairs >> np.uint32(16)
-            c = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
-            out += np.where(self.contexts[c] == h, self.log_alpha[c], 0.0)
-            out[known] = self.log_p[at[known]]
-        return out
+        self.words, at = np.unique(w, return_inverse=True)
+        self.pairs = place.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)
+
+    def score(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.zeros(len(h))
+        i = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
+        j = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        met = self.contexts[i] == h
+        pairs = i.astype(np.uint64) << np.uint64(32) | j.astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        known = met & (self.words[j] == w) & (self.pairs[at] == pairs)
+        return np.where(known, self.gain[at], np.where(met, self.log_alpha[i], 0.0))
 
 
-def requests(docs: DataFrame, alphabet: Alphabet, shift: int, words: int, groups: int) -> DataFrame:
-    """Rows of three kinds: 0 a batch's texts, 1 its pairs for one part, 2 its rare words for one part of the counts."""
+def requests(docs: DataFrame, alphabet: Alphabet, bits: int, words: int, groups: int) -> DataFrame:
+    """Rows of three kinds: 0 a batch's texts, 1 its pairs for one part, 2 its less common words for one part of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             ids, toks = b.column("doc_id").to_numpy(zero_copy_only=False), [tokens(t) for t in b.column("text").to_pylist()]
             sizes = np.array([len(t) for t in toks])
-            every, doc = np.concatenate(toks), np.repeat(np.arange(len(toks), dtype=np.uint16), sizes)
+            doc = np.repeat(np.arange(len(toks), dtype=np.uint16), sizes)
+            own, inverse = np.unique(np.concatenate(toks), return_inverse=True)
             batch = int(np.random.default_rng().integers(0, 1 << 62))
             salt = batch % groups
-            i = alphabet.ids(every)
-            h = np.r_[np.uint32(0), i[:-1]]
-            h[np.r_[0, np.cumsum(sizes)[:-1]]] = alphabet.end
-            pairs = h << np.uint32(16) | i
-            order = np.argsort(pairs, kind="stable")
-            p, d = pairs[order], doc[order]
-            known = np.bincount(doc, weights=i > 0, minlength=len(toks))
-            base = np.bincount(doc, weights=alphabet.log_count[i], minlength=len(toks))
+            held, count = alphabet.find(own)
+            known = np.bincount(doc, weights=held[inverse], minlength=len(toks))
+            base = np.bincount(doc, weights=np.where(held, np.log10(count + 0.5), 0.0)[inverse], minlength=len(toks))
             null = np.array([x is None or x != x for x in ids], np.uint8)
-            out = [(0, batch, 0, len(toks), np.where(null, 0, ids).astype("<i8").tobytes() + null.tobytes(), sizes.astype("<i8").tobytes(), base.tobytes() + known.tobytes())]
-            out += [(1, k, salt, s.stop - s.start, pack_sorted(p[s]), pack(d[s]), None) for k, s in split(p, shift)]
-            rare, own = every[i == 0], doc[i == 0]
-            order = np.argsort(rare, kind="stable")
-            rare, own = rare[order], own[order]
-            out += [(2, k, salt, s.stop - s.start, pack_sorted(rare[s]), pack(own[s]), None) for k, s in split(rare, 64 - words)]
+            out = [(0, batch, 0, len(toks), np.where(null, 0, ids).astype("<i8").tobytes() + null.tobytes(), sizes.astype("<i8").tobytes(), base.tobytes() + known.tobytes(), None)]
+            every, pairs, _ = pairs_of(alphabet.names(own), inverse, np.r_[0, np.cumsum(sizes)[:-1]], alphabet.names(np.array([END]))[0])
+            order = np.argsort(pairs, kind="stable")
+            d = doc[order]
+            pairs, first, times = np.unique(pairs[order], return_index=True, return_counts=True)
+            h, w = unfold(every, pairs)
+            to = np.r_[first, len(d)]
+            out += [(1, k, salt, s.stop - s.start, alphabet.pack_runs(h[s]), alphabet.pack(w[s]), pack(times[s].astype(np.uint32)), pack(d[to[s.start] : to[s.stop]])) for k, s in split(h, 64 - bits)]
+            rare = np.flatnonzero(~held[inverse])
+            rare = rare[np.argsort(inverse[rare], kind="stable")]
+            d = doc[rare]
+            at, first, times = np.unique(inverse[rare], return_index=True, return_counts=True)
+            to = np.r_[first, len(d)]
+            out += [(2, k, salt, s.stop - s.start, pack_sorted(own[at][s]), None, pack(times[s].astype(np.uint32)), pack(d[to[s.start] : to[s.stop]])) for k, s in split(own[at], 64 - words)]
             cols = list(zip(*out))
-            yield rows_of(kind=cols[0], key=cols[1], salt=cols[2], batch=[batch] * len(out), n=cols[3], a=cols[4], b=cols[5], c=cols[6])
+            yield rows_of(kind=cols[0], key=cols[1], salt=cols[2], batch=[batch] * len(out), n=cols[3], a=cols[4], b=cols[5], c=cols[6], d=cols[7])
 
     return docs.mapInArrow(run, ROWS)
 
 
 def answers(asked: pa.Table, held: pa.Table, alphabet: Alphabet, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums per text: of kind 1 the bigram scores; of kind 2 log counts, and how many words are known."""
+    """Sums per text: of kind 1 what the bigrams add; of kind 2 log counts, and how many words are known."""
     rows, tables = asked.to_pylist(), held.to_pylist()
     if not rows:
         return
     kind = rows[0]["kind"]
     if kind == 1:
-        part = Part(*[unpack_sorted(tables[0]["a"], tables[0]["n"], "u4"), unpack(tables[0]["b"], tables[0]["n"], "u4")] if tables else [np.zeros(0, np.uint32)] * 2, alphabet, d)
+        h, w, counts = [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.uint32)]
+        for t in tables:
+            if t["c"] is not None:
+                h, w, counts = alphabet.unpack_runs(t["a"]), alphabet.unpack(t["b"], t["n"]), unpack(t["c"], t["n"], "u4")
+        own = alphabet.find(w)[1]
+        rare = [(unpack_sorted(t["a"], t["n"], "u8"), unpack(t["b"], t["n"], "u8")) for t in tables if t["c"] is None]
+        if rare:
+            v, k = (np.concatenate(z) for z in zip(*rare))
+            order = np.argsort(v)
+            own = own + counted(v[order], k[order], w)
+        part = Part(h, w, counts, own, alphabet, d)
     elif kind == 2:
-        w, c = (unpack_sorted(tables[0]["a"], tables[0]["n"], "u8"), unpack(tables[0]["b"], tables[0]["n"], "u8")) if tables else (np.zeros(0, np.uint64),) * 2
+        w, c = unpacked_counts(tables)
     for r in rows:
         if kind == 0:
             yield rows_of(batch=[r["batch"]], kind=[0], n=[r["n"]], a=[r["a"]], b=[r["b"]], c=[r["c"]])
             continue
-        doc = unpack(r["b"], r["n"], "u2")
+        times = unpack(r["c"], r["n"], "u4").astype(np.int64)
+        doc = unpack(r["d"], int(times.sum()), "u2")
         if kind == 1:
-            value, known = part.score(unpack_sorted(r["a"], r["n"], "u4")), None
+            value, known = part.score(alphabet.unpack_runs(r["a"]), alphabet.unpack(r["b"], r["n"])), None
         else:
-            asked_words = unpack_sorted(r["a"], r["n"], "u8")
-            at = np.minimum(np.searchsorted(w, asked_words), max(0, len(w) - 1))
-            count = np.where(w[at] == asked_words, c[at], 0) if len(w) else np.zeros(len(asked_words))
-            value, known = np.log10(count + 0.5), count > 0
+            count = counted(w, c, unpack_sorted(r["a"], r["n"], "u8"))
+            value, known = np.log10(count + 0.5), np.repeat(count > 0, times)
         present = np.unique(doc)
-        total = np.bincount(doc, weights=value)[present]
-        extra = None if known is None else np.bincount(doc, weights=known)[present].astype("<f8").tobytes() + np.bincount(doc)[present].astype("<f8").tobytes()
+        total = np.bincount(doc, weights=np.repeat(value, times))[present]
+        extra = None if known is None else pack(np.bincount(doc, weights=known)[present].astype(np.uint32))
         yield rows_of(batch=[r["batch"]], kind=[kind], n=[len(present)], a=[present.astype("<u2").tobytes()], b=[total.astype("<f8").tobytes()], c=[extra])
 
 
@@ -285,29 +388,28 @@ def finish(t: pa.Table, alphabet: Alphabet) -> pa.Table:
             if r["kind"] == 1:
                 score[at] += v
             else:
-                k = r["n"]
                 base[at] += v
-                known[at] += np.frombuffer(r["c"][: 8 * k], "<f8")
-                rare = np.frombuffer(r["c"][8 * k :], "<f8")
-                # inside the class of rare words, a word has its share of the class
-                score[at] += v - rare * (alphabet.base + alphabet.log_p[0])
+                known[at] += unpack(r["c"], r["n"], "u4")
     base = base - sizes * alphabet.base
+    score += base
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known.round().astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def score(docs: DataFrame, vocabulary: int = 65_535, shift: int = 25, fan: int = 64, words_each: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int | None = None, fan: int = 64, words_each: int = 100_000, tokens_each: int = 3_000_000, common: int = 262_143) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     docs = texts(docs)
     fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out")
     training = docs.where(~fold)
     counts = materialize(word_counts(training), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the words above the smallest count that leaves at most `vocabulary` of them: so many rows of 16 bytes reach the driver
+    most = common if vocabulary is None else vocabulary
+    # the words above the smallest count that leaves at most `most` of them: so many rows of 16 bytes reach the driver
     tally = counts.groupBy("c").agg(F.count("*").alias("k")).withColumn("above", F.sum("k").over(Window.orderBy(F.desc("c"))))
-    least = tally.where(F.col("above") <= vocabulary).agg(F.min("c")).first()[0]
+    least = tally.where(F.col("above") <= most).agg(F.min("c")).first()[0]
     top = counts.where(F.col("c") >= (least if least is not None else (1 << 62))).toPandas()
-    alphabet = Alphabet(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, distinct)
-    bigrams = materialize(bigram_table(training, alphabet, shift, fan), "bigrams")
+    alphabet = Alphabet(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, distinct, vocabulary is not None)
+    bits = max(4, int(np.ceil(np.log2(max(1, total) / tokens_each))))
+    bigrams = materialize(bigram_table(training, alphabet, bits, fan), "bigrams")
     n = np.zeros(KEPT + 3)
     for r in bigrams.select(F.posexplode("hist").alias("r", "v")).groupBy("r").agg(F.sum("v").alias("v")).collect():
         n[r.r] = r.v
@@ -315,13 +417,16 @@ def score(docs: DataFrame, vocabulary: int = 65_535, shift: int = 25, fan: int =
     groups = groups_of(docs, fan)
     words = max(4, int(np.ceil(np.log2(max(1, distinct) / words_each)))) if distinct else 4
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("salt")
-    held = [x.select(F.lit(k).alias("kind"), "key", "n", "a", "b").select("kind", "key", every, "n", "a", "b") for k, x in ((1, bigrams), (2, packed_counts(counts, words)))]
+    packed = materialize(packed_counts(counts, words), "packed")
+    rare = rare_counts(bigrams, packed, alphabet, words)
+    none = F.lit(None).cast("binary").alias("c")
+    held = [x.select(F.lit(k).alias("kind"), "key", every, "n", "a", "b", c) for k, x, c in ((1, bigrams, F.col("c")), (1, rare, none), (2, packed, none))]
     # written once: batches get random names, and what a lost executor had sent must not be made anew under others
-    asked = materialize(requests(docs, alphabet, shift, words, groups), "requests")
+    asked = materialize(requests(docs, alphabet, bits, words, groups), "requests")
 
     def answer(l: pa.Table, r: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(answers(l, r, alphabet, d)) or [rows_of(batch=[], kind=[], n=[], a=[], b=[], c=[])])
 
-    sums = asked.groupBy("kind", "key", "salt").cogroup(held[0].unionByName(held[1]).groupBy("kind", "key", "salt")).applyInArrow(answer, SUMS)
+    sums = asked.groupBy("kind", "key", "salt").cogroup(reduce(DataFrame.unionByName, held).groupBy("kind", "key", "salt")).applyInArrow(answer, SUMS)
     out = sums.groupBy("batch").applyInArrow(lambda t: finish(t, alphabet), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", fold, "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
