@@ -12,6 +12,9 @@ from weftline.llm import bpe_codec, minhash, mixing, suffix_dedup, toxicity
 from weftline.llm.common import table
 from weftline.session import materialize, shipped
 
+#: repeats of more words than that are cut; so many words and the spaces between them have SHORTEST bytes at least
+PASSAGE = 50
+SHORTEST = 2 * PASSAGE + 1
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the strings of 400 bytes that occur elsewhere too; n_chars is counted anew."""
-    return suffix_dedup.cleaned(docs, keep=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Every document, without the runs of over 50 words made of strings that occur elsewhere too; n_chars is counted anew."""
+    return suffix_dedup.cleaned(docs, SHORTEST, keep=("lang", "source"), over=PASSAGE, core=32).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

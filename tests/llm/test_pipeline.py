@@ -86,3 +86,15 @@ def test_stages_take_empty_tables_nulls_and_further_columns(spark, tmp_path):
         got = docs.collect()
         assert len(got) == (4 if part else 0)
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in got) == [-1, -1, 1, 2]
+
+
+def test_passages_of_51_words_are_cut_and_of_50_are_not(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    other = lambda: " ".join(word(6) for _ in range(40))
+    passages = [" ".join(word(k) for _ in range(n)) for n, k in ((51, 5), (51, 1), (50, 5))]
+    texts = [(f"{other()} 1", p, f"3 {other()}") if i < 3 else (f"{other()} 2", p, f"4 {other()}") for i, p in enumerate(passages * 2)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["repeats"](spark, docs, "").collect()}
+    for i, (a, p, b) in enumerate(texts):
+        assert got[i] == (f"{a} {p} {b}" if i % 3 == 2 else a + b)

@@ -25,6 +25,7 @@ kept; further columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,7 +245,16 @@ def cover(n: int, spans: list[dict] | None, length: int) -> np.ndarray:
     return turn.reshape(-1, 2)
 
 
-def _mapped(docs: DataFrame, length: int, schema: str, f, keep: tuple[str, ...] = (), **settings) -> DataFrame:
+INSIDE = re.compile(rb"[0-9A-Za-z_\x80-\xff]{2}")
+
+
+def of_words(data: bytes, gone: np.ndarray, over: int) -> np.ndarray:
+    """The removed runs that hold more than `over` words, those cut at a run's edge left out."""
+    whole = lambda i, j: len(data[i:j].split()) - sum(0 < x < len(data) and INSIDE.match(data, x - 1) is not None for x in (i, j))
+    return gone[[whole(i, j) > over for i, j in gone.tolist()]] if len(gone) else gone
+
+
+def _mapped(docs: DataFrame, length: int, schema: str, f, keep: tuple[str, ...] = (), over: int = 0, **settings) -> DataFrame:
     keyed = texts(docs).withColumn("tkey", F.xxhash64("text"))
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("tkey", F.xxhash64("text"))
     spans = repeated_spans(keyed, length, **settings).withColumnRenamed("tkey", "k")
@@ -256,6 +266,7 @@ def _mapped(docs: DataFrame, length: int, schema: str, f, keep: tuple[str, ...]
             for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 gone = cover(len(data), found, length)
+                gone = of_words(data, gone, over) if over else gone
                 kept = data if not len(gone) else b"".join(data[i:j] for i, j in zip([0, *gone[:, 1].tolist()], [*gone[:, 0].tolist(), len(data)]))
                 made.append(f(data, gone, kept))
             cols = list(zip(*made))
@@ -273,5 +284,5 @@ def digests(docs: DataFrame, length: int = 400, **settings) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (), **settings) -> DataFrame:
-    """doc_id, text (and the columns in keep) of each row without its repeated strings (a character cut in half is dropped whole)."""
+    """doc_id, text (and the columns in keep) of each row without its repeated strings (a character cut in half is dropped whole); over: only runs of more words than that."""
     return _mapped(docs, length, "text string", lambda data, gone, kept: (kept.decode("utf-8", "ignore"),), keep, **settings)
