@@ -259,6 +259,12 @@ def eight(spark, sf_dir) -> DataFrame:
     return out.where("size(v) = 8")
 
 
+def sequences(spark, sf_dir) -> DataFrame:
+    """region_id, values of all statements of each sequence."""
+    rows = read(spark, sf_dir, "events").groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("region_id"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
+
+
 def small_energy(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(v)
     seg = np.full((n + 1, n + 1), -np.inf)
@@ -295,6 +301,23 @@ def marginals(spark, sf_dir):
     return flat(rows.select("region_id", F.posexplode("p").alias("i", "probability")).select("region_id", (F.col("i") + 1).alias("boundary"), "probability"))
 
 
+@register("q_hard_dp_all")
+def hard_dp_all(spark, sf_dir):
+    run = solve(lambda b, s: ((r := energy.best_segmentation(b, s))[1], r[0]), "energy double, cuts array<int>")
+    return flat(run(sequences(spark, sf_dir)))
+
+
+@register("q_log_partition_all")
+def log_partition_all(spark, sf_dir):
+    return flat(solve(lambda b, s: (energy.log_partition(b, s),), "log_partition double")(sequences(spark, sf_dir)))
+
+
+@register("q_marginals_all")
+def marginals_all(spark, sf_dir):
+    rows = solve(lambda b, s: (energy.soft(b, s)[1].tolist(),), "p array<double>")(sequences(spark, sf_dir))
+    return flat(rows.select("region_id", F.posexplode("p").alias("i", "probability")).select("region_id", (F.col("i") + 1).alias("boundary"), "probability"))
+
+
 def examples(spark, sf_dir) -> DataFrame:
     """Every user's sequence with cuts after purchases where a cut is legal."""
     st = events(spark, sf_dir)
