@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -36,3 +37,29 @@ def test_dynamic_programs_take_whole_sequences(spark, folder):
         assert abs(best[k].energy - max(made.values())) < 2e-6 and abs(total[k] - math.log(z)) < 2e-6
         for i in range(n - 1):
             assert abs(odds[k, i + 1] - sum(math.exp(e) for m, e in made.items() if m[i]) / z) < 2e-6
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_reachability_goes_on_until_nothing_new_is_found(spark):
+    after = {}
+    for r in more.dependence.linear_def_use(more.events(spark, SF)).collect():
+        after.setdefault((r.region_id, r.source), set()).add(r.target)
+    want = set()
+    for region, source in after:
+        stack = [source]
+        while stack:
+            for x in after.get((region, stack.pop()), ()):
+                if (region, source, x) not in want:
+                    want.add((region, source, x))
+                    stack.append(x)
+    assert {(r.region_id, r.source, r.target) for r in entry.queries()["q_reachability_all"](spark, SF).collect()} == want
+    assert entry.queries()["q_reachability"](spark, SF).count() < len(want)
+
+
+def test_module_grid_holds_intervals_of_every_length(spark, tmp_path):
+    d, n = str(tmp_path), 45
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", 1, ["signup", "view", "click", "purchase"][(i * i) % 4], float(i), '{"k": %d}' % (i % 3)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{d}/events.parquet")
+    edges = [(r.source, r.target) for r in more.dependence.linear_def_use(more.events(spark, d)).collect()]
+    got = {(r.start, r.end): r.internal_edge_count for r in entry.queries()["q_module_grid_all"](spark, d).collect()}
+    assert got == {(s, e): sum(s <= a and b <= e for a, b in edges) for s in range(n) for e in range(s, n)}

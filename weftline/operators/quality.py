@@ -29,11 +29,12 @@ def size_fitness(n: Column) -> Column:
     return F.when(n == 1, 0.0).when(n == 2, 0.5).when(n == 3, 0.75).when(n <= 40, 1.0).otherwise(1.0 / (1.0 + 0.002 * (n - 40)))
 
 
-def windows(st: DataFrame, longest: int) -> DataFrame:
-    """key, start, end: every interval of at most `longest` statements."""
+def windows(st: DataFrame, longest: int | None = None) -> DataFrame:
+    """key, start, end: every interval, or every one of at most `longest` statements."""
     n = st.groupBy(*KEY).agg(F.count("*").cast("int").alias("n"))
     rows = st.select(*KEY, F.col("idx").alias("start")).join(n, KEY)
-    return rows.select(*KEY, "start", F.explode(F.sequence("start", F.least(F.col("start") + longest - 1, F.col("n") - 1))).alias("end"))
+    last = F.col("n") - 1 if longest is None else F.least(F.col("start") + longest - 1, F.col("n") - 1)
+    return rows.select(*KEY, "start", F.explode(F.sequence("start", last)).alias("end"))
 
 
 def adjacent(st: DataFrame, window: int = 4) -> DataFrame:

@@ -230,11 +230,21 @@ _QUALITY = [
 ]
 
 
+_GRID = ("region_id", "start", "end", "internal_edge_count", "input_count", "output_count", "symbol_count", "local_symbol_count", "trailing_output_count", "score")
+
+
 @register("q_module_grid", chain("ms", "SELECT region_id, s AS start, e AS \"end\", internal AS internal_edge_count, inputs AS input_count, outputs AS output_count, symbols AS symbol_count, local AS local_symbol_count, trail AS trailing_output_count, round(score, 6) AS score FROM ms", _QUALITY))
 def module_grid(spark, sf_dir):
     st = events(spark, sf_dir)
     q = quality.interval_quality(st, quality.windows(st, 12))
-    return flat(q.select("region_id", "start", "end", "internal_edge_count", "input_count", "output_count", "symbol_count", "local_symbol_count", "trailing_output_count", "score"))
+    return flat(q.select(*_GRID))
+
+
+@register("q_module_grid_all")
+def module_grid_all(spark, sf_dir):
+    """As q_module_grid, over the intervals of every length."""
+    st = events(spark, sf_dir)
+    return flat(quality.interval_quality(st, quality.windows(st)).select(*_GRID))
 
 
 @register("q_adjacent_quality", chain("ms", "SELECT bd.region_id, bd.b + 1 AS split, round(l.score, 6) AS left_quality, round(r.score, 6) AS right_quality FROM bd JOIN ms l ON l.region_id = bd.region_id AND l.s = greatest(0, bd.b + 1 - 4) AND l.e = bd.b JOIN ms r ON r.region_id = bd.region_id AND r.s = bd.b + 1 AND r.e = least(bd.n - 1, bd.b + 4)", _QUALITY))

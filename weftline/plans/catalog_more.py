@@ -13,6 +13,7 @@ from weftline.operators import dependence, energy, facts, flow, metrics, project
 from weftline.plans.catalog import events, flat, read, register
 from weftline.plans.oracle import chain
 from weftline.schema import KEY
+from weftline.session import materialize
 from weftline.sources import corpus, mlang
 
 # matching and metrics: cuts after purchases against cuts after large purchases and sign-ups
@@ -148,6 +149,20 @@ def reachability(spark, sf_dir):
     return flat(reduce(DataFrame.unionByName, found).distinct())
 
 
+@register("q_reachability_all")
+def reachability_all(spark, sf_dir):
+    """Statements that a value reaches in any number of uses; each step doubles the number of uses, until nothing new is found."""
+    key = ["region_id", "source", "target"]
+    found = materialize(dependence.linear_def_use(events(spark, sf_dir)).select(*key).distinct(), "reached")
+    size, last = found.count(), -1
+    while size != last:
+        hop = found.select("region_id", F.col("source").alias("target"), F.col("target").alias("next"))
+        more = found.join(hop, ["region_id", "target"]).select("region_id", "source", F.col("next").alias("target"))
+        found = materialize(found.unionByName(more).distinct(), "reached")
+        size, last = found.count(), size
+    return flat(found)
+
+
 # programs rendered from conversations
 
 ROLES = ("acquisition", "transformation", "aggregation", "normalization", "shaping", "decision", "output")
