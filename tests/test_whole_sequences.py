@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weftline.plans import catalog_more as more
+from weftline.sources import corpus
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,3 +64,12 @@ def test_module_grid_holds_intervals_of_every_length(spark, tmp_path):
     edges = [(r.source, r.target) for r in more.dependence.linear_def_use(more.events(spark, d)).collect()]
     got = {(r.start, r.end): r.internal_edge_count for r in entry.queries()["q_module_grid_all"](spark, d).collect()}
     assert got == {(s, e): sum(s <= a and b <= e for a, b in edges) for s in range(n) for e in range(s, n)}
+
+
+def test_a_repeated_sample_id_keeps_each_path_its_cuts(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(151, "a", "en", 4), (150, "a", "en", 3)], "doc_id long, source string, lang string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    rows = more.manifest(spark, d)
+    assert rows.select("sample_id").distinct().count() == 1
+    got = {r.path: r.cuts for r in corpus.truth(rows).collect()}
+    assert got == {f"sources/{i}": [k for k in range(1, n % 5 + 2) if (i + k) % 4 < 2] for i, n in ((151, 4), (150, 3))}

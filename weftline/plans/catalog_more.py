@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence, energy, facts, flow, metrics, project, semantic, training
-from weftline.plans.catalog import events, flat, read, register
+from weftline.plans.catalog import ORACLES, events, flat, read, register
 from weftline.plans.oracle import chain
 from weftline.schema import KEY
 from weftline.session import materialize
@@ -129,6 +129,12 @@ def example_cuts(spark, sf_dir):
     return flat(corpus.truth(rows).drop("region_id"))
 
 
+@register("q_example_cuts_all", ORACLES["q_example_cuts"].removesuffix(" WHERE NOT doc_id % 50 = 1"))
+def example_cuts_all(spark, sf_dir):
+    """As q_example_cuts, with the documents that share a sample_id."""
+    return flat(corpus.truth(manifest(spark, sf_dir)).drop("region_id"))
+
+
 @register("q_access_domain_regex", r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[a-z]+\.[a-z]+'))), ',') AS domains FROM pages")
 def access_domain_regex(spark, sf_dir):
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit(r"([a-z]+\.[a-z]+)"), 1)))

@@ -74,8 +74,9 @@ def truth(manifest: DataFrame) -> DataFrame:
     """path, region_id, sample_id, project, split, cuts (sorted) of each annotated region."""
     segments = _regions(manifest, "segments").groupBy("sample_id", "path", "region_id", "project", "split").agg(F.count("*").alias("segments"))
     cut = F.when(F.col("e.label").isin(*CUT_LABELS), F.col("e.boundary"))
-    found = _regions(manifest, "boundaries").groupBy("sample_id", "region_id").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max(F.col("e.boundary").isNull().cast("int")).alias("missing"))
-    rows = segments.join(found, ["sample_id", "region_id"], "left")
+    found = _regions(manifest, "boundaries").groupBy(F.col("sample_id").alias("s"), F.col("path").alias("p"), F.col("region_id").alias("r")).agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max(F.col("e.boundary").isNull().cast("int")).alias("missing"))
+    # a sample_id may recur (duplicates tells which do): each path has cuts of its own
+    rows = segments.join(found, (F.col("sample_id") == F.col("s")) & F.col("path").eqNullSafe(F.col("p")) & (F.col("region_id") == F.col("r")), "left")
     fail = F.when(F.col("missing") == 1, F.raise_error(F.concat("sample_id", F.lit(":"), "region_id", F.lit(" lacks statement-index truth"))).cast("array<int>"))
     cuts = F.coalesce(fail, "cuts", F.array().cast("array<int>"))
     return rows.select("path", "region_id", F.concat("sample_id", F.lit(":"), "region_id").alias("sample_id"), F.coalesce("project", F.lit("unknown")).alias("project"), "split", cuts.alias("cuts"))
