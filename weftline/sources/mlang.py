@@ -19,213 +19,176 @@ from weftline.schema import CALL_SITE_TYPE, KEY, SETS, STATEMENT
 from weftline.sources.mparse import COMPOUND, Node, parse
 
 #: Names that the language's semantics hang on.
-DYNAMIC = {"eval", "evalin", "assignin", "feval", "str2func"}
-WORKSPACE = {"load", "run", "clear", "who", "whos"}
-WRITE = {"save"}
-PATH = {"addpath", "rmpath", "path", "cd"}
-OUTPUT = {"disp", "fprintf"}
-ACQUISITION = {"rand", "randi", "randn", "load", "readmatrix", "readtable"}
-AGGREGATION = {"sum", "mean", "median", "std", "max", "min", "norm"}
-TRANSFORMATION = {"fft", "ifft", "eig", "filter", "conv", "detrend", "corrcoef"}
-SHAPING = {"reshape", "transpose", "permute", "squeeze", "cat", "horzcat", "vertcat"}
-DECISION = {"find", "sort", "max", "min"}
-BUILTIN = set("abs angle conv corrcoef detrend disp eig eps fft fftshift filter find floor fprintf ifft length linspace max mean median min mod numel ones plot rand randi randn reshape save size sort sqrt std sum zeros".split())
-PRIMITIVE = set("abs angle double eps find floor length linspace max mean median min mod norm numel ones rand randi randn reshape size sort sqrt squeeze std sum zeros disp fprintf plot save".split())
+BUILTIN = {
+    "abs", "angle", "conv", "corrcoef", "detrend", "disp", "eig", "eps", "fft", "fftshift", "filter", "find", "floor", "fprintf", "ifft", "length", "linspace", "max",
+    "mean", "median", "min", "mod", "numel", "ones", "plot", "rand", "randi", "randn", "reshape", "save", "size", "sort", "sqrt", "std", "sum", "zeros",
+}
+PRIMITIVE = {
+    "abs", "angle", "double", "eps", "find", "floor", "length", "linspace", "max", "mean", "median", "min", "mod", "norm", "numel", "ones", "rand", "randi", "randn",
+    "reshape", "size", "sort", "sqrt", "squeeze", "std", "sum", "zeros", "disp", "fprintf", "plot", "save",
+}
+PATH = ("addpath", "rmpath", "path", "cd")
+#: What every call, and a call or command of a given name, adds to a statement: (set, values) pairs. OTHER: names not listed.
+ANY_CALL = (("effects", {"call_or_index"}), ("risks", {"ambiguous_call_or_index"}))
+CALL = {
+    **dict.fromkeys(("eval", "evalin", "assignin"), (("effects", {"workspace_read", "workspace_write"}), ("risks", {"dynamic_evaluation", "workspace_injection"}))),
+    **dict.fromkeys(("feval", "str2func"), (("risks", {"dynamic_evaluation", "indirect_call"}),)),
+    **dict.fromkeys(PATH, (("effects", {"path_mutation"}), ("risks", {"path_dependency"}))),
+    **dict.fromkeys(("disp", "fprintf"), (("effects", {"output"}),)),
+}
+OTHER = (("risks", {"external_dependency"}),)
+COMMAND = {
+    "load": (("effects", {"file_read", "workspace_write"}), ("risks", {"workspace_injection"})),
+    "run": (
+        ("effects", {"file_read", "workspace_read", "workspace_write"}), ("risks", {"workspace_injection", "external_dependency"}),
+        ("forbid_cut_before", {"external_script_shared_workspace"}), ("forbid_cut_after", {"external_script_shared_workspace"}),
+    ),
+    "clear": (("effects", {"workspace_write"}),),
+    "who": (("effects", {"workspace_read"}),),
+    "whos": (("effects", {"workspace_read"}),),
+    "save": (("effects", {"file_write"}),),
+    **dict.fromkeys(PATH, CALL["path"]),
+}
+#: Commands whose arguments are variables: the set they belong to, and how many arguments come before them.
+ARGUMENTS = {"clear": ("mutations", 0), "save": ("reads", 1)}
+KNOWN_COMMANDS = {*COMMAND, "disp", "fprintf"}
+#: Roles by a statement's calls, effects, characters and kind; characters of the roles in ASSIGNED count in assignments only.
+ROLE_CALLS = {
+    "acquisition": {"rand", "randi", "randn", "load", "readmatrix", "readtable"},
+    "aggregation": {"sum", "mean", "median", "std", "max", "min", "norm"},
+    "transformation": {"fft", "ifft", "eig", "filter", "conv", "detrend", "corrcoef"},
+    "shaping": {"reshape", "transpose", "permute", "squeeze", "cat", "horzcat", "vertcat"},
+    "decision": {"find", "sort", "max", "min"},
+}
+ROLE_EFFECTS = {"acquisition": {"file_read"}, "output": {"output", "file_write"}}
+ROLE_CHARACTERS = {"shaping": (".'", "(:)"), "decision": (">", "<", "==", "~="), "normalization": ("/", "\\")}
+ASSIGNED = {"normalization"}
+DECLARES = {"global": (("risks", {"global_state"}), ("effects", {"workspace_write"})), "persistent": (("risks", {"persistent_state"}),)}
+JUMPS = {"return", "break", "continue"}
 DOMAIN = re.compile(r"[A-Za-z]\w*\.[A-Za-z]\w*")
-
-
-class Facts:
-    """Sets of one statement (or one flow node)."""
-
-    def __init__(self) -> None:
-        for c in SETS:
-            setattr(self, c, set())
-
-    def row(self) -> dict:
-        return {c: sorted(getattr(self, c)) for c in SETS}
-
-
-def names_in(node: Node) -> set[str]:
-    return {n.name for n in node.walk() if n.kind in ("name", "call") and n.name and not n.name.startswith("@")}
-
-
-class Collector:
-    """Gathers facts from trees. Comments are no part of the trees, so they can't change a fact."""
-
-    def __init__(self, src: str):
-        self.src = src
-
-    def text(self, n: Node) -> str:
-        """A node's text without comments and strings."""
-        return re.sub(r"'(?:[^'\n]|'')*'(?=[\s,;)\]}]|$)|\"[^\"\n]*\"|%[^\n]*", " ", self.src[n.start : n.end]) if n.kind != "command" else self.src[n.start : n.end]
-
-    def statement(self, n: Node, f: Facts) -> None:
+QUIET = re.compile(r"'(?:[^'\n]|'')*'(?=[\s,;)\]}]|$)|\"[^\"\n]*\"|%[^\n]*")
+
+#: Where a node stands: in the open (statements, conditions), in an expression, on the left of "=", or below such a target
+#: as a whole name that is defined, an owner whose part is changed, or a name that is only read.
+OPEN, VALUE, TARGET, DEFINED, OWNER, READ = "open", "value", "target", "defined", "owner", "read"
+#: The sets that a name at a place belongs to; calls are names too where they can't be calls.
+NAME_AT = {OPEN: ("reads",), VALUE: ("reads",), TARGET: ("definitions",), DEFINED: ("definitions",), OWNER: ("mutations", "reads"), READ: ("reads",)}
+CALL_AT = {TARGET: ("mutations", "reads"), DEFINED: ("definitions",), OWNER: ("mutations", "reads"), READ: ("reads",)}
+
+
+def named(nodes) -> list[Node]:
+    return [x for x in nodes if x.kind in ("name", "call") and x.name]
+
+
+def below(n: Node, at: str) -> list[tuple[Node, str]]:
+    """The nodes under n that take part, with the places they stand at."""
+    if at == OPEN and n.kind == "assignment":
+        return [(n.kids[0], TARGET), (n.kids[1], VALUE)]
+    if at == OPEN:
+        return [(k, {"call": VALUE, "global": DEFINED, "persistent": DEFINED}.get(n.kind, OPEN)) for k in n.kids]
+    if at == TARGET and n.kind == "field":
+        return [(x, place) for x, place in ((n.extra["object"], OWNER), (n.extra["dynamic"], READ)) if x is not None]
+    if at == TARGET:
+        return [(k, {"outputs": DEFINED, "call": VALUE if n.name else READ}.get(n.kind, READ)) for k in n.kids]
+    return [(k, at) for k in n.kids]
+
+
+def mentions(root: Node, src: str, at: str = OPEN) -> Iterator[tuple[str, set[str]]]:
+    """(set, names) pairs of all that a tree says, from one pass over its nodes and their places."""
+    todo: list[tuple[Node, str, frozenset[str]]] = [(root, at, frozenset())]
+    while todo:
+        n, at, bound = todo.pop()
         if n.kind in ("function", "class"):
-            return
-        if n.kind == "assignment":
-            self.target(n.kids[0], f)
-            self.expression(n.kids[1], f)
-        elif n.kind == "command":
-            self.command(n, f)
-        elif n.kind == "call":
-            self.expression(n, f)
-        elif n.kind in ("global", "persistent"):
-            f.definitions |= {k.name for k in n.kids}
-            f.risks.add(f"{n.kind}_state")
-            if n.kind == "global":
-                f.effects.add("workspace_write")
-        else:
-            if n.kind in ("return", "break", "continue"):
-                f.control_effects.add(n.kind)
-            if n.kind == "name":
-                f.reads.add(n.name)
-            for k in n.kids:
-                self.statement(k, f)
-
-    def target(self, n: Node, f: Facts) -> None:
-        if n.kind == "name":
-            f.definitions.add(n.name)
-        elif n.kind == "outputs":
-            f.definitions |= names_in(n)
-        elif n.kind == "field":
-            f.access_domains |= set(DOMAIN.findall(self.src[n.start : n.end])[:1])
-            owners = names_in(n.extra["object"])
-            f.mutations |= owners
-            f.reads |= owners
-            if n.extra["dynamic"] is not None:
-                f.reads |= names_in(n.extra["dynamic"])
+            continue
+        inner = bound | n.extra["params"] if n.kind == "lambda" and at == VALUE else bound
+        todo += [(k, place, inner) for k, place in below(n, at)]
+        if n.kind == "name" and n.name not in bound:
+            yield from ((c, {n.name}) for c in NAME_AT[at])
+        elif n.kind == "call" and n.name and at in CALL_AT:
+            yield from ((c, {n.name}) for c in CALL_AT[at])
         elif n.kind == "call" and n.name:
-            f.mutations.add(n.name)
-            f.reads.add(n.name)
-            for k in n.kids:
-                self.expression(k, f)
-        elif found := [x for x in n.walk() if x.kind in ("name", "call") and x.name]:
-            f.mutations.add(min(found, key=lambda x: x.start).name)
-            f.reads |= {x.name for x in found}
-
-    def expression(self, n: Node, f: Facts) -> None:
-        if n.kind == "field":
-            f.access_domains |= set(DOMAIN.findall(self.src[n.start : n.end])[:1])
-        if n.kind == "handle":
-            f.effects.add("function_handle")
-            f.risks.add("indirect_call")
-            f.calls.add(n.name.split(".")[0])
-        elif n.kind == "lambda":
-            f.effects.add("function_handle")
-            f.risks.add("indirect_call")
-            before = set(f.reads)
-            self.expression(n.kids[0], f)
-            f.reads = before | (f.reads - n.extra["params"])
-        elif n.kind == "name":
-            f.reads.add(n.name)
-        else:
-            if n.kind == "call" and n.name:
-                self.call(n.name, f)
-            for k in n.kids:
-                self.expression(k, f)
-
-    @staticmethod
-    def call(name: str, f: Facts) -> None:
-        f.calls.add(name)
-        f.effects.add("call_or_index")
-        f.risks.add("ambiguous_call_or_index")
-        if name in DYNAMIC:
-            f.risks.add("dynamic_evaluation")
-            if name in ("feval", "str2func"):
-                f.risks.add("indirect_call")
-            else:
-                f.effects |= {"workspace_read", "workspace_write"}
-                f.risks.add("workspace_injection")
-        if name in PATH:
-            f.effects.add("path_mutation")
-            f.risks.add("path_dependency")
-        if name in OUTPUT:
-            f.effects.add("output")
-
-    @staticmethod
-    def command(n: Node, f: Facts) -> None:
-        name, args = n.name, [a.name.strip("'\"") for a in n.kids]
-        f.calls.add(name)
-        if name == "load":
-            f.effects |= {"file_read", "workspace_write"}
-            f.risks.add("workspace_injection")
-        elif name == "run":
-            f.effects |= {"file_read", "workspace_read", "workspace_write"}
-            f.risks |= {"workspace_injection", "external_dependency"}
-            f.forbid_cut_before.add("external_script_shared_workspace")
-            f.forbid_cut_after.add("external_script_shared_workspace")
-        elif name == "clear":
-            f.effects.add("workspace_write")
-            f.mutations |= set(args)
-        elif name in ("who", "whos"):
-            f.effects.add("workspace_read")
-        elif name in WRITE:
-            f.effects.add("file_write")
-            f.reads |= {a for a in args[1:] if a.isidentifier()}
-        elif name in PATH:
-            f.effects.add("path_mutation")
-            f.risks.add("path_dependency")
-        else:
-            f.risks.add("external_dependency")
-
-    def call_sites(self, n: Node, f: Facts) -> list[dict]:
-        site = lambda name, form, ins, outs, alone, only: {"name": name, "form": form, "origin": "unresolved", "abstraction": "unknown", "input_symbols": sorted(ins), "output_symbols": sorted(outs), "is_standalone_statement": alone, "is_only_operation": only, "resolution_reliability": 0.65}
-        if n.kind == "command":
-            return [site(n.name, "command", f.reads, (), True, True)]
-        found: list[tuple[Node, bool]] = []
-
-        def visit(x: Node, nested: bool) -> None:
-            if x.kind in ("function", "class"):
-                return
-            if x.kind == "call":
-                found.append((x, nested))
-                nested = True
-            for k in x.kids:
-                visit(k, nested)
-
-        visit(n, False)
-        outer = "assignment" if n.kind == "assignment" else n.kind
-        out = []
-        for x, nested in found:
-            if not x.name:
-                continue
-            ins = set().union(*(names_in(a) for a in x.extra["arguments"])) if x.extra["arguments"] else set()
-            if x.extra["object"] is not None:
-                ins |= names_in(x.extra["object"])
-            ins -= {y.name for y in x.walk() if y is not x and y.kind == "call" and y.name}
-            direct = not nested and n.kind not in COMPOUND
-            form = "nested_expression" if nested else ("direct_multi_output" if n.kids[0].kind == "outputs" else "direct_assignment") if outer == "assignment" else "effect_only" if outer in ("call", "field") else "condition_call"
-            out.append(site(x.name, form, ins, f.definitions if direct else (), direct, direct and len(found) == 1))
-        return out
-
-    def roles(self, n: Node, f: Facts) -> None:
-        text = self.text(n)
-        tests = {
-            "control_computation": n.kind in COMPOUND,
-            "acquisition": bool(f.calls & ACQUISITION) or "file_read" in f.effects,
-            "aggregation": bool(f.calls & AGGREGATION),
-            "transformation": bool(f.calls & TRANSFORMATION),
-            "shaping": bool(f.calls & SHAPING) or ".'" in text or "(:)" in text,
-            "decision": bool(f.calls & DECISION) or any(t in text for t in (">", "<", "==", "~=")),
-            "output": bool(f.effects & {"output", "file_write"}),
-            "normalization": n.kind == "assignment" and ("/" in text or "\\" in text),
-        }
-        f.roles = {k for k, v in tests.items() if v} or {"unknown"}
+            yield from (("calls", {n.name}), *ANY_CALL, *CALL.get(n.name, ()))
+        elif n.kind == "command":
+            yield from (("calls", {n.name}), *COMMAND.get(n.name, OTHER))
+            into, skip = ARGUMENTS.get(n.name, ("reads", len(n.kids)))
+            words = {a.name.strip("'\"") for a in n.kids[skip:]}
+            yield into, words if into == "mutations" else {w for w in words if w.isidentifier()}
+        elif n.kind in ("handle", "lambda") and at == VALUE:
+            yield from (("effects", {"function_handle"}), ("risks", {"indirect_call"}), ("calls", {n.name.split(".")[0]} if n.name else set()))
+        yield from DECLARES.get(n.kind, ())
+        if n.kind in JUMPS:
+            yield "control_effects", {n.kind}
+        if n.kind == "field" and at in (VALUE, TARGET):
+            yield "access_domains", set(DOMAIN.findall(src[n.start : n.end])[:1])
+        if at == TARGET and n.kind not in ("name", "outputs", "field") and not n.name and (parts := named(n.walk())):
+            yield "mutations", {min(parts, key=lambda x: x.start).name}
+
+
+def facts_of(root: Node, src: str, at: str = OPEN) -> dict[str, set[str]]:
+    """A statement's (or flow node's) sets. Comments are no part of a tree, so they can't change a fact."""
+    out: dict[str, set[str]] = {c: set() for c in SETS}
+    for c, names in mentions(root, src, at):
+        out[c] |= names
+    return out
+
+
+def roles_of(n: Node, f: dict[str, set[str]], src: str) -> set[str]:
+    text = src[n.start : n.end] if n.kind == "command" else QUIET.sub(" ", src[n.start : n.end])
+    found = {role for table, have in ((ROLE_CALLS, f["calls"]), (ROLE_EFFECTS, f["effects"])) for role, names in table.items() if names & have}
+    found |= {role for role, marks in ROLE_CHARACTERS.items() if any(m in text for m in marks) and (role not in ASSIGNED or n.kind == "assignment")}
+    return (found | ({"control_computation"} if n.kind in COMPOUND else set())) or {"unknown"}
+
+
+def calls_of(root: Node) -> list[tuple[Node, int]]:
+    """Calls of a statement from left to right, with the number of calls around each."""
+    out, todo = [], [(root, 0)]
+    while todo:
+        n, depth = todo.pop()
+        if n.kind not in ("function", "class"):
+            if n.kind == "call":
+                out.append((n, depth))
+            todo += [(k, depth + (n.kind == "call")) for k in reversed(n.kids)]
+    return out
+
+
+def form_of(n: Node, depth: int) -> str:
+    """How a call stands in its statement."""
+    rules = [
+        (n.kind == "command", "command"), (depth > 0, "nested_expression"), (n.kind == "assignment" and n.kids[0].kind == "outputs", "direct_multi_output"),
+        (n.kind == "assignment", "direct_assignment"), (n.kind in ("call", "field"), "effect_only"), (True, "condition_call"),
+    ]
+    return next(form for holds, form in rules if holds)
+
+
+def call_sites(n: Node, f: dict[str, set[str]]) -> list[dict]:
+    every = [(n, 0)] if n.kind == "command" else calls_of(n)
+    out = []
+    for x, depth in every:
+        if not x.name:
+            continue
+        given = [] if x is n and n.kind == "command" else [*x.extra["arguments"], *([x.extra["object"]] if x.extra["object"] is not None else [])]
+        names = {y.name for a in given for y in named(a.walk())} - {y.name for y in named(x.walk()) if y.kind == "call" and y is not x}
+        direct = depth == 0 and n.kind not in COMPOUND
+        out.append({
+            "name": x.name, "form": form_of(n, depth), "origin": "unresolved", "abstraction": "unknown", "input_symbols": sorted(f["reads"] if n.kind == "command" else names),
+            "output_symbols": sorted(f["definitions"]) if direct and n.kind != "command" else [], "is_standalone_statement": direct, "is_only_operation": direct and len(every) == 1, "resolution_reliability": 0.65,
+        })
+    return out
 
 
 class Flow:
     """Flow graph of a region: node 0 entry, 1 exit; statements are lowered from last to first."""
 
-    def __init__(self, collector: Collector):
-        self.c, self.nodes, self.edges = collector, [self.blank(0), self.blank(1)], []
+    def __init__(self, src: str):
+        self.src, self.nodes, self.edges = src, [self.blank(0), self.blank(1)], []
 
     @staticmethod
     def blank(i: int) -> dict:
         return {"node": i, "owner": -1, "definitions": [], "reads": [], "mutations": []}
 
-    def add(self, owner: int, f: Facts) -> int:
+    def add(self, owner: int, f: dict[str, set[str]]) -> int:
         i = len(self.nodes)
-        self.nodes.append({"node": i, "owner": owner, "definitions": sorted(f.definitions), "reads": sorted(f.reads), "mutations": sorted(f.mutations)})
+        self.nodes.append({"node": i, "owner": owner, **{c: sorted(f[c]) for c in ("definitions", "reads", "mutations")}})
         return i
 
     def link(self, a: int, b: int, kind: str) -> None:
@@ -243,28 +206,25 @@ class Flow:
         return after
 
     def lower(self, n: Node, owner: int, after: int, loop: tuple[int, int] | None) -> int:
-        f = Facts()
         if n.kind == "if":
             false = after if n.extra["other"] is None else self.sequence(n.extra["other"], owner, after, loop)
             for cond, body in reversed(n.extra["clauses"]):
-                g = Facts()
-                self.c.expression(cond, g)
-                i = self.add(owner, g)
+                i = self.add(owner, facts_of(cond, self.src, VALUE))
                 self.link(i, self.sequence(body, owner, after, loop), "true")
                 self.link(i, false, "false")
                 false = i
             return false
         if n.kind in ("for", "parfor", "while"):
-            self.c.expression(n.extra["head"], f)
+            f = facts_of(n.extra["head"], self.src, VALUE)
             if n.extra["var"] is not None:
-                f.definitions |= names_in(n.extra["var"])
+                f["definitions"] |= {x.name for x in named(n.extra["var"].walk())}
             i = self.add(owner, f)
             self.link(i, self.sequence(n.extra["body"], owner, i, (i, after)), "true")
             self.link(i, after, "false")
             return i
-        self.c.statement(n, f)
+        f = facts_of(n, self.src)
         i = self.add(owner, f)
-        jump = f.control_effects
+        jump = f["control_effects"]
         if "return" in jump:
             self.link(i, 1, "return")
         elif "break" in jump:
@@ -279,36 +239,34 @@ class Flow:
 def analyze(src: str, path: str = "") -> dict:
     """Regions and diagnostics of one source."""
     tree, errors = parse(src)
-    c = Collector(src.replace("\r\n", "\n"))
+    src = src.replace("\r\n", "\n")
     functions = [n for n in tree.walk() if n.kind == "function"]
     regions = [("script", None, [n for n in tree.kids if n.kind not in ("function", "class")], [], [])]
     regions = [r for r in regions if r[2]] + [("function", f.name, [n for n in f.kids if n.kind not in ("function", "class")], f.extra["params"], f.extra["outputs"]) for f in functions]
     local = {f.name for f in functions}
     out = []
     for kind, name, nodes, params, outputs in regions:
-        flow = Flow(c)
+        flow = Flow(src)
         flow.run(nodes)
         rows, known = [], set(params)
         for i, n in enumerate(nodes):
-            f = Facts()
+            f = facts_of(n, src)
             broken = any(x.kind == "error" for x in n.walk())
-            if broken:
-                f.risks.add("parse_error")
-            c.statement(n, f)
-            sites = c.call_sites(n, f)
-            c.roles(n, f)
-            f.resolved_indexes = f.calls & known
-            rest = f.calls - known
-            f.resolved_calls = rest & (BUILTIN | WORKSPACE | WRITE | PATH | OUTPUT if n.kind == "command" else BUILTIN | local)
-            f.unresolved_calls = rest - f.resolved_calls
-            for s in sites:
-                who = ("index_access", "primitive") if s["name"] in f.resolved_indexes else ("builtin", "primitive" if s["name"] in PRIMITIVE else "library") if s["name"] in BUILTIN else ("same_file", "user_function") if s["name"] in local else None
-                if who:
-                    s |= {"origin": who[0], "abstraction": who[1], "resolution_reliability": 1.0}
-            if not f.unresolved_calls:
-                f.risks.discard("ambiguous_call_or_index")
-            known |= f.definitions | f.mutations
-            rows.append({"idx": i, "kind": "compound" if n.kind in COMPOUND else n.kind if n.kind in ("assignment", "command") else "statement", "start_line": n.line, "end_line": n.end_line, **f.row(), "is_compound": n.kind in COMPOUND, "parse_reliable": not broken, "call_resolution_available": True, "call_sites": sites})
+            f["risks"] |= {"parse_error"} if broken else set()
+            f["roles"] = roles_of(n, f, src)
+            # a name that an earlier statement wrote is a variable, so what looks like a call indexes it
+            rest = f["calls"] - known
+            f["resolved_indexes"] = f["calls"] & known
+            f["resolved_calls"] = rest & (BUILTIN | (KNOWN_COMMANDS if n.kind == "command" else local))
+            f["unresolved_calls"] = rest - f["resolved_calls"]
+            if not f["unresolved_calls"]:
+                f["risks"].discard("ambiguous_call_or_index")
+            origins = {
+                **{x: ("same_file", "user_function") for x in local}, **{x: ("builtin", "library") for x in BUILTIN}, **{x: ("builtin", "primitive") for x in BUILTIN & PRIMITIVE}, **{x: ("index_access", "primitive") for x in f["resolved_indexes"]},
+            }
+            sites = [s | ({"origin": o[0], "abstraction": o[1], "resolution_reliability": 1.0} if (o := origins.get(s["name"])) else {}) for s in call_sites(n, f)]
+            known |= f["definitions"] | f["mutations"]
+            rows.append({"idx": i, "kind": "compound" if n.kind in COMPOUND else n.kind if n.kind in ("assignment", "command") else "statement", "start_line": n.line, "end_line": n.end_line, **{c: sorted(v) for c, v in f.items()}, "is_compound": n.kind in COMPOUND, "parse_reliable": not broken, "call_resolution_available": True, "call_sites": sites})
         out.append({"region_id": f"{kind}:{name or 'top-level'}", "kind": kind, "name": name, "parameters": params, "declared_outputs": outputs, "statements": rows, "nodes": flow.nodes, "edges": flow.edges})
     return {"regions": out, "diagnostics": [f"parse error at lines {a}-{b}" for a, b, _ in errors]}
 
