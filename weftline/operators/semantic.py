@@ -7,14 +7,9 @@ boundary_id, left_task_id, right_task_id, label).
 
 from __future__ import annotations
 
-import hashlib
-import json
-import random
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TASK = "graph_id string, ordinal int, task_id string, role string, inputs array<string>, outputs array<string>, steps int, control string, tail int, module_id string"
@@ -93,80 +88,99 @@ TEMPLATES = {
     "decision": "({x}) > median({x})",
     "output": "{x}",
 }
+#: The lines that open and close a task under each control structure; {c} is its condition.
+OPENING = {
+    "if": ["if any({c}(:))"],
+    "ifelse": ["if any({c}(:))"],
+    "for": ["for loop_index = 1:2"],
+    "while": ["while any({c}(:))"],
+    "nested": ["if any({c}(:))", "    if all({c}(:))"],
+    "loop_branch": ["for loop_index = 1:2", "    if any({c}(:))"],
+}
+CLOSING = {"if": ["end"], "ifelse": ["else", "    fallback_value = 0;", "end"], "for": ["end"], "while": ["end"], "nested": ["    end", "end"], "loop_branch": ["    end", "end"]}
+INDENT = 4
+#: Parts of a task in the order of their lines.
+HEAD, BODY, CLOSE, TAIL = range(4)
+STYLES = ("vectorized", "descriptive", "reused")
 
 
-class Names:
-    """Distinct identifiers for symbols: renaming is injective, whatever the style."""
-
-    def __init__(self, style: str, seed: int):
-        self.style, self.rng, self.map = style, random.Random(seed), {}
-
-    def __call__(self, key: str) -> str:
-        if key not in self.map:
-            base = {"descriptive": re.sub(r"\W", "_", key) + "_value", "reused": f"state_{len(self.map) + 1}"}.get(self.style) or f"v{self.rng.randrange(1000):03d}"
-            taken, name, n = set(self.map.values()), base, 2
-            while name in taken:
-                name, n = f"{base}_{n}", n + 1
-            self.map[key] = name
-        return self.map[key]
-
-
-def render(tasks: list[dict], operations: list[dict], truth: list[dict], program: str, style: str = "vectorized", seed: int = 0) -> dict:
-    """Source text with its truth: statement cuts, line ranges of tasks, statement lines of operations, a trace hash."""
-    name, lines, ranges, places, cuts, labels, total = Names(style, seed), [], [], [], [], {}, 0
-    by_pair = {(b["left_task_id"], b["right_task_id"]): b for b in truth}
-
-    def line(op: dict) -> str:
-        reads = [name(r) for r in op["reads"]]
-        source = reads[0] if reads else "randn(16, 1)"
-        joined = source if len(reads) < 2 else " + ".join(f"({r})" for r in reads)
-        text = f"{op['calls'][0]}({source})" if len(op["calls"]) else TEMPLATES.get(op["role"].lower(), "{x} + 1").format(x=joined)
-        if op["role"].lower() == "output" and not len(op["definitions"]):
-            return f"disp({text});"
-        return f"{name(op['definitions'][0] if len(op['definitions']) else op['op_id'])} = {text};"
-
-    for k, task in enumerate(tasks):
-        own = [o for o in operations if o["task_id"] == task["task_id"]]
-        main, tail = [o for o in own if ".completion" not in o["op_id"]], [o for o in own if ".completion" in o["op_id"]]
-        body, start = [line(o) for o in main], len(lines) + 1
-        control = task["control"]
-        if control == "none":
-            block, first, pad = body, 0, 0
-        else:
-            cond = name(task["inputs"][0] if len(task["inputs"]) else task["task_id"] + "_condition")
-            heads = {"for": ["for loop_index = 1:2"], "while": [f"while any({cond}(:))"], "nested": [f"if any({cond}(:))", f"    if all({cond}(:))"], "loop_branch": ["for loop_index = 1:2", f"    if any({cond}(:))"]}.get(control, [f"if any({cond}(:))"])
-            pad, first = 4 * len(heads), len(heads)
-            close = ["else", "    fallback_value = 0;"] if control == "ifelse" else ["    end"] if len(heads) == 2 else []
-            block = [*heads, *(" " * pad + b for b in body), *close, "end"]
-        places += [(o["op_id"], len(lines) + first + i + 1) for i, o in enumerate(main)]
-        lines += block
-        total += len(main) if control == "none" else 1
-        for o in tail:
-            lines.append(line(o))
-            places.append((o["op_id"], len(lines)))
-            total += 1
-        ranges.append((start, len(lines)))
-        if k + 1 < len(tasks):
-            b = by_pair[task["task_id"], tasks[k + 1]["task_id"]]
-            labels[total] = b["label"]
-            cuts.append((b["boundary_id"], total, b["label"]))
-    for c in range(1, total):
-        labels.setdefault(c, "no_cut")
-    trace = json.dumps([program, style, seed, places, [c[:2] for c in cuts]])
-    return {"source": "\n".join(lines) + "\n", "true_cuts": [c for _, c, l in cuts if l == "cut"], "task_start": [r[0] for r in ranges], "task_end": [r[1] for r in ranges], "symbols": sorted(f"{k}={v}" for k, v in name.map.items()), "operation_lines": [f"{o}:{n}" for o, n in places], "boundary_cuts": [f"{b}:{c}" for b, c, _ in cuts], "ambiguous": sorted(c for c, l in labels.items() if l == "ambiguous"), "trace": hashlib.sha256(trace.encode()).hexdigest()}
-
-
-RENDERED = "graph_id string, style string, source string, true_cuts array<int>, task_start array<int>, task_end array<int>, symbols array<string>, operation_lines array<string>, boundary_cuts array<string>, ambiguous array<int>, trace string"
+class Renderer(Protocol):
+    """Turns task graphs into source texts of one language, a row for each graph; `rendered` is the one for `.m` files."""
 
+    def __call__(self, tasks: DataFrame, operations: DataFrame, boundaries: DataFrame, style: str = ..., seed: int = ...) -> DataFrame: ...
 
-def rendered(tasks: DataFrame, operations: DataFrame, boundaries: DataFrame, style: str = "vectorized", seed: int = 0) -> DataFrame:
-    """One source text for each graph; graphs render independently of each other."""
-    gather = lambda df, alias: df.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", *(c for c in df.columns if c not in ("graph_id", "ordinal"))))).alias(alias))
-    rows = gather(tasks, "tasks").join(gather(resolved_operations(tasks, operations), "operations"), "graph_id").join(gather(boundary_truth(tasks, boundaries), "truth"), "graph_id", "left").join(program_id(tasks, boundaries), "graph_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [{"graph_id": r["graph_id"], "style": style, **render(list(r["tasks"]), list(r["operations"]), list(r["truth"]) if r["truth"] is not None else [], r["semantic_program_id"], style, seed)} for r in frame.to_dict("records")]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RENDERED.split(", ")])
+def lookup(table: dict[str, str | list[str]], key: Column) -> Column:
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.create_map(*(x for k, v in table.items() for x in (F.lit(k), value(v))))[key]
+
+
+def renamed(symbols: DataFrame, style: str, seed: int) -> DataFrame:
+    """graph_id, names (map of symbols to identifiers) from graph_id, symbol, place (of first use).
+
+    Identifiers are distinct within a graph: those that would be equal are numbered in order of use, by a suffix that no
+    identifier has otherwise.
+    """
+    used = symbols.groupBy("graph_id", "symbol").agg(F.min("place").alias("place"))
+    order = Window.partitionBy("graph_id").orderBy("place", "symbol")
+    base = {
+        "descriptive": F.concat(F.regexp_replace("symbol", r"\W", "_"), F.lit("_value")),
+        "reused": F.concat(F.lit("state_"), F.row_number().over(order).cast("string")),
+    }.get(style, F.concat(F.lit("v"), F.lpad(F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "symbol").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(1000)).cast("string"), 3, "0")))
+    n = F.row_number().over(Window.partitionBy("graph_id", "base").orderBy("place", "symbol"))
+    rows = used.withColumn("base", base).withColumn("name", F.concat("base", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise("")))
+    return rows.groupBy("graph_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "name")))).alias("names"))
+
+
+def source_lines(tasks: DataFrame, operations: DataFrame, style: str, seed: int) -> DataFrame:
+    """graph_id, task (ordinal), part, op (ordinal), op_id, text, names of each line of the graphs' source texts."""
+    graph = tasks.select("graph_id", F.col("ordinal").alias("task"), "task_id", "control", F.coalesce(F.get("inputs", F.lit(0)), F.concat("task_id", F.lit("_condition"))).alias("condition"))
+    ops = resolved_operations(tasks, operations).withColumnRenamed("ordinal", "op").join(graph, ["graph_id", "task_id"])
+    target = F.coalesce(F.get("definitions", F.lit(0)), F.col("op_id"))
+    shown = (F.lower("role") == "output") & (F.size("definitions") == 0)
+    written = F.when(shown, F.array().cast("array<string>")).otherwise(F.array(target))
+    uses = ops.select("graph_id", "task", "op", F.posexplode(F.concat("reads", written)).alias("i", "symbol"))
+    conditions = graph.where("control <> 'none'").select("graph_id", "task", F.lit(-1).alias("op"), F.lit(0).alias("i"), F.col("condition").alias("symbol"))
+    names = renamed(uses.unionByName(conditions).select("graph_id", "symbol", F.struct("task", "op", "i").alias("place")), style, seed)
+
+    ops, graph = ops.join(names, "graph_id"), graph.join(names, "graph_id")
+    ops = ops.withColumn("inputs", F.transform("reads", lambda r: F.col("names")[r])).withColumn("first", F.coalesce(F.get("inputs", F.lit(0)), F.lit(TEMPLATES["acquisition"])))
+    joined = F.when(F.size("inputs") < 2, F.col("first")).otherwise(F.array_join(F.transform("inputs", lambda x: F.concat(F.lit("("), x, F.lit(")"))), " + "))
+    value = F.when(F.size("calls") > 0, F.concat(F.get("calls", F.lit(0)), F.lit("("), "first", F.lit(")"))).otherwise(F.replace(F.coalesce(lookup(TEMPLATES, F.lower("role")), F.lit("{x} + 1")), F.lit("{x}"), joined))
+    text = F.when(shown, F.concat(F.lit("disp("), value, F.lit(");"))).otherwise(F.concat(F.col("names")[target], F.lit(" = "), value, F.lit(";")))
+    depth = F.coalesce(F.size(lookup(OPENING, F.col("control"))), F.lit(0))
+    last = F.col("op_id").contains(".completion")
+    body = ops.select("graph_id", "task", F.when(last, TAIL).otherwise(BODY).alias("part"), "op", "op_id", F.when(last, text).otherwise(F.concat(F.repeat(F.lit(" "), depth * INDENT), text)).alias("text"), "names")
+    for part, table in ((HEAD, OPENING), (CLOSE, CLOSING)):
+        lines = graph.where("control <> 'none'").select("graph_id", "task", F.lit(part).alias("part"), F.posexplode(lookup(table, F.col("control"))).alias("op", "text"), F.lit(None).cast("string").alias("op_id"), F.col("names")[F.col("condition")].alias("c"), "names")
+        body = body.unionByName(lines.withColumn("text", F.replace("text", F.lit("{c}"), "c")).drop("c"))
+    return body
 
-    return rows.mapInPandas(run, RENDERED)
+
+def rendered(tasks: DataFrame, operations: DataFrame, boundaries: DataFrame, style: str = "vectorized", seed: int = 0) -> DataFrame:
+    """One source text for each graph, with its truth: statement cuts, line ranges of tasks, lines of operations, a trace hash.
+
+    Lines are rows: their numbers, the tasks' ranges and the cuts (logical statements before a task's end; a block counts as
+    one) are running sums over a graph's rows. A graph without an operation has no text and no row.
+    """
+    w = Window.partitionBy("graph_id").orderBy("task", "part", "op")
+    lines = source_lines(tasks, operations, style, seed).withColumn("line", F.row_number().over(w))
+    counts = F.when(F.col("part") == TAIL, 1).when(F.col("control") == "none", 1).when(F.col("part") == HEAD, F.when(F.col("op") == 0, 1).otherwise(0)).otherwise(0)
+    lines = lines.join(tasks.select("graph_id", F.col("ordinal").alias("task"), "control"), ["graph_id", "task"]).withColumn("counts", counts)
+    text = lines.groupBy("graph_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("source"), F.first("names").alias("names"),
+        F.array_sort(F.collect_list(F.when(F.col("op_id").isNotNull(), F.struct("line", "op_id")))).alias("operations"),
+    )
+    ranges = lines.groupBy("graph_id", "task").agg(F.min("line").alias("start"), F.max("line").alias("end"), F.sum("counts").alias("counts"))
+    ranges = ranges.withColumn("cut", F.sum("counts").over(Window.partitionBy("graph_id").orderBy("task")).cast("int"))
+    truth = boundary_truth(tasks, boundaries).select("graph_id", F.col("ordinal").alias("task"), "boundary_id", "label")
+    each = ranges.join(truth, ["graph_id", "task"], "left").groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("task", "start", "end", "cut", "boundary_id", "label"))).alias("t"))
+    labelled = lambda label: F.transform(F.filter("t", lambda x: x["label"] == label), lambda x: x["cut"])
+    listed = lambda c, a, b: F.transform(c, lambda x: F.concat(x[a].cast("string"), F.lit(":"), x[b].cast("string")))
+    rows = text.join(each, "graph_id").join(program_id(tasks, boundaries), "graph_id").select(
+        "graph_id", F.lit(style).alias("style"), F.concat("source", F.lit("\n")).alias("source"), labelled("cut").alias("true_cuts"), F.transform("t", lambda x: x["start"]).alias("task_start"), F.transform("t", lambda x: x["end"]).alias("task_end"),
+        F.transform(F.array_sort(F.map_entries("names")), lambda x: F.concat(x["key"], F.lit("="), x["value"])).alias("symbols"), listed("operations", "op_id", "line").alias("operation_lines"),
+        listed(F.filter("t", lambda x: x["boundary_id"].isNotNull()), "boundary_id", "cut").alias("boundary_cuts"), F.array_sort(F.array_distinct(labelled("ambiguous"))).alias("ambiguous"), "semantic_program_id",
+    )
+    trace = F.sha2(F.concat_ws("|", "semantic_program_id", "style", F.lit(str(seed)), F.array_join("operation_lines", ","), F.array_join("boundary_cuts", ",")), 256)
+    return rows.withColumn("trace", trace).drop("semantic_program_id")
