@@ -45,6 +45,36 @@ def test_grid_matches_the_definition():
             assert got[s, e] == pytest.approx(naive(region, s, e), abs=1e-12)
 
 
+def test_sweep_matches_the_grid():
+    rng = random.Random(4)
+    for _ in range(200):
+        region = random_region(rng, rng.randrange(1, 16))
+        n = region[0]
+        starts = sorted({0, *rng.sample(range(n), rng.randrange(0, n))})
+        ends = sorted(rng.sample(range(n), rng.randrange(1, n + 1)))
+        grid = Grid(*region)
+        want = grid.scores()
+        sweep = quality.Sweep(*region, starts)
+        seen = []
+        for e, m, c in sweep.scored(ends):
+            seen.append(e)
+            at = np.array(starts[:m])
+            assert list(at) == [s for s in starts if s <= e] and sweep.trailing(e) == grid.trailing[e]
+            for name, whole in (("internal", grid.internal), ("control", grid.control), ("inputs", grid.inputs), ("outputs", grid.outputs), ("symbols", grid.symbols), ("local", grid.local)):
+                assert c[name] == pytest.approx(whole[at, e]), name
+            assert c["score"] == pytest.approx(want[at, e])
+        assert seen == ends
+
+
+def test_a_long_region_is_selected_in_bounded_memory():
+    rng, n = random.Random(6), 100_000
+    edges = [(i, min(n - 1, i + rng.randrange(1, 30)), "DATA", f"s{i % 500}") for i in range(n - 1)]
+    cuts = list(range(40, n, 40))
+    sweep = quality.Sweep(n, edges, [(i, f"s{i % 500}") for i in range(n)], np.arange(n) % 7 == 0, np.zeros(n), [0, *cuts])
+    got = scoring.chosen_cuts(sweep, cuts, [rng.uniform(-0.2, 0.5) for _ in cuts], scoring.Config())
+    assert got == sorted(set(got)) and set(got) <= set(cuts)
+
+
 def test_selection_matches_enumeration():
     rng = random.Random(1)
     for _ in range(200):
@@ -58,7 +88,8 @@ def test_selection_matches_enumeration():
             return sum(value[a, b - 1] for a, b in zip(p, p[1:])) + sum(reward[i] for i in sub)
 
         best = max((total(s) for k in range(1, len(cuts) + 1) for s in itertools.combinations(range(len(cuts)), k)), default=-np.inf)
-        got = scoring.best_cuts(cuts, reward, value)
+        points = [0, *cuts]
+        got = scoring.best_cuts(cuts, reward, lambda k: value[points[: k + 1], (cuts + [n])[k] - 1])
         if best <= value[0, n - 1]:
             assert got == []
         else:

@@ -1,12 +1,17 @@
 """Quality of statement intervals as modules.
 
-`interval_quality` scores any table of inclusive intervals by equi-joins on the statements they cover; `Grid` holds the
-closed forms that score all intervals of one region in O(n^2 + edges).
+`interval_quality` scores any table of inclusive intervals by equi-joins on the statements they cover. `Sweep` goes over
+one region's statements once and scores, at any end, the intervals from some starts: memory follows the starts and the
+edges, not their pairs with ends. `Grid` holds all intervals of one region at once, for models that need them together.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,3 +164,135 @@ class Grid:
     def scores(self) -> np.ndarray:
         f = self.features()
         return sum(w * f[k] for k, w in MODULE_WEIGHTS.items())
+
+
+class Sweep:
+    """Intervals [s, e] of one region for given starts, with e going up: counts by start are kept as e moves on.
+
+    edges: (source, target, kind, symbol); uses: (statement, symbol). Each edge and each use changes a run of starts.
+    """
+
+    def __init__(self, n: int, edges: list[tuple[int, int, str, str | None]], uses: list[tuple[int, str]], compound: np.ndarray, support: np.ndarray, starts: list[int]):
+        self.n, self.starts, self.compound, self.support = n, np.asarray(starts), np.asarray(compound, bool), np.asarray(support, float)
+        self.into: list[list] = [[] for _ in range(n)]
+        self.out: list[list] = [[] for _ in range(n)]
+        self.used: list[set] = [set() for _ in range(n)]
+        self.span: dict[str, list[int]] = {}
+        for a, b, kind, symbol in edges:
+            self.into[b].append((a, kind, symbol))
+            if kind == "DATA" and b > a:
+                self.out[a].append((b, symbol))
+        for i, symbol in uses:
+            self.used[i].add(symbol)
+            span = self.span.setdefault(symbol, [i, i])
+            span[0], span[1] = min(span[0], i), max(span[1], i)
+
+    def columns(self, ends: list[int]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+        """end, number of starts up to it, and by start internal, control, inputs, outputs, symbols, local, for rising ends."""
+        k = len(self.starts)
+        at = lambda i: int(np.searchsorted(self.starts, i, "right"))  # noqa: E731  starts up to i
+        count = {c: np.zeros(k) for c in ("internal", "control", "inputs", "outputs", "symbols", "local")}
+        met: dict[str, list[tuple[int, int]]] = {}  # runs of starts that a symbol already enters
+        last_use: dict[str, int] = {}
+        open_edges: dict[str, list[tuple[int, int]]] = {}  # heap by source, the latest first; targets
+        reach: dict[str, int] = {}  # by symbol: starts up to its latest source whose target lies ahead
+        wanted, e = iter(ends), 0
+        end = next(wanted, None)
+        while end is not None:
+            while e <= end:
+                for a, kind, symbol in self.into[e]:
+                    if a <= e:
+                        count["internal" if kind == "DATA" else "control"][: at(a)] += 1
+                    if kind == "DATA" and a < e and at(a) < at(e):
+                        runs = met.setdefault(symbol, [])
+                        low, high = at(a), at(e)
+                        for i, j in gaps(runs, low, high):
+                            count["inputs"][i:j] += 1
+                        met[symbol] = joined(runs, low, high)
+                for b, symbol in self.out[e]:
+                    heapq.heappush(open_edges.setdefault(symbol, []), (-e, b))
+                for symbol in {x for _, x in self.out[e]} | {x for _, kind, x in self.into[e] if kind == "DATA" and x in open_edges}:
+                    heap = open_edges[symbol]
+                    while heap and heap[0][1] <= e:
+                        heapq.heappop(heap)
+                    now, was = at(-heap[0][0]) if heap else 0, reach.get(symbol, 0)
+                    count["outputs"][min(now, was) : max(now, was)] += 1 if now > was else -1
+                    reach[symbol] = now
+                for symbol in self.used[e]:
+                    count["symbols"][at(last_use.get(symbol, -1)) : at(e)] += 1
+                    last_use[symbol] = e
+                    first, last = self.span[symbol]
+                    if last == e:
+                        count["local"][: at(first)] += 1
+                e += 1
+            m = at(end)
+            yield end, m, {c: v[:m].copy() for c, v in count.items()}
+            end = next(wanted, None)
+
+    def trailing(self, e: int) -> int:
+        return len({x for _, x in self.out[e]})
+
+    def scored(self, ends: list[int]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+        """As columns(), with score."""
+        for e, m, c in self.columns(ends):
+            k = (e - self.starts[:m] + 1).astype(float)
+            own = np.where(k == 1, self.support[e], 0.0)
+            mass = c["internal"] + 0.35 * c["control"]
+            fit = np.select([k == 1, k == 2, k == 3, k <= 40], [0.0, 0.5, 0.75, 1.0], 1 / (1 + 0.002 * (k - 40)))
+            parts = {
+                "internal_cohesion": mass / (mass + np.maximum(1, k - 1)),
+                "external_compactness": 1 / (1 + 0.35 * (c["inputs"] + c["outputs"])),
+                "symbol_locality": np.where(c["symbols"] > 0, c["local"] / np.maximum(1, c["symbols"]), 1.0),
+                "size_fitness": np.maximum(fit, own),
+                "finalization_completeness": np.full(m, 1 / (1 + self.trailing(e)) if self.compound[e] else 1.0),
+                "orphan_resistance": np.where(k == 1, own, 1.0),
+            }
+            yield e, m, c | {"score": sum((w * parts[x] for x, w in MODULE_WEIGHTS.items()), np.zeros(m))}
+
+
+def gaps(runs: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """What sorted, disjoint half-open runs leave of [low, high)."""
+    out = []
+    for a, b in runs:
+        if b > low and a < high:
+            if a > low:
+                out.append((low, a))
+            low = max(low, b)
+    return [*out, (low, high)] if low < high else out
+
+
+def joined(runs: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """Sorted, disjoint runs with [low, high) added."""
+    apart = [r for r in runs if r[1] < low or r[0] > high]
+    touch = [r for r in runs if not (r[1] < low or r[0] > high)]
+    return sorted([*apart, (min([low, *(a for a, _ in touch)]), max([high, *(b for _, b in touch)]))])
+
+
+GRID = "path string, region_id string, start int, end int, internal_edge_count long, input_count long, output_count long, symbol_count long, local_symbol_count long, trailing_output_count long, score double"
+
+
+def module_grid(regions: DataFrame) -> DataFrame:
+    """GRID: every interval of every region, end by end; regions: key, rows, edges (scoring.grid_input).
+
+    The result has n (n + 1) / 2 rows for a region of n statements; a task holds the rows of a few ends at a time.
+    """
+    names = [c.split()[0] for c in GRID.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from weftline.operators.scoring import sweep_of
+
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                n = len(r["rows"])
+                sweep, held, rows = sweep_of(r["rows"], r["edges"], list(range(n))), [], 0
+                for e, m, c in sweep.scored(list(range(n))):
+                    whole = {name: c[k].astype(np.int64) for name, k in (("internal_edge_count", "internal"), ("input_count", "inputs"), ("output_count", "outputs"), ("symbol_count", "symbols"), ("local_symbol_count", "local"))}
+                    held.append(pd.DataFrame({"path": r["path"], "region_id": r["region_id"], "start": np.arange(m), "end": e, **whole, "trailing_output_count": sweep.trailing(e), "score": c["score"]})[names])
+                    rows += m
+                    if rows > 50_000:
+                        yield pd.concat(held)
+                        held, rows = [], 0
+                if held:
+                    yield pd.concat(held)
+
+    return regions.mapInPandas(run, GRID)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import dependence
 from weftline.operators.facts import module_support, standalone_calls
-from weftline.operators.quality import Grid
+from weftline.operators.quality import Grid, Sweep
 from weftline.schema import KEY
 
 #: The published weights of the fifteen scored features.
@@ -89,30 +90,38 @@ def interval_value(quality: np.ndarray, length: np.ndarray, total: int, config:
     return quality * length / total - config.module_deficit_penalty * np.maximum(0.0, config.module_quality_floor - quality)
 
 
-def best_cuts(cuts: list[int], rewards: list[float], value: np.ndarray) -> list[int]:
-    """The subset of candidate cuts (1..n-1) with the greatest sum of rewards and interval values; none if no subset beats
-    the whole region. value[s, e]: of the interval [s, e]. Earlier states win ties.
+def best_cuts(cuts: list[int], rewards: list[float], value: Callable[[int], np.ndarray]) -> list[int]:
+    """The subset of candidate cuts (rising) with the greatest sum of rewards and interval values; none if no subset beats
+    the whole region. value(k), asked for in order: of the intervals that end before cut k (k = number of cuts: that end
+    the region), by their start: the region's, then each earlier cut. Earlier states win ties.
     """
-    n = len(value)
-    if not cuts:
-        return []
-    best, back = [], []
-    for k, c in enumerate(cuts):
-        options = [rewards[k] + value[0, c - 1]] + [best[j] + rewards[k] + value[cuts[j], c - 1] for j in range(k)]
-        pick = int(np.argmax(options))
-        best.append(options[pick])
-        back.append(pick - 1)
-    final = [b + value[c, n - 1] for b, c in zip(best, cuts)]
-    at = int(np.argmax(final))
-    if final[at] <= value[0, n - 1]:
+    best, back = np.zeros(1), [0]
+    for k, reward in enumerate(rewards):
+        options = best + value(k)
+        back.append(int(np.argmax(options)))
+        best = np.append(best, options[back[-1]] + reward)
+    final = best + value(len(cuts))
+    at = 1 + int(np.argmax(final[1:])) if cuts else 0
+    if final[at] <= final[0]:
         return []
     out = []
-    while at >= 0:
-        out.append(cuts[at])
+    while at:
+        out.append(cuts[at - 1])
         at = back[at]
     return out[::-1]
 
 
+def chosen_cuts(sweep: Sweep, cuts: list[int], rewards: list[float], config: Config) -> list[int]:
+    """best_cuts over the intervals between candidates of a region; sweep: with starts 0 and the cuts."""
+    columns = sweep.scored([*(c - 1 for c in cuts), sweep.n - 1])
+
+    def value(k: int) -> np.ndarray:
+        e, _, c = next(columns)
+        return interval_value(c["score"], e - sweep.starts[: k + 1] + 1, sweep.n, config)
+
+    return best_cuts(cuts, rewards, value)
+
+
 def grid_input(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """key, n, compound, support (arrays by statement), uses, edges: one row for each region, what a Grid needs."""
     if edges is None:
@@ -124,14 +133,27 @@ def grid_input(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     return per.join(linked, KEY, "left")
 
 
+def uses_of(rows) -> list[tuple[int, str]]:
+    return [(r["idx"], s) for r in rows for s in r["symbols"]]
+
+
+def links_of(edges) -> list[tuple[int, int, str, str | None]]:
+    return [(e["source"], e["target"], e["kind"], e["symbol"]) for e in (edges if edges is not None else [])]
+
+
 def grid_of(rows, edges) -> Grid:
-    uses = [(r["idx"], s) for r in rows for s in r["symbols"]]
-    links = [(e["source"], e["target"], e["kind"], e["symbol"]) for e in (edges if edges is not None else [])]
-    return Grid(len(rows), links, uses, np.array([r["is_compound"] for r in rows]), np.array([r["support"] for r in rows]))
+    return Grid(len(rows), links_of(edges), uses_of(rows), np.array([r["is_compound"] for r in rows]), np.array([r["support"] for r in rows]))
+
+
+def sweep_of(rows, edges, starts: list[int]) -> Sweep:
+    return Sweep(len(rows), links_of(edges), uses_of(rows), np.array([r["is_compound"] for r in rows]), np.array([r["support"] for r in rows]), starts)
 
 
 def select(rejected: DataFrame, st: DataFrame, config: Config = Config(), edges: DataFrame | None = None) -> DataFrame:
-    """Adds recommended; candidates left out get the reason not_in_global_optimum. One region is one task's unit of work."""
+    """Adds recommended; candidates left out get the reason not_in_global_optimum.
+
+    One region is one task's unit of work: only intervals between candidates are scored, in one sweep over the region.
+    """
     cand = rejected.where("candidate").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("boundary_index", "score", "prominence"))).alias("cuts"))
     jobs = cand.join(grid_input(st, edges), KEY)
 
@@ -139,10 +161,9 @@ def select(rejected: DataFrame, st: DataFrame, config: Config = Config(), edges:
         for frame in frames:
             out = []
             for r in frame.to_dict("records"):
-                g = grid_of(r["rows"], r["edges"])
-                value = interval_value(g.scores(), g.lengths(), g.n, config)
+                cuts = [c["boundary_index"] for c in r["cuts"]]
                 reward = [config.boundary_reward_weight * ((c["score"] - config.threshold) + (c["prominence"] - config.minimum_prominence)) - config.cut_penalty for c in r["cuts"]]
-                out += [(r["path"], r["region_id"], c) for c in best_cuts([c["boundary_index"] for c in r["cuts"]], reward, value)]
+                out += [(r["path"], r["region_id"], c) for c in chosen_cuts(sweep_of(r["rows"], r["edges"], [0, *cuts]), cuts, reward, config)]
             yield pd.DataFrame(out, columns=[*KEY, "boundary_index"])
 
     chosen = jobs.mapInPandas(run, "path string, region_id string, boundary_index int").withColumn("recommended", F.lit(True))
