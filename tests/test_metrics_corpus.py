@@ -29,6 +29,27 @@ def test_rates_and_rollup(spark):
     assert none.precision == none.recall == 1.0
 
 
+def test_ignored_positions_as_a_column(spark):
+    cases = [([4, 9], [5], [9]), ([1, 9], [1], [9]), ([1], [1, 2], []), ([], [3], [3]), ([2, 3], [], None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, predicted array<int>, truth array<int>, ignored array<int>")
+    for tolerance in (0, 1):
+        got = {r.i: (r.tp, r.fp, r.fn) for r in metrics.matched(df, tolerance, "ignored").collect()}
+        assert got == {i: metrics.match(p, t, tolerance, g or []) for i, (p, t, g) in enumerate(cases)}
+
+
+def test_distribution_by_group_with_ties_and_nulls(spark):
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    rows = [(g, float(rng.randrange(9)) if rng.random() < 0.9 else None) for g in ("a", "b", None) for _ in range(300)] + [("c", 1.5)]
+    got = {r.g: r for r in metrics.distribution(spark.createDataFrame(rows, "g string, x double").repartition(5), "x", "g").collect()}
+    for g in ("a", "b", None, "c"):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        r = got[g]
+        assert (r["count"], r.minimum, r.p10, r["median"]) == (len(v), v[0], v[round((len(v) - 1) * 0.1)], v[round((len(v) - 1) * 0.5)]) and abs(r.mean - statistics.mean(v)) < 1e-9
+
+
 def test_distribution_rounds_half_to_even(spark):
     df = spark.createDataFrame([(float(i),) for i in range(6)], "x double")
     r = metrics.distribution(df, "x").first()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 
 def match(predicted: list[int], truth: list[int], tolerance: int = 0, ignored: list[int] = ()) -> tuple[int, int, int]:
     """True positives, false positives, misses of one-to-one matching: predictions ascending, each to its nearest free
@@ -35,19 +37,24 @@ def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1")]
 
 
-def matched(samples: DataFrame, tolerance: int = 0) -> DataFrame:
+def matched(samples: DataFrame, tolerance: int = 0, ignored: str | None = None) -> DataFrame:
     """Adds tp, fp, fn to samples with arrays predicted and truth. Without tolerance this is set arithmetic; with it, the
     greedy order of the matching needs one sample at a time.
+
+    ignored: an array column; unmatched predictions within the tolerance of its positions are no false positives.
     """
+    near = F.array().cast("array<int>") if ignored is None else F.coalesce(F.col(ignored).cast("array<int>"), F.array().cast("array<int>"))
     if tolerance == 0:
-        tp = F.size(F.array_intersect("predicted", "truth"))
-        return samples.withColumns({"tp": tp, "fp": F.size("predicted") - tp, "fn": F.size("truth") - tp})
+        hits = F.size(F.array_intersect("predicted", "truth"))
+        wrong = F.size("predicted") - hits - F.size(F.array_except(F.array_intersect(F.col("predicted").cast("array<int>"), near), F.col("truth").cast("array<int>")))
+        missed = F.when(F.size(near) > 0, F.size(F.array_distinct("truth"))).otherwise(F.size("truth")) - hits
+        return samples.withColumns({"tp": hits, "fp": wrong, "fn": missed})
 
     @F.pandas_udf("tp int, fp int, fn int")
-    def greedy(p: pd.Series, t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([match(list(a), list(b), tolerance) for a, b in zip(p, t)], columns=["tp", "fp", "fn"])
+    def greedy(p: pd.Series, t: pd.Series, i: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([match(list(a), list(b), tolerance, list(c)) for a, b, c in zip(p, t, i)], columns=["tp", "fp", "fn"])
 
-    return samples.withColumn("m_", greedy("predicted", "truth")).select("*", "m_.tp", "m_.fp", "m_.fn").drop("m_")
+    return samples.withColumn("m_", greedy("predicted", "truth", near)).select("*", "m_.tp", "m_.fp", "m_.fn").drop("m_")
 
 
 def micro(counts: DataFrame, *by: str) -> DataFrame:
@@ -92,14 +99,23 @@ def rollup(samples: DataFrame) -> DataFrame:
 def distribution(values: DataFrame, column: str, *by: str) -> DataFrame:
     """count, minimum, mean, p10, median; percentiles are the value at the half-even rounding of (n - 1) p, no interpolation.
 
-    Ranks come from a window, so no list of values is gathered.
+    Values are counted, ranges of distinct values are dealt to tasks, and a value's ranks follow from the counts of the ranges
+    before its own, so neither a list of values nor a whole group lies in one task.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    rows = values.where(F.col(column).isNotNull()).withColumn("k_", F.row_number().over(w.orderBy(column)) - 1).withColumn("n_", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("k_") == F.bround((F.col("n_") - 1) * F.lit(p)), F.col(column)))
-    return rows.groupBy(*by).agg(F.count("*").alias("count"), F.min(column).alias("minimum"), F.avg(column).alias("mean"), at(0.10).alias("p10"), at(0.50).alias("median"))
+    tally = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c_"))
+    ranged = materialize(tally.repartitionByRange(*by, column).withColumn("p_", F.spark_partition_id()), "ranges")
+    rows = Window.unboundedPreceding
+    sizes = ranged.groupBy(*by, "p_").agg(F.sum("c_").alias("t_"))
+    # a row for each range: few
+    each = Window.partitionBy(*by) if by else Window.partitionBy()
+    sizes = sizes.withColumns({"n_": F.sum("t_").over(each), "before_": F.coalesce(F.sum("t_").over(each.orderBy("p_").rowsBetween(rows, -1)), F.lit(0))})
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "p_")]
+    joined = ranged.alias("v").join(F.broadcast(sizes).alias("s"), same).select(*(F.col(f"v.{c}") for c in (*by, "p_", column, "c_")), "n_", "before_")
+    last = F.col("before_") + F.sum("c_").over(Window.partitionBy(*by, "p_").orderBy(column).rowsBetween(rows, 0)) - 1
+    joined = joined.withColumn("last_", last)
+    place = lambda p: F.bround((F.col("n_") - 1) * F.lit(p))
+    pick = lambda p: F.max(F.when((place(p) <= F.col("last_")) & (place(p) > F.col("last_") - F.col("c_")), F.col(column)))
+    return joined.groupBy(*by).agg(F.sum("c_").alias("count"), F.min(column).alias("minimum"), (F.sum(F.col(column) * F.col("c_")) / F.sum("c_")).alias("mean"), pick(0.10).alias("p10"), pick(0.50).alias("median"))
 
 
 def evaluate(examples: DataFrame, theta, temperature: float = 1.0) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from weftline.operators import energy as en
 from weftline.operators import metrics
 from weftline.schema import KEY, VERSIONS
+from weftline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -79,11 +80,10 @@ def cosine(epoch: int, config: TrainingConfig) -> tuple[float, float]:
 
 def validation(examples: DataFrame, theta: np.ndarray, temperature: float) -> dict[str, float]:
     """Losses and f1 of a model on examples, without gradients."""
-    rows = metrics.evaluate(examples, theta, temperature).cache()
+    rows = materialize(metrics.evaluate(examples, theta, temperature), "evaluated")
     legal = examples.select("sample_id", F.greatest(F.lit(1), F.size(F.filter("marks", lambda m: m["legal"]))).alias("legal"))
     loss = rows.join(legal, "sample_id").agg(F.avg("nll").alias("a"), F.avg(F.col("nll") / F.col("legal")).alias("b"), F.sum(F.size("predicted")).alias("c"), F.sum(F.size("truth")).alias("d")).first()
     f1 = [metrics.micro(metrics.matched(rows, t)).first().f1 for t in (0, 1)]
-    rows.unpersist()
     return {"structured_nll": loss.a, "normalized_structured_nll": loss.b, "f1_exact": f1[0], "f1_tolerance_1": f1[1], "predicted_cuts": int(loss.c), "truth_cuts": int(loss.d)}
 
 
@@ -94,7 +94,7 @@ def train(examples: DataFrame, config: TrainingConfig = TrainingConfig(), theta:
     """
     if config.device != "cpu":
         raise RuntimeError(f"device {config.device!r} is not available")
-    fit, held = examples.where("split = 'train'").cache(), examples.where("split = 'validation'").cache()
+    fit, held = (materialize(examples.where(F.col("split") == split), split) for split in ("train", "validation"))
     n = fit.count()
     if not n or not held.count():
         raise ValueError("training needs examples in train and in validation")
