@@ -61,3 +61,23 @@ def test_written_tables_are_released(spark):
     path = session._WRITTEN[0]
     assert df.count() == 5 and path.startswith(session.shared_dir(spark)) and os.path.exists(path)
     assert session.release(spark) == 1 and not os.path.exists(path)
+
+
+def test_engine_queries_outlive_missing_libraries():
+    """Without what the training-data operators need, the engine's own queries are still there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 60 and out[1] == "False" and int(out[2]) >= 50
+
+
+def test_no_local_scratch_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from weftline import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
