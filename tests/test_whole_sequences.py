@@ -24,8 +24,8 @@ def folder(spark, tmp_path_factory):
 def test_dynamic_programs_take_whole_sequences(spark, folder):
     d, values = folder
     run = lambda name: entry.queries()[name](spark, d).collect()
-    best, total = {r.region_id: r for r in run("q_hard_dp_all")}, {r.region_id: r.log_partition for r in run("q_log_partition_all")}
-    odds = {(r.region_id, r.boundary): r.probability for r in run("q_marginals_all")}
+    best, total = {r.region_id: r for r in run("q_hard_dp")}, {r.region_id: r.log_partition for r in run("q_log_partition")}
+    odds = {(r.region_id, r.boundary): r.probability for r in run("q_marginals")}
     assert set(best) == set(total) == set(values)
     for k, v in values.items():
         b, seg = more.small_energy(v)
@@ -54,7 +54,6 @@ def test_reachability_goes_on_until_nothing_new_is_found(spark):
                     want.add((region, source, x))
                     stack.append(x)
     assert {(r.region_id, r.source, r.target) for r in entry.queries()["q_reachability_all"](spark, SF).collect()} == want
-    assert entry.queries()["q_reachability"](spark, SF).count() < len(want)
 
 
 def test_module_grid_holds_intervals_of_every_length(spark, tmp_path):

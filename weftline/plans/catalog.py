@@ -222,11 +222,11 @@ def rejections(spark, sf_dir):
 
 
 _QUALITY = [
-    ("iv", "SELECT region_id, x.idx AS s, z.idx AS e FROM stx x JOIN stx z USING (region_id) WHERE z.idx BETWEEN x.idx AND x.idx + 11"),
+    ("iv", "SELECT region_id, x.idx AS s, z.idx AS e FROM stx x JOIN stx z USING (region_id) WHERE z.idx >= x.idx"),
     ("ie", "SELECT iv.region_id, iv.s, iv.e, count(*) FILTER (ed.src >= iv.s AND ed.tgt <= iv.e) AS internal, count(DISTINCT ed.s) FILTER (ed.src < iv.s AND ed.tgt BETWEEN iv.s AND iv.e) AS inputs, count(DISTINCT ed.s) FILTER (ed.src BETWEEN iv.s AND iv.e AND ed.tgt > iv.e) AS outputs, count(DISTINCT ed.s) FILTER (ed.src = iv.e AND ed.tgt > iv.e) AS trail FROM iv LEFT JOIN ed ON ed.region_id = iv.region_id GROUP BY 1, 2, 3"),
     ("sy", "SELECT iv.region_id, iv.s, iv.e, count(DISTINCT st.s) AS symbols, count(DISTINCT st.s) FILTER (occ.f >= iv.s AND occ.l <= iv.e) AS local FROM iv JOIN st ON st.region_id = iv.region_id AND st.idx BETWEEN iv.s AND iv.e JOIN occ ON occ.region_id = st.region_id AND occ.s = st.s GROUP BY 1, 2, 3"),
     ("mq", """SELECT ie.*, sy.symbols, sy.local, e - s + 1 AS len, last.compound, CASE WHEN e = s THEN last.support ELSE 0.0 END AS own FROM ie JOIN sy USING (region_id, s, e) JOIN stx last ON last.region_id = ie.region_id AND last.idx = ie.e"""),
-    ("ms", """SELECT region_id, s, e, internal, inputs, outputs, symbols, local, trail, 0.27 * (internal * 1.0 / (internal + greatest(1, len - 1))) + 0.22 * (1.0 / (1.0 + 0.35 * (inputs + outputs))) + 0.18 * (CASE WHEN symbols > 0 THEN local * 1.0 / symbols ELSE 1.0 END) + 0.14 * greatest(CASE len WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.75 ELSE 1.0 END, own) + 0.12 * (CASE WHEN compound THEN 1.0 / (1.0 + trail) ELSE 1.0 END) + 0.07 * (CASE WHEN len = 1 THEN own ELSE 1.0 END) AS score FROM mq"""),
+    ("ms", """SELECT region_id, s, e, internal, inputs, outputs, symbols, local, trail, 0.27 * (internal * 1.0 / (internal + greatest(1, len - 1))) + 0.22 * (1.0 / (1.0 + 0.35 * (inputs + outputs))) + 0.18 * (CASE WHEN symbols > 0 THEN local * 1.0 / symbols ELSE 1.0 END) + 0.14 * greatest(CASE len WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.75 ELSE CASE WHEN len <= 40 THEN 1.0 ELSE 1.0 / (1.0 + 0.002 * (len - 40)) END END, own) + 0.12 * (CASE WHEN compound THEN 1.0 / (1.0 + trail) ELSE 1.0 END) + 0.07 * (CASE WHEN len = 1 THEN own ELSE 1.0 END) AS score FROM mq"""),
 ]
 
 
@@ -235,24 +235,39 @@ _GRID = ("region_id", "start", "end", "internal_edge_count", "input_count", "out
 
 @register("q_module_grid", chain("ms", "SELECT region_id, s AS start, e AS \"end\", internal AS internal_edge_count, inputs AS input_count, outputs AS output_count, symbols AS symbol_count, local AS local_symbol_count, trail AS trailing_output_count, round(score, 6) AS score FROM ms", _QUALITY))
 def module_grid(spark, sf_dir):
-    st = events(spark, sf_dir)
-    q = quality.interval_quality(st, quality.windows(st, 12))
-    return flat(q.select(*_GRID))
+    """Every interval of every sequence, in one sweep over each sequence."""
+    return flat(quality.module_grid(scoring.grid_input(events(spark, sf_dir))).select(*_GRID))
 
 
-@register("q_module_grid_all")
-def module_grid_all(spark, sf_dir):
-    """As q_module_grid, over the intervals of every length."""
+@register("q_interval_quality", ORACLES["q_module_grid"])
+def interval_quality(spark, sf_dir):
+    """The same intervals by equi-joins on the statements they cover, which takes any table of intervals."""
     st = events(spark, sf_dir)
     return flat(quality.interval_quality(st, quality.windows(st)).select(*_GRID))
 
 
-@register("q_adjacent_quality", chain("ms", "SELECT bd.region_id, bd.b + 1 AS split, round(l.score, 6) AS left_quality, round(r.score, 6) AS right_quality FROM bd JOIN ms l ON l.region_id = bd.region_id AND l.s = greatest(0, bd.b + 1 - 4) AND l.e = bd.b JOIN ms r ON r.region_id = bd.region_id AND r.s = bd.b + 1 AND r.e = least(bd.n - 1, bd.b + 4)", _QUALITY))
+@register("q_adjacent_quality", chain("ms", "SELECT bd.region_id, bd.b + 1 AS split, round(l.score, 6) AS left_quality, round(r.score, 6) AS right_quality FROM bd JOIN ms l ON l.region_id = bd.region_id AND l.s = greatest(0, bd.b + 1 - 4) AND l.e = bd.b JOIN ms r ON r.region_id = bd.region_id AND r.s = bd.b + 1 AND r.e = least(bd.n - 1, bd.b + 4)", [(k, f"{v} AND z.idx <= x.idx + 3" if k == "iv" else v) for k, v in _QUALITY]))
 def adjacent_quality(spark, sf_dir):
     return flat(quality.adjacent_quality(events(spark, sf_dir)).drop("path"))
 
 
-@register("q_selection")
+#: candidates, interval values between them and the region's ends, and the program over them, candidate by candidate
+_SELECTION = [
+    ("cand", "SELECT region_id, b + 1 AS c, 0.85 * ((score - 0.58) + (prominence - 0.055)) - 0.03 AS w, row_number() OVER (PARTITION BY region_id ORDER BY b) AS k FROM rj WHERE peak AND reasons = ''"),
+    ("ck", "SELECT region_id, max(k) AS last FROM cand GROUP BY 1"),
+    ("pts", "SELECT region_id, 0 AS k, 0 AS c, 0.0 AS w FROM ck UNION ALL SELECT region_id, k, c, w FROM cand UNION ALL SELECT region_id, last + 1, n, 0.0 FROM ck JOIN n USING (region_id)"),
+    ("iv", "SELECT x.region_id, x.c AS s, z.c - 1 AS e FROM pts x JOIN pts z ON z.region_id = x.region_id AND x.k < z.k"),
+    *_QUALITY[1:],
+    ("op", "SELECT z.region_id, z.k, any_value(z.w) AS w, list(ms.score * (ms.e - ms.s + 1) / n.n - 0.20 * greatest(0.0, 0.60 - ms.score) ORDER BY x.k) AS vals FROM pts z JOIN pts x ON x.region_id = z.region_id AND x.k < z.k JOIN n ON n.region_id = z.region_id JOIN ms ON ms.region_id = z.region_id AND ms.s = x.c AND ms.e = z.c - 1 GROUP BY 1, 2"),
+    ("sl", """SELECT region_id, CAST(0 AS BIGINT) AS k, CAST([0.0] AS DOUBLE[]) AS best, CAST([0] AS BIGINT[]) AS back FROM ck UNION ALL
+        SELECT region_id, k + 1, list_append(best, list_max(o) + w), list_append(back, CAST(list_position(o, list_max(o)) AS BIGINT)) FROM (SELECT sl.region_id, sl.k, sl.best, sl.back, op.w, list_transform(sl.best, lambda x, i: x + op.vals[i]) AS o FROM sl JOIN ck ON ck.region_id = sl.region_id AND sl.k < ck.last JOIN op ON op.region_id = sl.region_id AND op.k = sl.k + 1)"""),
+    ("fin", "SELECT sl.region_id, sl.back, list_transform(sl.best, lambda x, i: x + op.vals[i]) AS f FROM sl JOIN ck ON ck.region_id = sl.region_id AND ck.last = sl.k JOIN op ON op.region_id = sl.region_id AND op.k = sl.k + 1"),
+    ("bk", "SELECT region_id, back, CAST(list_position(f[2:], list_max(f[2:])) + 1 AS BIGINT) AS pos FROM fin WHERE list_max(f[2:]) > f[1] UNION ALL SELECT region_id, back, back[pos] FROM bk WHERE back[pos] > 1"),
+]
+
+
+@register("q_selection", chain("rj", """SELECT rj.region_id, rj.b, round(rj.score, 6) AS score, round(rj.prominence, 6) AS prominence, CASE WHEN cand.c IS NOT NULL AND bk.pos IS NULL THEN 'not_in_global_optimum' ELSE rj.reasons END AS rejection_reasons, bk.pos IS NOT NULL AS recommended
+    FROM rj LEFT JOIN cand ON cand.region_id = rj.region_id AND cand.c = rj.b + 1 LEFT JOIN bk ON bk.region_id = cand.region_id AND bk.pos = cand.k + 1""", _SELECTION))
 def selection(spark, sf_dir):
     st = events(spark, sf_dir)
     rows = scoring.select(scoring.reject(scoring.peaks(scored(spark, sf_dir))), st)

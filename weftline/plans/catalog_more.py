@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence, energy, facts, flow, metrics, project, semantic, training
-from weftline.plans.catalog import ORACLES, events, flat, read, register
+from weftline.plans import catalog
+from weftline.plans.catalog import events, flat, read, register
 from weftline.plans.oracle import chain
 from weftline.schema import KEY
 from weftline.session import materialize
@@ -34,6 +33,13 @@ SAMPLES = [
     ("mt", "SELECT region_id, count(*) FILTER (kind = 'purchase' AND v >= 20) AS tp, count(*) FILTER (kind = 'purchase' AND v < 20) AS fp, count(*) FILTER (kind = 'signup') AS fn, count(*) AS n, CAST(split_part(region_id, ':', 2) AS BIGINT) AS u FROM st GROUP BY 1"),
     ("ms", "SELECT *, 'p' || (u % 7) AS project, CASE WHEN u % 3 = 0 THEN 'script' ELSE 'function' END AS region_kind, CASE WHEN n < 30 THEN 'short_lt_30' WHEN n <= 80 THEN 'medium_30_80' ELSE 'long_gt_80' END AS bucket FROM mt"),
 ]
+#: greedy matching within 1 and 2: each prediction takes its nearest free truth
+GREEDY = [
+    ("pt", "SELECT region_id, coalesce(list(idx + 1 ORDER BY idx) FILTER (kind = 'purchase'), []) AS p, coalesce(list(idx + 1 ORDER BY idx) FILTER ((kind = 'purchase' AND v >= 20) OR kind = 'signup'), []) AS t FROM st GROUP BY 1"),
+    ("gm", """SELECT region_id, tol, p, len(t) AS nt, t AS free, 0 AS i, 0 AS hit FROM pt, (VALUES (1), (2)) x(tol) UNION ALL
+        SELECT region_id, tol, p, nt, CASE WHEN near IS NULL THEN free ELSE list_filter(free, lambda x: x <> near) END, i + 1, hit + CASE WHEN near IS NULL THEN 0 ELSE 1 END FROM (SELECT *, list_min(list_transform(list_filter(free, lambda x: abs(p[i + 1] - x) <= tol), lambda x: abs(p[i + 1] - x) * 1000000 + x)) % 1000000 AS near FROM gm WHERE i < len(p))"""),
+    ("gr", "SELECT region_id, tol, CAST(hit AS BIGINT) AS tp, CAST(len(p) - hit AS BIGINT) AS fp, CAST(nt - hit AS BIGINT) AS fn FROM gm WHERE i = len(p)"),
+]
 PRF = "CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) WHEN tp + fn > 0 THEN 0.0 ELSE 1.0 END"
 REC = "CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) WHEN tp + fp > 0 THEN 0.0 ELSE 1.0 END"
 
@@ -47,11 +53,28 @@ def match_exact(spark, sf_dir):
     return flat(metrics.matched(samples(spark, sf_dir)).select("region_id", "tp", "fp", "fn"))
 
 
-@register("q_match_tolerance")
+@register("q_match_tolerance", chain("gr", "SELECT region_id, tp, fp, fn FROM gr WHERE tol = 1", GREEDY))
 def match_tolerance(spark, sf_dir):
     return flat(metrics.matched(samples(spark, sf_dir), 1).select("region_id", "tp", "fp", "fn"))
 
 
+#: as GREEDY within 1, with the loose predictions kept; errors are the ignored positions
+IGNORED = [
+    ("pi", "SELECT region_id, coalesce(list(idx + 1 ORDER BY idx) FILTER (kind = 'purchase'), []) AS p, coalesce(list(idx + 1 ORDER BY idx) FILTER (kind = 'signup'), []) AS t, coalesce(list(idx + 1 ORDER BY idx) FILTER (kind = 'error'), []) AS g FROM st GROUP BY 1"),
+    ("gi", """SELECT region_id, p, t, g, t AS free, 0 AS i, 0 AS hit, 0 AS wrong FROM pi UNION ALL
+        SELECT region_id, p, t, g, CASE WHEN near IS NULL THEN free ELSE list_filter(free, lambda x: x <> near) END, i + 1, hit + CASE WHEN near IS NULL THEN 0 ELSE 1 END, wrong + CASE WHEN near IS NULL AND len(list_filter(g, lambda x: abs(p[i + 1] - x) <= 1)) = 0 THEN 1 ELSE 0 END
+        FROM (SELECT *, list_min(list_transform(list_filter(free, lambda x: abs(p[i + 1] - x) <= 1), lambda x: abs(p[i + 1] - x) * 1000000 + x)) % 1000000 AS near FROM gi WHERE i < len(p))"""),
+]
+
+
+@register("q_match_ignored", chain("gi", "SELECT region_id, CAST(hit AS BIGINT) AS tp, CAST(wrong AS BIGINT) AS fp, CAST(len(free) AS BIGINT) AS fn FROM gi WHERE i = len(p)", IGNORED))
+def match_ignored(spark, sf_dir):
+    """Cuts after purchases against cuts after sign-ups, within 1; those near an error count neither way."""
+    at = lambda kind: F.array_sort(F.filter(F.collect_list(F.when(F.col("kind") == kind, F.col("idx") + 1)), lambda x: x.isNotNull()))
+    rows = events(spark, sf_dir).groupBy("region_id").agg(at("purchase").alias("predicted"), at("signup").alias("truth"), at("error").alias("ignored"))
+    return flat(metrics.matched(rows, 1, "ignored").select("region_id", "tp", "fp", "fn"))
+
+
 @register("q_micro_prf", chain("ms", f"SELECT project, tp, fp, fn, precision, recall, f1 FROM ({rates_sql('SELECT project, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ms GROUP BY 1')})", SAMPLES))
 def micro_prf(spark, sf_dir):
     return flat(metrics.micro(metrics.matched(samples(spark, sf_dir)), "project"))
@@ -67,7 +90,23 @@ def metrics_rollup(spark, sf_dir):
     return flat(rows.drop(*(c for c in rows.columns if "tolerance" in c)))
 
 
-@register("q_metrics_rollup_all")
+_NAMES = ("exact", "tolerance_1", "tolerance_2")
+_RATE = {n: (f"CASE WHEN tp_{n} + fp_{n} > 0 THEN tp_{n} * 1.0 / (tp_{n} + fp_{n}) WHEN tp_{n} + fn_{n} > 0 THEN 0.0 ELSE 1.0 END", f"CASE WHEN tp_{n} + fn_{n} > 0 THEN tp_{n} * 1.0 / (tp_{n} + fn_{n}) WHEN tp_{n} + fp_{n} > 0 THEN 0.0 ELSE 1.0 END") for n in _NAMES}
+_ALL = [
+    ("my", "SELECT ms.*, a.tp AS tp1, a.fp AS fp1, a.fn AS fn1, z.tp AS tp2, z.fp AS fp2, z.fn AS fn2 FROM ms JOIN gr a ON a.region_id = ms.region_id AND a.tol = 1 JOIN gr z ON z.region_id = ms.region_id AND z.tol = 2"),
+    ("rs", _SETS.replace("FROM ms", "FROM my").replace("sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn", ", ".join(f"sum({c}{k}) AS {c}_{n}" for n, k in zip(_NAMES, ("", "1", "2")) for c in ("tp", "fp", "fn")))),
+    ("rp", "SELECT *, " + ", ".join(f"{p} AS precision_{n}, {r} AS recall_{n}" for n, (p, r) in _RATE.items()) + " FROM rs"),
+    ("rfs", "SELECT *, " + ", ".join(f"CASE WHEN precision_{n} + recall_{n} > 0 THEN 2 * precision_{n} * recall_{n} / (precision_{n} + recall_{n}) ELSE 0.0 END AS f1_{n}" for n in _NAMES) + " FROM rp"),
+]
+_COLS = [f"{c}_{n}" for n in _NAMES for c in ("precision", "recall", "f1")]
+_REST = {"nll": "structured_nll", "same": "exact_segmentation_accuracy", "err": "average_cut_count_error", "over": "average_overcut", "under": "average_undercut"}
+
+
+def _rolled(head: str, f: str, violations: str, tail: str) -> str:
+    return f"SELECT {head}, {', '.join(f'round({f}({c}), 6) AS {c}' for c in _COLS)}, {', '.join(f'round({f}({k}), 6) AS {v}' for k, v in _REST.items())}, {violations} AS hard_constraint_violations FROM rfs {tail}"
+
+
+@register("q_metrics_rollup_all", chain("rfs", _rolled("stratum, name, samples", "", "violations", "") + " UNION ALL " + _rolled("'project_macro', 'all', count(*)", "avg", "CAST(sum(violations) AS BIGINT)", "WHERE stratum = 'project'"), [*SAMPLES, *GREEDY, *_ALL]))
 def metrics_rollup_all(spark, sf_dir):
     return flat(metrics.rollup(samples(spark, sf_dir)))
 
@@ -123,15 +162,8 @@ def policy_gate(spark, sf_dir):
     return manifest(spark, sf_dir).groupBy(F.coalesce(corpus.policy_violation(), F.lit("trainable")).alias("rule")).agg(F.count("*").alias("n"))
 
 
-@register("q_example_cuts", f"""SELECT 'sources/' || doc_id AS path, {SAMPLE_ID} || ':script:top-level' AS sample_id, {PROJECT} AS project, {SPLIT} AS split, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 7) t(i) WHERE i <= d.n_chars % 5 + 1 AND (d.doc_id + i) % 4 < 2), '') AS cuts FROM documents d WHERE NOT doc_id % 50 = 1""")
+@register("q_example_cuts", f"""SELECT 'sources/' || doc_id AS path, {SAMPLE_ID} || ':script:top-level' AS sample_id, {PROJECT} AS project, {SPLIT} AS split, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 7) t(i) WHERE i <= d.n_chars % 5 + 1 AND (d.doc_id + i) % 4 < 2), '') AS cuts FROM documents d""")
 def example_cuts(spark, sf_dir):
-    rows = manifest(spark, sf_dir).where("not (cast(substring(relative_path, 9) as bigint) % 50 = 1)")
-    return flat(corpus.truth(rows).drop("region_id"))
-
-
-@register("q_example_cuts_all", ORACLES["q_example_cuts"].removesuffix(" WHERE NOT doc_id % 50 = 1"))
-def example_cuts_all(spark, sf_dir):
-    """As q_example_cuts, with the documents that share a sample_id."""
     return flat(corpus.truth(manifest(spark, sf_dir)).drop("region_id"))
 
 
@@ -141,22 +173,8 @@ def access_domain_regex(spark, sf_dir):
     return flat(read(spark, sf_dir, "pages").select("page_id", found.alias("domains")))
 
 
-_HOPS = 3
-
-
-@register("q_reachability", chain("ed", f"""SELECT DISTINCT region_id, a AS source, b AS target FROM (SELECT region_id, src AS a, tgt AS b FROM ed UNION SELECT x.region_id, x.src, y.tgt FROM ed x JOIN ed y ON y.region_id = x.region_id AND y.src = x.tgt UNION SELECT x.region_id, x.src, z.tgt FROM ed x JOIN ed y ON y.region_id = x.region_id AND y.src = x.tgt JOIN ed z ON z.region_id = x.region_id AND z.src = y.tgt)"""))
+@register("q_reachability", chain("tc", "SELECT region_id, source, target FROM tc", [("tc", "SELECT region_id, src AS source, tgt AS target FROM ed UNION SELECT tc.region_id, tc.source, ed.tgt FROM tc JOIN ed ON ed.region_id = tc.region_id AND ed.src = tc.target")]))
 def reachability(spark, sf_dir):
-    """Statements that a value reaches in at most three uses; each step joins the frontier and drops repeats."""
-    step = dependence.linear_def_use(events(spark, sf_dir)).select("region_id", "source", "target").distinct()
-    hop = step.select("region_id", F.col("source").alias("target"), F.col("target").alias("next"))
-    found = [step]
-    for _ in range(_HOPS - 1):
-        found.append(found[-1].join(hop, ["region_id", "target"]).select("region_id", "source", F.col("next").alias("target")).distinct())
-    return flat(reduce(DataFrame.unionByName, found).distinct())
-
-
-@register("q_reachability_all")
-def reachability_all(spark, sf_dir):
     """Statements that a value reaches in any number of uses; each step doubles the number of uses, until nothing new is found."""
     key = ["region_id", "source", "target"]
     found = materialize(dependence.linear_def_use(events(spark, sf_dir)).select(*key).distinct(), "reached")
@@ -262,24 +280,21 @@ def project_enrich(spark, sf_dir):
 
 # structured model
 
-EIGHT = [
-    ("e8", "SELECT region_id, idx, v FROM st WHERE idx < 8 AND region_id IN (SELECT region_id FROM n WHERE n >= 8)"),
-    ("mask", "SELECT CAST(m AS BIGINT) AS m FROM range(128) t(m)"),
-    ("sg", "SELECT region_id, m, bit_count(m & ((1 << CAST(idx AS INTEGER)) - 1)) AS k, 0.4 - 0.01 * (max(v) - min(v)) - 0.05 * count(*) AS e FROM e8, mask GROUP BY 1, 2, 3"),
-    ("bn", "SELECT a.region_id, m, sum(0.004 * abs(b.v - a.v) - 0.3) AS e FROM e8 a JOIN e8 b ON b.region_id = a.region_id AND b.idx = a.idx + 1 JOIN mask ON (m >> CAST(a.idx AS INTEGER)) & 1 = 1 GROUP BY 1, 2"),
-    ("en", "SELECT s.region_id, s.m, s.e + coalesce(b.e, 0.0) AS e FROM (SELECT region_id, m, sum(e) AS e FROM sg GROUP BY 1, 2) s LEFT JOIN bn b ON b.region_id = s.region_id AND b.m = s.m"),
+#: the programs over whole sequences, statement by statement; mx and mn: of the statements from each start on
+_STEP = "list_append(list_transform(mx, lambda x: greatest(x, v[j + 1])), v[j + 1]) AS mx, list_append(list_transform(mn, lambda x: least(x, v[j + 1])), v[j + 1]) AS mn"
+_OPTION = "CASE WHEN i > 1 THEN 0.004 * abs(v[i] - v[i - 1]) - 0.3 ELSE 0.0 END + 0.4 - 0.01 * (mx[i] - mn[i]) - 0.05 * (j + 2 - i)"
+_NONE = "CAST([] AS DOUBLE[]) AS mx, CAST([] AS DOUBLE[]) AS mn"
+PROGRAMS = [
+    ("vs", "SELECT region_id, list(v ORDER BY idx) AS v FROM st GROUP BY 1"),
+    ("hd", f"""SELECT region_id, v, 0 AS j, {_NONE}, CAST([0.0] AS DOUBLE[]) AS best, CAST([0] AS BIGINT[]) AS back FROM vs UNION ALL
+        SELECT region_id, v, j + 1, mx, mn, list_append(best, list_max(c)), list_append(back, CAST(list_position(c, list_max(c)) AS BIGINT)) FROM (SELECT *, list_transform(best, lambda b, i: b + {_OPTION}) AS c FROM (SELECT region_id, v, j, best, back, {_STEP} FROM hd WHERE j < len(v)))"""),
+    ("bt", "SELECT region_id, best[len(v) + 1] AS energy, back, CAST(len(v) AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS cuts FROM hd WHERE j = len(v) UNION ALL SELECT region_id, energy, back, back[pos + 1] - 1, CASE WHEN back[pos + 1] > 1 THEN list_prepend(back[pos + 1] - 1, cuts) ELSE cuts END FROM bt WHERE pos > 0"),
+    ("fw", f"""SELECT region_id, d, v, 0 AS j, {_NONE}, CAST([0.0] AS DOUBLE[]) AS z FROM (SELECT region_id, 1 AS d, v FROM vs UNION ALL SELECT region_id, -1, list_reverse(v) FROM vs) UNION ALL
+        SELECT region_id, d, v, j + 1, mx, mn, list_append(z, m + ln(list_sum(list_transform(c, lambda x: exp(x - m))))) FROM (SELECT *, list_max(c) AS m FROM (SELECT *, list_transform(z, lambda b, i: b + {_OPTION}) AS c FROM (SELECT region_id, d, v, j, z, {_STEP} FROM fw WHERE j < len(v))))"""),
+    ("fe", "SELECT region_id, d, v, z, CAST(len(v) AS BIGINT) AS n FROM fw WHERE j = len(v)"),
 ]
 
 
-def eight(spark, sf_dir) -> DataFrame:
-    """region_id, values of the first eight statements: a small problem whose 128 segmentations SQL can list."""
-    from pyspark.sql import Window
-
-    rows = read(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).where("i < 8")
-    out = rows.groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("region_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
-    return out.where("size(v) = 8")
-
-
 def sequences(spark, sf_dir) -> DataFrame:
     """region_id, values of all statements of each sequence."""
     rows = read(spark, sf_dir, "events").groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("region_id"))
@@ -290,8 +305,8 @@ def small_energy(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(v)
     seg = np.full((n + 1, n + 1), -np.inf)
     for i in range(n):
-        for j in range(i + 1, n + 1):
-            seg[i, j] = 0.4 - 0.01 * (v[i:j].max() - v[i:j].min()) - 0.05 * (j - i)
+        w = v[i:]
+        seg[i, i + 1 :] = 0.4 - 0.01 * (np.maximum.accumulate(w) - np.minimum.accumulate(w)) - 0.05 * np.arange(1, len(w) + 1)
     return 0.004 * np.abs(np.diff(v)) - 0.3, seg
 
 
@@ -305,36 +320,19 @@ def solve(f, schema: str):
     return lambda df: df.mapInPandas(run, f"region_id string, {schema}")
 
 
-@register("q_hard_dp", chain("en", "SELECT region_id, round(max(e), 6) AS energy, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 8) t(i) WHERE (arg_max(en.m, en.e) >> CAST(i - 1 AS INTEGER)) & 1 = 1), '') AS cuts FROM en GROUP BY region_id".replace("coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 8) t(i) WHERE (arg_max(en.m, en.e) >> CAST(i - 1 AS INTEGER)) & 1 = 1), '')", "array_to_string(list_filter(range(1, 8), lambda i: (arg_max(m, e) >> CAST(i - 1 AS INTEGER)) & 1 = 1), ',')"), EIGHT))
+@register("q_hard_dp", chain("bt", "SELECT region_id, round(energy, 6) AS energy, array_to_string(cuts, ',') AS cuts FROM bt WHERE pos = 0", PROGRAMS))
 def hard_dp(spark, sf_dir):
-    run = solve(lambda b, s: ((r := energy.best_segmentation(b, s))[1], r[0]), "energy double, cuts array<int>")
-    return flat(run(eight(spark, sf_dir)))
-
-
-@register("q_log_partition", chain("en", "SELECT region_id, round(ln(sum(exp(e))), 6) AS log_partition FROM en GROUP BY region_id", EIGHT))
-def log_partition(spark, sf_dir):
-    return flat(solve(lambda b, s: (energy.log_partition(b, s),), "log_partition double")(eight(spark, sf_dir)))
-
-
-@register("q_marginals", chain("en", "SELECT region_id, i AS boundary, round(sum(CASE WHEN (m >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN exp(e) ELSE 0.0 END) / sum(exp(e)), 6) AS probability FROM en, range(1, 8) t(i) GROUP BY 1, 2", EIGHT))
-def marginals(spark, sf_dir):
-    rows = solve(lambda b, s: (energy.soft(b, s)[1].tolist(),), "p array<double>")(eight(spark, sf_dir))
-    return flat(rows.select("region_id", F.posexplode("p").alias("i", "probability")).select("region_id", (F.col("i") + 1).alias("boundary"), "probability"))
-
-
-@register("q_hard_dp_all")
-def hard_dp_all(spark, sf_dir):
     run = solve(lambda b, s: ((r := energy.best_segmentation(b, s))[1], r[0]), "energy double, cuts array<int>")
     return flat(run(sequences(spark, sf_dir)))
 
 
-@register("q_log_partition_all")
-def log_partition_all(spark, sf_dir):
+@register("q_log_partition", chain("fe", "SELECT region_id, round(z[n + 1], 6) AS log_partition FROM fe WHERE d = 1", PROGRAMS))
+def log_partition(spark, sf_dir):
     return flat(solve(lambda b, s: (energy.log_partition(b, s),), "log_partition double")(sequences(spark, sf_dir)))
 
 
-@register("q_marginals_all")
-def marginals_all(spark, sf_dir):
+@register("q_marginals", chain("fe", "SELECT region_id, boundary, round(exp(a[boundary + 1] + 0.004 * abs(v[boundary + 1] - v[boundary]) - 0.3 + r[n - boundary + 1] - a[n + 1]), 6) AS probability FROM (SELECT x.region_id, x.v, x.n, x.z AS a, y.z AS r, unnest(range(1, x.n)) AS boundary FROM fe x JOIN fe y ON y.region_id = x.region_id AND x.d = 1 AND y.d = -1)", PROGRAMS))
+def marginals(spark, sf_dir):
     rows = solve(lambda b, s: (energy.soft(b, s)[1].tolist(),), "p array<double>")(sequences(spark, sf_dir))
     return flat(rows.select("region_id", F.posexplode("p").alias("i", "probability")).select("region_id", (F.col("i") + 1).alias("boundary"), "probability"))
 
@@ -351,7 +349,75 @@ def examples(spark, sf_dir) -> DataFrame:
     return rows.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>"))).withColumn("sample_id", F.col("region_id")).withColumn("project", F.concat(F.lit("p"), (user % 5).cast("string"), F.lit("-"), F.floor(user / 50).cast("string"))).withColumn("split", split).drop("bought")
 
 
-@register("q_structured_analysis")
+_A, _TAU = "1.000001", "4.000001"
+
+
+def _cosine(kind: str) -> str:
+    """1 less the cosine of two count tables' rows at a boundary (SQL)."""
+    return f"1.0 - coalesce({kind}_dot, 0) / (sqrt(coalesce({kind}_l, 0)) * sqrt(coalesce({kind}_r, 0)) + 1e-8)"
+
+
+_DONE = f"1 / (1 + exp(-(1.0 - {_A} * coalesce(unfinished, 0.0) / {_TAU})))"
+_DISTANCE = "CASE WHEN len(list_concat({l}, {r})) > 0 THEN 1.0 - len(list_intersect({l}, {r})) * 1.0 / len(list_distinct(list_concat({l}, {r}))) ELSE 0.0 END"
+#: SQL of the learned features at the initial parameters, and the reliability that holds for each
+_LEARNED = {
+    "death": (f"1 - exp(-{_A} * dead_n / greatest(1, left_symbols))", "parse"),
+    "birth": (f"1 - exp(-{_A} * born_n / greatest(1, right_symbols))", "parse"),
+    "symbol_distance": ("1 - least(cross_n, left_symbols, right_symbols) * 1.0 / greatest(1, left_symbols + right_symbols - least(cross_n, left_symbols, right_symbols))", "parse"),
+    "interface": (f"exp(-{_A} * (inputs_n + outputs_n))", "dependency"),
+    "dependency_release": ("1 - least(1.0, cross_dep * 1.0 / greatest(1, nearby))", "dependency"),
+    "reuse_release": (f"exp(-{_A} * coalesce(reuse, 0))", "dependency"),
+    "span_release": (f"exp(-coalesce(span_mean, 0.0) / {_TAU})", "dependency"),
+    "role_distance": (_cosine("role"), "role_reliability"),
+    "call_distance": (_DISTANCE.format(l="left_call_list", r="right_call_list"), "call_resolution"),
+    "effect_distance": (_DISTANCE.format(l="left_effects", r="right_effects"), "parse"),
+    "completion": (_DONE, "dependency"),
+    "compound_completion": (f"CASE WHEN compound THEN {_DONE} ELSE 0.0 END", "parse"),
+    "access_distance": (_DISTANCE.format(l="access_l", r="access_r"), "parse"),
+    "terminal": ("CASE WHEN terminal THEN 1.0 ELSE 0.0 END", "parse"),
+    "call_kind_distance": (_cosine("calls"), "call_resolution"),
+    "call_transition": ("transition", "callsite"),
+    "handoff": ("handoff", "callsite"),
+    "setup_done": ("1.0 - setup", "callsite"),
+    "finalization_done": ("1.0 - finalization", "callsite"),
+    "nonprimitive": ("1.0 - primitive_chain", "callsite"),
+}
+_CALL_KINDS = "[CASE WHEN v >= 5 THEN 'resolved_call' ELSE 'external_or_unresolved_call' END, CASE WHEN kind = 'click' AND v >= 50 THEN 'index_access' END]"
+
+
+def _counted(name: str, values: str) -> list[tuple[str, str]]:
+    """Tables {name}x: of the counts of values in a boundary's frames, the two sums of squares and the product (SQL)."""
+    side = lambda f: f"SELECT region_id, b, x, count(*) AS c FROM (SELECT region_id, b, unnest({values}) AS x FROM {f}) WHERE x IS NOT NULL GROUP BY 1, 2, 3"
+    return [(f"{name}cl", side("lw")), (f"{name}cr", side("rw")), (f"{name}x", f"SELECT coalesce(p.region_id, q.region_id) AS region_id, coalesce(p.b, q.b) AS b, sum(p.c * p.c) AS {name}_l, sum(q.c * q.c) AS {name}_r, sum(p.c * q.c) AS {name}_dot FROM {name}cl p FULL JOIN {name}cr q ON q.region_id = p.region_id AND q.b = p.b AND q.x = p.x GROUP BY 1, 2")]
+
+
+_MODEL = [
+    *_counted("role", "[role]"), *_counted("calls", _CALL_KINDS),
+    ("acl", "SELECT region_id, b, list_distinct(list(s) FILTER (r)) AS access_l FROM lw GROUP BY 1, 2"), ("acr", "SELECT region_id, b, list_distinct(list(s) FILTER (r)) AS access_r FROM rw GROUP BY 1, 2"),
+    ("le", f"""SELECT fx.region_id, fx.b, fx.constraints = '' AND fx.after_line <> fx.before_line AS legal, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, (v, _) in _LEARNED.items())}, parse, dependency, role_reliability, call_resolution, callsite
+        FROM (SELECT fx.* EXCLUDE (left_effects, right_effects), fx.left_effects, fx.right_effects, reuse, span_mean, unfinished, coalesce(access_l, []) AS access_l, coalesce(access_r, []) AS access_r, bd.kind = 'error' AND bd.v >= 80 AS terminal, rolex.* EXCLUDE (region_id, b), callsx.* EXCLUDE (region_id, b), relx.parse, relx.dependency, relx.role_reliability, relx.call_resolution, relx.callsite
+            FROM fx JOIN bd ON bd.region_id = fx.region_id AND bd.b = fx.b JOIN relx ON relx.region_id = fx.region_id AND relx.b = fx.b LEFT JOIN xst ON xst.region_id = fx.region_id AND xst.b = fx.b LEFT JOIN acl ON acl.region_id = fx.region_id AND acl.b = fx.b LEFT JOIN acr ON acr.region_id = fx.region_id AND acr.b = fx.b LEFT JOIN rolex ON rolex.region_id = fx.region_id AND rolex.b = fx.b LEFT JOIN callsx ON callsx.region_id = fx.region_id AND callsx.b = fx.b) fx"""),
+    ("be", f"SELECT region_id, b + 1 AS i, legal, CASE WHEN legal THEN 0.1 * ({' + '.join(f'({r} * {k} + (1 - {r}) * 0.5)' for k, (_, r) in _LEARNED.items())}) - 0.5 ELSE CAST('-infinity' AS DOUBLE) END AS e FROM le"),
+]
+_SIZE = "(1 - exp(-len / 3.000001)) * exp(-greatest(0, len - 40) / 100.0)"
+_LONE = "(1 / (1 + exp(-(len - 1.5) / 0.500001))) * (CASE WHEN len = 1 AND own = 0 THEN 0.0 ELSE 1.0 END)"
+#: segment scores by their end and by their start, and the programs over them, statement by statement
+_STRUCTURED = [
+    *_MODEL, *catalog._QUALITY[:-1],
+    ("sg", f"""SELECT region_id, s, e + 1 AS t, 0.27 * (internal * 1.0 / (internal + greatest(1, len - 1))) + 0.22 * (1.0 / (1.0 + 0.35 * (inputs + outputs))) + 0.18 * (CASE WHEN symbols > 0 THEN local * 1.0 / symbols ELSE 1.0 END) + 0.14 * greatest({_SIZE}, own) + 0.12 * (CASE WHEN compound THEN 1.0 / (1.0 + trail) ELSE 1.0 END) + 0.07 * greatest({_LONE}, own) AS e FROM mq"""),
+    ("en", "SELECT sg.region_id, sg.t AS j, list(sg.e + CASE WHEN sg.s = 0 THEN 0.0 ELSE be.e END ORDER BY sg.s) AS o FROM sg LEFT JOIN be ON be.region_id = sg.region_id AND be.i = sg.s GROUP BY 1, 2"),
+    ("st2", "SELECT sg.region_id, sg.s AS j, list(sg.e + CASE WHEN be.e IS NULL THEN 0.0 ELSE be.e END ORDER BY sg.t DESC) AS o FROM sg LEFT JOIN be ON be.region_id = sg.region_id AND be.i = sg.t GROUP BY 1, 2"),
+    ("hb", """SELECT region_id, CAST(0 AS BIGINT) AS j, CAST([0.0] AS DOUBLE[]) AS best, CAST([0] AS BIGINT[]) AS back, CAST([0.0] AS DOUBLE[]) AS z FROM n UNION ALL
+        SELECT region_id, j + 1, list_append(best, list_max(c)), list_append(back, CAST(list_position(c, list_max(c)) AS BIGINT)), list_append(z, m + ln(list_sum(list_transform(d, lambda x: exp(x - m))))) FROM (SELECT *, list_max(d) AS m FROM (SELECT hb.region_id, hb.j, hb.best, hb.back, hb.z, list_transform(hb.best, lambda x, i: x + en.o[i]) AS c, list_transform(hb.z, lambda x, i: x + en.o[i]) AS d FROM hb JOIN en ON en.region_id = hb.region_id AND en.j = hb.j + 1))"""),
+    ("hw", """SELECT region_id, n AS j, CAST([0.0] AS DOUBLE[]) AS z FROM n UNION ALL
+        SELECT region_id, j - 1, list_append(z, m + ln(list_sum(list_transform(d, lambda x: exp(x - m))))) FROM (SELECT *, list_max(d) AS m FROM (SELECT hw.region_id, hw.j, hw.z, list_transform(hw.z, lambda x, i: x + st2.o[i]) AS d FROM hw JOIN st2 ON st2.region_id = hw.region_id AND st2.j = hw.j - 1))"""),
+    ("hv", "SELECT hb.region_id, n.n, hb.best[n.n + 1] AS best, hb.back, hb.z AS fz, hw.z AS bz FROM hb JOIN n ON n.region_id = hb.region_id AND hb.j = n.n JOIN hw ON hw.region_id = hb.region_id AND hw.j = 0"),
+    ("hc", "SELECT region_id, back, back[n + 1] - 1 AS pos FROM hv UNION ALL SELECT region_id, back, back[pos + 1] - 1 FROM hc WHERE pos > 0"),
+]
+
+
+@register("q_structured_analysis", chain("be", """SELECT be.region_id, be.i AS boundary_index, CASE WHEN be.legal THEN round(be.e, 6) END AS energy, CASE WHEN be.legal THEN round(exp(hv.fz[be.i + 1] + be.e + hv.bz[hv.n - be.i + 1] - hv.fz[hv.n + 1]), 6) ELSE 0.0 END AS probability, hc.pos IS NOT NULL AS recommended,
+    CASE WHEN hc.pos IS NOT NULL THEN NULL WHEN NOT be.legal THEN 'hard_constraint' ELSE 'not_in_structured_optimum' END AS reason, round(hv.best, 6) AS best_energy, round(hv.fz[hv.n + 1], 6) AS log_partition FROM be JOIN hv ON hv.region_id = be.region_id LEFT JOIN hc ON hc.region_id = be.region_id AND hc.pos = be.i AND hc.pos > 0""", _STRUCTURED))
 def structured_analysis(spark, sf_dir):
     return flat(energy.structured_analysis(events(spark, sf_dir), energy.initial()).drop("features"))
 
@@ -363,11 +429,9 @@ def evaluate(spark, sf_dir):
 
 @register("q_train_epoch")
 def train_epoch(spark, sf_dir):
-    """The gradient of one pass over the training split, by parameter."""
-    losses, grad, n = training.batch_gradient(examples(spark, sf_dir).where("split = 'train'"), energy.initial(), 0.5, 1.0)
-    return spark.createDataFrame([(i, round(float(g / max(1, n)), 6)) for i, g in enumerate(grad)], "parameter long, gradient double")
-
-
+    """The model's parameters after one epoch over the training split, as the protocol runs it."""
+    done = training.train(examples(spark, sf_dir), training.TrainingConfig(epochs=1, minimum_epochs=1))
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(training.theta_of(done))], "parameter long, value double")
 
 
 _RAW = {"dead_symbol_count": "dead_n", "born_symbol_count": "born_n", "cross_symbol_count": "cross_n", "input_interface_count": "inputs_n", "output_interface_count": "outputs_n", "cross_dependency_count": "cross_dep", "local_cross_dependency_count": "near_cross", "nearby_dependency_count": "nearby", "left_internal_edge_count": "near_left", "right_internal_edge_count": "near_right", "left_call_count": "len(left_call_list)", "right_call_count": "len(right_call_list)", "left_effect_count": "len(left_effects)", "right_effect_count": "len(right_effects)", "control_followup_edge_count": "followups", "dependency_target_count": "targets", "raw_structural_completion": "CAST(compound AS INTEGER)", "unfinished_completion_chain": "CAST(chained AS INTEGER)", "unfinished_call_setup": "setup", "unfinished_call_finalization": "finalization", "primitive_call_chain": "primitive_chain"}
@@ -380,20 +444,33 @@ def raw_features(spark, sf_dir):
     return flat(facts.boundary_facts(events(spark, sf_dir)).select("region_id", "b", *(c.alias(k) for k, c in columns().items())))
 
 
-_A, _TAU = "1.000001", "4.000001"
-_LEARNED = {
-    "death": f"1 - exp(-{_A} * dead_n / greatest(1, left_symbols))",
-    "birth": f"1 - exp(-{_A} * born_n / greatest(1, right_symbols))",
-    "symbol_distance": "1 - least(cross_n, left_symbols, right_symbols) * 1.0 / greatest(1, left_symbols + right_symbols - least(cross_n, left_symbols, right_symbols))",
-    "interface": f"exp(-{_A} * (inputs_n + outputs_n))",
-    "dependency_release": "1 - least(1.0, cross_dep * 1.0 / greatest(1, nearby))",
-    "reuse_release": f"exp(-{_A} * coalesce(reuse, 0))",
-    "span_release": f"exp(-coalesce(span_mean, 0.0) / {_TAU})",
-    "completion": f"1 / (1 + exp(-(1.0 - {_A} * coalesce(unfinished, 0.0) / {_TAU})))",
-}
-
-
-@register("q_learned_features", chain("fx", "SELECT region_id, b + 1 AS boundary_index, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _LEARNED.items()) + " FROM fx LEFT JOIN (SELECT region_id, b, reuse, span_mean, unfinished FROM xst) q USING (region_id, b)"))
+@register("q_learned_features", chain("le", "SELECT region_id, b + 1 AS boundary_index, " + ", ".join(f"round({k}, 6) AS {k}" for k in _LEARNED) + " FROM le", _MODEL))
 def learned_features(spark, sf_dir):
     rows = energy.structured_analysis(events(spark, sf_dir), energy.initial())
     return flat(rows.select("region_id", "boundary_index", *(F.col("features")[energy.LEARNED.index(k)].alias(k) for k in _LEARNED)))
+
+
+#: the stated cuts (legal boundaries after purchases), the pieces they leave, and the losses of both kinds
+_LOSSES = [
+    *_STRUCTURED,
+    ("gt", "SELECT be.region_id, be.i, be.e FROM be JOIN st ON st.region_id = be.region_id AND st.idx = be.i - 1 WHERE be.legal AND st.kind = 'purchase'"),
+    ("gp", "SELECT region_id, i AS s, lead(i) OVER (PARTITION BY region_id ORDER BY i) AS t FROM (SELECT region_id, i FROM gt UNION ALL SELECT region_id, 0 FROM n UNION ALL SELECT region_id, n FROM n)"),
+    ("ge", "SELECT gp.region_id, sum(sg.e) AS e FROM gp JOIN sg ON sg.region_id = gp.region_id AND sg.s = gp.s AND sg.t = gp.t GROUP BY 1"),
+    ("gc", "SELECT be.region_id, gt.i IS NOT NULL AS cut, avg(CASE WHEN gt.i IS NOT NULL THEN ln(1 + exp(-be.e)) ELSE ln(1 + exp(be.e)) END) AS loss FROM be LEFT JOIN gt ON gt.region_id = be.region_id AND gt.i = be.i WHERE be.legal GROUP BY 1, 2"),
+    ("gs", "SELECT region_id, sum(e) AS e FROM gt GROUP BY 1"), ("gm", "SELECT region_id, avg(loss) AS loss FROM gc GROUP BY 1"),
+]
+
+
+@register("q_structured_loss", chain("hv", "SELECT hv.region_id, round(hv.fz[hv.n + 1] - ge.e - coalesce(gs.e, 0.0), 6) AS structured_loss, round(coalesce(gm.loss, 0.0), 6) AS balanced_loss FROM hv JOIN ge ON ge.region_id = hv.region_id LEFT JOIN gs ON gs.region_id = hv.region_id LEFT JOIN gm ON gm.region_id = hv.region_id", _LOSSES))
+def structured_loss(spark, sf_dir):
+    """Of the initial model, by sequence: the structured loss, and the mean over both classes of the logistic loss by class."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                e, cuts = energy.Energy(energy.initial(), energy.region_of(r)), [int(c) for c in r["cuts"]]
+                out.append((r["region_id"], energy.nll(e, cuts)[0], energy.balanced_bce(e, cuts)[0]))
+            yield pd.DataFrame(out, columns=["region_id", "structured_loss", "balanced_loss"])
+
+    return flat(examples(spark, sf_dir).mapInPandas(run, "region_id string, structured_loss double, balanced_loss double"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from weftline.operators.scoring import WEIGHTS
 
 JOIN = "b.region_id = j.region_id"
@@ -69,12 +71,11 @@ def chain(end: str, select: str, more: list[tuple[str, str]] = []) -> str:
     ctes = CTES + more
     known = dict(ctes)
     names = [k for k, _ in ctes]
-    import re
-
     need, todo = set(), [end, *(x for x in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", select) if x in known)]
     while todo:
         k = todo.pop()
         if k not in need:
             need.add(k)
             todo += [x for x in names if x != k and re.search(rf"\b{x}\b", known[k]) and re.search(rf"(?:FROM|JOIN|,)\s+{x}\b", known[k])]
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes if k in need) + f"\n{select}"
+    recursive = any(re.search(rf"(?:FROM|JOIN)\s+{k}\b", known[k]) for k in need)
+    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{k} AS ({v})" for k, v in ctes if k in need) + f"\n{select}"
