@@ -64,3 +64,32 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = minhash.near_duplicates(spark.createDataFrame([(None, t), (4, t), (4, t), (9, t.upper())], schema)).collect()
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in got) == [(-1, 4, False), (4, 4, True), (4, 4, True), (9, 4, False)]
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_chance_of_a_missed_bucket():
+    worst = max(minhash.missed(i, u, 64) for u in range(1, 2000) for i in [-(-3 * u // 4)])
+    assert 0 < worst < 5e-11 and minhash.missed(3, 4, 64) < 2e-12
+    sets = [minhash.shingles(minhash.word_hashes("a b c d e f g" + x)) for x in ("", " h")]
+    assert [len(s) for s in sets] == [3, 4]
+    assert len(set(minhash.signature(sets[0], 64).tolist()) & set(minhash.signature(sets[1], 64).tolist())) > 5
+
+
+def test_many_short_texts_with_three_of_four_shingles(spark):
+    """8,000 pairs of a text and the same with one word more: all just similar enough, none may be lost."""
+    rows = []
+    for i in range(8000):
+        t = " ".join(f"w{i}x{k}" for k in range(7))
+        rows += [(2 * i, t), (2 * i + 1, t + " more")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("component_id <> doc_id - doc_id % 2 or n_shingles <> 3 + doc_id % 2").count() == 0
+
+
+def test_long_regular_words_are_told_apart(spark):
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    assert len({int(minhash.word_hashes(w)[0]) for w in (morse, other, morse[:1024], other[:1024], "b" * 64, "b" * 65)}) == 6
+    assert minhash.word_hashes(morse.upper())[0] == minhash.word_hashes(morse)[0]
+    got = minhash.near_duplicates(spark.createDataFrame([(1, morse), (2, other), (3, morse.upper())], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]

@@ -1,7 +1,9 @@
 """Near-duplicate documents by min-max hashing, banding and exact confirmation.
 
 Of every hash permutation both the minimum and the maximum are kept, so `bands` bands of four values need two
-permutations each. Two sets of similarity 0.75 meet in at least one of 40 bands but for a chance of 3 in ten million.
+permutations each. Sets with i of u shingles in common meet in a band with a chance of (i (i - 1) / (u (u - 1))) ** 2, which
+is lower for small sets; sets of under SMALL shingles have half as many bands again. Of two sets at similarity 0.75 a link
+to their bucket is missed with a chance of at most 4 in 10 ** 11 (`missed`), whatever their sizes.
 
 Equal shingle sets collapse into one node first. Within a band's bucket every node is compared with the bucket's smallest
 node only (a star, no pairs within groups), on full sets. Buckets whose nodes then lie in more than one component may
@@ -32,8 +34,22 @@ from weftline.llm.words import mix, shingles, word_hashes
 from weftline.session import materialize
 
 
+SMALL = 48
+
+
+def bands_of(size: int, bands: int) -> int:
+    return bands + bands // 2 if size < SMALL else bands
+
+
+def missed(both: int, union: int, bands: int) -> float:
+    """The chance that sets with so many common shingles, of so many together, share no band."""
+    smaller = bands_of(union, bands)  # the larger set has at most `union` shingles
+    return (1 - (both * (both - 1) / (union * (union - 1))) ** 2) ** smaller if union > 1 else 0.0
+
+
 def signature(s: np.ndarray, bands: int) -> np.ndarray:
     """One key for each band of a set of shingles."""
+    bands = bands_of(len(s), bands)
     n = 2 * bands
     a, c = mix(np.arange(1000, 1000 + n, dtype=np.uint64)) | np.uint64(1), mix(np.arange(5000, 5000 + n, dtype=np.uint64))
     low, high = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
@@ -139,7 +155,7 @@ def placed_documents(docs: DataFrame, percent: int, k: int, bands: int, slots: i
     return sigs.join(comp, "node", "left").select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 64, slots: int = 1 << 18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, component (the node that names it, null without shingles) of each row."""
     placed = placed_documents(texts(docs), percent, k, bands, slots)
     ids = materialize(placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "ids")
@@ -158,7 +174,7 @@ ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(
     SELECT s.doc_id, any_value(len(sh)) AS n_shingles, min(r.c) AS component_id, s.doc_id = min(r.c) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id"""
 
 
-def survivors(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, slots: int = 1 << 18) -> DataFrame:
+def survivors(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 64, slots: int = 1 << 18) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the one of the smallest doc_id, and every text without words.
 
     Repeated rows of one doc_id and text are one document, so one of them stays.

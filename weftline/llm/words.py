@@ -1,12 +1,15 @@
 """Words and word shingles as 64-bit hashes, whole texts at a time.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Hashes depend on the word's bytes alone.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Hashes depend on the word's bytes alone:
+a polynomial in them for words of up to LONG bytes, XXH3 for longer ones (long regular words can share a polynomial).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+LONG = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -43,8 +46,12 @@ def word_hashes(text: str) -> np.ndarray:
     inside = FOLD[raw[~gap]].astype(np.uint64) + np.uint64(1)
     at = np.r_[0, np.cumsum(length)[:-1]]
     place = np.arange(len(inside)) - np.repeat(at, length)
-    sums = np.add.reduceat(inside * powers(int(length.max()))[place], at)
-    return mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # the places of long words may wrap: their sums aren't used
+    sums = np.add.reduceat(inside * powers(LONG)[place & (LONG - 1)], at)
+    out = mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(length > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(FOLD[raw[start[i] : end[i]]].tobytes())
+    return out
 
 
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
