@@ -36,12 +36,34 @@ SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
 SYMBOL[ord("0") : ord("9") + 1] = 27
 START, END = 30, 31
 WEIGHT = DECAY ** (np.arange(8) + 1.0)
+
+
+class Spelling(dict):
+    """For str.translate: accents, punctuation and signs outside ASCII fall away, letters of other scripts become letters by
+    a hash of their code, so that words of every script keep their pattern of equal and different letters (but for clashes).
+    """
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)[0]
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalnum())
+        if code < 128:
+            out = c
+        elif c.isspace():
+            out = " "
+        else:
+            out = "" if kind not in "LN" else plain or chr(97 + (ord(c.lower()[0]) * 2654435761 >> 12) % 26)
+        self[code] = out
+        return out
+
+
+SPELLING = Spelling()
 LONE = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-case words; spelled-out words (single letters) are joined; long ones become overlapping windows."""
-    text = text.lower()
+    """Distinct lower-case words in ASCII; spelled-out words (single letters) are joined; long ones become overlapping windows."""
+    text = (text if text.isascii() else text.translate(SPELLING)).lower()
     found = set(text.split())
     found |= {m.replace(" ", "") for m in LONE.findall(text)}
     for w in [w for w in found if len(w) > LONGEST]:
@@ -51,8 +73,8 @@ def words_of(text: str) -> set[str]:
 
 
 def terms(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By word length: the words' places, and rows of sorted terms (triple << 3 | span), -1 for none."""
-    coded = [(w if w.isascii() else unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode() or "?")[: 2 * LONGEST].encode() for w in words]
+    """By length of the (ASCII) words: their places, and rows of sorted terms (triple << 3 | span)."""
+    coded = [w.encode("ascii") for w in words]
     lengths = np.array([len(c) for c in coded])
     for n in np.unique(lengths):
         for at in np.array_split(np.flatnonzero(lengths == n), max(1, (lengths == n).sum() // 4096)):
