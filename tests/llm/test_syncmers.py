@@ -21,16 +21,17 @@ def test_edits_follow_the_next_document_and_sketches_are_those_of_the_edited_tex
     schema = "doc_id long, text string, n string, chunk int"
     got = syncmers.fingerprints(spark.createDataFrame([(*r, "c", 1) for r in rows], schema), chunk=16, fan=8).collect()
     assert len(got) == len(rows)
-    line = ordered(rows)
+    line = ordered([r for r in rows if r[0] is not None])
     want = {}
-    for r, nxt in zip(line, line[1:] + line[:1]):
+    # a row without an id is followed by the first document, and follows none
+    for r, nxt in [*zip(line, line[1:] + line[:1]), *((r, line[0]) for r in rows if r[0] is None)]:
         text, after = r[1] or "", nxt[1] or ""
         m = len(text) // 3
         want.setdefault(r[0], []).append(text[: len(text) - m] + after[:m])
     for r in got:
         assert r.edited_sha256 in [hashlib.sha256(e.encode()).hexdigest() for e in want[r.doc_id]]
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    edited = spark.createDataFrame([(r[0], want[r[0]][0], "c", 1) for r in line], schema)
+    edited = spark.createDataFrame([(r[0], want[r[0]][0], "c", 1) for r in ordered(rows)], schema)
     again = {r.doc_id: r.fingerprint for r in syncmers.fingerprints(edited, chunk=16, fan=8).collect()}
     assert all(again[r.doc_id] == r.edited_fingerprint for r in got if r.doc_id != 3000)
     by_text = {}
@@ -58,3 +59,9 @@ def test_single_row_and_empty_table(spark):
     r = syncmers.fingerprints(df).collect()[0]
     assert r.near_next == 1.0 and 0 < r.near_edited < 1
     assert syncmers.fingerprints(df.limit(0)).count() == 0
+
+
+def test_tables_without_any_id(spark):
+    rows = [(None, t) for t in ("some text that is long enough", "another text that is long enough", None, "some text that is long enough")]
+    got = syncmers.fingerprints(spark.createDataFrame(rows * 50, "doc_id long, text string")).collect()
+    assert len(got) == 200 and all(r.near_next in (0.0, 1.0) for r in got)  # the smallest text, an empty one, follows them all

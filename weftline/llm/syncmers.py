@@ -12,8 +12,9 @@ ordered within each, and a chunk's last row gets the first row of the next chunk
 
 Texts without anchors (shorter than k, or none chosen) have one anchor, the hash of the whole text; empty and null texts
 have none and an empty fingerprint, and two of them have likeness 1. Equal texts have equal fingerprints. Rows without a
-doc_id come last; equal ids are ordered by text, repeated rows in any order (they are alike). A single row is its own
-next. Further columns are ignored; an empty table gives none.
+doc_id stand outside the order, each followed by the first document (in a table of such rows alone, by the smallest text);
+equal ids are ordered by text, repeated rows in any order (they are alike). A single row is its own next. Further columns
+are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import texts
 
 LAST = -(1 << 62)
+#: chunks over which rows without an id are spread
+SPREAD = 1024
 
 
 def places(text: str, k: int, s: int) -> str:
@@ -77,18 +80,23 @@ def chunk_links(ids: DataFrame, fan: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame, k: int = 12, s: int = 4, keep: int = 64, chunk: int = 256, fan: int = 1 << 16) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
-    base = texts(docs).withColumn("chunk", F.coalesce(F.floor(F.col("doc_id") / chunk), F.lit(LAST)))
+    # rows without an id need no neighbour: they are dealt to chunks of their own, at random
+    alone = F.lit(LAST) - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    base = texts(docs).withColumn("chunk", F.when(F.col("doc_id").isNull(), alone).otherwise(F.floor(F.col("doc_id") / chunk)))
     base = base.withColumn("o", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)))
-    tops = base.groupBy("chunk").agg(F.min(F.struct("o", "text")).alias("t")).select("chunk", F.col("t.text").alias("text"))
-    tops = tops.withColumn("sk", F.expr(smallest(places("text", k, s), keep))).select(F.col("chunk").alias("following"), F.col("text").alias("top"), F.expr(whole("sk", "text")).alias("top_sk"))
-    bridge = chunk_links(base.select("chunk"), fan).join(tops, "following").select(F.col("chunk").alias("c"), "top", "top_sk")
+    sketched = lambda rows, name: rows.withColumn("sk", F.expr(smallest(places("text", k, s), keep))).select(name, F.col("text").alias("top"), F.expr(whole("sk", "text")).alias("top_sk"))
+    tops = base.where("doc_id is not null").groupBy("chunk").agg(F.min(F.struct("o", "text")).alias("t")).select(F.col("chunk").alias("following"), F.col("t.text").alias("text"))
+    first = base.agg(F.min(F.struct("o", "text")).alias("t"), F.count_if(F.col("doc_id").isNull()).alias("none")).where("none > 0").select(F.col("t.text").alias("text"))
+    first = first.withColumn("c", F.explode(F.sequence(F.lit(LAST - SPREAD + 1), F.lit(LAST))))
+    bridge = chunk_links(base.where("doc_id is not null").select("chunk"), fan).join(sketched(tops, "following"), "following").select(F.col("chunk").alias("c"), "top", "top_sk").unionByName(sketched(first, "c"))
 
     n, m = F.length("text"), F.floor(F.length("text") / 3)
     rows = base.withColumn("n", n.cast("int")).withColumn("head", (n - m).cast("int"))
     both = f"transform(array({places('text', k, s)}), a -> named_struct('full', {smallest('a', keep)}, 'head', {smallest(f'slice(a, 1, greatest(0, head - {k - 1}))', keep)}))[0]"
     rows = rows.withColumn("sks", F.expr(both)).select("doc_id", "text", "chunk", "o", "n", "head", F.expr(whole("sks.full", "text")).alias("sk"), F.col("sks.head").alias("sk_head"))
     w = Window.partitionBy("chunk").orderBy("o", "text")
-    rows = rows.withColumn("next", F.lead("text").over(w)).withColumn("next_sk", F.lead("sk").over(w))
+    known = F.col("doc_id").isNotNull()
+    rows = rows.withColumn("next", F.when(known, F.lead("text").over(w))).withColumn("next_sk", F.when(known, F.lead("sk").over(w)))
     rows = rows.join(bridge, F.col("chunk") == F.col("c")).withColumn("next_sk", F.expr("if(next is null, top_sk, next_sk)")).withColumn("next", F.coalesce("next", "top"))
     rows = rows.withColumn("tail", F.expr("substring(next, 1, n - head)")).drop("next", "top")
     start = f"greatest(0, head - {k - 1})"
