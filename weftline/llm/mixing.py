@@ -9,9 +9,9 @@ bounded by parameters) and every row finds its slot by arithmetic. When a source
 others go on in the same order: no row is dropped or repeated. `position` is the row's place in the mixed stream: over
 the sources, the rows that go before its slot, in closed form.
 
-Rows of a source are ordered by the MD5 of doc_id (then doc_id). Ranks come from counts over hash ranges (the first
-`digits` hex digits) and a numbering within each range, so a source with a third of all rows spreads over 16 ** digits
-groups.
+Rows of a source are ordered by the MD5 of doc_id (then doc_id). Ranks come from counts over hash ranges (the first hex
+digits) and a numbering within each range; there are enough digits for about `each` rows in a range if one source had all
+rows. Rows without a doc_id share one MD5 and are dealt over as many ranges of their own.
 
 A null source is a source of its own; null doc_ids are kept (hashed like any value); repeated rows are separate rows, in
 any order among themselves; texts are not read; an empty table gives none; further columns are ignored, or carried with
@@ -21,6 +21,9 @@ that add up to more than `longest`, raise an error.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +79,16 @@ def oracle(weights: dict[str, int], default: int = 1) -> str:
             CAST(list_sum(list_transform(es, lambda x, j: least(ns[j], b // e * x + before[j]))) AS BIGINT) AS position FROM r JOIN slots ON slots.i = r.i AND slots.turn = r.b % r.e, one"""
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = 1, digits: int = 3, most: int = 4096, longest: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = 1, each: int = 4096, most: int = 4096, longest: int = 100_000, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, block, slot, release, deadline, position of each row (and the columns in `keep`)."""
     keep = keep or []
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), *keep).withColumn("h_", h).withColumn("key", named("source"))
-    rows = rows.withColumn("r_", F.substring("h_", 1, digits))
+    digits = max(1, math.ceil(math.log(max(1, docs.count()) / each, 16)))
+    apart = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(16**digits))).otherwise(0)
+    # the ranges of rows without an id lie within their MD5's, so the order by MD5 stays; other rows of its range come first or last
+    null = hashlib.md5(b"").hexdigest()
+    rows = rows.withColumn("r_", F.struct(F.substring("h_", 1, digits).alias("lead"), F.when(F.col("doc_id").isNull(), 1).when(F.col("h_") > null, 2).otherwise(0).alias("side"), apart.alias("apart")))
     tally = rows.groupBy("key", "r_").count()
     slots = period(tally.groupBy("key").agg(F.sum("count").alias("n")), weights or {}, default, most, longest)
     before = F.sum("count").over(Window.partitionBy("key").orderBy("r_").rowsBetween(Window.unboundedPreceding, -1))
