@@ -232,7 +232,42 @@ def sources(spark, sf_dir) -> DataFrame:
     return semantic.rendered(tasks, ops, bounds).select(F.concat("graph_id", F.lit(".m")).alias("path"), F.encode("source", "UTF-8").alias("content"))
 
 
-@register("q_render")
+def _case(key: str, table: dict[str, str], other: str = "NULL") -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
+
+
+def _texts(lines: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in lines) + "]"
+
+
+#: the same graphs' symbols, names, lines and truth, by SQL
+_DRAWN = f"""{GRAPHS.replace("WITH tk", "WITH tk0")}, tk AS (SELECT *, {_texts(list(ROLES))}[(c + t) % 7 + 1] AS role, {_texts(list(semantic.CONTROLS))}[(c + t) % 7 + 1] AS control, CASE WHEN t = 0 THEN [] ELSE ['x' || (t - 1)] END AS inputs, CASE WHEN t = 0 THEN 't0_condition' ELSE 'x' || (t - 1) END AS condition FROM tk0),
+    w AS (SELECT *, lead(t) OVER (PARTITION BY graph_id ORDER BY t) AS nt FROM tk),
+    bo AS (SELECT graph_id, t, 't' || t || '->t' || nt AS own, CASE WHEN t % 3 = 1 AND nt = t + 1 THEN (CASE WHEN c % 2 = 0 THEN 'ambiguous' ELSE 'cut' END) WHEN t // 2 = nt // 2 THEN 'no_cut' ELSE 'cut' END AS label, CASE WHEN t % 3 = 1 AND nt = t + 1 THEN 'b' || t ELSE 't' || t || '->t' || nt END AS boundary_id FROM w WHERE nt IS NOT NULL),
+    o AS (SELECT *, t * 10000 + i AS op, 't' || t || CASE WHEN i > steps THEN '.completion' || (i - steps) ELSE '.op' || i END AS op_id, CASE WHEN i > steps THEN 't' || t || '.final' || (i - steps) ELSE 'x' || t END AS def, CASE WHEN i = 1 THEN inputs WHEN i - 1 > steps THEN ['t' || t || '.final' || (i - 1 - steps)] ELSE ['x' || t] END AS reads FROM (SELECT *, unnest(range(1, CAST(steps + tail + 1 AS BIGINT))) AS i FROM tk)),
+    us AS (SELECT graph_id, t, op, 0 AS pos, unnest(reads) AS symbol FROM o UNION ALL SELECT graph_id, t, op, len(reads), def FROM o UNION ALL SELECT graph_id, t, -1, 0, condition FROM tk WHERE control <> 'none'),
+    fu AS (SELECT *, 'v' || lpad(CAST(CAST('0x' || substr(md5('0:' || symbol), 1, 8) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS base FROM us QUALIFY row_number() OVER (PARTITION BY graph_id, symbol ORDER BY t, op, pos) = 1),
+    nm AS (SELECT graph_id, symbol, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, base ORDER BY t, op, pos, symbol) AS k FROM fu)),
+    ol AS (SELECT o.graph_id, t, CASE WHEN i > steps THEN 3 ELSE 1 END AS part, op, op_id, CASE WHEN i > steps OR control = 'none' THEN '' WHEN control IN ('nested', 'loop_branch') THEN repeat(' ', 8) ELSE repeat(' ', 4) END || d.name || ' = ' || replace({_case("CASE WHEN i > steps THEN 'shaping' ELSE role END", {k: "'" + v + "'" for k, v in semantic.TEMPLATES.items()}, "'{x} + 1'")}, '{{x}}', coalesce(r.name, 'randn(16, 1)')) || ';' AS text, CASE WHEN i > steps OR control = 'none' THEN 1 ELSE 0 END AS counts
+        FROM o JOIN nm d ON d.graph_id = o.graph_id AND d.symbol = o.def LEFT JOIN nm r ON r.graph_id = o.graph_id AND r.symbol = o.reads[1]),
+    fr AS (SELECT tk.graph_id, t, part, unnest(range(len(texts))) AS op, NULL AS op_id, unnest(texts) AS raw, name FROM (SELECT tk.*, 0 AS part, {_case("control", {k: _texts(v) for k, v in semantic.OPENING.items()})} AS texts FROM tk UNION ALL SELECT tk.*, 2, {_case("control", {k: _texts(v) for k, v in semantic.CLOSING.items()})} FROM tk) tk JOIN nm ON nm.graph_id = tk.graph_id AND nm.symbol = tk.condition WHERE control <> 'none'),
+    li AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY t, part, op) AS line FROM (SELECT graph_id, t, part, op, op_id, text, counts FROM ol UNION ALL SELECT graph_id, t, part, op, op_id, replace(raw, '{{c}}', name), CASE WHEN part = 0 AND op = 0 THEN 1 ELSE 0 END FROM fr)),
+    rg AS (SELECT graph_id, t, sum(n) OVER (PARTITION BY graph_id ORDER BY t) AS cut FROM (SELECT graph_id, t, sum(counts) AS n FROM li GROUP BY 1, 2)),
+    tr AS (SELECT bo.*, cut FROM bo JOIN rg USING (graph_id, t)),
+    tj AS (SELECT graph_id, '[' || string_agg('{{"ordinal":' || t || ',"task_id":"t' || t || '","role":"' || role || '","inputs":[' || CASE WHEN t = 0 THEN '' ELSE '"x' || (t - 1) || '"' END || '],"outputs":["x' || t || '"],"steps":' || steps || ',"control":"' || control || '","tail":' || tail || ',"module_id":"m' || (t // 2) || '"}}', ',' ORDER BY t) || ']' AS j FROM tk GROUP BY 1),
+    bj AS (SELECT graph_id, '[' || string_agg('{{"boundary_id":"b' || t || '","left_task_id":"t' || t || '","right_task_id":"t' || (t + 1) || '","label":"' || CASE WHEN c % 2 = 0 THEN 'ambiguous' ELSE 'cut' END || '"}}', ',' ORDER BY 'b' || t) || ']' AS j FROM tk WHERE t % 3 = 1 GROUP BY 1),
+    pi AS (SELECT tj.graph_id, sha256(tj.j || coalesce(bj.j, '[]')) AS semantic_program_id FROM tj LEFT JOIN bj USING (graph_id))"""
+
+
+@register("q_program_id", f"{_DRAWN} SELECT graph_id, semantic_program_id FROM pi")
+def program_id(spark, sf_dir):
+    tasks, _, _, bounds = graphs(spark, sf_dir)
+    return semantic.program_id(tasks, bounds)
+
+
+@register("q_render", f"""{_DRAWN} SELECT a.graph_id, a.source, coalesce(b.true_cuts, '') AS true_cuts, coalesce(b.ambiguous, '') AS ambiguous, sha256(concat_ws('|', semantic_program_id, 'vectorized', '0', a.places, coalesce(b.bounds, ''))) AS trace
+    FROM (SELECT graph_id, string_agg(text, chr(10) ORDER BY line) || chr(10) AS source, string_agg(op_id || ':' || line, ',' ORDER BY line) AS places FROM li GROUP BY 1) a JOIN pi USING (graph_id)
+    LEFT JOIN (SELECT graph_id, string_agg(cut, ',' ORDER BY t) FILTER (label = 'cut') AS true_cuts, string_agg(cut, ',' ORDER BY t) FILTER (label = 'ambiguous') AS ambiguous, string_agg(boundary_id || ':' || cut, ',' ORDER BY t) AS bounds FROM tr GROUP BY 1) b USING (graph_id)""")
 def render(spark, sf_dir):
     tasks, ops, _, bounds = graphs(spark, sf_dir)
     return flat(semantic.rendered(tasks, ops, bounds).select("graph_id", "source", "true_cuts", "ambiguous", "trace"))
@@ -419,12 +454,7 @@ _STRUCTURED = [
 @register("q_structured_analysis", chain("be", """SELECT be.region_id, be.i AS boundary_index, CASE WHEN be.legal THEN round(be.e, 6) END AS energy, CASE WHEN be.legal THEN round(exp(hv.fz[be.i + 1] + be.e + hv.bz[hv.n - be.i + 1] - hv.fz[hv.n + 1]), 6) ELSE 0.0 END AS probability, hc.pos IS NOT NULL AS recommended,
     CASE WHEN hc.pos IS NOT NULL THEN NULL WHEN NOT be.legal THEN 'hard_constraint' ELSE 'not_in_structured_optimum' END AS reason, round(hv.best, 6) AS best_energy, round(hv.fz[hv.n + 1], 6) AS log_partition FROM be JOIN hv ON hv.region_id = be.region_id LEFT JOIN hc ON hc.region_id = be.region_id AND hc.pos = be.i AND hc.pos > 0""", _STRUCTURED))
 def structured_analysis(spark, sf_dir):
-    return flat(energy.structured_analysis(events(spark, sf_dir), energy.initial()).drop("features"))
-
-
-@register("q_eval")
-def evaluate(spark, sf_dir):
-    return flat(metrics.rollup(metrics.evaluate(examples(spark, sf_dir), energy.initial())))
+    return flat(energy.structured_analysis(events(spark, sf_dir), energy.initial()).drop("path", "features"))
 
 
 @register("q_train_epoch")
@@ -474,3 +504,20 @@ def structured_loss(spark, sf_dir):
             yield pd.DataFrame(out, columns=["region_id", "structured_loss", "balanced_loss"])
 
     return flat(examples(spark, sf_dir).mapInPandas(run, "region_id string, structured_loss double, balanced_loss double"))
+
+
+#: predictions of the model against the stated cuts: matching within 0, 1 and 2, and the roll-up
+_EVAL = [
+    *_LOSSES,
+    ("ps", "SELECT n.region_id, n.n, coalesce(p.c, []) AS p, coalesce(g.c, []) AS t, hv.fz[hv.n + 1] - ge.e - coalesce(gs.e, 0.0) AS nll FROM n JOIN hv ON hv.region_id = n.region_id JOIN ge ON ge.region_id = n.region_id LEFT JOIN gs ON gs.region_id = n.region_id LEFT JOIN (SELECT region_id, list(pos ORDER BY pos) AS c FROM hc WHERE pos > 0 GROUP BY 1) p ON p.region_id = n.region_id LEFT JOIN (SELECT region_id, list(i ORDER BY i) AS c FROM gt GROUP BY 1) g ON g.region_id = n.region_id"),
+    ("gm2", """SELECT region_id, tol, p, len(t) AS nt, t AS free, 0 AS i, 0 AS hit FROM ps, (VALUES (0), (1), (2)) x(tol) UNION ALL
+        SELECT region_id, tol, p, nt, CASE WHEN near IS NULL THEN free ELSE list_filter(free, lambda x: x <> near) END, i + 1, hit + CASE WHEN near IS NULL THEN 0 ELSE 1 END FROM (SELECT *, list_min(list_transform(list_filter(free, lambda x: abs(p[i + 1] - x) <= tol), lambda x: abs(p[i + 1] - x) * 1000000 + x)) % 1000000 AS near FROM gm2 WHERE i < len(p))"""),
+    ("gr2", "SELECT region_id, tol, hit AS tp, len(p) - hit AS fp, nt - hit AS fn FROM gm2 WHERE i = len(p)"),
+    ("ex", "SELECT ps.region_id, ps.nll, 'p' || (u % 5) || '-' || (u // 50) AS project, 'function' AS region_kind, CASE WHEN n < 30 THEN 'short_lt_30' WHEN n <= 80 THEN 'medium_30_80' ELSE 'long_gt_80' END AS bucket, a.tp, a.fp, a.fn, b.tp AS tp1, b.fp AS fp1, b.fn AS fn1, c.tp AS tp2, c.fp AS fp2, c.fn AS fn2 FROM (SELECT *, CAST(split_part(region_id, ':', 2) AS BIGINT) AS u FROM ps) ps JOIN gr2 a ON a.region_id = ps.region_id AND a.tol = 0 JOIN gr2 b ON b.region_id = ps.region_id AND b.tol = 1 JOIN gr2 c ON c.region_id = ps.region_id AND c.tol = 2"),
+    *[(k, v.replace("FROM my", "FROM ex").replace("avg(n / 10.0)", "avg(nll)").replace("CAST(sum(n % 2) AS BIGINT)", "CAST(0 AS BIGINT)")) for k, v in _ALL[1:]],
+]
+
+
+@register("q_eval", chain("rfs", _rolled("stratum, name, samples", "", "violations", "") + " UNION ALL " + _rolled("'project_macro', 'all', count(*)", "avg", "CAST(sum(violations) AS BIGINT)", "WHERE stratum = 'project'"), _EVAL))
+def evaluate(spark, sf_dir):
+    return flat(metrics.rollup(metrics.evaluate(examples(spark, sf_dir), energy.initial())))

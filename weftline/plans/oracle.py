@@ -77,5 +77,5 @@ def chain(end: str, select: str, more: list[tuple[str, str]] = []) -> str:
         if k not in need:
             need.add(k)
             todo += [x for x in names if x != k and re.search(rf"\b{x}\b", known[k]) and re.search(rf"(?:FROM|JOIN|,)\s+{x}\b", known[k])]
-    recursive = any(re.search(rf"(?:FROM|JOIN)\s+{k}\b", known[k]) for k in need)
-    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(f"{k} AS ({v})" for k, v in ctes if k in need) + f"\n{select}"
+    recursive = {k for k in need if re.search(rf"(?:FROM|JOIN)\s+{k}\b", known[k])}
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{k} AS {'' if k in recursive else 'MATERIALIZED '}({v})" for k, v in ctes if k in need) + f"\n{select}"
