@@ -61,6 +61,9 @@ def test_written_tables_are_released(spark):
     path = session._WRITTEN[0]
     assert df.count() == 5 and path.startswith(session.shared_dir(spark)) and os.path.exists(path)
     assert session.release(spark) == 1 and not os.path.exists(path)
+    a, b = session.materialize(spark.range(3), "a"), session.materialize(spark.range(4), "b")
+    session.discard(a)
+    assert not os.path.exists(a.written_to) and b.count() == 4 and session.release(spark) == 1
 
 
 def test_engine_queries_outlive_missing_libraries():

@@ -72,11 +72,23 @@ def release(spark: SparkSession) -> int:
     """Deletes the tables that materialize wrote in this process; frames that read them are of no use afterwards."""
     paths, _WRITTEN[:] = list(_WRITTEN), []
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     return len(paths)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialize wrote, once nothing reads it any more."""
+    path = getattr(df, "written_to", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, p: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(p)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
 
@@ -85,4 +97,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
