@@ -87,8 +87,45 @@ def validation(examples: DataFrame, theta: np.ndarray, temperature: float) -> di
     return {"structured_nll": loss.a, "normalized_structured_nll": loss.b, "f1_exact": f1[0], "f1_tolerance_1": f1[1], "predicted_cuts": int(loss.c), "truth_cuts": int(loss.d)}
 
 
+@dataclass
+class Selection:
+    """The parameters chosen so far: by exact f1, then f1 within 1, then a loss that falls by a stated margin."""
+
+    margin: float
+    rank: tuple[float, float, float] | None = None
+    epoch: int = 0
+    stale: int = 0
+    theta: np.ndarray | None = None
+
+    def offer(self, epoch: int, theta: np.ndarray, v: dict[str, float]) -> bool:
+        f1, loss = (v["f1_exact"], v["f1_tolerance_1"]), v["normalized_structured_nll"]
+        wins = self.rank is None or (f1 > self.rank[:2] if f1 != self.rank[:2] else loss < self.rank[2] - self.margin)
+        self.stale = 0 if wins else self.stale + 1
+        if wins:
+            self.rank, self.epoch, self.theta = (*f1, loss), epoch, theta.copy()
+        return wins
+
+
+def gradients(fit: DataFrame, n: int, config: TrainingConfig) -> Callable[[list[str], np.ndarray, float], tuple[np.ndarray, np.ndarray, int]]:
+    """Losses, gradient and number of a batch of examples: from memory up to `local_examples` of them, else by Spark."""
+    if n > config.local_examples:
+        return lambda ids, theta, auxiliary: batch_gradient(fit.where(F.col("sample_id").isin(ids)), theta, auxiliary, config.soft_dp_temperature)
+    held = {r["sample_id"]: (en.region_of(r), [int(c) for c in r["cuts"]]) for r in fit.collect()}
+
+    def local(ids: list[str], theta: np.ndarray, auxiliary: float) -> tuple[np.ndarray, np.ndarray, int]:
+        losses, slopes = zip(*(en.loss_and_gradient(theta, *held[s], config.soft_dp_temperature, auxiliary) for s in ids))
+        return sum(losses), sum(slopes), len(ids)
+
+    return local
+
+
+def clipped(gradient: np.ndarray, most: float) -> np.ndarray:
+    norm = float(np.sqrt(gradient @ gradient))
+    return gradient * min(1.0, most / (norm + 1e-6)) if norm > most else gradient
+
+
 def train(examples: DataFrame, config: TrainingConfig = TrainingConfig(), theta: np.ndarray | None = None, progress: Callable[[dict], None] | None = None) -> dict:
-    """Fits on the split train, selects on validation (exact f1, then f1 within 1, then loss); test rows are never read.
+    """Fits on the split train, selects on validation (Selection); test rows are never read.
 
     examples: sample_id, project, split, cuts and the columns of energy.region_rows.
     """
@@ -101,45 +138,29 @@ def train(examples: DataFrame, config: TrainingConfig = TrainingConfig(), theta:
     if not fit.select("project").join(held.select("project"), "project", "left_semi").isEmpty():
         raise ValueError("project leakage between train and validation")
     ids = [r.sample_id for r in fit.select("sample_id").orderBy("sample_id").collect()]
-    local = {r["sample_id"]: (en.region_of(r), [int(c) for c in r["cuts"]]) for r in fit.collect()} if n <= config.local_examples else None
+    batch, adam, best, history = gradients(fit, n, config), Adam(en.SIZE, config.weight_decay), Selection(config.minimum_validation_improvement), []
     theta = en.initial(config.random_seed) if theta is None else theta.copy()
-    adam, history, best, stale, updates = Adam(en.SIZE, config.weight_decay), [], None, 0, 0
     for epoch in range(1, config.epochs + 1):
         rate, auxiliary = cosine(epoch, config)
-        order = list(ids)
-        random.Random(config.random_seed + epoch).shuffle(order)
+        random.Random(config.random_seed + epoch).shuffle(order := list(ids))
         losses = np.zeros(3)
         for i in range(0, n, config.batch_size):
-            part = order[i : i + config.batch_size]
-            if local is None:
-                got, grad, k = batch_gradient(fit.where(F.col("sample_id").isin(part)), theta, auxiliary, config.soft_dp_temperature)
-            else:
-                each = [en.loss_and_gradient(theta, *local[s], config.soft_dp_temperature, auxiliary) for s in part]
-                got, grad, k = sum(e[0] for e in each), sum(e[1] for e in each), len(each)
+            got, slope, k = batch(order[i : i + config.batch_size], theta, auxiliary)
             losses += got
-            grad = grad / k
-            norm = float(np.sqrt(grad @ grad))
-            if norm > config.gradient_clip:
-                grad *= config.gradient_clip / (norm + 1e-6)
-            theta = adam.step(theta, grad, rate)
-            updates += 1
+            theta = adam.step(theta, clipped(slope / k, config.gradient_clip), rate)
         v = validation(held, theta, config.soft_dp_temperature)
-        key = (v["f1_exact"], v["f1_tolerance_1"])
-        better = best is None or key > best["key"] or (key == best["key"] and v["normalized_structured_nll"] < best["nll"] - config.minimum_validation_improvement)
-        if better:
-            best, stale = {"key": key, "nll": v["normalized_structured_nll"], "epoch": epoch, "theta": theta.copy()}, 0
-        else:
-            stale += 1
-        history.append({"epoch": epoch, "optimizer_updates": updates, "learning_rate": rate, "boundary_auxiliary_weight": auxiliary, "train_structured_nll": losses[0] / n, "train_normalized_structured_nll": losses[1] / n, "train_boundary_auxiliary_loss": losses[2] / n} | {f"validation_{k}": x for k, x in v.items()})
+        wins = best.offer(epoch, theta, v)
+        mean = dict(zip(("train_structured_nll", "train_normalized_structured_nll", "train_boundary_auxiliary_loss"), (losses / n).tolist()))
+        history.append({"epoch": epoch, "optimizer_updates": adam.t, "learning_rate": rate, "boundary_auxiliary_weight": auxiliary} | mean | {f"validation_{k}": x for k, x in v.items()})
         if progress:
-            progress(history[-1] | {"improved": better, "best_epoch": best["epoch"], "stale_epochs": stale})
-        if epoch >= config.minimum_epochs and stale >= config.early_stopping_patience:
+            progress(history[-1] | {"improved": wins, "best_epoch": best.epoch, "stale_epochs": best.stale})
+        if epoch >= config.minimum_epochs and best.stale >= config.early_stopping_patience:
             break
-    report = [r.asDict() for r in metrics.rollup(metrics.evaluate(held, best["theta"], config.soft_dp_temperature)).collect()]
+    report = [r.asDict() for r in metrics.rollup(metrics.evaluate(held, best.theta, config.soft_dp_temperature)).collect()]
     return {
         "schema_version": VERSIONS["artifact"], "feature_version": VERSIONS["learned"], "energy_version": VERSIONS["energy"], "training": asdict(config),
-        "selection": {"metric": "validation_f1_exact_then_tolerance_1_then_normalized_nll", "best_epoch": best["epoch"], "epochs_completed": len(history), "stopped_early": len(history) < config.epochs, "optimizer_updates": updates, "best_value": {"f1_exact": best["key"][0], "f1_tolerance_1": best["key"][1], "normalized_structured_nll": best["nll"]}},
-        "validation_metrics": report, "history": history, "parameters": {k: np.asarray(v).tolist() for k, v in en.unpack(best["theta"]).items()}, "test_status": "sealed_not_loaded",
+        "selection": {"metric": "validation_f1_exact_then_tolerance_1_then_normalized_nll", "best_epoch": best.epoch, "epochs_completed": len(history), "stopped_early": len(history) < config.epochs, "optimizer_updates": adam.t, "best_value": dict(zip(("f1_exact", "f1_tolerance_1", "normalized_structured_nll"), best.rank))},
+        "validation_metrics": report, "history": history, "parameters": {k: np.asarray(v).tolist() for k, v in en.unpack(best.theta).items()}, "test_status": "sealed_not_loaded",
     }
 
 
