@@ -277,40 +277,109 @@ def regions(spark, sf_dir) -> DataFrame:
     return mlang.programs(sources(spark, sf_dir))
 
 
-@register("q_parse_m")
+def _quoted(names) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in sorted(names)) + "]"
+
+
+def _listed(c: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({c})), ',')"
+
+
+_BUILTIN = _quoted(mlang.BUILTIN)
+_NAME = "[A-Za-z][A-Za-z0-9_]*"
+#: the statements of those programs by SQL: regular expressions over lines, then what a statement's lines add up to
+_PARSED = f"""{_DRAWN.replace("WITH tk0", "WITH RECURSIVE tk0", 1).replace("li AS (", "li AS MATERIALIZED (", 1)},
+    l0 AS (SELECT li.graph_id, li.t, part, op, line, trim(text) AS x, control <> 'none' AND part < 3 AS block FROM li JOIN tk ON tk.graph_id = li.graph_id AND tk.t = li.t),
+    l1 AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY graph_id ORDER BY first) - 1 AS idx FROM (SELECT *, CASE WHEN block THEN min(line) OVER (PARTITION BY graph_id, t, block) ELSE line END AS first FROM l0)),
+    l2 AS MATERIALIZED (SELECT *, list_filter(names, lambda n: NOT list_contains(calls, n)) AS reads FROM (SELECT *, regexp_extract_all(rhs, '{_NAME}') AS names, regexp_extract_all(rhs, '({_NAME})\\(', 1) AS calls FROM (SELECT *, regexp_extract(x, '^({_NAME}) = ', 1) AS lhs,
+        CASE WHEN x LIKE 'if %' THEN x[4:] WHEN x LIKE 'while %' THEN x[7:] WHEN x LIKE 'for %' OR x IN ('else', 'end') THEN '' ELSE regexp_replace(x, '^{_NAME} = ', '') END AS rhs FROM l1))),
+    s0 AS (SELECT graph_id, CAST(idx AS BIGINT) AS idx, bool_or(block) AS block, min(line) AS start_line, max(line) AS end_line, list_distinct(list(lhs) FILTER (lhs <> '')) AS definitions, list_distinct(flatten(list(reads)) || coalesce(list('loop_index') FILTER (x LIKE 'for %'), [])) AS reads, list_distinct(flatten(list(calls))) AS calls, string_agg(x, ' ' ORDER BY line) AS text FROM l2 GROUP BY 1, 2),
+    fd AS (SELECT graph_id, name, min(idx) AS f FROM (SELECT graph_id, idx, unnest(definitions) AS name FROM s0) GROUP BY 1, 2),
+    sx AS (SELECT graph_id, idx, list(name) FILTER (f < idx) AS known FROM (SELECT s.graph_id, s.idx, unnest(s.calls) AS name FROM s0 s) c LEFT JOIN fd USING (graph_id, name) GROUP BY 1, 2),
+    s1 AS (SELECT s0.*, coalesce(known, []) AS known, list_filter(calls, lambda c: NOT list_contains(coalesce(known, []), c)) AS rest FROM s0 LEFT JOIN sx USING (graph_id, idx)),
+    s2 AS MATERIALIZED (SELECT *, list_filter(rest, lambda c: list_contains({_BUILTIN}, c)) AS resolved, list_filter(rest, lambda c: NOT list_contains({_BUILTIN}, c)) AS unresolved,
+        list_filter([{', '.join(f"CASE WHEN len(list_intersect(calls, {_quoted(v)})) > 0" + (f" OR {' OR '.join(f'contains(text, {chr(39)}{m.replace(chr(39), chr(39) * 2)}{chr(39)})' for m in mlang.ROLE_CHARACTERS[k])}" if k in mlang.ROLE_CHARACTERS else "") + f" THEN '{k}' END" for k, v in mlang.ROLE_CALLS.items())}, CASE WHEN block THEN 'control_computation' END, CASE WHEN NOT block AND (contains(text, '/') OR contains(text, '\\')) THEN 'normalization' END], lambda r: r IS NOT NULL) AS roles FROM s1)"""
+
+
+@register("q_parse_m", f"""{_PARSED} SELECT graph_id || '.m' AS path, 'script:top-level' AS region_id, idx, CASE WHEN block THEN 'compound' ELSE 'assignment' END AS kind, start_line, end_line, {_listed('definitions')} AS definitions, {_listed('reads')} AS reads, '' AS mutations, '' AS access_domains, {_listed('calls')} AS calls, {_listed('resolved')} AS resolved_calls, {_listed('known')} AS resolved_indexes, {_listed('unresolved')} AS unresolved_calls,
+    CASE WHEN len(calls) > 0 THEN 'call_or_index' ELSE '' END AS effects, '' AS control_effects, CASE WHEN len(roles) > 0 THEN {_listed('roles')} ELSE 'unknown' END AS roles, CASE WHEN len(unresolved) > 0 THEN 'ambiguous_call_or_index' ELSE '' END AS risks, '' AS forbid_cut_before, '' AS forbid_cut_after, block AS is_compound, true AS parse_reliable, true AS call_resolution_available FROM s2""")
 def parse_m(spark, sf_dir):
     return flat(mlang.statements(regions(spark, sf_dir)).drop("call_sites"))
 
 
-@register("q_reaching_defs_cfg")
+#: their flow graphs (nodes numbered from the last statement to the first), reaching definitions and post-dominators
+_FLOW = f"""{_PARSED},
+    n0 AS (SELECT graph_id, idx, t, part, op, lhs, reads, x, 1 + row_number() OVER (PARTITION BY graph_id ORDER BY idx DESC, CASE part WHEN 2 THEN 0 WHEN 0 THEN 1 + op ELSE 3 END, op DESC) AS node FROM l2 WHERE part IN (0, 1, 3) OR x = 'fallback_value = 0;'),
+    nd AS MATERIALIZED (SELECT n0.*, tk.control FROM n0 JOIN tk ON tk.graph_id = n0.graph_id AND tk.t = n0.t),
+    bl AS (SELECT graph_id, idx, any_value(control) AS control, bool_or(part = 0) AS block, max(node) FILTER (part = 0 AND op = 0) AS head, max(node) FILTER (part = 0 AND op = 1) AS inner_head, max(node) FILTER (part = 2) AS fallback, arg_min(node, op) FILTER (part IN (1, 3)) AS first, arg_max(node, op) FILTER (part IN (1, 3)) AS last FROM nd GROUP BY 1, 2),
+    be0 AS (SELECT *, CASE WHEN block THEN head ELSE first END AS entry FROM bl), be1 AS MATERIALIZED (SELECT *, coalesce(lead(entry) OVER (PARTITION BY graph_id ORDER BY idx), 1) AS after FROM be0),
+    fe AS MATERIALIZED (SELECT graph_id, CAST(0 AS BIGINT) AS a, entry AS b FROM be1 WHERE idx = 0 UNION SELECT graph_id, first, after FROM be1 WHERE NOT block UNION SELECT graph_id, head, coalesce(inner_head, first) FROM be1 WHERE block UNION SELECT graph_id, head, coalesce(fallback, after) FROM be1 WHERE block
+        UNION SELECT graph_id, inner_head, first FROM be1 WHERE inner_head IS NOT NULL UNION SELECT graph_id, inner_head, CASE WHEN control = 'nested' THEN after ELSE head END FROM be1 WHERE inner_head IS NOT NULL UNION SELECT graph_id, fallback, after FROM be1 WHERE fallback IS NOT NULL UNION SELECT graph_id, last, CASE WHEN control IN ('for', 'while', 'loop_branch') THEN head ELSE after END FROM be1 WHERE block
+        UNION SELECT graph_id, node, follow FROM (SELECT graph_id, node, part, lead(node) OVER (PARTITION BY graph_id, idx ORDER BY op) AS follow FROM nd WHERE control <> 'none' AND part = 1) WHERE follow IS NOT NULL),
+    wr AS MATERIALIZED (SELECT DISTINCT graph_id, node, s FROM (SELECT graph_id, node, CASE WHEN x LIKE 'for %' THEN 'loop_index' ELSE lhs END AS s FROM nd) WHERE s <> ''),
+    ru AS MATERIALIZED (SELECT DISTINCT graph_id, node, unnest(reads) AS s FROM nd),
+    rd AS (SELECT w.graph_id, w.node AS d, w.s, fe.b AS at FROM wr w JOIN fe ON fe.graph_id = w.graph_id AND fe.a = w.node UNION SELECT rd.graph_id, rd.d, rd.s, fe.b FROM rd JOIN fe ON fe.graph_id = rd.graph_id AND fe.a = rd.at LEFT JOIN wr ON wr.graph_id = rd.graph_id AND wr.node = rd.at AND wr.s = rd.s WHERE wr.node IS NULL),
+    rr AS MATERIALIZED (SELECT DISTINCT rd.graph_id, d AS source, rd.at AS target, rd.s AS symbol FROM rd JOIN ru ON ru.graph_id = rd.graph_id AND ru.node = rd.at AND ru.s = rd.s),
+    an AS MATERIALIZED (SELECT graph_id, node FROM nd UNION ALL SELECT DISTINCT graph_id, 0 FROM nd UNION ALL SELECT DISTINCT graph_id, 1 FROM nd),
+    av AS (SELECT graph_id, node AS b, CAST(1 AS BIGINT) AS x FROM an WHERE node <> 1 UNION SELECT av.graph_id, av.b, fe.a FROM av JOIN fe ON fe.graph_id = av.graph_id AND fe.b = av.x AND fe.a <> av.b),
+    pd AS MATERIALIZED (SELECT a.graph_id, a.node AS a, b.node AS b FROM an a JOIN an b ON b.graph_id = a.graph_id LEFT JOIN av ON av.graph_id = a.graph_id AND av.b = b.node AND av.x = a.node WHERE av.x IS NULL),
+    pc AS (SELECT graph_id, a, count(*) AS k FROM pd GROUP BY 1, 2),
+    cd AS MATERIALIZED (SELECT DISTINCT fe.graph_id, fe.a AS source, pd.b AS target FROM fe JOIN pd ON pd.graph_id = fe.graph_id AND pd.a = fe.b LEFT JOIN pd q ON q.graph_id = fe.graph_id AND q.a = fe.a AND q.b = pd.b AND q.b <> fe.a WHERE q.b IS NULL),
+    pg AS (SELECT DISTINCT e.graph_id, x.idx AS source, y.idx AS target, kind, symbol FROM (SELECT *, 'DATA' AS kind FROM rr UNION ALL SELECT graph_id, source, target, NULL, 'CONTROL' FROM cd) e JOIN nd x ON x.graph_id = e.graph_id AND x.node = e.source JOIN nd y ON y.graph_id = e.graph_id AND y.node = e.target)"""
+_AT = "graph_id || '.m' AS path, 'script:top-level' AS region_id"
+
+
+@register("q_flow_neighbours", f"{_FLOW} SELECT {_AT}, an.node, coalesce(p.l, '') AS predecessors, coalesce(q.l, '') AS successors FROM an LEFT JOIN (SELECT graph_id, b AS node, string_agg(a, ',' ORDER BY a) AS l FROM fe GROUP BY 1, 2) p USING (graph_id, node) LEFT JOIN (SELECT graph_id, a AS node, string_agg(b, ',' ORDER BY b) AS l FROM fe GROUP BY 1, 2) q USING (graph_id, node)")
+def flow_neighbours(spark, sf_dir):
+    r = materialize(regions(spark, sf_dir), "regions")
+    before, after = dependence.neighbours(mlang.flow_edges(r))
+    rows = mlang.flow_nodes(r).select(*KEY, "node").join(before, [*KEY, "node"], "left").join(after, [*KEY, "node"], "left")
+    none = F.array().cast("array<int>")
+    return flat(rows.select(*KEY, "node", F.coalesce("predecessors", none).alias("predecessors"), F.coalesce("successors", none).alias("successors")))
+
+
+@register("q_reaching_defs_cfg", f"{_FLOW} SELECT {_AT}, source, target, symbol FROM rr")
 def reaching_defs_cfg(spark, sf_dir):
     return flat(flow.reaching_definitions(regions(spark, sf_dir)))
 
 
-@register("q_postdominators")
+@register("q_postdominators", f"{_FLOW} SELECT {_AT.replace('graph_id', 'pd.graph_id')}, pd.a AS node, string_agg(pd.b, ',' ORDER BY pd.b) AS dominators, arg_max(pd.b, pc.k) FILTER (pd.b <> pd.a) AS nearest FROM pd JOIN pc ON pc.graph_id = pd.graph_id AND pc.a = pd.b GROUP BY pd.graph_id, pd.a")
 def postdominators(spark, sf_dir):
     return flat(flow.postdominance(regions(spark, sf_dir)))
 
 
-@register("q_control_dep")
+@register("q_control_dep", f"{_FLOW} SELECT {_AT}, source, target FROM cd")
 def control_dep(spark, sf_dir):
     return flat(flow.control_dependence(regions(spark, sf_dir)))
 
 
-@register("q_pdg_union")
+@register("q_pdg_union", f"{_FLOW} SELECT {_AT}, source, target, kind, symbol FROM pg")
 def pdg_union(spark, sf_dir):
     return flat(flow.projected(regions(spark, sf_dir), include_internal=True))
 
 
-@register("q_project_scan")
+@register("q_semantic_def_use", f"{_FLOW} SELECT {_AT}, source, target, symbol FROM pg WHERE kind = 'DATA' AND source <> target")
+def semantic_def_use(spark, sf_dir):
+    return flat(flow.semantic_def_use(regions(spark, sf_dir)))
+
+
+@register("q_project_scan", f"{_PARSED} SELECT graph_id || '.m' AS path, 'script' AS kind, graph_id AS primary_name, '' AS local_functions, {_listed('flatten(list(calls))')} AS calls, '' AS resolved_project_calls, {_listed('flatten(list(calls))')} AS unresolved_calls, '' AS diagnostics FROM s2 GROUP BY graph_id")
 def project_scan(spark, sf_dir):
     return flat(project.scan(project.worker_summary(regions(spark, sf_dir))))
 
 
-@register("q_project_enrich")
+def _library(spark, sf_dir) -> DataFrame:
+    """The programs, and a file for each function that some of them may call."""
+    made = spark.createDataFrame([("lib/any.m", "function y = any(x)\ny = x;\nend\n"), ("lib/norm.m", "function y = norm(x)\ny = x;\nend\n")], "path string, text string")
+    return mlang.programs(sources(spark, sf_dir).unionByName(made.select("path", F.encode("text", "UTF-8").alias("content"))))
+
+
+@register("q_project_enrich", f"""{_PARSED}, s3 AS (SELECT *, list_intersect(unresolved, ['any', 'norm']) AS found FROM s2) SELECT graph_id || '.m' AS path, 'script:top-level' AS region_id, idx, {_listed('resolved || found')} AS resolved_calls, {_listed('list_filter(unresolved, lambda c: NOT list_contains(found, c))')} AS unresolved_calls, CASE WHEN len(unresolved) > len(found) THEN 'ambiguous_call_or_index' ELSE '' END AS risks, true AS call_resolution_available FROM s3""")
 def project_enrich(spark, sf_dir):
-    r = regions(spark, sf_dir)
-    return flat(project.enrich(mlang.statements(r), project.scan(project.worker_summary(r))).drop("call_sites"))
+    """Calls of the programs' statements, resolved by a library that provides some of the functions they call."""
+    r = materialize(_library(spark, sf_dir), "regions")
+    rows = project.enrich(mlang.statements(r), project.scan(project.worker_summary(r))).where("path not like 'lib/%'")
+    return flat(rows.select(*KEY, "idx", "resolved_calls", F.array_sort("unresolved_calls").alias("unresolved_calls"), "risks", "call_resolution_available"))
 
 
 # structured model
