@@ -276,23 +276,27 @@ def module_grid(regions: DataFrame) -> DataFrame:
 
     The result has n (n + 1) / 2 rows for a region of n statements; a task holds the rows of a few ends at a time.
     """
-    names = [c.split()[0] for c in GRID.split(", ")]
+    counts = {"internal_edge_count": "internal", "input_count": "inputs", "output_count": "outputs", "symbol_count": "symbols", "local_symbol_count": "local"}
+
+    def frame_of(r: dict, sweep: Sweep, held: list[tuple[int, int, dict[str, np.ndarray]]]) -> pd.DataFrame:
+        ends, sizes, columns = zip(*held)
+        together = lambda k: np.concatenate([c[k] for c in columns])
+        return pd.DataFrame({
+            "path": r["path"], "region_id": r["region_id"], "start": np.concatenate([np.arange(m) for m in sizes]), "end": np.repeat(ends, sizes), **{name: together(k).astype(np.int64) for name, k in counts.items()},
+            "trailing_output_count": np.repeat([sweep.trailing(e) for e in ends], sizes), "score": together("score"),
+        })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from weftline.operators.scoring import sweep_of
 
         for frame in frames:
             for r in frame.to_dict("records"):
-                n = len(r["rows"])
-                sweep, held, rows = sweep_of(r["rows"], r["edges"], list(range(n))), [], 0
-                for e, m, c in sweep.scored(list(range(n))):
-                    whole = {name: c[k].astype(np.int64) for name, k in (("internal_edge_count", "internal"), ("input_count", "inputs"), ("output_count", "outputs"), ("symbol_count", "symbols"), ("local_symbol_count", "local"))}
-                    held.append(pd.DataFrame({"path": r["path"], "region_id": r["region_id"], "start": np.arange(m), "end": e, **whole, "trailing_output_count": sweep.trailing(e), "score": c["score"]})[names])
-                    rows += m
-                    if rows > 50_000:
-                        yield pd.concat(held)
-                        held, rows = [], 0
-                if held:
-                    yield pd.concat(held)
+                every = list(range(len(r["rows"])))
+                sweep, held = sweep_of(r["rows"], r["edges"], every), []
+                for e, m, c in sweep.scored(every):
+                    held.append((e, m, c))
+                    if sum(x[1] for x in held) > 50_000 or e == every[-1]:
+                        yield frame_of(r, sweep, held)
+                        held = []
 
     return regions.mapInPandas(run, GRID)
