@@ -77,11 +77,13 @@ def chain(train, base, alphabet):
     return prob, dist, low
 
 
-@pytest.mark.parametrize("vocabulary,fan", [(60, 64), (65_535, 64)])
-def test_matches_a_plain_model(spark, vocabulary, fan):
+@pytest.mark.parametrize("vocabulary,tokens_each,sent", [(60, 1_000_000, 65_536), (60, 300, 1_000_000), (65_535, 60, 300), (65_535, 1_000_000, 20), (65_535, 200, 1)])
+def test_matches_a_plain_model(spark, monkeypatch, vocabulary, tokens_each, sent):
+    """Small tokens_each: most contexts are hot and lie in several parts; sent: which pairs are sent along (all, some, none)."""
+    monkeypatch.setattr(katz, "PAIRS_SENT", sent)
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
-    got = katz.score(docs, vocabulary=vocabulary, fan=fan, words_each=50).collect()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string").repartition(3)
+    got = katz.score(docs, vocabulary=vocabulary, tokens_each=tokens_each, words_each=50, rows=37).collect()
     train, c, total, base = model(rows, vocabulary)
     least = min((k for k in c.values() if sum(v >= k for v in c.values()) <= vocabulary), default=None)
     alphabet = {w for w, k in c.items() if least is not None and k >= least}
@@ -102,14 +104,22 @@ def test_matches_a_plain_model(spark, vocabulary, fan):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_groups_of_batches_and_empty_tables(spark, monkeypatch):
+def test_settings_change_nothing_and_empty_tables(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(7)
     one = {(r.doc_id, round(r.score, 9)) for r in katz.score(docs).collect()}
-    monkeypatch.setattr(katz, "groups_of", lambda d, fan: 3)
-    assert {(r.doc_id, round(r.score, 9)) for r in katz.score(docs).collect()} == one
+    assert {(r.doc_id, round(r.score, 9)) for r in katz.score(docs, tokens_each=100, common=20, rows=5).collect()} == one
     assert katz.score(docs.limit(0)).count() == 0
 
 
+def test_a_context_in_many_parts_and_counts_beyond_32_bits():
+    words_ = np.arange(1, 5, dtype=np.uint64)
+    alphabet = katz.Alphabet(words_, np.array([1 << 40, 5, 5, 5]), 1 << 41, 4, False, 1 << 32)
+    assert list(alphabet.hot) == [1] and len(set(alphabet.route(np.ones(2000, np.uint64), katz.mix(np.arange(2000, dtype=np.uint64))).tolist())) > 200
+    rows = [katz.rows_of(key=[0], n=[1], a=[alphabet.pack_runs(words_[:1])], b=[alphabet.pack(words_[1:2])], c=[katz.pack(np.array([3_000_000_000], np.uint32))]) for _ in range(3)]
+    made = katz.merged(katz.pa.Table.from_batches(rows), alphabet).to_pylist()[0]
+    assert katz.unpack(made["c"], 1, "u8").tolist() == [9_000_000_000]
+
+
 def test_more_words_than_16_bits_can_tell_apart(spark):
     rows = [(i, " ".join("v%d" % (k % 72_000) for k in range(i * 240, i * 240 + 300))) for i in range(300)]
     rows += [(1000 + i, t) for i, t in rows]
