@@ -10,7 +10,7 @@ bigram level has at most so many words, all those above the smallest count that
 inside the class a word has its unigram share.
 
 Tables: word counts, dealt by leading bits of the word's hash; bigrams, dealt by leading bits of their route, packed (sorted
-contexts and words, counts, the words' own counts). A pair's route is its context's hash; of a context seen more than
+contexts and words, counts, the own counts of less common words). A pair's route is its context's hash; of a context seen more than
 `tokens_each` / 2 times it also takes leading bits of the word's hash, so hot contexts spread over parts and every part
 holds about `tokens_each` tokens; what such a context's pairs add up to is summed over the parts. The number of parts
 grows with the tokens. Counts are summed per batch of texts before the shuffle. Scoring sends each batch's pairs and words
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import slices, texts
 from weftline.llm.words import mix, word_hashes
-from weftline.session import materialize
+from weftline.session import discard, materialize
 
 END = np.uint64(0x5851F42D4C957F2D)
 CLASS = np.uint64(0)  # stands for the words outside a bounded vocabulary
@@ -326,7 +326,7 @@ def gains(c: np.ndarray, low: np.ndarray, total: np.ndarray, scale: np.ndarray,
 
 
 def tables_of(t: pa.Table, rare: pa.Table, alphabet: Alphabet, d: np.ndarray, often: float) -> pa.Table:
-    """TABLES: a part with its words' own counts, the sums of its hot contexts' pairs, and its pairs of over `often` tokens."""
+    """TABLES: a part with the counts of its words that the alphabet lacks, the sums of its hot contexts' pairs, and its pairs of over `often` tokens."""
     out: list[dict] = []
     for r in t.to_pylist():
         h, w, c = alphabet.unpack_runs(r["a"]), alphabet.unpack(r["b"], r["n"]), unpack(r["c"], r["n"], "u8").astype(np.int64)
@@ -342,7 +342,7 @@ def tables_of(t: pa.Table, rare: pa.Table, alphabet: Alphabet, d: np.ndarray, of
         at = s.place(h[many])[1]
         struct = lambda names, cols: [dict(zip(names, x)) for x in zip(*(v.tolist() for v in cols))]
         out.append({
-            "key": r["key"], "n": r["n"], "a": r["a"], "b": r["b"], "c": r["c"], "own": pack(own.astype(np.uint64)),
+            "key": r["key"], "n": r["n"], "a": r["a"], "b": r["b"], "c": r["c"], "own": pack(own[~alphabet.place(w)[0]].astype(np.uint64)),
             "hot": struct(("h", "total", "seen", "low"), (s.contexts[hot].view(np.int64), s.total[hot], (s.seen * s.total)[hot], s.low[hot])),
             "pairs": struct(("h", "w", "c", "own", "total", "seen", "low"), (h[many].view(np.int64), w[many].view(np.int64), c[many], own[many], s.total[at], (s.seen * s.total)[at], s.low[at])),
         })
@@ -446,7 +446,9 @@ def answers(asked: pa.Table, held: pa.Table, alphabet: Alphabet, d: np.ndarray,
     if kind == 1:
         h, w, counts, own = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for t in tables:
-            h, w, counts, own = alphabet.unpack_runs(t["a"]), alphabet.unpack(t["b"], t["n"]), unpack(t["c"], t["n"], "u8").astype(np.int64), unpack(t["own"], t["n"], "u8")
+            h, w, counts = alphabet.unpack_runs(t["a"]), alphabet.unpack(t["b"], t["n"]), unpack(t["c"], t["n"], "u8").astype(np.int64)
+            held_, own = alphabet.find(w)
+            own[~held_] = unpack(t["own"], int((~held_).sum()), "u8")
         part = Part(h, w, counts, own, alphabet, d, hot)
     elif kind == 2:
         w, c = unpacked_counts(tables)
@@ -505,7 +507,7 @@ def sums_collected(rows: DataFrame) -> Sums:
     return Sums(got["h"].to_numpy(np.int64).view(np.uint64), total, got["seen"].to_numpy(float) / np.maximum(total, 1e-300), got["low"].to_numpy(float))
 
 
-def score(docs: DataFrame, vocabulary: int | None = None, words_each: int = 100_000, tokens_each: int = 1_000_000, common: int = 262_143, rows: int = 2048) -> DataFrame:
+def score(docs: DataFrame, vocabulary: int | None = None, words_each: int = 100_000, tokens_each: int = 2_000_000, common: int = 262_143, rows: int = 2048) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows: texts in a batch."""
     docs = texts(docs)
     fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out")
@@ -530,6 +532,7 @@ def score(docs: DataFrame, vocabulary: int | None = None, words_each: int = 100_
     often = total / PAIRS_SENT
     tables = bigrams.drop("hist").groupBy("key").cogroup(rare.groupBy("key")).applyInArrow(lambda l, r: tables_of(l, r, alphabet, d, often), TABLES)
     tables = materialize(tables, "tables")
+    discard(bigrams)
     hot = sums_collected(tables.select(F.explode("hot").alias("x")).select("x.*"))
     pairs = tables.select(F.explode("pairs").alias("x")).select("x.*").toPandas()
     h, w, c, own = (pairs[k].to_numpy(np.int64) for k in ("h", "w", "c", "own"))
