@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the key and the text (null: empty) go on, so further or clashing columns don't matter."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only the key, the text (null: empty) and the columns in keep go on, so further or clashing columns don't matter."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
 
 
 def give_back() -> None:
@@ -40,12 +42,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, by: str = "text")
 
 
 def map_texts(docs: DataFrame, f: Callable[[list[str]], dict[str, list]], schema: str, rows: int = 512) -> DataFrame:
-    """Adds to each doc_id the columns that f makes of a list of texts; one row out per row in."""
+    """Puts the columns that f makes of a list of texts in the place of `text`, before the others; one row out per row in."""
+    others = [x for x in docs.schema.fields if x.name not in ("doc_id", "text")]
     names = [x.split()[0] for x in schema.split(",")]
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *T.StructType.fromDDL(schema).fields, *others])
+    kinds = {x.name: to_arrow_type(x.dataType) for x in out}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows):
             got = f(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(got[n]) for n in names)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(got[n], kinds[n]) for n in names), *(b.column(x.name) for x in others)], names=[f.name for f in out])
 
-    return docs.mapInArrow(run, f"doc_id long, {schema}")
+    return docs.mapInArrow(run, out)
