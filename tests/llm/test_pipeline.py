@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 from test_minhash import brute as near
-from test_suffix import brute as repeats
+from test_suffix import passages
 
 from weftline.llm import bpe_codec, mixing
 
@@ -48,9 +48,9 @@ def test_stages_one_by_one(spark, tables):
     group = near([(r[0], r[1]) for r in kept])
     assert {r.doc_id for r in out["near_duplicates"]} == {i for i, (_, c) in group.items() if i == c}
     before = [(r.doc_id, r.text) for r in out["near_duplicates"]]
-    want = {r[0]: r for r in repeats(before, 400)}
-    assert any(r[2] for r in want.values())
-    assert {r.doc_id: (len(r.text.encode()), r.n_chars) for r in out["repeats"]} == {i: (r[1] - r[2], r[1] - r[2]) for i, r in want.items()}
+    want = {i: w for (i, _), w in zip(before, passages(before, 50))}
+    assert any(w[0] for w in want.values())
+    assert {r.doc_id: (r.text, r.n_chars) for r in out["repeats"]} == {i: (w[2], len(w[2])) for i, w in want.items()}
     assert sorted(map(str, out["mixing"])) == sorted(map(str, out["repeats"]))
     place = {r.doc_id: r.position for r in mixing.mix(spark.read.parquet(f"{d}/repeats"), mixing.WEIGHTS).collect()}
     import glob
@@ -62,6 +62,8 @@ def test_stages_one_by_one(spark, tables):
     text = {r.doc_id: r.text or "" for r in out["mixing"]}
     for r in out["tokens"]:
         assert list(r.ids) == bpe_codec.codec("byte_bpe_50k.tiktoken").encode_ordinary(text[r.doc_id]) and r.n_tokens == len(r.ids)
+        assert r.round_trip
+    assert [r.doc_id for r in sorted(out["tokens"], key=lambda r: (r.part, r.row))] == stream
     assert len(out["tokens"]) == len(text)
 
 
@@ -97,4 +99,4 @@ def test_passages_of_51_words_are_cut_and_of_50_are_not(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["repeats"](spark, docs, "").collect()}
     for i, (a, p, b) in enumerate(texts):
-        assert got[i] == (f"{a} {p} {b}" if i % 3 == 2 else a + b)
+        assert got[i] == (f"{a} {p} {b}" if i % 3 == 2 else f"{a} {b}")
