@@ -39,25 +39,31 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: in
     a = np.random.default_rng(seed).standard_normal((d, projections)) / np.sqrt(d)
     px, pq = x @ a, q @ a
     order = np.argsort(px, axis=0, kind="stable")
-    line = np.take_along_axis(px, order, 0).T.copy()
-    order = order.T.copy()
+    line = np.take_along_axis(px, order, 0).T
+    order = order.T.ravel()
+    # the arrays lie one behind another, shifted apart, so that one search finds a window's ends in all of them
+    reach = 4 * float(max(np.abs(px).max(), np.abs(pq).max(initial=0.0))) + 1.0
+    shift = np.arange(projections) * 4 * reach
+    line = (line + shift[:, None]).ravel()
+    begin, end = np.arange(projections) * n, (np.arange(projections) + 1) * n
     need, goal = int(np.ceil(threshold * projections)), min(n, k + max(150, int(np.ceil(share * n))))
     first = float(np.median(px.std(axis=0))) * 0.05 + 1e-12
     # a window half as wide as a projected distance of R / sqrt(d) stands for the radius R
     out = []
     for j in range(len(q)):
-        low = np.array([np.searchsorted(line[i], pq[j, i]) for i in range(projections)])
-        high = low.copy()
+        own_line = pq[j] + shift
+        low = high = np.searchsorted(line, own_line)
         count, checked = np.zeros(n, np.int32), np.zeros(n, bool)
         dist = np.full(n, np.inf)
         half = first
         while True:
-            new = []
-            for i in range(projections):
-                l, h = np.searchsorted(line[i], pq[j, i] - half, "left"), np.searchsorted(line[i], pq[j, i] + half, "right")
-                new += [order[i, l : low[i]], order[i, high[i] : h]]
-                low[i], high[i] = min(l, low[i]), max(h, high[i])
-            count += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
+            l = np.maximum(np.minimum(np.searchsorted(line, own_line - half, "left"), low), begin)
+            h = np.minimum(np.maximum(np.searchsorted(line, own_line + half, "right"), high), end)
+            # the windows only widen: what each gained on both sides
+            starts, sizes = np.concatenate([l, high]), np.concatenate([low - l, h - high])
+            at = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            count += np.bincount(order[at], minlength=n).astype(np.int32)
+            low, high = l, h
             fresh = np.flatnonzero((count >= need) & ~checked)
             checked[fresh] = True
             dist[fresh] = np.sqrt(((x[fresh] - q[j]) ** 2).sum(1))
@@ -68,7 +74,7 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: in
                     break
             if done == n:
                 break
-            half *= ratio
+            half = min(half * ratio, reach)
         best = np.flatnonzero(np.isfinite(dist) & (ids != own[j]))
         best = best[np.lexsort((ids[best], dist[best]))[:k]]
         out += [(j, int(ids[b]), float(dist[b])) for b in best]
