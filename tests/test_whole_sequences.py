@@ -53,7 +53,7 @@ def test_reachability_goes_on_until_nothing_new_is_found(spark):
                 if (region, source, x) not in want:
                     want.add((region, source, x))
                     stack.append(x)
-    assert {(r.region_id, r.source, r.target) for r in entry.queries()["q_reachability_all"](spark, SF).collect()} == want
+    assert {(r.region_id, r.source, r.target) for r in entry.queries()["q_reachability"](spark, SF).collect()} == want
 
 
 def test_module_grid_holds_intervals_of_every_length(spark, tmp_path):
@@ -61,7 +61,7 @@ def test_module_grid_holds_intervals_of_every_length(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{i:02d}:00", 1, ["signup", "view", "click", "purchase"][(i * i) % 4], float(i), '{"k": %d}' % (i % 3)) for i in range(n)]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{d}/events.parquet")
     edges = [(r.source, r.target) for r in more.dependence.linear_def_use(more.events(spark, d)).collect()]
-    got = {(r.start, r.end): r.internal_edge_count for r in entry.queries()["q_module_grid_all"](spark, d).collect()}
+    got = {(r.start, r.end): r.internal_edge_count for r in entry.queries()["q_module_grid"](spark, d).collect()}
     assert got == {(s, e): sum(s <= a and b <= e for a, b in edges) for s in range(n) for e in range(s, n)}
 
 
