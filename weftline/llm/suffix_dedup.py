@@ -225,7 +225,7 @@ def repeated_contexts(contexts: DataFrame, length: int, core: int, hot: int, per
     return sorted_out.unionByName(counted)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int = 1024, per_bucket: int = 20_000, unit: int = BYTES, across: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int = 8192, per_bucket: int = 20_000, unit: int = BYTES, across: bool = False) -> DataFrame:
     """tkey, spans (array of struct pos, runs) of the texts that hold repeated strings; docs: doc_id, text, tkey."""
     found = materialize(anchor_table(docs, length, core, unit), "anchors")
     # a string is repeated if it has two owners: any two places, or with `across` any two documents
@@ -308,7 +308,9 @@ def digests(docs: DataFrame, length: int = 400, over: int = 50, **settings) -> D
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, out)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words"])
 
-    joined = rows.join(removed, "tkey", "left").join(words.select("tkey", F.col("spans").alias("words")), "tkey", "left")
+    # one small written table, so that Spark can split the hot keys (copies of one text) of the only join
+    both = removed.join(words.select("tkey", F.col("spans").alias("words")), "tkey", "full")
+    joined = rows.join(materialize(both, "both"), "tkey", "left")
     return joined.select("doc_id", "text", "spans", "words").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long")
 
 
