@@ -118,10 +118,10 @@ def audit_errors(manifest: DataFrame, sources: DataFrame, statements: DataFrame,
     subject = F.concat("sample_id", F.lit(":"), "region_id")
     out.append(one(seg.where("n is null"), subject, text("annotated region is missing")))
     marks = _regions(ok, "boundaries").select("sample_id", "path", "region_id", "e.boundary", "e.label")
-    by = marks.groupBy("sample_id", "region_id").agg(F.count("*").alias("k"), F.countDistinct("boundary").alias("distinct"), F.min("boundary").alias("low"), F.max("boundary").alias("high"), F.sum(F.col("label").isin(*CUT_LABELS).cast("int")).alias("cuts"), F.max(F.col("boundary").isNull().cast("int")).alias("null"))
-    both = seg.where("n is not null").join(by, ["sample_id", "region_id"], "left").na.fill(0, ["k", "distinct", "cuts", "null"])
-    whole = F.col("null") == 0
-    out.append(one(both.where("null = 1"), subject, text("non-integer statement boundary")))
+    by = marks.groupBy("sample_id", "region_id").agg(F.count("*").alias("k"), F.countDistinct("boundary").alias("distinct"), F.min("boundary").alias("low"), F.max("boundary").alias("high"), F.sum(F.col("label").isin(*CUT_LABELS).cast("int")).alias("cuts"), F.max(F.col("boundary").isNull().cast("int")).alias("gap"))
+    both = seg.where("n is not null").join(by, ["sample_id", "region_id"], "left").na.fill(0, ["k", "distinct", "cuts", "gap"])
+    whole = F.col("gap") == 0
+    out.append(one(both.where("gap = 1"), subject, text("non-integer statement boundary")))
     out.append(one(both.where(whole & (F.col("k") != F.col("distinct"))), subject, text("duplicate statement boundary")))
     out.append(one(both.where(whole & ((F.col("distinct") != F.col("n") - 1) | (F.coalesce("low", F.lit(1)) < 1) | (F.coalesce("high", F.lit(0)) > F.col("n") - 1))), subject, text("boundary truth is not exhaustive")))
     out.append(one(both.where(whole & (F.col("segments") != F.col("cuts") + 1)), subject, text("segment and cut counts disagree")))
