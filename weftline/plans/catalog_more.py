@@ -162,6 +162,46 @@ def policy_gate(spark, sf_dir):
     return manifest(spark, sf_dir).groupBy(F.coalesce(corpus.policy_violation(), F.lit("trainable")).alias("rule")).agg(F.count("*").alias("n"))
 
 
+#: a corpus with faults: every sequence a source with its truth, spoiled by the user's number
+_FAULTS = [
+    ("am", "SELECT *, 'u' || u AS sample_id, CASE WHEN k = 5 THEN 'ghost:region' ELSE 'script:top-level' END AS region, CASE WHEN u % 11 = 0 THEN 'nope' WHEN u % 10 < 7 THEN 'train' WHEN u % 10 < 9 THEN 'validation' ELSE 'test' END AS split, CASE WHEN u % 13 = 0 THEN NULL WHEN u % 17 = 0 THEN 'shared' ELSE 'p' || (u % 20) END AS project FROM (SELECT region_id, n, u, u % 7 AS k FROM (SELECT *, CAST(split_part(region_id, ':', 2) AS BIGINT) AS u FROM n))"),
+    ("ab0", "SELECT am.*, st.idx + 1 AS boundary, st.kind = 'purchase' AS cut FROM am JOIN st ON st.region_id = am.region_id AND st.idx + 1 < am.n"),
+    ("ab", "SELECT * FROM ab0 WHERE k <> 1 OR boundary <> n - 1 UNION ALL SELECT * FROM ab0 WHERE k = 2 AND boundary = 1 UNION ALL SELECT *, NULL, false FROM am WHERE k = 3 UNION ALL SELECT *, n + 5, false FROM am WHERE k = 6"),
+    ("ag", "SELECT region_id, count(*) AS c, count(DISTINCT boundary) AS d, min(boundary) AS low, max(boundary) AS high, count(*) FILTER (cut) AS cuts, bool_or(boundary IS NULL) AS gap FROM ab GROUP BY 1"),
+    ("sk", "SELECT region_id, count(*) FILTER (cut) + 1 AS segments FROM ab0 GROUP BY 1"),
+    ("bo", "SELECT am.*, sample_id || ':' || region AS subject, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(low, 1) AS low, coalesce(high, 0) AS high, coalesce(cuts, 0) AS cuts, coalesce(gap, false) AS gap, coalesce(segments, 1) + CASE WHEN k = 4 THEN 1 ELSE 0 END AS segments FROM am LEFT JOIN ag ON ag.region_id = am.region_id LEFT JOIN sk ON sk.region_id = am.region_id WHERE k <> 5"),
+    ("he", "SELECT ab.sample_id || ':' || ab.region || ':S' || ab.boundary AS subject, ab.cut, fx.constraints FROM ab LEFT JOIN fx ON fx.region_id = ab.region_id AND fx.b + 1 = ab.boundary WHERE ab.k <> 5 AND ab.boundary IS NOT NULL"),
+]
+
+
+@register("q_audit", chain("am", """SELECT sample_id AS subject, 'policy: no_immutable_provenance' AS error FROM am WHERE u % 31 = 0 UNION ALL SELECT sample_id, 'invalid split' FROM am WHERE u % 11 = 0 UNION ALL SELECT sample_id, 'missing provenance project' FROM am WHERE u % 13 = 0
+    UNION ALL SELECT project, 'project split leakage' FROM am WHERE split <> 'nope' AND project IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1 UNION ALL SELECT sample_id, 'source is missing' FROM am WHERE u % 19 = 0 UNION ALL SELECT sample_id, unnest(['record source hash mismatch', 'provenance source hash mismatch']) FROM am WHERE u % 23 = 0 AND u % 19 <> 0
+    UNION ALL SELECT 'extra.m', 'unreferenced source' UNION ALL SELECT sample_id || ':' || region, 'annotated region is missing' FROM am WHERE k = 5 UNION ALL SELECT subject, 'non-integer statement boundary' FROM bo WHERE gap UNION ALL SELECT subject, 'duplicate statement boundary' FROM bo WHERE NOT gap AND c <> d
+    UNION ALL SELECT subject, 'boundary truth is not exhaustive' FROM bo WHERE NOT gap AND (d <> n - 1 OR low < 1 OR high > n - 1) UNION ALL SELECT subject, 'segment and cut counts disagree' FROM bo WHERE NOT gap AND segments <> cuts + 1 UNION ALL SELECT subject, 'boundary not analyzable' FROM he WHERE constraints IS NULL UNION ALL SELECT subject, 'true cut violates ' || constraints FROM he WHERE cut AND constraints <> ''""", _FAULTS))
+def audit(spark, sf_dir):
+    st = events(spark, sf_dir)
+    user = F.split("region_id", ":")[1].cast("long")
+    placed = lambda df: df.withColumn("path", F.concat(F.lit("src/"), user.cast("string"), F.lit(".m"))).withColumn("region_id", F.lit("script:top-level"))
+    mark = lambda b, label: F.struct(F.lit(None).cast("string").alias("region_id"), b.cast("int").alias("boundary"), b.cast("int").alias("after_line"), label.alias("label"))
+    label = F.when(F.col("kind") == "purchase", "preferred_cut").otherwise("no_cut")
+    rows = st.groupBy("region_id").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct((F.col("idx") + 1).alias("b"), label.alias("l")))).alias("all")).withColumn("u", user).withColumn("k", F.col("u") % 7)
+    rows = rows.withColumn("m", F.transform(F.filter("all", lambda x: x["b"] < F.col("n")), lambda x: mark(x["b"], x["l"])))
+    more = lambda b: F.concat("m", F.array(mark(b, F.lit("no_cut"))))
+    spoiled = F.when(F.col("k") == 1, F.slice("m", 1, F.greatest(F.lit(0), F.size("m") - 1))).when(F.col("k") == 2, F.concat("m", F.slice("m", 1, 1))).when(F.col("k") == 3, more(F.lit(None))).when(F.col("k") == 6, more(F.col("n") + 5)).otherwise(F.col("m"))
+    cuts = F.size(F.filter("m", lambda x: x["label"] == "preferred_cut")) + F.when(F.col("k") == 4, 2).otherwise(1)
+    region = F.when(F.col("k") == 5, "ghost:region")
+    # the ghost's boundaries lie in the ghost
+    spoiled = F.transform(spoiled, lambda x: x.withField("region_id", region))
+    segments = F.transform(F.sequence(F.lit(1), cuts), lambda i: F.struct(region.alias("region_id"), i.alias("start_line"), i.alias("end_line")))
+    project = F.when(F.col("u") % 13 == 0, None).when(F.col("u") % 17 == 0, "shared").otherwise(F.concat(F.lit("p"), (F.col("u") % 20).cast("string")))
+    split = F.when(F.col("u") % 11 == 0, "nope").when(F.col("u") % 10 < 7, "train").when(F.col("u") % 10 < 9, "validation").otherwise("test")
+    prov = F.struct(project.alias("project"), F.lit("curated_real_gold").alias("source_kind"), F.lit("expert_accepted").alias("annotation_status"), F.lit("high").alias("annotation_confidence"), F.lit("aa").alias("source_sha256"), F.when(F.col("u") % 31 == 0, "").otherwise("r1").alias("revision"))
+    path = F.concat(F.lit("src/"), F.col("u").cast("string"), F.lit(".m"))
+    records = rows.select(F.concat(F.lit("u"), F.col("u").cast("string")).alias("sample_id"), split.alias("split"), path.alias("relative_path"), F.lit("aa").alias("source_sha256"), segments.alias("segments"), spoiled.alias("boundaries"), prov.alias("provenance"), F.lit(None).cast("string").alias("_corrupt_record"))
+    files = rows.where("u % 19 <> 0").select(path.alias("path"), F.when(F.col("u") % 23 == 0, "bb").otherwise("aa").alias("sha256")).unionByName(spark.createDataFrame([("extra.m", "aa")], "path string, sha256 string"))
+    return corpus.audit_errors(records, files, placed(st), placed(facts.boundary_facts(st)))
+
+
 @register("q_example_cuts", f"""SELECT 'sources/' || doc_id AS path, {SAMPLE_ID} || ':script:top-level' AS sample_id, {PROJECT} AS project, {SPLIT} AS split, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM range(1, 7) t(i) WHERE i <= d.n_chars % 5 + 1 AND (d.doc_id + i) % 4 < 2), '') AS cuts FROM documents d""")
 def example_cuts(spark, sf_dir):
     return flat(corpus.truth(manifest(spark, sf_dir)).drop("region_id"))
