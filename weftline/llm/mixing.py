@@ -79,7 +79,7 @@ def oracle(weights: dict[str, int], default: int = 1) -> str:
             CAST(list_sum(list_transform(es, lambda x, j: least(ns[j], b // e * x + before[j]))) AS BIGINT) AS position FROM r JOIN slots ON slots.i = r.i AND slots.turn = r.b % r.e, one"""
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = 1, each: int = 4096, most: int = 4096, longest: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = 1, each: int = 1024, most: int = 4096, longest: int = 100_000, keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, block, slot, release, deadline, position of each row (and the columns in `keep`)."""
     keep = keep or []
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
