@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +32,23 @@ def give_back() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, by: str = "text") -> Iterator[pa.RecordBatch]:
-    """Smaller record batches, so that a worker holds few long texts as Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller record batches: of so many rows, or of so many bytes of text and a last row that passes them, at most.
+
+    So a worker holds few long texts as Python objects at once.
+    """
     try:
         for b in batches:
-            for i in range(0, b.num_rows, rows):
-                yield b.slice(i, rows)
+            if "text" in b.schema.names:
+                ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            else:
+                ends = np.zeros(b.num_rows, np.int64)
+            i = 0
+            while i < b.num_rows:
+                before = ends[i - 1] if i else 0
+                j = min(i + rows, int(np.searchsorted(ends, before + size)) + 1, b.num_rows)
+                yield b.slice(i, j - i)
+                i = j
     finally:
         if not isinstance(batches, list):
             give_back()
