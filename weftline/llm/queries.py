@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe_codec, collision_ann, katz, minhash, mixing, quality, resampling, suffix_dedup, syncmers, token_counts, toxicity
+from weftline.llm import bpe_codec, collision_ann, jaccard_join, katz, minhash, mixing, quality, resampling, suffix_dedup, syncmers, token_counts, toxicity, wand
 from weftline.llm.common import table
 from weftline.session import shipped
 
@@ -55,14 +55,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_syncmers, op3_minhash, op4_toxicity, op5_mixing, op6_collision_ann, op7_bpe_codec, op8_token_counts, op9_katz, op10_quality, op12_resampling)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: shipped(f) for f in (op1_suffix_dedup, op2_syncmers, op3_minhash, op4_toxicity, op5_mixing, op6_collision_ann, op7_bpe_codec, op8_token_counts, op9_katz, op10_quality, op11_wand, op12_resampling, op13_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
-    found = {"op3_minhash": minhash.ORACLE, "op5_mixing": mixing.oracle(mixing.WEIGHTS), "op12_resampling": resampling.ORACLE}
+    found = {"op3_minhash": minhash.ORACLE, "op5_mixing": mixing.oracle(mixing.WEIGHTS), "op11_wand": wand.ORACLE, "op12_resampling": resampling.ORACLE, "op13_jaccard_join": jaccard_join.ORACLE}
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -34,10 +34,10 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One uint64 for each word of a text, in order."""
+def word_hashes(text: str, between: np.ndarray = SPACE) -> np.ndarray:
+    """One uint64 for each word of a text, in order; between: for each byte value, whether it separates words."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    gap = SPACE[raw]
+    gap = between[raw]
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
