@@ -8,7 +8,8 @@ from a table of counters by shingle hash, gathered over all documents and of a f
 shingles as the smaller l of its two sets, then it is verified on the full sets.
 
 Equal sets are one node. Postings are the shingles of a prefix for l = 1; all other shingles are looked up in the prefixes
-that pairs bring along. In each posting list every node is first paired with one node only, the one whose prefix is most
+that pairs bring along. Shingles, and the documents whose sets are wanted, are sifted by bitmaps of a bounded size before
+they are shuffled. In each posting list every node is first paired with one node only, the one whose prefix is most
 common (unedited texts come before edited copies); verified pairs give components. Then nodes of different components that
 share a list are paired, but not with their own component, and not where sizes or the places of the shared shingle in both
 orders rule similarity out. So no link between components is lost, and groups of thousands of near copies, of which each is
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import give_back, slices, texts
 from weftline.llm.components import components
 from weftline.llm.katz import pack, unpack
-from weftline.llm.minhash import confirmed, full_sets, node_of
+from weftline.llm.minhash import confirmed, node_of
 from weftline.llm.words import shingles, word_hashes
 from weftline.session import materialize
 
@@ -83,8 +84,10 @@ def counters(docs: DataFrame, k: int, slots: int) -> np.ndarray:
 
 def estimates(counts: np.ndarray) -> np.ndarray:
     """For each slot eight times the binary logarithm of a posting list's length, in a byte: the count above what the mean slot has."""
-    above = counts - (counts.mean() if len(counts) else 0.0)
-    return np.round(8 * np.log2(np.maximum(above, 1.0))).astype(np.uint8)
+    mean, out = counts.mean(), np.zeros(len(counts), np.uint8)
+    for i in range(0, len(counts), BLOCK):
+        out[i : i + BLOCK] = np.round(8 * np.log2(np.maximum(counts[i : i + BLOCK] - mean, 1.0)))
+    return out
 
 
 def base_length(n: int, percent: int) -> int:
@@ -123,6 +126,61 @@ def prefixes(docs: DataFrame, k: int, percent: int, sizes: np.ndarray, most: int
     return docs.select("text").mapInArrow(run, "node long, n int, base int, l int, common double, p array<long>").dropDuplicates(["node"])
 
 
+class Sieve:
+    """The low bits of a column's hashes, as a bitmap of a bounded size: lets all of them through and few others.
+
+    Rows are sifted before they are shuffled; where the bitmap is full, more pass and exact joins do all the work.
+    """
+
+    def __init__(self, rows: DataFrame, column: str, most: int = 1 << 26):
+        self.size = min(most, 1 << max(15, (16 * rows.count()).bit_length()))
+        self.bits = np.zeros(self.size >> 3, np.uint8)
+        place = rows.select(F.col(column).bitwiseAND(F.lit(self.size - 1)).alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bits"))
+        for r in place.toLocalIterator():
+            self.bits[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) & np.uint64(self.size - 1)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def postings(prefix: DataFrame, sieve: Sieve) -> DataFrame:
+    """node, n, common, i, h: the shingles of each prefix for one match that pass the sieve, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            base, lists = b.column("base").to_numpy(), b.column("p")
+            offsets = lists.offsets.to_numpy()
+            own = np.repeat(np.arange(b.num_rows), base)
+            i = np.arange(len(own)) - np.repeat(np.cumsum(base) - base, base)
+            h = lists.values.to_numpy()[offsets[own] + i]
+            keep = sieve(h)
+            own = pa.array(own[keep])
+            yield pa.RecordBatch.from_arrays([b.column("node").take(own), b.column("n").take(own), b.column("common").take(own), pa.array(i[keep].astype(np.int32)), pa.array(h[keep])], names=["node", "n", "common", "i", "h"])
+
+    return prefix.select("node", "n", "base", "common", "p").mapInArrow(run, "node long, n int, common double, i int, h long")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, s (its whole set) of the wanted nodes (node, own: a row's text and id, hashed)."""
+    sieve = Sieve(wanted, "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.flatnonzero(sieve(b.column("own").to_numpy()))
+            for part in slices([pa.RecordBatch.from_arrays([b.column("text").take(pa.array(keep))], names=["text"])]):
+                sets = [shingles(word_hashes(t), k) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "s"])
+        give_back()
+
+    rows = docs.select("text", own_row(F.xxhash64("text"), F.col("doc_id")).alias("own")).mapInArrow(run, "node long, s array<long>")
+    return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def own_row(tkey: Column, doc_id: Column) -> Column:
+    return F.xxhash64(tkey, doc_id)
+
+
 def enough(a: str, b: str, percent: int) -> str:
     """SQL: whether two sets of sizes n that share a shingle at places i, and none before, can be similar."""
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and (100 + {percent}) * least({a}.n - {a}.i, {b}.n - {b}.i) >= {percent} * ({a}.n + {b}.n)"
@@ -138,17 +196,18 @@ def matched(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
 def node_components(docs: DataFrame, sigs: DataFrame, percent: int, k: int, slots: int, most: int) -> DataFrame:
     """node, comp of every node that has a link."""
     prefix = materialize(prefixes(docs, k, percent, estimates(counters(docs, k, slots)), most), "prefixes")
-    owners = sigs.groupBy("node").agg(F.min(F.struct("tkey", "doc_id")).alias("own")).select("node", "own.tkey", F.col("own.doc_id").alias("owner"))
+    owners = sigs.groupBy("node").agg(F.min(F.struct("tkey", "doc_id")).alias("own")).select("node", own_row(F.col("own.tkey"), F.col("own.doc_id")).alias("own"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(matched(pairs, prefix), "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return materialize(confirmed(pairs, materialize(full_sets(docs, owners.join(wanted, "node"), k), "sets"), percent), "links")
+        wanted = materialize(owners.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "wanted")
+        return materialize(confirmed(pairs, materialize(full_sets(docs, wanted, k), "sets"), percent), "links")
 
-    postings = prefix.select("node", "n", "common", F.posexplode(F.slice("p", F.lit(1), F.col("base"))).alias("i", "h"))
+    often = materialize(prefix.select(F.explode(F.slice("p", F.lit(1), F.col("base"))).alias("h")).groupBy("h").count().where("count > 1").select("h"), "often")
+    own = postings(prefix, Sieve(often, "h"))
     # a written table on the small side lets Spark split the hot keys of the large side
-    lists = postings.groupBy("h").agg(F.count("*").alias("c"), F.max(F.struct("common", "node", "n", "i")).alias("first")).where("c > 1").select("h", "first")
-    shared = materialize(postings.join(materialize(lists, "lists"), "h"), "postings")
+    lists = own.groupBy("h").agg(F.count("*").alias("c"), F.max(F.struct("common", "node", "n", "i")).alias("first")).where("c > 1").select("h", "first")
+    shared = materialize(own.join(materialize(lists, "lists"), "h"), "postings")
     star = shared.alias("own").where(f"own.node <> first.node and {enough('own', 'first', percent)}").select(F.col("first.node").alias("a"), F.col("own.node").alias("b")).distinct()
     links = verified(star)
     comp = components(links)
@@ -164,7 +223,7 @@ def node_components(docs: DataFrame, sigs: DataFrame, percent: int, k: int, slot
     return comp if more.isEmpty() else components(links.unionByName(more))
 
 
-def similar(docs: DataFrame, percent: int = 90, k: int = 3, slots: int = 1 << 22, most: int = 8) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 90, k: int = 3, slots: int = 1 << 24, most: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; slots: how many counters, a power of 2; most: matches required at most."""
     docs = texts(docs)
     sigs = materialize(signatures(docs, k), "signatures")
