@@ -213,3 +213,37 @@ def test_region_semantics_bundle(spark, tmp_path):
     got = api.region_semantics(spark, f"{tmp_path}/a.m")
     assert got["regions"].count() == 1 and {r.kind for r in got["graph"].select("kind").distinct().collect()} == {"DATA", "CONTROL"}
     assert got["facts"].count() == len(statements(MERGE)) - 1
+
+
+JUMPY = """n = 3;
+for i = 1:n
+  if n > i
+    break;
+  elseif i == 2
+    continue;
+  else
+    while n > 0
+      n = n - 1;
+      if n == 1
+        return
+      end
+    end
+  end
+  n = n + i;
+end
+m = n;
+"""
+
+
+def test_jumps_lead_where_they_must():
+    region = mlang.analyze(JUMPY)["regions"][0]
+    # entry 0, exit 1, then by line: n = 3 (2), for (3), if (4), break (5), elseif (6), continue (7), while (8), n - 1 (9), if (10), return (11), n + i (12), m = n (13)
+    got = {(e["source"], e["target"], e["kind"]) for e in region["edges"]}
+    assert got == {
+        (0, 2, "next"), (2, 3, "next"), (3, 4, "true"), (3, 13, "false"), (4, 5, "true"), (4, 6, "false"), (5, 13, "break"), (6, 7, "true"), (6, 8, "false"), (7, 3, "continue"),
+        (8, 9, "true"), (8, 12, "false"), (9, 10, "next"), (10, 11, "true"), (10, 8, "false"), (11, 1, "return"), (12, 3, "next"), (13, 1, "next"),
+    }
+    assert [n["owner"] for n in region["nodes"]] == [-1, -1, 0, *[1] * 10, 2]
+    # a jump outside of loops goes on, and what stands behind a jump still leads on
+    loose = mlang.analyze("break\nwhile true\n  return\n  a = 1;\nend\n")["regions"][0]
+    assert {(e["source"], e["target"], e["kind"]) for e in loose["edges"]} == {(0, 2, "next"), (2, 3, "break"), (3, 4, "true"), (4, 1, "return"), (5, 3, "next"), (3, 1, "false")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import BLOCK, with_halo
 from weftline.schema import COMPLETION_ROLES, KEY
 
 
@@ -78,11 +79,11 @@ def completion(st: DataFrame, edges: DataFrame, steps: int = 4) -> DataFrame:
     wanted = F.array(*map(F.lit, COMPLETION_ROLES))
     rows = st.select(*KEY, "idx", "is_compound", F.array_sort(F.array_intersect("roles", wanted)).alias("done"))
     rows = rows.join(incoming, (rows["path"] == incoming["path"]) & (rows["region_id"] == incoming["region_id"]) & (rows["idx"] == incoming["target"]), "left").select(rows["*"], F.coalesce("inc", F.array().cast("array<struct<source:int,symbol:string>>")).alias("inc"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
-    w = Window.partitionBy(*KEY).orderBy("idx")
-    cur = rows
+    w = Window.partitionBy(*KEY, BLOCK).orderBy("idx")
+    cur = with_halo(rows, steps)
     for k in range(1, steps + 1):
-        cur = cur.withColumn(f"x{k}", F.lead(F.struct("done", "inc", "n_symbols")).over(w) if k == 1 else F.lead(F.struct("done", "inc", "n_symbols"), k).over(w))
-    cur = cur.where("is_compound")
+        cur = cur.withColumn(f"x{k}", F.lead(F.struct("done", "inc", "n_symbols"), k).over(w))
+    cur = cur.where("own_ and is_compound")
     alive = F.lit(True)
     for k in range(1, steps + 1):
         x = F.col(f"x{k}")

@@ -1,18 +1,21 @@
 """Windowed facts about the boundary between each statement and the next.
 
 Boundary b (0-based) lies after statement b; the left frame is [b - w + 1, b], the right one [b + 1, b + w], both clipped
-to the region. Frames are window functions over one hash partitioning by region; edges and symbol spans that cross a
-boundary are exploded to the boundaries they cross and summed, so no range join is needed.
+to the region. Frames are window functions over blocks of a region with the rows that their reach takes from the next
+blocks. What edges over a boundary add up to changes only where edges begin and end: it is a running total of changes,
+carried from block to block, so neither a long region nor a long edge is one task's work. No range join is needed.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence
+from weftline.operators.blocks import BLOCK, dyadic, running, with_halo
 from weftline.schema import KEY
 
 STANDALONE = ("direct_assignment", "direct_multi_output", "effect_only", "command")
@@ -54,7 +57,8 @@ def with_calls(st: DataFrame) -> DataFrame:
 
 def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
     """Facts from statement frames alone; one row for each boundary."""
-    order = Window.partitionBy(*KEY).orderBy("idx")
+    st = with_halo(st, max(window, 3))
+    order = Window.partitionBy(*KEY, BLOCK).orderBy("idx")
     left, right, both = order.rowsBetween(1 - window, 0), order.rowsBetween(1, window), order.rowsBetween(1 - window, window)
     st = with_calls(st).withColumn("symbols", dependence.symbols_of()).withColumn("writes", F.array_union("definitions", "mutations"))
     st = st.withColumn("used_calls", F.when(F.col("call_resolution_available"), F.array_union("resolved_calls", "unresolved_calls")).otherwise(F.col("calls")))
@@ -65,7 +69,7 @@ def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
     all_ = lambda c, w: F.flatten(F.collect_list(c).over(w))
     nxt = lambda c, k=1: F.lead(c, k).over(order)
 
-    cols: dict[str, Column] = {"b": F.col("idx"), "boundary_index": F.col("idx") + 1, "after_line": F.col("end_line"), "before_line": nxt("start_line"), "is_last": nxt("idx").isNull()}
+    cols: dict[str, Column] = {"b": F.col("idx"), "boundary_index": F.col("idx") + 1, "after_line": F.col("end_line"), "before_line": nxt("start_line"), "is_last": nxt("idx").isNull(), "own_": F.col("own_")}
     for side, w in (("left", left), ("right", right)):
         cols[f"{side}_context_size"] = F.count("*").over(w).cast("int")
         cols[f"{side}_symbols"] = distinct(all_("symbols", w))
@@ -90,7 +94,7 @@ def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
     cols["n_unresolved"] = F.sum(F.size("unresolved_calls")).over(both)
     cols["unknown_role"] = F.max((F.array_contains("roles", "unknown") | (F.size("roles") == 0)).cast("int")).over(both) == 1
     cols["site_min"] = F.coalesce(F.min("site_min").over(both), F.lit(1.0))
-    rows = st.select(*KEY, *(c.alias(n) for n, c in cols.items())).where("not is_last")
+    rows = st.select(*KEY, *(c.alias(n) for n, c in cols.items())).where("own_ and not is_last")
 
     both_on = (F.col("support") > 0) & (F.col("next_support") > 0)
     share = lambda part, of: F.size(part) / F.greatest(F.lit(1), F.size(of))
@@ -126,25 +130,106 @@ def span_facts(st: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY, "b").agg(pick("dead"), pick("born"), pick("cross"))
 
 
+#: Sums of 1 / (target - b) over targets far from a run of boundaries are smooth in b: they are taken at these places of the
+#: run (Chebyshev points of [0, 1)) and interpolated, to within rounding. LEAF: runs of 2 ** LEAF boundaries and more.
+POINTS, LEAF = 20, 4
+PLACES = [0.5 - 0.5 * math.cos((2 * q + 1) * math.pi / (2 * POINTS)) for q in range(POINTS)]
+PULLS = [(-1) ** q * math.sin((2 * q + 1) * math.pi / (2 * POINTS)) for q in range(POINTS)]
+
+
+def far_runs() -> Column:
+    """(level, node) of the aligned runs between source and target that lie at least their own length before the target,
+    each as long as possible; `near` from and to the boundaries that are in none."""
+    src, tgt = F.col("source"), F.col("target")
+
+    def bounds(l: Column) -> tuple[Column, Column]:
+        run = F.pow(F.lit(2.0), l)
+        return F.ceil(src / run).cast("int"), F.floor(tgt / run).cast("int") - 2
+
+    def at(l: Column) -> Column:
+        first, last = bounds(l)
+        above, below = bounds(l + 1)
+        covered = lambda i: (above <= below) & (i >= 2 * above) & (i <= 2 * below + 1)
+        # besides what longer runs cover, a level has at most one run before and two after it
+        ends = F.array(first, first + 1, first + 2, last - 2, last - 1, last)
+        return F.transform(F.array_distinct(F.filter(ends, lambda i: (i >= first) & (i <= last) & ~covered(i))), lambda i: F.struct(l.cast("int").alias("level"), i.alias("node")))
+
+    levels = F.sequence(F.lit(LEAF), F.greatest(F.lit(LEAF), F.floor(F.log2((tgt - src).cast("double"))).cast("int")))
+    return F.flatten(F.transform(levels, at))
+
+
+def waiting(e: DataFrame) -> DataFrame:
+    """key, symbol, b, inverse: summed up, the edges of a symbol over a boundary by 1 / (target - b); some rows for each."""
+    src, tgt, run = F.col("source"), F.col("target"), 1 << LEAF
+    first, last = (F.ceil(src / run) * run).cast("int"), ((F.floor(tgt / run) - 1) * run).cast("int")
+    near = F.when(first < last, F.concat(F.when(src < first, F.sequence(src, first - 1)).otherwise(F.array().cast("array<int>")), F.sequence(last, tgt - 1))).otherwise(F.sequence(src, tgt - 1))
+    rows = e.select(*KEY, "symbol", "target", F.explode(near).alias("b")).select(*KEY, "symbol", "b", (1.0 / (tgt - F.col("b"))).alias("inverse"))
+    runs = e.where(first < last).select(*KEY, "symbol", "target", F.explode(far_runs()).alias("r")).select(*KEY, "symbol", "target", "r.*")
+    long = F.pow(F.lit(2.0), F.col("level"))
+    runs = runs.groupBy(*KEY, "symbol", "level", "node").agg(*(F.sum(1.0 / (tgt - (F.col("node") + x) * long)).alias(f"v{q}") for q, x in enumerate(PLACES)))
+    place = F.explode(F.sequence(F.lit(0), long.cast("int") - 1))
+    x = F.col("place") / long
+    pull = [w / (x - c) for w, c in zip(PULLS, PLACES)]
+    value = sum((p * F.col(f"v{q}") for q, p in enumerate(pull)), F.lit(0.0)) / sum(pull, F.lit(0.0))
+    far = runs.withColumn("place", place).select(*KEY, "symbol", (F.col("node") * long + F.col("place")).cast("int").alias("b"), value.alias("inverse"))
+    return rows.unionByName(far)
+
+
+def symbol_loads(e: DataFrame) -> DataFrame:
+    """key, b, symbol, k (its edges over the boundary), inverse (1 / (target - b), summed up), for k above 0."""
+    steps = e.select(*KEY, "symbol", F.explode(F.array(F.struct(F.col("source").alias("at"), F.lit(1).alias("k")), F.struct(F.col("target").alias("at"), F.lit(-1).alias("k")))).alias("s")).select(*KEY, "symbol", "s.*")
+    levels = running(steps, [*KEY, "symbol"], "at", ["k"])
+    until = F.lead("at").over(Window.partitionBy(*KEY, "symbol").orderBy("at")) - 1
+    held = levels.withColumn("until", until).where("k > 0").select(*KEY, "symbol", "k", F.explode(F.sequence("at", "until")).alias("b"))
+    rows = held.withColumn("inverse", F.lit(0.0)).unionByName(waiting(e).withColumn("k", F.lit(0).cast("bigint")))
+    return rows.groupBy(*KEY, "b", "symbol").agg(F.sum("k").alias("k"), F.sum("inverse").alias("inverse"))
+
+
+def longest_over(e: DataFrame) -> DataFrame:
+    """key, b, dependency_span_max: the longest edge over each boundary that has one, by aligned runs of boundaries."""
+    runs = e.select(*KEY, (F.col("target") - F.col("source")).alias("span"), F.explode(dyadic(F.col("source"), F.col("target") - 1)).alias("r"))
+    runs = runs.groupBy(*KEY, "r.level", "r.node").agg(F.max("span").alias("span"))
+    # a region of n boundaries has at most n in the runs of one level
+    at = F.explode(F.expr("sequence(shiftleft(node, level), shiftleft(node + 1, level) - 1)"))
+    return runs.select(*KEY, "span", at.alias("b")).groupBy(*KEY, "b").agg(F.max("span").alias("dependency_span_max"))
+
+
 def edge_facts(edges: DataFrame, sizes: DataFrame, window: int = 4, medium: int = 12) -> DataFrame:
-    """key, b and what the def-use edges around each boundary add up to; sizes: key, n."""
-    e = edges.where("source < target").join(sizes, KEY)
-    low = F.greatest(F.lit(0), F.least("source", F.col("target") - F.lit(max(window, medium))))
-    high = F.least(F.col("n") - 2, F.greatest(F.col("target") - 1, F.col("source") + F.lit(max(window, medium) - 1)))
-    rows = e.select(*KEY, "source", "target", "symbol", F.explode(F.sequence(low, high)).alias("b"))
-    src, tgt, b = F.col("source"), F.col("target"), F.col("b")
-    cross, near, mid = (src <= b) & (b < tgt), (src >= b - window + 1) & (tgt <= b + window), (src >= b - medium + 1) & (tgt <= b + medium)
-    count = lambda c: F.sum(c.cast("int"))
-    by_symbol = rows.groupBy(*KEY, "b", "symbol").agg(
-        count(cross).alias("k"), count(near).alias("near"), count(near & cross).alias("near_cross"), count(near & (tgt <= b)).alias("near_left"), count(near & (src > b)).alias("near_right"), count(mid).alias("mid"), count(mid & cross).alias("mid_cross"),
-        F.sum(F.when(cross, tgt - src)).alias("span"), F.max(F.when(cross, tgt - src)).alias("span_max"), F.collect_set(F.when(cross, tgt)).alias("targets"), count(cross & (src == b) & (tgt <= b + F.least(F.lit(2), F.lit(window)))).alias("followups"), F.sum(F.when(cross, 1.0 / F.greatest(F.lit(1), tgt - b))).alias("inverse"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return by_symbol.groupBy(*KEY, "b").agg(
-        F.sum("k").alias("cross_dependency_count"), F.sum("near").alias("nearby_dependency_count"), F.sum("near_cross").alias("local_cross_dependency_count"), F.sum("near_left").alias("left_internal_data_edge_count"), F.sum("near_right").alias("right_internal_data_edge_count"),
-        F.sum("mid").alias("medium_dependency_count"), F.sum("mid_cross").alias("medium_cross_dependency_count"), F.coalesce(F.sum("span") / F.sum("k"), F.lit(0.0)).alias("dependency_span_mean"), zero(F.max("span_max")).alias("dependency_span_max"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("dependency_target_count"), F.sum(F.col("k") * F.col("k")).alias("dependency_reuse_mass"), F.sum("followups").alias("control_followup_edge_count"), F.coalesce(F.sum((1.0 + F.col("k")) * F.col("inverse")), F.lit(0.0)).alias("unfinished_work_mass"),
-        F.array_sort(F.collect_set(F.when(F.col("k") > 0, F.col("symbol")))).alias("input_symbols"),
+    """key, b and what the def-use edges around each boundary add up to; sizes: key, n.
+
+    Counts change where edges begin and end only: they are running totals of such changes, block by block. Rows for each
+    boundary and symbol are made for symbols that have an edge over it, no more than the sets of symbols hold.
+    """
+    e = edges.where("source < target").select(*KEY, "source", "target", "symbol")
+    src, tgt = F.col("source"), F.col("target")
+    ranges = {
+        "cross": (src, tgt - 1), "near": (tgt - window, src + window - 1), "near_cross": (F.greatest(src, tgt - window), F.least(tgt - 1, src + window - 1)), "near_left": (tgt, src + window - 1), "near_right": (tgt - window, src - 1),
+        "mid": (tgt - medium, src + medium - 1), "mid_cross": (F.greatest(src, tgt - medium), F.least(tgt - 1, src + medium - 1)), "followups": (src, F.when(tgt <= src + min(2, window), src).otherwise(src - 1)),
+    }
+    sums = [*ranges, "span", "targets", "boundaries"]
+    step = lambda at, **v: F.struct(at.cast("int").alias("b"), *(v.get(c, F.lit(0)).cast("bigint").alias(c) for c in sums))
+
+    def steps(low: Column, high: Column, **v: Column) -> Column:
+        return F.when(low <= high, F.array(step(F.greatest(low, F.lit(0)), **v), step(high + 1, **{c: -x for c, x in v.items()}))).otherwise(F.array().cast(f"array<struct<b:int,{','.join(f'{c}:bigint' for c in sums)}>>"))
+
+    one = F.lit(1)
+    by_edge = F.concat(steps(src, tgt - 1, cross=one, span=tgt - src), *(steps(*ranges[c], **{c: one}) for c in ranges if c != "cross"))
+    changes = e.select(*KEY, F.explode(by_edge).alias("s")).select(*KEY, "s.*")
+    # a target counts from its earliest source on
+    held = e.groupBy(*KEY, "target").agg(F.min("source").alias("source"))
+    changes = changes.unionByName(held.select(*KEY, F.explode(steps(src, tgt - 1, targets=one)).alias("s")).select(*KEY, "s.*"))
+    # regions without edges have no changes and take no part
+    every = sizes.join(e.select(*KEY).distinct(), KEY, "left_semi").where("n > 1").select(*KEY, F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("b"))
+    every = every.select(*KEY, "b", *(F.lit(int(c == "boundaries")).cast("bigint").alias(c) for c in sums))
+    # changes behind the last boundary are of no use: there, b runs ahead of the number of boundaries
+    totals = running(changes.unionByName(every), KEY, "b", sums).where("boundaries = b + 1")
+    loads = symbol_loads(e).groupBy(*KEY, "b").agg(F.sum(F.col("k") * F.col("k")).alias("reuse"), F.sum((1.0 + F.col("k")) * F.col("inverse")).alias("unfinished"), F.array_sort(F.collect_set("symbol")).alias("input_symbols"))
+    on = [*KEY, "b"]
+    rows = totals.join(loads, on, "left").join(longest_over(e), on, "left")
+    return rows.select(
+        *on, F.col("cross").alias("cross_dependency_count"), F.col("near").alias("nearby_dependency_count"), F.col("near_cross").alias("local_cross_dependency_count"), F.col("near_left").alias("left_internal_data_edge_count"), F.col("near_right").alias("right_internal_data_edge_count"),
+        F.col("mid").alias("medium_dependency_count"), F.col("mid_cross").alias("medium_cross_dependency_count"), F.when(F.col("cross") > 0, F.col("span") / F.col("cross")).otherwise(0.0).alias("dependency_span_mean"), F.coalesce("dependency_span_max", F.lit(0)).alias("dependency_span_max"),
+        F.col("targets").alias("dependency_target_count"), F.coalesce("reuse", F.lit(0)).alias("dependency_reuse_mass"), F.col("followups").alias("control_followup_edge_count"), F.coalesce("unfinished", F.lit(0.0)).alias("unfinished_work_mass"), F.coalesce("input_symbols", empty_strings()).alias("input_symbols"),
     )
 
 

@@ -289,7 +289,7 @@ def role_cosine(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from weftline.plans import catalog_more  # noqa: F401  registers the rest
+    from weftline.plans import catalog_more, grammar  # noqa: F401  they register the rest
 
     return {k: shipped(f) for k, f in QUERIES.items()}
 

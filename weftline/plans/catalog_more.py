@@ -347,17 +347,8 @@ def parse_m(spark, sf_dir):
     return flat(mlang.statements(regions(spark, sf_dir)).drop("call_sites"))
 
 
-#: their flow graphs (nodes numbered from the last statement to the first), reaching definitions and post-dominators
-_FLOW = f"""{_PARSED},
-    n0 AS (SELECT graph_id, idx, t, part, op, lhs, reads, x, 1 + row_number() OVER (PARTITION BY graph_id ORDER BY idx DESC, CASE part WHEN 2 THEN 0 WHEN 0 THEN 1 + op ELSE 3 END, op DESC) AS node FROM l2 WHERE part IN (0, 1, 3) OR x = 'fallback_value = 0;'),
-    nd AS MATERIALIZED (SELECT n0.*, tk.control FROM n0 JOIN tk ON tk.graph_id = n0.graph_id AND tk.t = n0.t),
-    bl AS (SELECT graph_id, idx, any_value(control) AS control, bool_or(part = 0) AS block, max(node) FILTER (part = 0 AND op = 0) AS head, max(node) FILTER (part = 0 AND op = 1) AS inner_head, max(node) FILTER (part = 2) AS fallback, arg_min(node, op) FILTER (part IN (1, 3)) AS first, arg_max(node, op) FILTER (part IN (1, 3)) AS last FROM nd GROUP BY 1, 2),
-    be0 AS (SELECT *, CASE WHEN block THEN head ELSE first END AS entry FROM bl), be1 AS MATERIALIZED (SELECT *, coalesce(lead(entry) OVER (PARTITION BY graph_id ORDER BY idx), 1) AS after FROM be0),
-    fe AS MATERIALIZED (SELECT graph_id, CAST(0 AS BIGINT) AS a, entry AS b FROM be1 WHERE idx = 0 UNION SELECT graph_id, first, after FROM be1 WHERE NOT block UNION SELECT graph_id, head, coalesce(inner_head, first) FROM be1 WHERE block UNION SELECT graph_id, head, coalesce(fallback, after) FROM be1 WHERE block
-        UNION SELECT graph_id, inner_head, first FROM be1 WHERE inner_head IS NOT NULL UNION SELECT graph_id, inner_head, CASE WHEN control = 'nested' THEN after ELSE head END FROM be1 WHERE inner_head IS NOT NULL UNION SELECT graph_id, fallback, after FROM be1 WHERE fallback IS NOT NULL UNION SELECT graph_id, last, CASE WHEN control IN ('for', 'while', 'loop_branch') THEN head ELSE after END FROM be1 WHERE block
-        UNION SELECT graph_id, node, follow FROM (SELECT graph_id, node, part, lead(node) OVER (PARTITION BY graph_id, idx ORDER BY op) AS follow FROM nd WHERE control <> 'none' AND part = 1) WHERE follow IS NOT NULL),
-    wr AS MATERIALIZED (SELECT DISTINCT graph_id, node, s FROM (SELECT graph_id, node, CASE WHEN x LIKE 'for %' THEN 'loop_index' ELSE lhs END AS s FROM nd) WHERE s <> ''),
-    ru AS MATERIALIZED (SELECT DISTINCT graph_id, node, unnest(reads) AS s FROM nd),
+#: what any flow graph has: fe (edges a, b), nd (nodes with their statement idx), wr and ru (nodes' written and read symbols)
+CLOSURES = """
     rd AS (SELECT w.graph_id, w.node AS d, w.s, fe.b AS at FROM wr w JOIN fe ON fe.graph_id = w.graph_id AND fe.a = w.node UNION SELECT rd.graph_id, rd.d, rd.s, fe.b FROM rd JOIN fe ON fe.graph_id = rd.graph_id AND fe.a = rd.at LEFT JOIN wr ON wr.graph_id = rd.graph_id AND wr.node = rd.at AND wr.s = rd.s WHERE wr.node IS NULL),
     rr AS MATERIALIZED (SELECT DISTINCT rd.graph_id, d AS source, rd.at AS target, rd.s AS symbol FROM rd JOIN ru ON ru.graph_id = rd.graph_id AND ru.node = rd.at AND ru.s = rd.s),
     an AS MATERIALIZED (SELECT graph_id, node FROM nd UNION ALL SELECT DISTINCT graph_id, 0 FROM nd UNION ALL SELECT DISTINCT graph_id, 1 FROM nd),
@@ -366,12 +357,32 @@ _FLOW = f"""{_PARSED},
     pc AS (SELECT graph_id, a, count(*) AS k FROM pd GROUP BY 1, 2),
     cd AS MATERIALIZED (SELECT DISTINCT fe.graph_id, fe.a AS source, pd.b AS target FROM fe JOIN pd ON pd.graph_id = fe.graph_id AND pd.a = fe.b LEFT JOIN pd q ON q.graph_id = fe.graph_id AND q.a = fe.a AND q.b = pd.b AND q.b <> fe.a WHERE q.b IS NULL),
     pg AS (SELECT DISTINCT e.graph_id, x.idx AS source, y.idx AS target, kind, symbol FROM (SELECT *, 'DATA' AS kind FROM rr UNION ALL SELECT graph_id, source, target, NULL, 'CONTROL' FROM cd) e JOIN nd x ON x.graph_id = e.graph_id AND x.node = e.source JOIN nd y ON y.graph_id = e.graph_id AND y.node = e.target)"""
+
+
+#: their flow graphs (nodes numbered in the order of lines), reaching definitions and post-dominators
+_FLOW = f"""{_PARSED},
+    n0 AS (SELECT graph_id, idx, t, part, op, lhs, reads, x, 1 + row_number() OVER (PARTITION BY graph_id ORDER BY line) AS node FROM l2 WHERE part IN (0, 1, 3) OR x = 'fallback_value = 0;'),
+    nd AS MATERIALIZED (SELECT n0.*, tk.control FROM n0 JOIN tk ON tk.graph_id = n0.graph_id AND tk.t = n0.t),
+    bl AS (SELECT graph_id, idx, any_value(control) AS control, bool_or(part = 0) AS block, max(node) FILTER (part = 0 AND op = 0) AS head, max(node) FILTER (part = 0 AND op = 1) AS inner_head, max(node) FILTER (part = 2) AS fallback, arg_min(node, op) FILTER (part IN (1, 3)) AS first, arg_max(node, op) FILTER (part IN (1, 3)) AS last FROM nd GROUP BY 1, 2),
+    be0 AS (SELECT *, CASE WHEN block THEN head ELSE first END AS entry FROM bl), be1 AS MATERIALIZED (SELECT *, coalesce(lead(entry) OVER (PARTITION BY graph_id ORDER BY idx), 1) AS after FROM be0),
+    fe AS MATERIALIZED (SELECT graph_id, CAST(0 AS BIGINT) AS a, entry AS b FROM be1 WHERE idx = 0 UNION SELECT graph_id, first, after FROM be1 WHERE NOT block UNION SELECT graph_id, head, coalesce(inner_head, first) FROM be1 WHERE block UNION SELECT graph_id, head, coalesce(fallback, after) FROM be1 WHERE block
+        UNION SELECT graph_id, inner_head, first FROM be1 WHERE inner_head IS NOT NULL UNION SELECT graph_id, inner_head, CASE WHEN control = 'nested' THEN after ELSE head END FROM be1 WHERE inner_head IS NOT NULL UNION SELECT graph_id, fallback, after FROM be1 WHERE fallback IS NOT NULL UNION SELECT graph_id, last, CASE WHEN control IN ('for', 'while', 'loop_branch') THEN head ELSE after END FROM be1 WHERE block
+        UNION SELECT graph_id, node, follow FROM (SELECT graph_id, node, part, lead(node) OVER (PARTITION BY graph_id, idx ORDER BY op) AS follow FROM nd WHERE control <> 'none' AND part = 1) WHERE follow IS NOT NULL),
+    wr AS MATERIALIZED (SELECT DISTINCT graph_id, node, s FROM (SELECT graph_id, node, CASE WHEN x LIKE 'for %' THEN 'loop_index' ELSE lhs END AS s FROM nd) WHERE s <> ''),
+    ru AS MATERIALIZED (SELECT DISTINCT graph_id, node, unnest(reads) AS s FROM nd), {CLOSURES}"""
 _AT = "graph_id || '.m' AS path, 'script:top-level' AS region_id"
 
 
-@register("q_flow_neighbours", f"{_FLOW} SELECT {_AT}, an.node, coalesce(p.l, '') AS predecessors, coalesce(q.l, '') AS successors FROM an LEFT JOIN (SELECT graph_id, b AS node, string_agg(a, ',' ORDER BY a) AS l FROM fe GROUP BY 1, 2) p USING (graph_id, node) LEFT JOIN (SELECT graph_id, a AS node, string_agg(b, ',' ORDER BY b) AS l FROM fe GROUP BY 1, 2) q USING (graph_id, node)")
+NEIGHBOURS = f"SELECT {_AT}, an.node, coalesce(p.l, '') AS predecessors, coalesce(q.l, '') AS successors FROM an LEFT JOIN (SELECT graph_id, b AS node, string_agg(a, ',' ORDER BY a) AS l FROM fe GROUP BY 1, 2) p USING (graph_id, node) LEFT JOIN (SELECT graph_id, a AS node, string_agg(b, ',' ORDER BY b) AS l FROM fe GROUP BY 1, 2) q USING (graph_id, node)"
+POSTDOMINATORS = f"SELECT {_AT.replace('graph_id', 'pd.graph_id')}, pd.a AS node, string_agg(pd.b, ',' ORDER BY pd.b) AS dominators, arg_max(pd.b, pc.k) FILTER (pd.b <> pd.a) AS nearest FROM pd JOIN pc ON pc.graph_id = pd.graph_id AND pc.a = pd.b GROUP BY pd.graph_id, pd.a"
+
+
+@register("q_flow_neighbours", f"{_FLOW} {NEIGHBOURS}")
 def flow_neighbours(spark, sf_dir):
-    r = materialize(regions(spark, sf_dir), "regions")
+    return neighbours(materialize(regions(spark, sf_dir), "regions"))
+
+
+def neighbours(r: DataFrame) -> DataFrame:
     before, after = dependence.neighbours(mlang.flow_edges(r))
     rows = mlang.flow_nodes(r).select(*KEY, "node").join(before, [*KEY, "node"], "left").join(after, [*KEY, "node"], "left")
     none = F.array().cast("array<int>")
@@ -383,7 +394,7 @@ def reaching_defs_cfg(spark, sf_dir):
     return flat(flow.reaching_definitions(regions(spark, sf_dir)))
 
 
-@register("q_postdominators", f"{_FLOW} SELECT {_AT.replace('graph_id', 'pd.graph_id')}, pd.a AS node, string_agg(pd.b, ',' ORDER BY pd.b) AS dominators, arg_max(pd.b, pc.k) FILTER (pd.b <> pd.a) AS nearest FROM pd JOIN pc ON pc.graph_id = pd.graph_id AND pc.a = pd.b GROUP BY pd.graph_id, pd.a")
+@register("q_postdominators", f"{_FLOW} {POSTDOMINATORS}")
 def postdominators(spark, sf_dir):
     return flat(flow.postdominance(regions(spark, sf_dir)))
 

@@ -177,63 +177,77 @@ def call_sites(n: Node, f: dict[str, set[str]]) -> list[dict]:
 
 
 class Flow:
-    """Flow graph of a region: node 0 entry, 1 exit; statements are lowered from last to first."""
+    """Flow graph of a region, built in source order: node 0 is the entry, 1 the exit.
 
-    def __init__(self, src: str):
-        self.src, self.nodes, self.edges = src, [self.blank(0), self.blank(1)], []
-
-    @staticmethod
-    def blank(i: int) -> dict:
-        return {"node": i, "owner": -1, "definitions": [], "reads": [], "mutations": []}
+    `ends` are the (node, edge kind) pairs that wait for whatever comes next; a jump leaves none behind it.
+    """
 
-    def add(self, owner: int, f: dict[str, set[str]]) -> int:
+    def __init__(self, src: str):
+        self.src, self.nodes, self.edges = src, [], []
+        self.ends: list[tuple[int, str]] = []
+        self.loops: list[tuple[int, list[tuple[int, str]]]] = []  # heads, and the ends that break out
+        for _ in ("entry", "exit"):
+            self.place(-1, dict.fromkeys(SETS, set()))
+        self.edges, self.ends = [], [(0, "next")]
+
+    def place(self, owner: int, f: dict[str, set[str]]) -> int:
+        """A node that all ends lead to; the only end is then the node's own."""
         i = len(self.nodes)
-        self.nodes.append({"node": i, "owner": owner, **{c: sorted(f[c]) for c in ("definitions", "reads", "mutations")}})
+        self.nodes.append({"node": i, "owner": owner} | {c: sorted(f[c]) for c in ("definitions", "reads", "mutations")})
+        self.close(i)
+        self.ends = [(i, "next")]
         return i
 
-    def link(self, a: int, b: int, kind: str) -> None:
-        self.edges.append({"source": a, "target": b, "kind": kind})
+    def close(self, target: int) -> None:
+        self.edges += [{"source": a, "target": target, "kind": kind} for a, kind in self.ends]
+        self.ends = []
+
+    def block(self, nodes: list[Node], owner: int) -> None:
+        for n in nodes:
+            if n.kind in ("for", "parfor", "while"):
+                self.loop(n, owner)
+            elif n.kind == "if":
+                self.choice(n, owner)
+            elif n.kind not in ("function", "class"):
+                self.step(n, owner)
+
+    def choice(self, n: Node, owner: int) -> None:
+        done: list[tuple[int, str]] = []
+        for condition, body in n.extra["clauses"]:
+            at = self.place(owner, facts_of(condition, self.src, VALUE))
+            self.ends = [(at, "true")]
+            self.block(body, owner)
+            done += self.ends
+            self.ends = [(at, "false")]
+        self.block(n.extra["other"] or [], owner)
+        self.ends = done + self.ends
+
+    def loop(self, n: Node, owner: int) -> None:
+        f = facts_of(n.extra["head"], self.src, VALUE)
+        f["definitions"] |= {x.name for x in named(n.extra["var"].walk())} if n.extra["var"] is not None else set()
+        head = self.place(owner, f)
+        self.loops.append((head, []))
+        self.ends = [(head, "true")]
+        self.block(n.extra["body"], owner)
+        self.close(head)
+        self.ends = [(head, "false"), *self.loops.pop()[1]]
+
+    def step(self, n: Node, owner: int) -> None:
+        f = facts_of(n, self.src)
+        at = self.place(owner, f)
+        jump = next((k for k in ("return", "break", "continue") if k in f["control_effects"]), "next")
+        self.ends = [(at, jump)]
+        if jump == "return":
+            self.close(1)
+        elif jump == "break" and self.loops:
+            self.loops[-1][1].append(self.ends.pop())
+        elif jump == "continue" and self.loops:
+            self.close(self.loops[-1][0])
 
     def run(self, statements: list[Node]) -> None:
-        after = 1
-        for owner in range(len(statements) - 1, -1, -1):
-            after = self.lower(statements[owner], owner, after, None)
-        self.link(0, after, "next")
-
-    def sequence(self, nodes: list[Node], owner: int, after: int, loop: tuple[int, int] | None) -> int:
-        for n in reversed([n for n in nodes if n.kind not in ("function", "class")]):
-            after = self.lower(n, owner, after, loop)
-        return after
-
-    def lower(self, n: Node, owner: int, after: int, loop: tuple[int, int] | None) -> int:
-        if n.kind == "if":
-            false = after if n.extra["other"] is None else self.sequence(n.extra["other"], owner, after, loop)
-            for cond, body in reversed(n.extra["clauses"]):
-                i = self.add(owner, facts_of(cond, self.src, VALUE))
-                self.link(i, self.sequence(body, owner, after, loop), "true")
-                self.link(i, false, "false")
-                false = i
-            return false
-        if n.kind in ("for", "parfor", "while"):
-            f = facts_of(n.extra["head"], self.src, VALUE)
-            if n.extra["var"] is not None:
-                f["definitions"] |= {x.name for x in named(n.extra["var"].walk())}
-            i = self.add(owner, f)
-            self.link(i, self.sequence(n.extra["body"], owner, i, (i, after)), "true")
-            self.link(i, after, "false")
-            return i
-        f = facts_of(n, self.src)
-        i = self.add(owner, f)
-        jump = f["control_effects"]
-        if "return" in jump:
-            self.link(i, 1, "return")
-        elif "break" in jump:
-            self.link(i, loop[1] if loop else after, "break")
-        elif "continue" in jump:
-            self.link(i, loop[0] if loop else after, "continue")
-        else:
-            self.link(i, after, "next")
-        return i
+        for owner, n in enumerate(statements):
+            self.block([n], owner)
+        self.close(1)
 
 
 def analyze(src: str, path: str = "") -> dict:
