@@ -122,3 +122,24 @@ def test_very_long_texts(spark):
 def test_multikey_quicksort():
     s = np.random.default_rng(0).integers(0, 3, (800, 14)).astype(np.uint64)
     assert s[suffix_dedup.multikey_quicksort(s)].tolist() == sorted(s.tolist())
+
+
+def test_periodic_texts_take_few_rows(spark):
+    """Runs of one byte, short and long periods, and periods that break off: few anchor rows, and the right bytes."""
+    rng = random.Random(12)
+    line = "".join(rng.choices("abcdefgh ", k=61)) + "\n"
+    rows = [(1, "x" * 60_000), (2, "x" * 401), (3, "abc" * 15_000 + "tail"), (4, line * 700), (5, line * 30 + "break" + line * 40), (6, "y" * 401 + "z" + "y" * 500), (None, "q" * 3000), (7, "x" * 500 + line * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.digests(docs).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows, 400)
+    assert suffix_dedup.anchor_table(suffix_dedup.keyed(docs), 400, 64, suffix_dedup.BYTES).count() < 400
+
+
+def test_stretches_stand_for_all_anchors():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pos = np.cumsum(rng.choice([1, 1, 1, 3, 7], 30))
+        kind = np.repeat(rng.integers(0, 3, 10), 3)
+        first, step, times = suffix_dedup.stretches(pos, kind)
+        told = [(int(pos[f] + s * i), int(kind[f])) for f, s, t in zip(first, step, times) for i in range(t)]
+        assert told == list(zip(pos.tolist(), kind.tolist()))

@@ -65,3 +65,17 @@ def test_tables_without_any_id(spark):
     rows = [(None, t) for t in ("some text that is long enough", "another text that is long enough", None, "some text that is long enough")]
     got = syncmers.fingerprints(spark.createDataFrame(rows * 50, "doc_id long, text string")).collect()
     assert len(got) == 200 and all(r.near_next in (0.0, 1.0) for r in got)  # the smallest text, an empty one, follows them all
+
+
+def test_long_first_document_and_rows_without_ids(spark):
+    """The first document is sketched once, however many rows without an id it follows."""
+    rng = random.Random(2)
+    long = "".join(rng.choices("abcdefgh ", k=300_000))
+    rows = [(90, long), (5, "five " * 40), (None, "none " * 60), (None, "other " * 30)] + [(None, f"many {i} " * 10) for i in range(600)]
+    got = {}
+    for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), chunk=16).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + long[: len(t) // 3]).encode()).hexdigest() for i, t in rows if i is None)
+    assert sorted(r.edited_sha256 for r in got[None]) == want and len(got[90]) == len(got[5]) == 1
+    m = len(long) // 3
+    assert got[90][0].edited_sha256 == hashlib.sha256((long[: len(long) - m] + rows[1][1][:m]).encode()).hexdigest()

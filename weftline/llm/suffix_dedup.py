@@ -10,6 +10,9 @@ window of `length` bytes is the leftmost position with the smallest hash of the
 bytes still fit. Equal windows have equal anchors at equal offsets, so each repeated string shows up as suffixes that
 start alike at its anchors. The windows of one anchor are a run of offsets [lo, hi] and read one context.
 
+In periodic text equal anchors follow each other in equal steps; a row stands for all of them, so a long run of one byte is
+a few rows.
+
 1. Anchors whose `core` leading bytes occur once can't lie in repeated strings and drop out (hash counts).
 2. Equal contexts collapse before any sort (pre-aggregation): one of each goes on, with the number of its copies. One
    that occurs twice or more is repeated as a whole.
@@ -78,29 +81,44 @@ def anchors(data: bytes, length: int, core: int, unit: int = BYTES) -> tuple[np.
     return at[first] * unit, first * unit, (np.r_[first[1:], len(at)] - 1) * unit
 
 
+def stretches(pos: np.ndarray, *alike: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where anchors that are alike follow each other in equal steps: the first of each stretch, its step, its number."""
+    step = np.diff(pos)
+    link = np.ones(len(step), bool)
+    for v in alike:
+        link &= v[1:] == v[:-1]
+    goes_on = link.copy()
+    goes_on[1:] &= ~link[:-1] | (step[1:] == step[:-1])
+    first = np.flatnonzero(np.r_[True, ~goes_on])
+    times = np.diff(np.r_[first, len(pos)])
+    return first, np.where(times > 1, np.r_[step, 0][first], 0), times
+
+
 def anchor_table(docs: DataFrame, length: int, core: int, unit: int) -> DataFrame:
-    """tkey, doc_id, pos, lo, hi (window starts less pos), core and ctx (hashes) for each anchor of each row."""
+    """tkey, doc_id, pos, lo, hi (window starts less pos), core and ctx (hashes) for the anchors of each row.
+
+    In periodic text (runs of one byte, repeated lines) anchors that are alike follow each other: a row stands for `times`
+    of them, at pos, pos + step, ...
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(9)]
             for key, doc, text in zip(b.column("tkey").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 data = encoded(text, unit)
                 pos, lo, hi = anchors(data, length, core, unit)
                 if len(pos):
-                    cols[0].append(np.full(len(pos), key, np.int64))
-                    cols[1] += [doc] * len(pos)
-                    cols[2].append(pos)
-                    cols[3].append(lo - pos)
-                    cols[4].append(hi - pos)
-                    cols[5] += [xxhash.xxh3_64_intdigest(data[p : p + core]) for p in pos.tolist()]
-                    cols[6] += [xxhash.xxh3_64_intdigest(data[i : j + length], p - i) for p, i, j in zip(pos.tolist(), lo.tolist(), hi.tolist())]
+                    hashed = [np.array(v, np.uint64) for v in ([xxhash.xxh3_64_intdigest(data[p : p + core]) for p in pos.tolist()], [xxhash.xxh3_64_intdigest(data[i : j + length], p - i) for p, i, j in zip(pos.tolist(), lo.tolist(), hi.tolist())])]
+                    first, step, times = stretches(pos, lo - pos, hi - pos, *hashed)
+                    cols[0].append(np.full(len(first), key, np.int64))
+                    cols[1] += [doc] * len(first)
+                    for c, v in zip(cols[2:], (pos[first], (lo - pos)[first], (hi - pos)[first], step, times, *(h[first].view(np.int64) for h in hashed))):
+                        c.append(v)
             if cols[1]:
-                whole = [np.concatenate(cols[i]) for i in (0, 2, 3, 4)]
-                hashed = [np.array(cols[i], np.uint64).view(np.int64) for i in (5, 6)]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[0]), pa.array(cols[1], pa.int64()), *(pa.array(x.astype(np.int32)) for x in whole[1:]), *map(pa.array, hashed)], names=["tkey", "doc_id", "pos", "lo", "hi", "core", "ctx"])
+                whole = [pa.array(np.concatenate(c).astype(t)) for c, t in zip([cols[0], *cols[2:]], ("i8", *["i4"] * 5, "i8", "i8"))]
+                yield pa.RecordBatch.from_arrays([whole[0], pa.array(cols[1], pa.int64()), *whole[1:]], names=["tkey", "doc_id", "pos", "lo", "hi", "step", "times", "core", "ctx"])
 
-    return docs.mapInArrow(run, "tkey long, doc_id long, pos int, lo int, hi int, core long, ctx long")
+    return docs.mapInArrow(run, "tkey long, doc_id long, pos int, lo int, hi int, step int, times int, core long, ctx long")
 
 
 def multikey_quicksort(s: np.ndarray, cutoff: int = 24) -> np.ndarray:
@@ -226,15 +244,15 @@ def repeated_contexts(contexts: DataFrame, length: int, core: int, hot: int, per
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int = 8192, per_bucket: int = 20_000, unit: int = BYTES, across: bool = False) -> DataFrame:
-    """tkey, spans (array of struct pos, runs) of the texts that hold repeated strings; docs: doc_id, text, tkey."""
+    """tkey, spans (array of struct pos, step, times, runs) of the texts that hold repeated strings; docs: doc_id, text, tkey."""
     found = materialize(anchor_table(docs, length, core, unit), "anchors")
     # a string is repeated if it has two owners: any two places, or with `across` any two documents
     owner = F.xxhash64("tkey", "doc_id") if across else F.xxhash64("tkey", "doc_id", "pos")
-    several = F.min(owner) != F.max(owner) if across else F.count("*") > 1
+    several = F.min(owner) != F.max(owner) if across else F.sum("times") > 1
     # written tables on the small sides let Spark split the hot keys of the large sides
     often = materialize(found.groupBy("core").agg(several.alias("k")).where("k").select("core"), "cores")
     found = materialize(found.join(often, "core", "left_semi"), "repeated")
-    number = F.when(F.min(owner) != F.max(owner), 2).otherwise(1).cast("long") if across else F.count("*")
+    number = F.when(F.min(owner) != F.max(owner), 2).otherwise(1).cast("long") if across else F.sum("times")
     distinct = materialize(found.groupBy("core", "ctx").agg(number.alias("n"), F.min(F.struct("tkey", "doc_id", "pos", "lo", "hi")).alias("r")), "contexts")
     mixed = distinct.groupBy("core").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("core", "c")
     mixed = materialize(mixed, "mixed")
@@ -259,8 +277,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, core: int = 64, hot: int
     contexts = materialize(contexts, "suffixes")
     whole = distinct.where("n > 1").select("core", "ctx", F.array(F.col("r.lo"), F.col("r.hi") + 1).alias("runs"))
     status = whole.unionByName(repeated_contexts(contexts, length, core, hot, per_bucket, unit))
-    hits = found.select("tkey", "pos", "core", "ctx").distinct().join(status, ["core", "ctx"])
-    return materialize(hits.groupBy("tkey").agg(F.collect_list(F.struct("pos", "runs")).alias("spans")), "spans")
+    hits = found.select("tkey", "pos", "step", "times", "core", "ctx").distinct().join(status, ["core", "ctx"])
+    return materialize(hits.groupBy("tkey").agg(F.collect_list(F.struct("pos", "step", "times", "runs")).alias("spans")), "spans")
 
 
 def passages(docs: DataFrame, over: int = 50, **settings) -> DataFrame:
@@ -274,9 +292,10 @@ def cover(n: int, spans: list[dict] | None, length: int) -> np.ndarray:
         return np.zeros((0, 2), np.int64)
     edge = np.zeros(n + 1, np.int64)
     for s in spans:
-        r = np.array(s["runs"], np.int64).reshape(-1, 2) + s["pos"]
-        np.add.at(edge, r[:, 0], 1)
-        np.add.at(edge, r[:, 1] - 1 + length, -1)
+        at = s["pos"] + s["step"] * np.arange(s["times"])
+        for i, j in np.array(s["runs"], np.int64).reshape(-1, 2).tolist():
+            np.add.at(edge, at + i, 1)
+            np.add.at(edge, at + (j - 1 + length), -1)
     inside = np.cumsum(edge[:-1]) > 0
     turn = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     return turn.reshape(-1, 2)
@@ -319,7 +338,7 @@ def word_runs(spans: list[dict] | None, over: int) -> np.ndarray:
     if not spans:
         return np.zeros((0, 2), np.int64)
     length = (over + 1) * WORDS
-    end = max(s["pos"] + s["runs"][-1] - 1 + length if len(s["runs"]) == 2 else s["pos"] + max(s["runs"]) - 1 + length for s in spans)
+    end = max(s["pos"] + s["step"] * (s["times"] - 1) + max(s["runs"]) - 1 + length for s in spans)
     return cover(end, spans, length) // WORDS
 
 

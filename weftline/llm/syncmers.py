@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import texts
+from weftline.session import materialize
 
 LAST = -(1 << 62)
-#: chunks over which rows without an id are spread
+#: chunks over which rows without an id are spread at most
 SPREAD = 1024
 
 
@@ -80,15 +81,21 @@ def chunk_links(ids: DataFrame, fan: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame, k: int = 12, s: int = 4, keep: int = 64, chunk: int = 256, fan: int = 1 << 16) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
+    base = texts(docs)
     # rows without an id need no neighbour: they are dealt to chunks of their own, at random
-    alone = F.lit(LAST) - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
-    base = texts(docs).withColumn("chunk", F.when(F.col("doc_id").isNull(), alone).otherwise(F.floor(F.col("doc_id") / chunk)))
+    none = base.where("doc_id is null").count()
+    spread = max(1, min(SPREAD, none // chunk))
+    alone = F.lit(LAST) - F.pmod(F.monotonically_increasing_id(), F.lit(spread))
+    base = base.withColumn("chunk", F.when(F.col("doc_id").isNull(), alone).otherwise(F.floor(F.col("doc_id") / chunk)))
     base = base.withColumn("o", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)))
     sketched = lambda rows, name: rows.withColumn("sk", F.expr(smallest(places("text", k, s), keep))).select(name, F.col("text").alias("top"), F.expr(whole("sk", "text")).alias("top_sk"))
     tops = base.where("doc_id is not null").groupBy("chunk").agg(F.min(F.struct("o", "text")).alias("t")).select(F.col("chunk").alias("following"), F.col("t.text").alias("text"))
-    first = base.agg(F.min(F.struct("o", "text")).alias("t"), F.count_if(F.col("doc_id").isNull()).alias("none")).where("none > 0").select(F.col("t.text").alias("text"))
-    first = first.withColumn("c", F.explode(F.sequence(F.lit(LAST - SPREAD + 1), F.lit(LAST))))
-    bridge = chunk_links(base.where("doc_id is not null").select("chunk"), fan).join(sketched(tops, "following"), "following").select(F.col("chunk").alias("c"), "top", "top_sk").unionByName(sketched(first, "c"))
+    bridge = chunk_links(base.where("doc_id is not null").select("chunk"), fan).join(sketched(tops, "following"), "following").select(F.col("chunk").alias("c"), "top", "top_sk")
+    if none:
+        # sketched once, then sent to each of those chunks
+        first = base.agg(F.min(F.struct("o", "text")).alias("t")).select(F.lit(0).alias("c"), F.col("t.text").alias("text"))
+        first = materialize(sketched(first, "c"), "first")
+        bridge = bridge.unionByName(first.withColumn("c", F.explode(F.sequence(F.lit(LAST - spread + 1), F.lit(LAST)))))
 
     n, m = F.length("text"), F.floor(F.length("text") / 3)
     rows = base.withColumn("n", n.cast("int")).withColumn("head", (n - m).cast("int"))
