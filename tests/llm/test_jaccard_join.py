@@ -60,7 +60,7 @@ def corpus():
 def test_matches_all_pairs(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, node int, h string").repartition(3)
-    for percent, k, slots, most in ((90, 3, 1 << 22, 8), (75, 2, 64, 3), (100, 3, 1 << 10, 1)):
+    for percent, k, slots, most in ((90, 3, 1 << 20, 16), (75, 2, 64, 3)):
         got = jaccard_join.similar(docs, percent, k, slots, most)
         assert got.columns == ["doc_id", "n_shingles", "component_id"]
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, k, percent)
@@ -78,8 +78,10 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_prefix_grows_where_lists_are_long():
     rare, common = np.ones(60), np.full(60, 500.0)
     base = jaccard_join.base_length(100, 90)
-    assert jaccard_join.matches(rare, 100, base, 8) == 1
+    assert jaccard_join.matches(rare, 100, base, 8, unseen=0.0) == 1
     assert jaccard_join.matches(common, 100, base, 8) > 1
+    # where lists are long behind the first prefix only, it doesn't grow
+    assert jaccard_join.matches(np.r_[np.full(base, 1.01), np.full(40, 1e6)], 100, base, 8) == 1
     assert jaccard_join.matches(np.ones(1), 1, jaccard_join.base_length(1, 90), 8) == 1
 
 

@@ -95,9 +95,12 @@ def base_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def matches(lengths: np.ndarray, n: int, base: int, most: int) -> int:
-    """The number of matches to require, given the estimated posting lists of a set's shingles in order."""
-    others = np.cumsum(np.maximum(lengths[: base + most - 1] - 1.0, 0.0))
+def matches(lengths: np.ndarray, n: int, base: int, most: int, unseen: float = 0.1) -> int:
+    """The number of matches to require, given the estimated posting lists of a set's shingles in order.
+
+    unseen: what a list is taken to hold of other sets at least, as the counters can't tell short lists apart.
+    """
+    others = np.cumsum(np.maximum(lengths[: base + most - 1] - 1.0, unseen))
     l = np.arange(1, len(others) - base + 2)
     looked_up = others[base - 1 :]
     # of as many postings, at most an l-th part can be sets with l matches
@@ -208,7 +211,8 @@ def node_components(docs: DataFrame, sigs: DataFrame, percent: int, k: int, slot
     # a written table on the small side lets Spark split the hot keys of the large side
     lists = own.groupBy("h").agg(F.count("*").alias("c"), F.max(F.struct("common", "node", "n", "i")).alias("first")).where("c > 1").select("h", "first")
     shared = materialize(own.join(materialize(lists, "lists"), "h"), "postings")
-    star = shared.alias("own").where(f"own.node <> first.node and {enough('own', 'first', percent)}").select(F.col("first.node").alias("a"), F.col("own.node").alias("b")).distinct()
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = materialize(shared.alias("own").where(f"own.node <> first.node and {enough('own', 'first', percent)}").select(*ends("first.node", "own.node")).distinct(), "star")
     links = verified(star)
     comp = components(links)
 
@@ -219,11 +223,11 @@ def node_components(docs: DataFrame, sigs: DataFrame, percent: int, k: int, slot
     placed = materialize(placed.join(materialize(mixed, "mixed"), "h"), "postings")
     l, r = placed.where("comp <> main").alias("l"), placed.alias("r")
     ok = F.expr(f"l.h = r.h and l.comp <> r.comp and (r.comp = r.main or l.node < r.node) and {enough('l', 'r', percent)}")
-    more = verified(l.join(r, ok).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
+    more = verified(l.join(r, ok).select(*ends("l.node", "r.node")).distinct().join(star, ["a", "b"], "left_anti"))
     return comp if more.isEmpty() else components(links.unionByName(more))
 
 
-def similar(docs: DataFrame, percent: int = 90, k: int = 3, slots: int = 1 << 24, most: int = 8) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 90, k: int = 3, slots: int = 1 << 24, most: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; slots: how many counters, a power of 2; most: matches required at most."""
     docs = texts(docs)
     sigs = materialize(signatures(docs, k), "signatures")
