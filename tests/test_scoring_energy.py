@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import dependence, energy, quality, scoring
-from weftline.operators.quality import Grid
+from weftline.operators import dependence, energy, quality, scoring, segments
+from weftline.operators.quality import Grid, Sweep
 from weftline.schema import STATEMENT
 from weftline.sources.tables import events_statements
 
@@ -119,8 +119,8 @@ def test_programs_match_enumeration():
         for t in (1.0, 0.7):
             z, chance, pieces = energy.soft(bnd, seg, t)
             v = np.array(list(each.values())) / t
-            assert z == pytest.approx(t * energy.log_sum(v))
-            p = np.exp(v - energy.log_sum(v))
+            assert z == pytest.approx(t * segments.log_sum(v))
+            p = np.exp(v - segments.log_sum(v))
             for b in range(n - 1):
                 assert chance[b] == pytest.approx(sum(x for c, x in zip(each, p) if b + 1 in c), abs=1e-12)
             assert pieces[0].sum() == pytest.approx(1)
@@ -149,7 +149,7 @@ def model_region(rng, n):
     x[:, [3, 5, 6, 7]] *= 5
     r = np.array([[rng.choice([1.0, 0.7, 0.245]) for _ in range(20)] for _ in range(n - 1)])
     legal = np.array([i != 1 for i in range(n - 1)])
-    return energy.Region(x, r, legal, Grid(*random_region(rng, n)))
+    return energy.Region(x, r, legal, Sweep(*random_region(rng, n), list(range(n))))
 
 
 def test_gradient_matches_finite_differences():
@@ -211,3 +211,54 @@ def test_structured_analysis_marks_the_best_segmentation(activity):
     rows = energy.structured_analysis(activity, energy.initial()).collect()
     assert all((r.reason is None) == r.recommended for r in rows) and all(r.best_energy <= r.log_partition + 1e-9 for r in rows)
     assert any(r.reason == "hard_constraint" and r.energy is None for r in rows)
+
+
+def dense(e):
+    """All segment scores of an energy as one table, from its blocks."""
+    n = e.region.n
+    out = np.full((n + 1, n + 1), -np.inf)
+    for first, block in e.segments.forward():
+        out[: block.shape[1], first + 1 : first + 1 + len(block)] = block.T
+    return out
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 18])
+def test_blocks_of_segments_equal_the_table(monkeypatch, cells):
+    """Whatever a block holds: the sweep's blocks come back alike, programs equal those over the whole table, gradients too."""
+    monkeypatch.setattr(segments, "CELLS", cells)
+    rng = random.Random(cells)
+    for n in (2, 9, 37):
+        region = model_region(rng, n)
+        theta = energy.initial() + 0.05 * np.random.default_rng(n).standard_normal(energy.SIZE)
+        e = energy.Energy(theta, region)
+        forward = {first: block.copy() for first, block in e.segments.forward()}
+        assert all(np.array_equal(block, forward.pop(first)) for first, block in e.segments.backward()) and not forward
+        table = dense(e)
+        assert energy.best_segmentation(e.boundary, e.segments) == energy.best_segmentation(e.boundary, table)
+        z, cut, along = segments.marginals(e.boundary, e.segments, 0.9, [0, n])
+        z2, cut2, chance = energy.soft(e.boundary, table, 0.9)
+        assert z == pytest.approx(z2) and cut == pytest.approx(cut2) and along == pytest.approx(table[0, n])
+        assert chance[0].sum() == pytest.approx(1.0) and chance[:, n].sum() == pytest.approx(1.0)
+        cuts = [c for c in (1, 5) if c < n]
+        losses, slope = energy.loss_and_gradient(theta, region, cuts)
+        monkeypatch.setattr(segments, "CELLS", 1 << 18)
+        whole = energy.loss_and_gradient(theta, region, cuts)
+        monkeypatch.setattr(segments, "CELLS", cells)
+        assert losses == pytest.approx(whole[0]) and slope == pytest.approx(whole[1], abs=1e-12)
+
+
+def test_long_region_in_bounded_memory():
+    """Three thousand statements: peak memory far below that of a table of all segments (72 MB)."""
+    import tracemalloc
+
+    n = 3000
+    rng = random.Random(3)
+    edges = [(i, min(n - 1, i + rng.randrange(1, 40)), "DATA", f"s{i % 50}") for i in range(n - 1)]
+    sweep = Sweep(n, edges, [(i, f"s{i % 50}") for i in range(n)], np.zeros(n, bool), np.zeros(n), list(range(n)))
+    x = np.abs(np.random.default_rng(0).standard_normal((n - 1, 20)))
+    region = energy.Region(x, np.ones((n - 1, 20)), np.ones(n - 1, bool), sweep)
+    tracemalloc.start()
+    losses, slope = energy.loss_and_gradient(energy.initial(), region, [100, 900])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(losses).all() and np.isfinite(slope).all() and peak < 60e6

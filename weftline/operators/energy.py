@@ -2,7 +2,7 @@
 
 A parameter vector of 409 numbers holds the boundary model (transforms, weights, reliability baselines, a small
 interaction network), the module model and the cut penalty. Boundary scores and the scores of all half-open segments
-[i, j) of a region make its energy; the hard program finds the best segmentation, the soft one the partition function
+[i, j) of a region make its energy; segments are scored block by block from a sweep and never held all at once. The hard program finds the best segmentation, the soft one the partition function
 with segment and cut probabilities, from which all gradients follow by hand.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.features import cosine_distance, jaccard_distance, names
 from weftline.operators.facts import boundary_facts
-from weftline.operators.quality import MODULE_WEIGHTS, Grid
-from weftline.operators.scoring import grid_input, grid_of
+from weftline.operators.quality import MODULE_WEIGHTS, Sweep
+from weftline.operators.scoring import grid_input, sweep_of
+from weftline.operators.segments import Swept, best_segmentation, marginals
 from weftline.schema import KEY
 
 LEARNED = (
@@ -121,11 +122,11 @@ class Region:
     x: np.ndarray
     r: np.ndarray
     legal: np.ndarray
-    grid: Grid
+    sweep: Sweep
 
     @property
     def n(self) -> int:
-        return self.grid.n
+        return self.sweep.n
 
 
 class Energy:
@@ -149,23 +150,41 @@ class Energy:
         self.boundary = np.where(self.legal, value - softplus(p["cut"]), -np.inf)
         self.a, self.tau, self.col, self.done = a, tau, col, done
 
-        g, n = region.grid, region.n
-        base, k = g.features(), g.lengths().astype(float)
-        scale, heat = softplus(p["size_scale"]) + 1e-6, softplus(p["orphan_temperature"]) + 1e-6
-        own = np.where(k == 1, g.support[:, None], 0.0)
+        self.scale, self.heat = softplus(p["size_scale"]) + 1e-6, softplus(p["orphan_temperature"]) + 1e-6
+        self.weights = softplus(p["module"])
+        self.segments = Swept(region.sweep, self.score)
+
+    def score(self, first: int, counts: dict[str, np.ndarray]) -> np.ndarray:
+        """Scores of a block of segments; what gradients need of it is kept until the next block."""
+        sweep, rows, starts = self.region.sweep, *counts["internal"].shape
+        ends = np.arange(first, first + rows)
+        k = (ends[:, None] - np.arange(starts)[None] + 1).astype(float)
+        inside = k >= 1
+        k = np.maximum(k, 1.0)
+        own = np.where(inside & (k == 1), sweep.support[ends, None], 0.0)
         decay = np.exp(-np.maximum(0, k - 40) / 100)
-        with np.errstate(over="ignore", invalid="ignore"):
-            size = (1 - np.exp(-np.maximum(k, 0) / scale)) * decay
-            orphan = sigmoid((k - 1.5) / heat) * (1 - ((k == 1) & (own == 0)))
-        self.parts = np.stack([base["internal_cohesion"], base["external_compactness"], base["symbol_locality"], np.maximum(size, own), base["finalization_completeness"], np.maximum(orphan, own)], -1)
-        scores = self.parts @ softplus(p["module"])
-        self.segments = np.full((n + 1, n + 1), -np.inf)
-        i, j = np.triu_indices(n)
-        self.segments[i, j + 1] = scores[i, j]
-        self.aux = (k, scale, heat, own, decay, size, orphan)
-
-    def gradient(self, d_boundary: np.ndarray, d_segments: np.ndarray) -> np.ndarray:
-        """Of a loss with these derivatives by boundary and segment scores."""
+        size = (1 - np.exp(-k / self.scale)) * decay
+        orphan = sigmoid((k - 1.5) / self.heat) * (1 - ((k == 1) & (own == 0)))
+        mass = counts["internal"] + 0.35 * counts["control"]
+        finished = np.array([1 / (1 + sweep.trailing(e)) if sweep.compound[e] else 1.0 for e in ends])
+        parts = (
+            mass / (mass + np.maximum(1, k - 1)), 1 / (1 + 0.35 * (counts["inputs"] + counts["outputs"])), np.where(counts["symbols"] > 0, counts["local"] / np.maximum(1, counts["symbols"]), 1.0),
+            np.maximum(size, own), np.broadcast_to(finished[:, None], k.shape), np.maximum(orphan, own),
+        )
+        self.at = (parts, k, own, decay, size, orphan)
+        return np.where(inside, sum(w * x for w, x in zip(self.weights, parts)), -np.inf)
+
+    def segment_slopes(self, d: np.ndarray) -> np.ndarray:
+        """Sums of derivatives by segment scores over the block scored last: by the six weights, scale and heat."""
+        parts, k, own, decay, size, orphan = self.at
+        out = [float((d * x).sum()) for x in parts]
+        out.append(-(d * self.weights[3] * (size > own) * decay * k / self.scale**2 * np.exp(-k / self.scale)).sum())
+        z = sigmoid((k - 1.5) / self.heat)
+        out.append(-(d * self.weights[5] * (orphan > own) * z * (1 - z) * (k - 1.5) / self.heat**2).sum())
+        return np.array(out)
+
+    def gradient(self, d_boundary: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """Of a loss with these derivatives by boundary scores and (segment_slopes, summed up) by segment scores."""
         p, col, e = self.p, self.col, self.effective
         g = {k: np.zeros(s) for k, s in SHAPES.items()}
         d = np.where(self.legal, d_boundary, 0.0)
@@ -182,15 +201,8 @@ class Energy:
         g["alpha"] = da * sigmoid(p["alpha"])
         g["tau"] = ((df[:, 6] * self.features[:, 6] * col["span"]).sum() + self.a[4] * (bell * col["unfinished"]).sum()) / self.tau**2 * sigmoid(p["tau"])
         g["completion_bias"] = bell.sum()
-        n = self.region.n
-        ds = np.triu(d_segments[:n, 1:])
-        k, scale, heat, own, decay, size, orphan = self.aux
-        w = softplus(p["module"])
-        g["module"] = np.einsum("ij,ijk->k", ds, self.parts) * sigmoid(p["module"])
-        free = np.maximum(k, 0)
-        g["size_scale"] = -(ds * w[3] * (size > own) * decay * free / scale**2 * np.exp(-free / scale)).sum() * sigmoid(p["size_scale"])
-        z = sigmoid((k - 1.5) / heat)
-        g["orphan_temperature"] = -(ds * w[5] * (orphan > own) * z * (1 - z) * (k - 1.5) / heat**2).sum() * sigmoid(p["orphan_temperature"])
+        g["module"] = slopes[:6] * sigmoid(p["module"])
+        g["size_scale"], g["orphan_temperature"] = slopes[6] * sigmoid(p["size_scale"]), slopes[7] * sigmoid(p["orphan_temperature"])
         return np.concatenate([np.ravel(g[k]) for k in SHAPES])
 
 
@@ -199,49 +211,19 @@ def segmentation_energy(boundary: np.ndarray, segments: np.ndarray, cuts: list[i
     return float(sum(segments[i, j] for i, j in zip(points, points[1:])) + sum(boundary[c - 1] for c in cuts))
 
 
-def best_segmentation(boundary: np.ndarray, segments: np.ndarray) -> tuple[list[int], float]:
-    """Cuts of the highest energy and that energy; of equals, the earliest predecessor."""
-    n = len(segments) - 1
-    entry = np.concatenate([[0.0], boundary, [0.0]])
-    best, back = np.zeros(n + 1), np.zeros(n + 1, int)
-    for j in range(1, n + 1):
-        options = best[:j] + segments[:j, j] + entry[:j]
-        back[j] = int(np.argmax(options))
-        best[j] = options[back[j]]
-    cuts, j = [], n
-    while j > 0:
-        j = back[j]
-        if j:
-            cuts.append(int(j))
-    return cuts[::-1], float(best[n])
+def log_partition(boundary: np.ndarray, segments, temperature: float = 1.0) -> float:
+    return marginals(boundary, segments, temperature)[0]
 
 
-def log_sum(v: np.ndarray) -> float:
-    top = v.max(initial=-np.inf)
-    return float(top if not np.isfinite(top) else top + np.log(np.exp(v - top).sum()))
-
-
-def log_partition(boundary: np.ndarray, segments: np.ndarray, temperature: float = 1.0) -> float:
-    return soft(boundary, segments, temperature)[0]
+def soft(boundary: np.ndarray, segments: np.ndarray, temperature: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """T times the log partition function, the probability of each cut, and of each segment, for a table of scores."""
+    chance = np.zeros(segments.shape)
 
+    def visit(first: int, block: np.ndarray) -> None:
+        chance[: block.shape[1], first + 1 : first + 1 + len(block)] = block.T
 
-def soft(boundary: np.ndarray, segments: np.ndarray, temperature: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """T times the log partition function, the probability of each cut, and of each segment."""
-    if temperature <= 0:
-        raise ValueError("temperature must be positive")
-    n = len(segments) - 1
-    seg, entry = segments / temperature, np.concatenate([[0.0], boundary, [0.0]]) / temperature
-    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    ahead[0] = behind[n] = 0.0
-    for j in range(1, n + 1):
-        ahead[j] = log_sum(ahead[:j] + seg[:j, j]) + entry[j]
-    for i in range(n - 1, -1, -1):
-        behind[i] = log_sum(behind[i + 1 :] + entry[i + 1 :] + seg[i, i + 1 :])
-    total = ahead[n]
-    with np.errstate(invalid="ignore"):
-        chance = np.exp(ahead[:, None] + seg + (entry + behind)[None] - total)
-        cut = np.exp(ahead + behind - total)[1:n]
-    return temperature * total, np.nan_to_num(cut), np.nan_to_num(np.triu(chance, 1))
+    z, cut, _ = marginals(boundary, segments, temperature, visit=visit)
+    return z, cut, chance
 
 
 def check_truth(energy: Energy, cuts: list[int]) -> None:
@@ -252,17 +234,22 @@ def check_truth(energy: Energy, cuts: list[int]) -> None:
 
 
 def nll(energy: Energy, cuts: list[int], temperature: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Structured loss and its derivatives by boundary and segment scores."""
+    """Structured loss, its derivatives by boundary scores, and Energy.segment_slopes of those by segment scores."""
     check_truth(energy, cuts)
-    z, cut, seg = soft(energy.boundary, energy.segments, temperature)
-    loss = z - segmentation_energy(energy.boundary, energy.segments, cuts)
-    d_cut, d_seg = cut.copy(), seg.copy()
-    points = [0, *sorted(cuts), energy.region.n]
+    points, slopes = [0, *sorted(cuts), energy.region.n], np.zeros(8)
+
+    def visit(first: int, chance: np.ndarray) -> None:
+        nonlocal slopes
+        for i, j in zip(points, points[1:]):
+            if first < j <= first + len(chance):
+                chance[j - 1 - first, i] -= 1
+        slopes += energy.segment_slopes(chance)
+
+    z, cut, along = marginals(energy.boundary, energy.segments, temperature, points, visit)
+    d_cut = cut.copy()
     for c in cuts:
         d_cut[c - 1] -= 1
-    for i, j in zip(points, points[1:]):
-        d_seg[i, j] -= 1
-    return loss, d_cut, d_seg
+    return z - along - float(sum(energy.boundary[c - 1] for c in cuts)), d_cut, slopes
 
 
 def balanced_bce(energy: Energy, cuts: list[int]) -> tuple[float, np.ndarray]:
@@ -283,12 +270,12 @@ def balanced_bce(energy: Energy, cuts: list[int]) -> tuple[float, np.ndarray]:
 def loss_and_gradient(theta: np.ndarray, region: Region, cuts: list[int], temperature: float = 1.0, auxiliary: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """(structured loss, loss per legal boundary, balanced loss), gradient of the second plus auxiliary times the third."""
     e = Energy(theta, region)
-    loss, d_cut, d_seg = nll(e, cuts, temperature)
+    loss, d_cut, slopes = nll(e, cuts, temperature)
     if not np.isfinite(loss):
         raise FloatingPointError("non-finite structured loss")
     scale = max(1, int(e.legal.sum()))
     extra, d_extra = balanced_bce(e, cuts)
-    return np.array([loss, loss / scale, extra]), e.gradient(d_cut / scale + auxiliary * d_extra, d_seg / scale)
+    return np.array([loss, loss / scale, extra]), e.gradient(d_cut / scale + auxiliary * d_extra, slopes / scale)
 
 
 def region_rows(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -301,7 +288,7 @@ def region_rows(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 def region_of(row) -> Region:
     marks = row["marks"] if row["marks"] is not None else []
     x, r = np.array([list(m["x"]) for m in marks], float), np.array([list(m["r"]) for m in marks], float)
-    return Region(x.reshape(-1, 20), r.reshape(-1, 20), np.array([m["legal"] for m in marks], bool), grid_of(row["rows"], row["edges"]))
+    return Region(x.reshape(-1, 20), r.reshape(-1, 20), np.array([m["legal"] for m in marks], bool), sweep_of(row["rows"], row["edges"], list(range(len(row["rows"])))))
 
 
 def structured_analysis(st: DataFrame, theta: np.ndarray, edges: DataFrame | None = None, temperature: float = 1.0) -> DataFrame:
@@ -314,7 +301,7 @@ def structured_analysis(st: DataFrame, theta: np.ndarray, edges: DataFrame | Non
                 region = region_of(row)
                 e = Energy(theta, region)
                 cuts, best = best_segmentation(e.boundary, e.segments)
-                z, chance, _ = soft(e.boundary, e.segments, temperature)
+                z, chance, _ = marginals(e.boundary, e.segments, temperature)
                 for i, v in enumerate(e.boundary):
                     reason = None if i + 1 in cuts else "hard_constraint" if not e.legal[i] else "not_in_structured_optimum"
                     out.append((row["path"], row["region_id"], i + 1, float(v) if np.isfinite(v) else None, float(chance[i]), e.features[i].tolist(), i + 1 in cuts, reason, best, z))

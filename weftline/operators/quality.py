@@ -2,13 +2,15 @@
 
 `interval_quality` scores any table of inclusive intervals by equi-joins on the statements they cover. `Sweep` goes over
 one region's statements once and scores, at any end, the intervals from some starts: memory follows the starts and the
-edges, not their pairs with ends. `Grid` holds all intervals of one region at once, for models that need them together.
+edges, not their pairs with ends. `Grid` holds all intervals of one region at once.
+Models take their segments from a sweep too, block by block (segments.py).
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -166,6 +168,20 @@ class Grid:
         return sum(w * f[k] for k, w in MODULE_WEIGHTS.items())
 
 
+@dataclass
+class State:
+    """Where a sweep stands."""
+
+    count: dict[str, np.ndarray]
+    met: dict[str, list[tuple[int, int]]] = field(default_factory=dict)  # runs of starts that a symbol already enters
+    last: dict[str, int] = field(default_factory=dict)  # last uses
+    open: dict[str, list[tuple[int, int]]] = field(default_factory=dict)  # heap by source, the latest first; targets
+    reach: dict[str, int] = field(default_factory=dict)  # by symbol: starts up to its latest source whose target lies ahead
+
+    def copy(self) -> State:
+        return State({k: v.copy() for k, v in self.count.items()}, dict(self.met), dict(self.last), {k: list(v) for k, v in self.open.items()}, dict(self.reach))
+
+
 class Sweep:
     """Intervals [s, e] of one region for given starts, with e going up: counts by start are kept as e moves on.
 
@@ -187,47 +203,50 @@ class Sweep:
             span = self.span.setdefault(symbol, [i, i])
             span[0], span[1] = min(span[0], i), max(span[1], i)
 
+    def fresh(self) -> State:
+        return State({c: np.zeros(len(self.starts), np.int32) for c in ("internal", "control", "inputs", "outputs", "symbols", "local")})
+
+    def upto(self, i: int) -> int:
+        """The number of starts up to statement i."""
+        return int(np.searchsorted(self.starts, i, "right"))
+
+    def step(self, state: State, e: int) -> None:
+        """Takes statement e in; the statements before it have been."""
+        at, count = self.upto, state.count
+        for a, kind, symbol in self.into[e]:
+            if a <= e:
+                count["internal" if kind == "DATA" else "control"][: at(a)] += 1
+            if kind == "DATA" and a < e and at(a) < at(e):
+                met = state.met.get(symbol, [])
+                low, high = at(a), at(e)
+                for i, j in gaps(met, low, high):
+                    count["inputs"][i:j] += 1
+                state.met[symbol] = joined(met, low, high)
+        for b, symbol in self.out[e]:
+            heapq.heappush(state.open.setdefault(symbol, []), (-e, b))
+        for symbol in {x for _, x in self.out[e]} | {x for _, kind, x in self.into[e] if kind == "DATA" and x in state.open}:
+            heap = state.open[symbol]
+            while heap and heap[0][1] <= e:
+                heapq.heappop(heap)
+            now, was = at(-heap[0][0]) if heap else 0, state.reach.get(symbol, 0)
+            count["outputs"][min(now, was) : max(now, was)] += 1 if now > was else -1
+            state.reach[symbol] = now
+        for symbol in self.used[e]:
+            count["symbols"][at(state.last.get(symbol, -1)) : at(e)] += 1
+            state.last[symbol] = e
+            first, last = self.span[symbol]
+            if last == e:
+                count["local"][: at(first)] += 1
+
     def columns(self, ends: list[int]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
         """end, number of starts up to it, and by start internal, control, inputs, outputs, symbols, local, for rising ends."""
-        k = len(self.starts)
-        at = lambda i: int(np.searchsorted(self.starts, i, "right"))  # noqa: E731  starts up to i
-        count = {c: np.zeros(k) for c in ("internal", "control", "inputs", "outputs", "symbols", "local")}
-        met: dict[str, list[tuple[int, int]]] = {}  # runs of starts that a symbol already enters
-        last_use: dict[str, int] = {}
-        open_edges: dict[str, list[tuple[int, int]]] = {}  # heap by source, the latest first; targets
-        reach: dict[str, int] = {}  # by symbol: starts up to its latest source whose target lies ahead
-        wanted, e = iter(ends), 0
-        end = next(wanted, None)
-        while end is not None:
+        state, e = self.fresh(), 0
+        for end in ends:
             while e <= end:
-                for a, kind, symbol in self.into[e]:
-                    if a <= e:
-                        count["internal" if kind == "DATA" else "control"][: at(a)] += 1
-                    if kind == "DATA" and a < e and at(a) < at(e):
-                        runs = met.setdefault(symbol, [])
-                        low, high = at(a), at(e)
-                        for i, j in gaps(runs, low, high):
-                            count["inputs"][i:j] += 1
-                        met[symbol] = joined(runs, low, high)
-                for b, symbol in self.out[e]:
-                    heapq.heappush(open_edges.setdefault(symbol, []), (-e, b))
-                for symbol in {x for _, x in self.out[e]} | {x for _, kind, x in self.into[e] if kind == "DATA" and x in open_edges}:
-                    heap = open_edges[symbol]
-                    while heap and heap[0][1] <= e:
-                        heapq.heappop(heap)
-                    now, was = at(-heap[0][0]) if heap else 0, reach.get(symbol, 0)
-                    count["outputs"][min(now, was) : max(now, was)] += 1 if now > was else -1
-                    reach[symbol] = now
-                for symbol in self.used[e]:
-                    count["symbols"][at(last_use.get(symbol, -1)) : at(e)] += 1
-                    last_use[symbol] = e
-                    first, last = self.span[symbol]
-                    if last == e:
-                        count["local"][: at(first)] += 1
+                self.step(state, e)
                 e += 1
-            m = at(end)
-            yield end, m, {c: v[:m].copy() for c, v in count.items()}
-            end = next(wanted, None)
+            m = self.upto(end)
+            yield end, m, {c: v[:m].astype(float) for c, v in state.count.items()}
 
     def trailing(self, e: int) -> int:
         return len({x for _, x in self.out[e]})

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import dependence, energy, facts, flow, metrics, project, semantic, training
+from weftline.operators import dependence, energy, facts, flow, metrics, project, segments, semantic, training
 from weftline.plans import catalog
 from weftline.plans.catalog import events, flat, read, register
 from weftline.plans.oracle import chain
@@ -456,13 +456,17 @@ def sequences(spark, sf_dir) -> DataFrame:
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
 
 
-def small_energy(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(v)
-    seg = np.full((n + 1, n + 1), -np.inf)
-    for i in range(n):
-        w = v[i:]
-        seg[i, i + 1 :] = 0.4 - 0.01 * (np.maximum.accumulate(w) - np.minimum.accumulate(w)) - 0.05 * np.arange(1, len(w) + 1)
-    return 0.004 * np.abs(np.diff(v)) - 0.3, seg
+def small_energy(v: np.ndarray) -> tuple[np.ndarray, segments.Source]:
+    def block(first: int, last: int) -> np.ndarray:
+        # from each start up to the ends of the block: the extremes before it, then with each further value
+        high, low = (np.concatenate([f.accumulate(v[:first][::-1])[::-1] if first else v[:0], np.full(last + 1 - first, e)]) for f, e in ((np.maximum, -np.inf), (np.minimum, np.inf)))
+        out = np.full((last - first + 1, last + 1), -np.inf)
+        for e in range(first, last + 1):
+            high[: e + 1], low[: e + 1] = np.maximum(high[: e + 1], v[e]), np.minimum(low[: e + 1], v[e])
+            out[e - first, : e + 1] = 0.4 - 0.01 * (high[: e + 1] - low[: e + 1]) - 0.05 * np.arange(e + 1, 0, -1)
+        return out
+
+    return 0.004 * np.abs(np.diff(v)) - 0.3, segments.Source(len(v), block)
 
 
 def solve(f, schema: str):
@@ -488,7 +492,7 @@ def log_partition(spark, sf_dir):
 
 @register("q_marginals", chain("fe", "SELECT region_id, boundary, round(exp(a[boundary + 1] + 0.004 * abs(v[boundary + 1] - v[boundary]) - 0.3 + r[n - boundary + 1] - a[n + 1]), 6) AS probability FROM (SELECT x.region_id, x.v, x.n, x.z AS a, y.z AS r, unnest(range(1, x.n)) AS boundary FROM fe x JOIN fe y ON y.region_id = x.region_id AND x.d = 1 AND y.d = -1)", PROGRAMS))
 def marginals(spark, sf_dir):
-    rows = solve(lambda b, s: (energy.soft(b, s)[1].tolist(),), "p array<double>")(sequences(spark, sf_dir))
+    rows = solve(lambda b, s: (segments.marginals(b, s)[1].tolist(),), "p array<double>")(sequences(spark, sf_dir))
     return flat(rows.select("region_id", F.posexplode("p").alias("i", "probability")).select("region_id", (F.col("i") + 1).alias("boundary"), "probability"))
 
 
