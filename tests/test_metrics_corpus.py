@@ -1,7 +1,10 @@
 import hashlib
 import json
+import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline import api, cli
 from weftline.operators import energy, metrics, semantic, training
@@ -137,13 +140,33 @@ def test_training_protocol_and_sealed_test(spark, folder, monkeypatch):
         corpus.identity(spark, str(path))
 
 
-def test_distributed_and_local_training_agree(spark, folder):
+def test_barrier_epochs_equal_a_plain_loop(spark, folder):
     path, _ = folder
     rows = api.corpus_examples(spark, str(path), ("train", "validation")).cache()
-    a = training.train(rows, training.TrainingConfig(epochs=2))
-    b = training.train(rows, training.TrainingConfig(epochs=2, local_examples=0))
-    assert a["history"][-1]["train_structured_nll"] == pytest.approx(b["history"][-1]["train_structured_nll"])
-    assert training.theta_of(a) == pytest.approx(training.theta_of(b))
+    config = training.TrainingConfig(epochs=2, batch_size=2)
+    done = training.train(rows, config)
+    held = [(energy.region_of(r.asDict(True)), [int(c) for c in r.cuts]) for r in rows.where("split = 'train'").orderBy("sample_id").collect()]
+    theta, adam, best = energy.initial(config.random_seed), training.Adam(energy.SIZE, config.weight_decay), None
+    for epoch in (1, 2):
+        rate, auxiliary = training.cosine(epoch, config)
+        order, losses = list(range(len(held))), 0.0
+        random.Random(config.random_seed + epoch).shuffle(order)
+        for i in range(0, len(order), 2):
+            got = [energy.loss_and_gradient(theta, *held[k], config.soft_dp_temperature, auxiliary) for k in order[i : i + 2]]
+            losses += sum(a for a, _ in got)
+            theta = adam.step(theta, training.clipped(sum(g for _, g in got) / len(got), config.gradient_clip), rate)
+        assert done["history"][epoch - 1]["train_structured_nll"] == pytest.approx(losses[0] / len(held))
+        best = theta if done["selection"]["best_epoch"] == epoch else best
+    assert training.theta_of(done) == pytest.approx(best)
+
+
+def test_more_tasks_than_examples(spark, folder):
+    """Tasks without examples take part in every step."""
+    path, _ = folder
+    fit = api.corpus_examples(spark, str(path), ("train", "validation")).where("split = 'train'").limit(1).select("*", F.lit(0).cast("long").alias("place"))
+    config = training.TrainingConfig(batch_size=1)
+    theta, adam, losses = training.one_epoch(fit, 1, 1, energy.initial(), training.Adam(energy.SIZE, 0.0), config)
+    assert adam.t == 1 and losses[0] > 0 and np.any(theta != energy.initial())
 
 
 def graph(spark, control="none"):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 #: positions in a block
 SPAN = 4096
 BLOCK, OWN = "block_", "own_"
@@ -35,6 +37,16 @@ def running(rows: DataFrame, keys: list[str], at: str, columns: list[str], span:
     return each.join(carries, [*keys, BLOCK]).select(*keys, at, *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in columns))
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds a row's place (from 0) in the order of a column: ranges are counted, and numbered one after another."""
+    ranges = materialize(rows.repartitionByRange(by).withColumn("range_", F.spark_partition_id()), "ranges")
+    # one row for each range, as many as shuffle partitions
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.groupBy("range_").count().select("range_", before.alias("start_"))
+    place = F.col("start_") + F.row_number().over(Window.partitionBy("range_").orderBy(by)) - 1
+    return ranges.join(F.broadcast(starts), "range_").withColumn(name, place.cast("long")).drop("range_", "start_")
+
+
 def dyadic(low: Column, high: Column) -> Column:
     """(level, node) of the fewest aligned runs of 2 ** level positions that make up [low, high]; empty where high < low."""
     end = high + 1

@@ -1,7 +1,15 @@
-"""Training of the structured model: gradients by example on the executors, parameters and Adam on the driver."""
+"""Training of the structured model: one barrier job an epoch, whose tasks hold the examples and add up their gradients.
+
+Each task keeps its share of the examples and a copy of the parameters. After each mini-batch the tasks gather one
+another's sums of losses and gradients, some three kilobytes each, add them up in the same order and take the same step;
+examples never move. A step takes about a second, the interval at which Spark's tasks look for one
+another's messages, so larger mini-batches are the way to larger data. All tasks of a barrier job run at once, so it takes as many slots as it has tasks, without dynamic
+allocation; a lost task starts its epoch anew, from the parameters that the driver got from the epoch before.
+"""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -13,11 +21,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import energy as en
 from weftline.operators import metrics
+from weftline.operators.blocks import numbered
 from weftline.schema import KEY, VERSIONS
 from weftline.session import materialize
 
@@ -39,8 +49,6 @@ class TrainingConfig:
     final_learning_rate_ratio: float = 1.0
     schedule_epochs: int = 50
     device: str = "cpu"
-    #: examples up to this number are trained on in the driver's process, more by Spark jobs over the cached table
-    local_examples: int = 2000
 
 
 def batch_gradient(examples: DataFrame, theta: np.ndarray, auxiliary: float, temperature: float) -> tuple[np.ndarray, np.ndarray, int]:
@@ -106,17 +114,43 @@ class Selection:
         return wins
 
 
-def gradients(fit: DataFrame, n: int, config: TrainingConfig) -> Callable[[list[str], np.ndarray, float], tuple[np.ndarray, np.ndarray, int]]:
-    """Losses, gradient and number of a batch of examples: from memory up to `local_examples` of them, else by Spark."""
-    if n > config.local_examples:
-        return lambda ids, theta, auxiliary: batch_gradient(fit.where(F.col("sample_id").isin(ids)), theta, auxiliary, config.soft_dp_temperature)
-    held = {r["sample_id"]: (en.region_of(r), [int(c) for c in r["cuts"]]) for r in fit.collect()}
+def added_up(context: BarrierTaskContext, own: np.ndarray) -> np.ndarray:
+    """The sum of all tasks' vectors, in the order of tasks, so that every task gets the same bits."""
+    told = context.allGather(base64.b64encode(own.tobytes()).decode())
+    return sum((np.frombuffer(base64.b64decode(x)) for x in told), np.zeros(len(own)))
 
-    def local(ids: list[str], theta: np.ndarray, auxiliary: float) -> tuple[np.ndarray, np.ndarray, int]:
-        losses, slopes = zip(*(en.loss_and_gradient(theta, *held[s], config.soft_dp_temperature, auxiliary) for s in ids))
-        return sum(losses), sum(slopes), len(ids)
 
-    return local
+def one_epoch(fit: DataFrame, n: int, epoch: int, theta: np.ndarray, adam: Adam, config: TrainingConfig) -> tuple[np.ndarray, Adam, np.ndarray]:
+    """Parameters and optimizer after an epoch, and its sums of losses; fit: examples with their place among n.
+
+    The order is a shuffle of the places 0 to n - 1, which every task makes for itself.
+    """
+    tasks = max(1, min(n, fit.sparkSession.sparkContext.defaultParallelism))
+    rate, auxiliary = cosine(epoch, config)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = BarrierTaskContext.get()
+        held = {int(r["place"]): (en.region_of(r), [int(c) for c in r["cuts"]]) for frame in frames for r in frame.to_dict("records")}
+        order, at, state, losses = list(range(n)), theta, adam, np.zeros(3)
+        random.Random(config.random_seed + epoch).shuffle(order)
+        for i in range(0, n, config.batch_size):
+            batch, own = order[i : i + config.batch_size], np.zeros(3 + en.SIZE)
+            for k in batch:
+                if k in held:
+                    own += np.concatenate(en.loss_and_gradient(at, *held[k], config.soft_dp_temperature, auxiliary))
+            total = added_up(context, own)
+            losses = losses + total[:3]
+            at = state.step(at, clipped(total[3:] / len(batch), config.gradient_clip), rate)
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"v": [np.concatenate([losses, at, state.m, state.v]).tolist()]})
+
+    dealt = fit.repartition(tasks, "place")
+    # collect, as a barrier job has to run all its tasks; one of them returns a row
+    got = np.array(dealt.mapInPandas(run, "v array<double>", barrier=True).collect()[0].v)
+    after = Adam(en.SIZE, config.weight_decay)
+    losses, theta, after.m, after.v = np.split(got, [3, 3 + en.SIZE, 3 + 2 * en.SIZE])
+    after.t = adam.t + -(-n // config.batch_size)
+    return theta, after, losses
 
 
 def clipped(gradient: np.ndarray, most: float) -> np.ndarray:
@@ -132,22 +166,17 @@ def train(examples: DataFrame, config: TrainingConfig = TrainingConfig(), theta:
     if config.device != "cpu":
         raise RuntimeError(f"device {config.device!r} is not available")
     fit, held = (materialize(examples.where(F.col("split") == split), split) for split in ("train", "validation"))
+    fit = materialize(numbered(fit, "sample_id", "place"), "fit")
     n = fit.count()
     if not n or not held.count():
         raise ValueError("training needs examples in train and in validation")
     if not fit.select("project").join(held.select("project"), "project", "left_semi").isEmpty():
         raise ValueError("project leakage between train and validation")
-    ids = [r.sample_id for r in fit.select("sample_id").orderBy("sample_id").collect()]
-    batch, adam, best, history = gradients(fit, n, config), Adam(en.SIZE, config.weight_decay), Selection(config.minimum_validation_improvement), []
+    adam, best, history = Adam(en.SIZE, config.weight_decay), Selection(config.minimum_validation_improvement), []
     theta = en.initial(config.random_seed) if theta is None else theta.copy()
     for epoch in range(1, config.epochs + 1):
         rate, auxiliary = cosine(epoch, config)
-        random.Random(config.random_seed + epoch).shuffle(order := list(ids))
-        losses = np.zeros(3)
-        for i in range(0, n, config.batch_size):
-            got, slope, k = batch(order[i : i + config.batch_size], theta, auxiliary)
-            losses += got
-            theta = adam.step(theta, clipped(slope / k, config.gradient_clip), rate)
+        theta, adam, losses = one_epoch(fit, n, epoch, theta, adam, config)
         v = validation(held, theta, config.soft_dp_temperature)
         wins = best.offer(epoch, theta, v)
         mean = dict(zip(("train_structured_nll", "train_normalized_structured_nll", "train_boundary_auxiliary_loss"), (losses / n).tolist()))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence, energy, facts, flow, metrics, project, segments, semantic, training
+from weftline.operators.quality import MODULE_WEIGHTS
 from weftline.plans import catalog
 from weftline.plans.catalog import events, flat, read, register
 from weftline.plans.oracle import chain
@@ -630,6 +631,43 @@ def structured_loss(spark, sf_dir):
     return flat(examples(spark, sf_dir).mapInPandas(run, "region_id string, structured_loss double, balanced_loss double"))
 
 
+#: derivatives of a sequence's training loss at the initial parameters: by boundary scores (gd) and segment scores (gq), then
+#: by parameters; a weight y that is kept as the inverse softplus of y has the slope 1 - exp(-y)
+_RATED = {k: f"({r} * {k} + (1 - {r}) * 0.5)" for k, (_, r) in _LEARNED.items()}
+_GRADIENT = [
+    *_LOSSES,
+    ("gb", "SELECT be.region_id, be.i, be.e, CASE WHEN gt.i IS NULL THEN 0 ELSE 1 END AS cut FROM be LEFT JOIN gt ON gt.region_id = be.region_id AND gt.i = be.i WHERE be.legal"),
+    ("gl", "SELECT region_id, count(*) AS legal, sum(cut) AS cuts, count(DISTINCT cut) AS classes FROM gb GROUP BY 1"),
+    ("gd", """SELECT gb.region_id, gb.i, (exp(hv.fz[gb.i + 1] + gb.e + hv.bz[hv.n - gb.i + 1] - hv.fz[hv.n + 1]) - cut) / legal + 0.5 * (1 / (1 + exp(-gb.e)) - cut) / (CASE WHEN cut = 1 THEN cuts ELSE legal - cuts END) / classes AS d
+        FROM gb JOIN gl ON gl.region_id = gb.region_id JOIN hv ON hv.region_id = gb.region_id"""),
+    ("gq", """SELECT sg.region_id, sg.s, sg.t, (exp(hv.fz[sg.s + 1] + CASE WHEN sg.s = 0 THEN 0.0 ELSE x.e END + sg.e + CASE WHEN sg.t = hv.n THEN 0.0 ELSE y.e END + hv.bz[hv.n - sg.t + 1] - hv.fz[hv.n + 1]) - CASE WHEN gp.s IS NULL THEN 0 ELSE 1 END) / greatest(1, coalesce(gl.legal, 0)) AS d
+        FROM sg JOIN hv ON hv.region_id = sg.region_id LEFT JOIN be x ON x.region_id = sg.region_id AND x.i = sg.s LEFT JOIN be y ON y.region_id = sg.region_id AND y.i = sg.t LEFT JOIN gp ON gp.region_id = sg.region_id AND gp.s = sg.s AND gp.t = sg.t LEFT JOIN gl ON gl.region_id = sg.region_id"""),
+    ("ga", f"""SELECT gd.region_id, unnest(['bias', 'cut', {", ".join(f"'weights.{k}', 'baseline.{k}'" for k in _LEARNED)}]) AS parameter, unnest([sum(d), -sum(d) * (1 - exp(-0.5)), {", ".join(f"sum(d * {_RATED[k]}) * (1 - exp(-0.1)), sum(d * (1 - {r})) * 0.1 * 0.25" for k, (_, r) in _LEARNED.items())}]) AS value
+        FROM gd JOIN le ON le.region_id = gd.region_id AND le.b = gd.i - 1 GROUP BY 1"""),
+    ("gz", f"""SELECT gq.region_id, unnest([{", ".join(f"'module.{k}'" for k in MODULE_WEIGHTS)}]) AS parameter, unnest([sum(d * internal / (internal + greatest(1, len - 1))) * (1 - exp(-0.27)), sum(d / (1.0 + 0.35 * (inputs + outputs))) * (1 - exp(-0.22)), sum(d * CASE WHEN symbols > 0 THEN local * 1.0 / symbols ELSE 1.0 END) * (1 - exp(-0.18)),
+        sum(d * greatest({_SIZE}, own)) * (1 - exp(-0.14)), sum(d * CASE WHEN compound THEN 1.0 / (1.0 + trail) ELSE 1.0 END) * (1 - exp(-0.12)), sum(d * greatest({_LONE}, own)) * (1 - exp(-0.07))]) AS value FROM gq JOIN mq ON mq.region_id = gq.region_id AND mq.s = gq.s AND mq.e = gq.t - 1 GROUP BY 1"""),
+]
+
+
+@register("q_gradient", chain("ga", "SELECT region_id, parameter, round(value, 6) + 0.0 AS value FROM (SELECT * FROM ga UNION ALL SELECT * FROM gz)", _GRADIENT))
+def gradient(spark, sf_dir):
+    """What a training step adds up: each sequence's gradient at the initial parameters, by boundary, module and cut weights."""
+    wanted = {"weights": list(_LEARNED), "baseline": list(_LEARNED), "module": list(MODULE_WEIGHTS)}
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                region = energy.region_of(r)
+                slope = energy.unpack(energy.loss_and_gradient(energy.initial(), region, [int(c) for c in r["cuts"]])[1])
+                named = [(f"{k}.{x}", v) for k, names in wanted.items() for x, v in zip(names, slope[k])] + [(k, float(slope[k])) for k in ("bias", "cut")]
+                # without a legal boundary only the modules' weights have a slope
+                out += [(r["region_id"], k, v + 0.0) for k, v in named if k.startswith("module") or region.legal.any()]
+            yield pd.DataFrame(out, columns=["region_id", "parameter", "value"])
+
+    return flat(examples(spark, sf_dir).mapInPandas(run, "region_id string, parameter string, value double")).withColumn("value", F.col("value") + 0.0)
+
+
 #: predictions of the model against the stated cuts: matching within 0, 1 and 2, and the roll-up
 _EVAL = [
     *_LOSSES,
