@@ -140,6 +140,44 @@ def test_training_protocol_and_sealed_test(spark, folder, monkeypatch):
         corpus.identity(spark, str(path))
 
 
+def test_one_of_many_opens_the_sealed_test(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def attempt(_):
+        try:
+            training.claim(f"{tmp_path}/receipt")
+        except FileExistsError:
+            return 0
+        return 1
+
+    with ThreadPoolExecutor(16) as pool:
+        assert sum(pool.map(attempt, range(64))) == 1
+
+
+def test_hash_tree(spark):
+    def tree(leaves, each):
+        depth, distinct = 0, sorted({x: leaves.count(x) for x in leaves}.items())
+        while len(distinct) > each * 16**depth:
+            depth += 1
+        nodes = {}
+        for x, c in distinct:
+            nodes.setdefault(x[:depth], []).append(f"{x}:{c}")
+        nodes = {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in nodes.items()}
+        for d in range(depth - 1, -1, -1):
+            up = {}
+            for k in sorted(nodes):
+                up.setdefault(k[:d], []).append(nodes[k])
+            nodes = {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in up.items()}
+        return nodes[""]
+
+    leaves = [hashlib.sha256(str(i % 150).encode()).hexdigest() for i in range(170)]
+    df = spark.createDataFrame([(x,) for x in leaves], "leaf string").repartition(5)
+    for each in (1, 8, 1000):
+        assert corpus.merkle(df, each) == tree(leaves, each)
+    assert corpus.merkle(df.limit(160), 8) != corpus.merkle(df, 8)
+    assert corpus.merkle(df.where("false")) == hashlib.sha256(b"").hexdigest()
+
+
 def test_barrier_epochs_equal_a_plain_loop(spark, folder):
     path, _ = folder
     rows = api.corpus_examples(spark, str(path), ("train", "validation")).cache()

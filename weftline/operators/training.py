@@ -13,6 +13,7 @@ import base64
 import hashlib
 import json
 import math
+import os
 import random
 import subprocess
 from collections.abc import Callable, Iterator
@@ -220,21 +221,32 @@ def load(path: str) -> dict:
 
 def open_sealed_test(examples: DataFrame, dataset_sha256: str, artifact: str, report: str) -> dict:
     """Evaluates a saved model on the split test, once: a receipt beside the artifact bars a second opening."""
-    receipt = Path(artifact + ".test-opened.json")
-    if receipt.exists():
-        raise FileExistsError("the sealed test has been opened for this artifact already")
+    receipt = artifact + ".test-opened.json"
     if Path(report).exists():
         raise FileExistsError("the report exists already")
     payload = load(artifact)
     if payload.get("dataset", {}).get("dataset_sha256") != dataset_sha256:
         raise ValueError("the dataset changed after model selection")
-    rows = metrics.rollup(metrics.evaluate(examples.where("split = 'test'"), theta_of(payload))).collect()
-    result = {"schema_version": "sealed-test-report", "model_artifact_sha256": hashlib.sha256(Path(artifact).read_bytes()).hexdigest(), "dataset_sha256": dataset_sha256, "test_metrics": [r.asDict() for r in rows]}
-    save(result, report)
-    save({"schema_version": "sealed-test-receipt", "model_artifact_sha256": result["model_artifact_sha256"], "report": report, "report_sha256": hashlib.sha256(Path(report).read_bytes()).hexdigest()}, str(receipt))
+    claim(receipt)
+    try:
+        rows = metrics.rollup(metrics.evaluate(examples.where("split = 'test'"), theta_of(payload))).collect()
+        result = {"schema_version": "sealed-test-report", "model_artifact_sha256": hashlib.sha256(Path(artifact).read_bytes()).hexdigest(), "dataset_sha256": dataset_sha256, "test_metrics": [r.asDict() for r in rows]}
+        save(result, report)
+    except BaseException:
+        os.unlink(receipt)  # nothing was seen
+        raise
+    save({"schema_version": "sealed-test-receipt", "model_artifact_sha256": result["model_artifact_sha256"], "report": report, "report_sha256": hashlib.sha256(Path(report).read_bytes()).hexdigest()}, receipt)
     return result
 
 
+def claim(receipt: str) -> None:
+    """Creates a file that must not exist yet, in one step: of several that try at once, one succeeds."""
+    try:
+        os.close(os.open(receipt, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    except FileExistsError:
+        raise FileExistsError("the sealed test has been opened for this artifact already") from None
+
+
 def examples_of(st: DataFrame, truth: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Joins regions with truth (key, sample_id, project, split, cuts); regions without truth are unlabelled and left out."""
     return en.region_rows(st, edges).join(truth.select(*KEY, "sample_id", "project", "split", "cuts"), KEY)

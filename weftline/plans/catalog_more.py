@@ -146,6 +146,21 @@ def audit_duplicates(spark, sf_dir):
     return flat(corpus.duplicates(manifest(spark, sf_dir)))
 
 
+_TREE = """WITH lf AS (SELECT leaf, count(*) AS c FROM (SELECT sha256('line||' || sha256(lang || ':' || source)) AS leaf FROM documents UNION ALL SELECT sha256('source|sources/' || doc_id || '|' || sha256(text)) FROM documents) GROUP BY 1),
+    dp AS (SELECT min(d) AS depth FROM range(12) t(d) WHERE (SELECT count(*) FROM lf) <= 256 * 16 ** d),
+    l0 AS (SELECT leaf[1:depth] AS place, depth, sha256(string_agg(leaf || ':' || c, ',' ORDER BY leaf)) AS node FROM lf, dp GROUP BY 1, 2)"""
+_LEVELS = "".join(f", l{k + 1} AS (SELECT CASE WHEN depth > 0 THEN place[1:depth - 1] ELSE '' END AS place, greatest(depth - 1, 0) AS depth, CASE WHEN any_value(depth) > 0 THEN sha256(string_agg(node, ',' ORDER BY place)) ELSE any_value(node) END AS node FROM l{k} GROUP BY 1, 2, depth)" for k in range(6))
+
+
+@register("q_dataset_hash", f"{_TREE}{_LEVELS} SELECT node AS dataset_sha256 FROM l6")
+def dataset_hash(spark, sf_dir):
+    """The hash tree over all documents as sources, and a line of a manifest for each."""
+    docs = read(spark, sf_dir, "documents")
+    lines = docs.select(F.concat("lang", F.lit(":"), "source").alias("value"))
+    root = corpus.dataset_hash(lines, docs.select(F.concat(F.lit("sources/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256")))
+    return spark.createDataFrame([(root,)], "dataset_sha256 string")
+
+
 @register("q_split_leakage", f"SELECT {PROJECT} AS project, string_agg(DISTINCT {SPLIT}, ',' ORDER BY {SPLIT}) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT}) > 1")
 def split_leakage(spark, sf_dir):
     return flat(corpus.split_leakage(manifest(spark, sf_dir)))

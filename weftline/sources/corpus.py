@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.metrics import distribution
@@ -156,14 +156,35 @@ def reason_codes(facts: DataFrame) -> DataFrame:
     return facts.select(F.explode("reliability.reason_codes").alias("code")).groupBy("code").count()
 
 
+def merkle(leaves: DataFrame, each: int = 256) -> str:
+    """The root of a hash tree over the column `leaf` (hexadecimal SHA-256 hashes), independent of the rows' order.
+
+    A leaf lies under the leading digits of its hash; equal leaves are one with their number. Nodes hash their children in
+    order, sixteen at a time, with so many levels that a lowest node has about `each` leaves. Only the root, and the number
+    of leaves, reach the driver.
+    """
+    counted = leaves.groupBy("leaf").count()
+    n, depth = counted.count(), 0
+    while n > each * 16**depth:
+        depth += 1
+    told = F.concat("leaf", F.lit(":"), F.col("count").cast("string"))
+    nodes = counted.groupBy(F.substring("leaf", 1, depth).alias("place")).agg(F.array_sort(F.collect_list(told)).alias("parts"))
+    nodes = nodes.select("place", F.sha2(F.array_join("parts", ","), 256).alias("node"))
+    for d in range(depth - 1, -1, -1):
+        nodes = nodes.groupBy(F.substring("place", 1, d).alias("place")).agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("parts"))
+        nodes = nodes.select("place", F.sha2(F.array_join(F.transform("parts", lambda x: x["node"]), ","), 256).alias("node"))
+    root = nodes.first()
+    return root.node if root else hashlib.sha256(b"").hexdigest()
+
+
+def leaf(kind: str, name: Column, digest: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(kind), name, digest), 256).alias("leaf")
+
+
 def dataset_hash(manifest_lines: DataFrame, sources: DataFrame) -> str:
-    """A hash of manifest and sources: of the ordered per-line and per-file hashes, so no file content is gathered."""
-    w = Window.partitionBy("kind").orderBy("name", "h")
-    rows = manifest_lines.select(F.lit("line").alias("kind"), F.col("value").alias("name"), F.sha2("value", 256).alias("h")).unionByName(sources.select(F.lit("source").alias("kind"), F.col("path").alias("name"), F.col("sha256").alias("h")))
-    digest = hashlib.sha256()
-    for r in rows.withColumn("n", F.row_number().over(w)).orderBy("kind", "n").select("kind", "h", F.when(F.col("kind") == "source", F.col("name")).alias("p")).toLocalIterator():
-        digest.update(f"{r.kind}\0{r.p or ''}\0{r.h}\0".encode())
-    return digest.hexdigest()
+    """A hash of manifest and sources: of per-line and per-file hashes, added up as a tree in tasks."""
+    lines = manifest_lines.select(leaf("line", F.lit(""), F.sha2("value", 256)))
+    return merkle(lines.unionByName(sources.select(leaf("source", F.col("path"), F.col("sha256")))))
 
 
 def identity(spark: SparkSession, folder: str, pattern: str = "*.m") -> dict:
