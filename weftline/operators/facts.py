@@ -266,9 +266,28 @@ def completion_facts(st: DataFrame, edges: DataFrame) -> DataFrame:
     return done.select(*KEY, F.col("boundary").alias("b"), (F.col("through") - F.col("boundary")).alias("completion_chain_length"), F.col("roles").alias("completion_roles"), F.col("symbols").alias("completion_symbols"))
 
 
+def canonical(c: Column, kind: str) -> Column:
+    """A fact as a text that any engine writes alike: numbers as whole numbers (fractions in millionths), lists joined."""
+    if kind == "double":
+        c = F.round(c * 1_000_000).cast("bigint")
+    elif kind.startswith("array<struct"):
+        c = F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x["count"].cast("string"))), ",")
+    elif kind.startswith("array"):
+        c = F.array_join(c, ",")
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def fingerprint(facts: DataFrame) -> DataFrame:
-    """key, boundary_index, fingerprint: a hash of the facts without names and lines, equal under renaming of symbols."""
-    named = {"path", "region_id", "after_line", "before_line"} | {c for c in facts.columns if c.endswith(("_symbols", "_calls", "_access_domains"))}
-    keep = [F.col(c) for c in facts.columns if c not in named]
-    counts = [F.size(c).alias(f"n_{c}") for c in facts.columns if c.endswith(("_calls", "_access_domains"))]
-    return facts.select(*KEY, "boundary_index", F.sha2(F.to_json(F.struct(*keep, *counts)), 256).alias("fingerprint"))
+    """key, boundary_index, fingerprint: a hash of the facts without names and lines, equal under renaming of symbols.
+
+    It is the SHA-256 of "name=value" texts in the order of names, joined by "|"; sets of calls and access domains count
+    with their sizes only.
+    """
+    named = {*KEY, "b", "boundary_index", "after_line", "before_line", "reliability"}
+    sized = lambda c: c.endswith(("_calls", "_access_domains"))
+    kinds = dict(facts.dtypes)
+    told = {c: canonical(F.col(c), k) for c, k in kinds.items() if c not in named and not sized(c) and not c.endswith("_symbols")}
+    told |= {f"{c}_count": F.size(c).cast("string") for c in kinds if sized(c)}
+    told |= {f"reliability.{x.name}": canonical(F.col(f"reliability.{x.name}"), x.dataType.simpleString()) for x in facts.schema["reliability"].dataType.fields}
+    text = F.concat_ws("|", *(F.concat(F.lit(f"{k}="), told[k]) for k in sorted(told)))
+    return facts.select(*KEY, "boundary_index", F.sha2(text, 256).alias("fingerprint"))

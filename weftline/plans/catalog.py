@@ -173,7 +173,24 @@ def completion(spark, sf_dir):
     return flat(dependence.completion(st, dependence.linear_def_use(st)).drop("path"))
 
 
-@register("q_fingerprint")
+_MILLIONTHS = "CAST(round(({}) * 1000000) AS BIGINT)".format
+_NO = lambda c: f"coalesce({c}, 0)"
+#: the facts that a fingerprint is made of, by SQL
+_TOLD = {
+    **{f"{side}_{name}_histogram": f"{side[0]}{name[0] if name != 'call_kind' else 'k'}.h" for side in ("left", "right") for name in ("call_kind", "effect", "role")},
+    **{f"{side}_{name}": f"{t.format(side[0])}.{side}_{c}" for side in ("left", "right") for name, c, t in (("context_size", "size", "{}f"), ("symbol_count", "symbols", "{}f"), ("calls_count", "n_calls", "f{}"), ("access_domains_count", "n_domains", "d{}"))},
+    "standalone_call_transition": _MILLIONTHS("cs.transition"), "artifact_handoff": _MILLIONTHS("cs.handoff"), "unfinished_call_setup": _MILLIONTHS("cs.setup"), "unfinished_call_finalization": _MILLIONTHS("cs.finalization"), "primitive_call_chain": _MILLIONTHS("cs.primitive_chain"),
+    "terminal_control_left": "bd.kind = 'error' AND bd.v >= 80", "compound_ends_here": "bd.compound", "constraints": "fx.constraints", "risks": "relx.risks",
+    **{f"reliability.{k}": _MILLIONTHS(v) for k, v in (("parse", "relx.parse"), ("call_resolution", "relx.call_resolution"), ("dependency", "relx.dependency"), ("role", "relx.role_reliability"), ("effect", "relx.parse"), ("callsite", "relx.callsite"), ("dynamic_workspace_risk", "CASE WHEN relx.shared THEN 1 ELSE 0 END"), ("alias_uncertainty", "CASE WHEN relx.ambiguous THEN 1 ELSE 0 END"))}, "reliability.reason_codes": "relx.codes",
+    **{k: _NO(v) for k, v in (("cross_dependency_count", "xst.cross_dep"), ("nearby_dependency_count", "nb.nearby"), ("local_cross_dependency_count", "nb.near_cross"), ("left_internal_data_edge_count", "nb.near_left"), ("right_internal_data_edge_count", "nb.near_right"), ("medium_dependency_count", "nb.medium"), ("medium_cross_dependency_count", "nb.medium_cross"))},
+    **{k: _NO(v) for k, v in (("dependency_span_max", "xst.span_max"), ("dependency_target_count", "xst.targets"), ("dependency_reuse_mass", "CAST(xst.reuse AS BIGINT)"), ("control_followup_edge_count", "xst.followups"), ("input_symbol_count", "xst.inputs_n"), ("output_symbol_count", "outp.outputs_n"), ("completion_chain_length", "comp.through - bd.b"))},
+    "dependency_span_mean": _MILLIONTHS(_NO("xst.span_mean")), "unfinished_work_mass": _MILLIONTHS(_NO("xst.unfinished")), "completion_roles": "comp.roles", "dead_symbol_count": "dbc.dead_n", "born_symbol_count": "dbc.born_n", "cross_symbol_count": "dbc.cross_n",
+}
+_FRAMES = [("fl", "SELECT region_id, b, len(left_call_list) AS left_n_calls FROM lf"), ("fr", "SELECT region_id, b, len(right_call_list) AS right_n_calls FROM rf"), ("dl", "SELECT region_id, b, count(DISTINCT s) FILTER (r) AS left_n_domains FROM lw GROUP BY 1, 2"), ("dr", "SELECT region_id, b, count(DISTINCT s) FILTER (r) AS right_n_domains FROM rw GROUP BY 1, 2")]
+_JOINED = " ".join(f"LEFT JOIN {k} ON {k}.region_id = bd.region_id AND {k}.b = bd.b" for k in ("lf", "rf", "fl", "fr", "dl", "dr", "lk", "rk", "le", "re", "lr", "rr", "fx", "relx", "cs", "xst", "nb", "outp", "comp", "dbc"))
+
+
+@register("q_fingerprint", chain("bd", f"SELECT 'events' AS path, bd.region_id, bd.b + 1 AS boundary_index, sha256(concat_ws('|', {', '.join(f"'{k}=' || coalesce(CAST({_TOLD[k]} AS VARCHAR), '')" for k in sorted(_TOLD))})) AS fingerprint FROM bd {_JOINED}", [*_H, *_FRAMES]))
 def fingerprint(spark, sf_dir):
     return facts.fingerprint(facts.boundary_facts(events(spark, sf_dir)))
 
