@@ -282,7 +282,9 @@ def region_rows(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """key, rows, edges, marks (b, legal, x, r): one row for each region, what a Region needs."""
     data = None if edges is None else edges.where("kind = 'DATA'").select(*KEY, "source", "target", "symbol").distinct()
     marks = boundary_inputs(boundary_facts(st, data)).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("b", "legal", "x", "r"))).alias("marks"))
-    return grid_input(st, edges).join(marks, KEY, "left")
+    rows = grid_input(st, edges).join(marks, KEY, "left")
+    # so many parts that adaptive execution doesn't put them together: rows are small, the work on each is not
+    return rows.repartition(int(st.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
 
 
 def region_of(row) -> Region:

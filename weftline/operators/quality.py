@@ -190,6 +190,7 @@ class Sweep:
 
     def __init__(self, n: int, edges: list[tuple[int, int, str, str | None]], uses: list[tuple[int, str]], compound: np.ndarray, support: np.ndarray, starts: list[int]):
         self.n, self.starts, self.compound, self.support = n, np.asarray(starts), np.asarray(compound, bool), np.asarray(support, float)
+        self.every = len(starts) == n  # all statements are starts
         self.into: list[list] = [[] for _ in range(n)]
         self.out: list[list] = [[] for _ in range(n)]
         self.used: list[set] = [set() for _ in range(n)]
@@ -208,7 +209,7 @@ class Sweep:
 
     def upto(self, i: int) -> int:
         """The number of starts up to statement i."""
-        return int(np.searchsorted(self.starts, i, "right"))
+        return i + 1 if self.every else int(np.searchsorted(self.starts, i, "right"))
 
     def step(self, state: State, e: int) -> None:
         """Takes statement e in; the statements before it have been."""

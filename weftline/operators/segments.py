@@ -53,6 +53,7 @@ class Swept:
 
     def __init__(self, sweep: Sweep, score: Callable[[int, dict[str, np.ndarray]], np.ndarray]):
         self.n, self.sweep, self.score, self.snapshots = sweep.n, sweep, score, {}
+        self.held: tuple[int, dict[str, np.ndarray]] = (-1, {})  # the block counted last; a short region's is its only one
 
     def counts(self, state, first: int) -> dict[str, np.ndarray]:
         last = min(self.n, first + width(self.n))
@@ -61,18 +62,27 @@ class Swept:
             self.sweep.step(state, e)
             for k, v in state.count.items():
                 out[k][e - first, : e + 1] = v[: e + 1]
+        self.held = first, out
         return out
 
     def forward(self) -> Iterator[Block]:
-        state = self.sweep.fresh()
+        state = None
         for first in range(0, self.n, width(self.n)):
-            self.snapshots[first] = state.copy()
+            if first == 0 == self.held[0]:
+                yield 0, self.score(*self.held)
+                continue
+            if state is None:
+                state = self.snapshots[first].copy() if first in self.snapshots else self.sweep.fresh()
+            if first not in self.snapshots:
+                self.snapshots[first] = state.copy()
             yield first, self.score(first, self.counts(state, first))
 
     def backward(self) -> Iterator[Block]:
         """After forward(). Snapshots stay: it can be called again."""
         for first in reversed(range(0, self.n, width(self.n))):
-            yield first, self.score(first, self.counts(self.snapshots[first].copy(), first))
+            if first != self.held[0]:
+                self.counts(self.snapshots[first].copy(), first)
+            yield first, self.score(*self.held)
 
 
 def as_source(segments):
