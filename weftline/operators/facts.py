@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weftline.operators import dependence
 from weftline.operators.blocks import BLOCK, dyadic, running, with_halo
 from weftline.schema import KEY
+from weftline.session import materialize
 
 STANDALONE = ("direct_assignment", "direct_multi_output", "effect_only", "command")
 
@@ -200,7 +201,8 @@ def edge_facts(edges: DataFrame, sizes: DataFrame, window: int = 4, medium: int
     Counts change where edges begin and end only: they are running totals of such changes, block by block. Rows for each
     boundary and symbol are made for symbols that have an edge over it, no more than the sets of symbols hold.
     """
-    e = edges.where("source < target").select(*KEY, "source", "target", "symbol")
+    # read five times below
+    e = materialize(edges.where("source < target").select(*KEY, "source", "target", "symbol"), "edges")
     src, tgt = F.col("source"), F.col("target")
     ranges = {
         "cross": (src, tgt - 1), "near": (tgt - window, src + window - 1), "near_cross": (F.greatest(src, tgt - window), F.least(tgt - 1, src + window - 1)), "near_left": (tgt, src + window - 1), "near_right": (tgt - window, src - 1),
