@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.features import hundredths
 from weftline.operators import dependence
 from weftline.operators.facts import standalone_calls, module_support
 from weftline.schema import KEY
@@ -33,7 +34,7 @@ MODULE_WEIGHTS = {
 
 
 def size_fitness(n: Column) -> Column:
-    return F.when(n == 1, 0.0).when(n == 2, 0.5).when(n == 3, 0.75).when(n <= 40, 1.0).otherwise(1.0 / (1.0 + 0.002 * (n - 40)))
+    return F.when(n == 1, 0.0).when(n == 2, 0.5).when(n == 3, 0.75).when(n <= 40, 1.0).otherwise(1.0 / ((1000 + 2 * (n - 40)) / 1000.0))
 
 
 def windows(st: DataFrame, longest: int | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def interval_quality(st: DataFrame, intervals: DataFrame, edges: DataFrame | Non
     mass = F.col("internal_edge_count") + 0.35 * F.col("internal_control_edge_count")
     features = {
         "internal_cohesion": mass / (mass + F.greatest(F.lit(1), F.col("n") - 1)),
-        "external_compactness": 1.0 / (1.0 + 0.35 * (F.col("input_count") + F.col("output_count"))),
+        "external_compactness": 1.0 / hundredths(0.35, F.col("input_count") + F.col("output_count")),
         "symbol_locality": F.when(F.col("symbol_count") > 0, F.col("local_symbol_count") / F.col("symbol_count")).otherwise(1.0),
         "size_fitness": F.greatest(size_fitness(F.col("n")), F.col("support")),
         "finalization_completeness": F.when(F.col("is_compound"), 1.0 / (1.0 + F.col("trailing"))).otherwise(1.0),
@@ -152,11 +153,11 @@ class Grid:
         one = k == 1
         own = np.where(one, self.support[:, None], 0.0)
         mass = self.internal + 0.35 * self.control
-        fit = np.select([k == 1, k == 2, k == 3, k <= 40], [0.0, 0.5, 0.75, 1.0], 1 / (1 + 0.002 * (k - 40.0)))
+        fit = np.select([k == 1, k == 2, k == 3, k <= 40], [0.0, 0.5, 0.75, 1.0], 1 / ((1000 + 2 * (k - 40.0)) / 1000))
         with np.errstate(divide="ignore", invalid="ignore"):
             return {
                 "internal_cohesion": mass / (mass + np.maximum(1, k - 1)),
-                "external_compactness": 1 / (1 + 0.35 * (self.inputs + self.outputs)),
+                "external_compactness": 1 / ((100 + 35 * (self.inputs + self.outputs)) / 100),
                 "symbol_locality": np.where(self.symbols > 0, self.local / np.maximum(1, self.symbols), 1.0),
                 "size_fitness": np.maximum(fit, own),
                 "finalization_completeness": np.where(self.compound, 1 / (1 + self.trailing), 1.0)[None] * np.ones_like(mass),
@@ -258,10 +259,10 @@ class Sweep:
             k = (e - self.starts[:m] + 1).astype(float)
             own = np.where(k == 1, self.support[e], 0.0)
             mass = c["internal"] + 0.35 * c["control"]
-            fit = np.select([k == 1, k == 2, k == 3, k <= 40], [0.0, 0.5, 0.75, 1.0], 1 / (1 + 0.002 * (k - 40)))
+            fit = np.select([k == 1, k == 2, k == 3, k <= 40], [0.0, 0.5, 0.75, 1.0], 1 / ((1000 + 2 * (k - 40)) / 1000))
             parts = {
                 "internal_cohesion": mass / (mass + np.maximum(1, k - 1)),
-                "external_compactness": 1 / (1 + 0.35 * (c["inputs"] + c["outputs"])),
+                "external_compactness": 1 / ((100 + 35 * (c["inputs"] + c["outputs"])) / 100),
                 "symbol_locality": np.where(c["symbols"] > 0, c["local"] / np.maximum(1, c["symbols"]), 1.0),
                 "size_fitness": np.maximum(fit, own),
                 "finalization_completeness": np.full(m, 1 / (1 + self.trailing(e)) if self.compound[e] else 1.0),
