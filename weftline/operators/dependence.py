@@ -61,11 +61,18 @@ def project(edges: DataFrame, nodes: DataFrame, include_internal: bool = False)
     return out.select(*KEY, F.col("source_owner").alias("source"), F.col("target_owner").alias("target"), "kind", "symbol").distinct()
 
 
-def neighbours(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Predecessors and successors of each node, as sorted arrays."""
-    preds = edges.groupBy(*KEY, F.col("target").alias("node")).agg(F.array_sort(F.collect_set("source")).alias("predecessors"))
-    succs = edges.groupBy(*KEY, F.col("source").alias("node")).agg(F.array_sort(F.collect_set("target")).alias("successors"))
-    return preds, succs
+def neighbours(regions: DataFrame) -> DataFrame:
+    """key, node, predecessors, successors (sorted) of flow graphs (key, nodes, edges), in one grouping.
+
+    A join of nodes with their edges would be planned by the size of the files that the programs are made of, which says
+    nothing about the graphs: at scale the driver would send whole graphs to all tasks.
+    """
+    none = F.lit(None).cast("int")
+    told = lambda node, before, after: F.struct(node.alias("node"), before.alias("before"), after.alias("after"))
+    rows = F.concat(F.transform("nodes", lambda x: told(x["node"], none, none)), F.transform("edges", lambda x: told(x["target"], x["source"], none)), F.transform("edges", lambda x: told(x["source"], none, x["target"])))
+    each = regions.where("region_id is not null").select(*KEY, F.explode(rows).alias("x")).select(*KEY, "x.*")
+    ends = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
+    return each.groupBy(*KEY, "node").agg(ends("before", "predecessors"), ends("after", "successors"))
 
 
 def completion(st: DataFrame, edges: DataFrame, steps: int = 4) -> DataFrame:

@@ -12,7 +12,6 @@ from weftline.operators import flow
 from weftline.plans.catalog import flat, read, register
 from weftline.plans.catalog_more import CLOSURES, NEIGHBOURS, POSTDOMINATORS, neighbours
 from weftline.schema import KEY, SETS
-from weftline.session import materialize
 from weftline.sources import mlang
 
 #: Statement forms: a text, and the sets it must have where they aren't empty. {t} is the statement's number; `base` and
@@ -55,11 +54,11 @@ SITES = (
 STEP = 5  # a conversation's turns go through the forms in steps of that
 
 
-def _programs(lines: DataFrame, first: str) -> DataFrame:
+def _programs(lines: DataFrame, first: str, part: str) -> DataFrame:
     """Regions of the programs of lines (conv_id, place, text), each after some first lines."""
     text = F.concat(F.lit(first), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n"), F.lit("\n"))
     made = lines.groupBy("conv_id").agg(F.encode(text, "UTF-8").alias("content"))
-    return mlang.programs(made.select(F.concat(F.lit("made/"), F.col("conv_id").cast("string"), F.lit(".m")).alias("path"), "content"))
+    return mlang.programs(made.select(F.concat(F.lit("made/"), F.col("conv_id").cast("string"), F.lit(".m")).alias("path"), "content"), (part,))
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -69,7 +68,7 @@ def _turns(spark, sf_dir) -> DataFrame:
 def forms(spark, sf_dir) -> DataFrame:
     texts = F.array(*(F.lit(x) for x, _ in FORMS))
     text = F.replace(F.get(texts, F.pmod(F.col("conv_id") + STEP * F.col("t"), F.lit(len(FORMS))).cast("int")), F.lit("{t}"), F.col("t").cast("string"))
-    return _programs(_turns(spark, sf_dir).select("conv_id", F.col("t").alias("place"), text.alias("text")), "base = 3;\nrec = 4;\n")
+    return _programs(_turns(spark, sf_dir).select("conv_id", F.col("t").alias("place"), text.alias("text")), "base = 3;\nrec = 4;\n", "statements")
 
 
 def _quote(v) -> str:
@@ -122,7 +121,7 @@ def jumps(spark, sf_dir) -> DataFrame:
     text = F.array_join(F.filter(text, lambda x: x.isNotNull()), "\n")
     for name, v in (("{p}", F.col("o").cast("string")), ("{t}", (F.col("o") + 1).cast("string")), ("{first}", F.col("first")), ("{second}", F.col("second"))):
         text = F.replace(text, F.lit(name), v)
-    return _programs(rows.select(F.col("c").alias("conv_id"), F.col("o").alias("place"), text.alias("text")), "x0 = 9;\n")
+    return _programs(rows.select(F.col("c").alias("conv_id"), F.col("o").alias("place"), text.alias("text")), "x0 = 9;\n", "graph")
 
 
 #: Nodes by slot: 0 loop, 1 first condition, 2 its jump, 3 second condition, 4 its jump, 5 tail, 6 and 7 inner condition and
@@ -156,7 +155,7 @@ _AT = "graph_id || '.m' AS path, 'script:top-level' AS region_id"
 @register("q_flow_jumps", f"{_JUMPS} {NEIGHBOURS}")
 def flow_jumps(spark, sf_dir):
     """Flow graphs of loops with break, continue, return, elseif and inner loops."""
-    return neighbours(materialize(jumps(spark, sf_dir), "regions"))
+    return neighbours(jumps(spark, sf_dir))
 
 
 @register("q_reaching_jumps", f"{_JUMPS} SELECT {_AT}, source, target, symbol FROM rr")
