@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.features import cosine_distance, jaccard_distance, names
 from weftline.operators.facts import boundary_facts
+from weftline.operators.pieces import map_rows
 from weftline.operators.quality import MODULE_WEIGHTS, Sweep
 from weftline.operators.scoring import grid_input, sweep_of
 from weftline.operators.segments import Swept, best_segmentation, marginals
@@ -296,18 +296,14 @@ def region_of(row) -> Region:
 def structured_analysis(st: DataFrame, theta: np.ndarray, edges: DataFrame | None = None, temperature: float = 1.0) -> DataFrame:
     """key, boundary_index, energy, probability (of a cut), features, recommended, best_energy, log_partition per boundary."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                region = region_of(row)
-                e = Energy(theta, region)
-                cuts, best = best_segmentation(e.boundary, e.segments)
-                z, chance, _ = marginals(e.boundary, e.segments, temperature)
-                for i, v in enumerate(e.boundary):
-                    reason = None if i + 1 in cuts else "hard_constraint" if not e.legal[i] else "not_in_structured_optimum"
-                    out.append((row["path"], row["region_id"], i + 1, float(v) if np.isfinite(v) else None, float(chance[i]), e.features[i].tolist(), i + 1 in cuts, reason, best, z))
-            yield pd.DataFrame(out, columns=[*KEY, "boundary_index", "energy", "probability", "features", "recommended", "reason", "best_energy", "log_partition"])
+    def run(row: dict) -> Iterator[tuple]:
+        e = Energy(theta, region_of(row))
+        cuts, best = best_segmentation(e.boundary, e.segments)
+        z, chance, _ = marginals(e.boundary, e.segments, temperature)
+        chosen = set(cuts)
+        for i, v in enumerate(e.boundary):
+            reason = None if i + 1 in chosen else "hard_constraint" if not e.legal[i] else "not_in_structured_optimum"
+            yield row["path"], row["region_id"], i + 1, float(v) if np.isfinite(v) else None, float(chance[i]), e.features[i].tolist(), i + 1 in chosen, reason, best, z
 
     schema = "path string, region_id string, boundary_index int, energy double, probability double, features array<double>, recommended boolean, reason string, best_energy double, log_partition double"
-    return region_rows(st, edges).mapInPandas(run, schema)
+    return map_rows(region_rows(st, edges), run, schema)

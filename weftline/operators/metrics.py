@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.pieces import map_rows
 from weftline.session import materialize
 
 
@@ -122,15 +123,11 @@ def evaluate(examples: DataFrame, theta, temperature: float = 1.0) -> DataFrame:
     """Samples (sample_id, project, region_kind, length_bucket, predicted, truth, nll, violations) of a model on examples."""
     from weftline.operators import energy as en
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                e = en.Energy(theta, en.region_of(row))
-                cuts, _ = en.best_segmentation(e.boundary, e.segments)
-                loss, _, _ = en.nll(e, [int(c) for c in row["cuts"]], temperature)
-                out.append((row["sample_id"], row["project"], row["region_id"], e.region.n, cuts, [int(c) for c in row["cuts"]], loss, sum(not e.legal[c - 1] for c in cuts)))
-            yield pd.DataFrame(out, columns=["sample_id", "project", "region_id", "n", "predicted", "truth", "nll", "violations"])
-
-    rows = examples.mapInPandas(run, "sample_id string, project string, region_id string, n int, predicted array<int>, truth array<int>, nll double, violations int")
+    def run(row: dict) -> Iterator[tuple]:
+        e, truth = en.Energy(theta, en.region_of(row)), [int(c) for c in row["cuts"]]
+        cuts, _ = en.best_segmentation(e.boundary, e.segments)
+        loss, _, _ = en.nll(e, truth, temperature)
+        yield row["sample_id"], row["project"], row["region_id"], e.region.n, cuts, truth, loss, sum(not e.legal[c - 1] for c in cuts)
+
+    rows = map_rows(examples, run, "sample_id string, project string, region_id string, n int, predicted array<int>, truth array<int>, nll double, violations int")
     return rows.select("sample_id", "project", region_kind(F.col("region_id")).alias("region_kind"), length_bucket(F.col("n")).alias("length_bucket"), "predicted", "truth", "nll", "violations")

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.features import hundredths
 from weftline.operators import dependence
 from weftline.operators.facts import standalone_calls, module_support
+from weftline.operators.pieces import arrow_schema, records
 from weftline.schema import KEY
 
 #: The weights of the six interval features.
@@ -299,25 +300,29 @@ def module_grid(regions: DataFrame) -> DataFrame:
     """
     counts = {"internal_edge_count": "internal", "input_count": "inputs", "output_count": "outputs", "symbol_count": "symbols", "local_symbol_count": "local"}
 
-    def frame_of(r: dict, sweep: Sweep, held: list[tuple[int, int, dict[str, np.ndarray]]]) -> pd.DataFrame:
-        ends, sizes, columns = zip(*held)
-        together = lambda k: np.concatenate([c[k] for c in columns])
-        return pd.DataFrame({
-            "path": r["path"], "region_id": r["region_id"], "start": np.concatenate([np.arange(m) for m in sizes]), "end": np.repeat(ends, sizes), **{name: together(k).astype(np.int64) for name, k in counts.items()},
+    made = arrow_schema(GRID)
+
+    def batch_of(r: dict, sweep: Sweep, held: list[tuple[int, int, dict[str, np.ndarray]]], rows: int) -> pa.RecordBatch:
+        ends, sizes, by_end = zip(*held)
+        together = lambda k: np.concatenate([c[k] for c in by_end])
+        columns = {
+            "start": np.concatenate([np.arange(m) for m in sizes]), "end": np.repeat(ends, sizes), **{name: together(k) for name, k in counts.items()},
             "trailing_output_count": np.repeat([sweep.trailing(e) for e in ends], sizes), "score": together("score"),
-        })
+        }
+        cells = [pa.array(columns[x.name].astype(x.type.to_pandas_dtype())) if x.name in columns else pa.repeat(r[x.name], rows) for x in made]
+        return pa.RecordBatch.from_arrays(cells, schema=made)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weftline.operators.scoring import sweep_of
 
-        for frame in frames:
-            for r in frame.to_dict("records"):
-                every = list(range(len(r["rows"])))
-                sweep, held = sweep_of(r["rows"], r["edges"], every), []
-                for e, m, c in sweep.scored(every):
-                    held.append((e, m, c))
-                    if sum(x[1] for x in held) > 50_000 or e == every[-1]:
-                        yield frame_of(r, sweep, held)
-                        held = []
-
-    return regions.mapInPandas(run, GRID)
+        for r in records(batches):
+            every = list(range(len(r["rows"])))
+            sweep, held, rows = sweep_of(r["rows"], r["edges"], every), [], 0
+            for e, m, c in sweep.scored(every):
+                held.append((e, m, c))
+                rows += m
+                if rows > 50_000 or e == every[-1]:
+                    yield batch_of(r, sweep, held, rows)
+                    held, rows = [], 0
+
+    return regions.mapInArrow(run, GRID)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence
 from weftline.operators.facts import module_support, standalone_calls
+from weftline.operators.pieces import map_rows
 from weftline.operators.quality import Grid, Sweep
 from weftline.schema import KEY
 
@@ -157,16 +157,13 @@ def select(rejected: DataFrame, st: DataFrame, config: Config = Config(), edges:
     cand = rejected.where("candidate").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("boundary_index", "score", "prominence"))).alias("cuts"))
     jobs = cand.join(grid_input(st, edges), KEY)
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.to_dict("records"):
-                cuts = [c["boundary_index"] for c in r["cuts"]]
-                reward = [config.boundary_reward_weight * ((c["score"] - config.threshold) + (c["prominence"] - config.minimum_prominence)) - config.cut_penalty for c in r["cuts"]]
-                out += [(r["path"], r["region_id"], c) for c in chosen_cuts(sweep_of(r["rows"], r["edges"], [0, *cuts]), cuts, reward, config)]
-            yield pd.DataFrame(out, columns=[*KEY, "boundary_index"])
+    def run(r):
+        cuts = [c["boundary_index"] for c in r["cuts"]]
+        reward = [config.boundary_reward_weight * ((c["score"] - config.threshold) + (c["prominence"] - config.minimum_prominence)) - config.cut_penalty for c in r["cuts"]]
+        for c in chosen_cuts(sweep_of(r["rows"], r["edges"], [0, *cuts]), cuts, reward, config):
+            yield r["path"], r["region_id"], c
 
-    chosen = jobs.mapInPandas(run, "path string, region_id string, boundary_index int").withColumn("recommended", F.lit(True))
+    chosen = map_rows(jobs, run, "path string, region_id string, boundary_index int").withColumn("recommended", F.lit(True))
     rows = rejected.join(chosen, [*KEY, "boundary_index"], "left").withColumn("recommended", F.coalesce("recommended", F.lit(False)))
     left_out = F.col("candidate") & ~F.col("recommended")
     return rows.withColumn("rejection_reasons", F.when(left_out, F.concat("rejection_reasons", F.array(F.lit("not_in_global_optimum")))).otherwise(F.col("rejection_reasons")))
