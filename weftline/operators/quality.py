@@ -1,8 +1,8 @@
 """Quality of statement intervals as modules.
 
-`interval_quality` scores any table of inclusive intervals by equi-joins on the statements they cover. `Sweep` goes over
-one region's statements once and scores, at any end, the intervals from some starts: memory follows the starts and the
-edges, not their pairs with ends. `Grid` holds all intervals of one region at once.
+`interval_quality` scores any table of inclusive intervals. `Sweep`, which it uses, goes over one region's statements once
+and scores, at any end, the intervals from some starts: memory follows the starts and the edges, not their pairs with
+ends. `Grid` holds all intervals of one region at once.
 Models take their segments from a sweep too, block by block (segments.py).
 """
 
@@ -55,44 +55,40 @@ def adjacent(st: DataFrame, window: int = 4) -> DataFrame:
     return rows.select(*KEY, "split", F.explode(sides).alias("i")).select(*KEY, "split", "i.*")
 
 
+SCORED = "path string, region_id string, start int, end int, start_line int, end_line int, internal_edge_count long, internal_control_edge_count long, input_count long, output_count long, symbol_count long, local_symbol_count long, trailing_output_count long, existing_call_support double, internal_cohesion double, external_compactness double, symbol_locality double, size_fitness double, finalization_completeness double, orphan_resistance double, score double"
+
+
 def interval_quality(st: DataFrame, intervals: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """key, start, end, counts, the six features and score of distinct intervals (key, start, end).
 
-    edges: source, target, kind (DATA or CONTROL), symbol; by default the linear def-use edges.
+    edges: source, target, kind (DATA or CONTROL), symbol; by default the linear def-use edges. Statements are numbered
+    from 0 without gaps. A region's intervals are scored in one sweep over it, so their length costs nothing.
     """
-    if edges is None:
-        edges = dependence.linear_def_use(st).withColumn("kind", F.lit("DATA"))
-    at = [*KEY, "start", "end"]
-    cover = intervals.select(*at).distinct().withColumn("idx", F.explode(F.sequence("start", "end")))
-    from_ = cover.join(edges.select(*KEY, F.col("source").alias("idx"), "target", "kind", "symbol"), [*KEY, "idx"])
-    data, control = F.col("kind") == "DATA", F.col("kind") == "CONTROL"
-    inside, out = (F.col("target") >= F.col("idx")) & (F.col("target") <= F.col("end")), F.col("target") > F.col("end")
-    named = lambda c: F.size(F.collect_set(F.when(c, F.col("symbol"))))
-    leaving = from_.groupBy(*at).agg(F.sum((data & inside).cast("int")).alias("internal_edge_count"), F.sum((control & inside).cast("int")).alias("internal_control_edge_count"), named(data & out).alias("output_count"), named(data & out & (F.col("idx") == F.col("end"))).alias("trailing"))
-    to = cover.join(edges.where(data).select(*KEY, F.col("target").alias("idx"), "source", "symbol"), [*KEY, "idx"]).where("source < start")
-    entering = to.groupBy(*at).agg(F.size(F.collect_set("symbol")).alias("input_count"))
-    used = cover.join(dependence.accesses(st).select(*KEY, "idx", "symbol"), [*KEY, "idx"]).select(*at, "symbol").distinct().join(dependence.spans(st), [*KEY, "symbol"])
-    symbols = used.groupBy(*at).agg(F.count("*").alias("symbol_count"), F.sum(((F.col("first") >= F.col("start")) & (F.col("last") <= F.col("end"))).cast("int")).alias("local_symbol_count"))
-    ends = st.withColumn("direct", standalone_calls()).select(*KEY, "idx", "start_line", "end_line", "is_compound", module_support().alias("support"))
-    rows = cover.where("idx = end").drop("idx")
-    rows = rows.join(ends.select(*KEY, F.col("idx").alias("end"), "end_line", "is_compound", "support"), [*KEY, "end"]).join(ends.select(*KEY, F.col("idx").alias("start"), "start_line"), [*KEY, "start"])
-    for part in (leaving, entering, symbols):
-        rows = rows.join(part, at, "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("internal_edge_count", "internal_control_edge_count", "output_count", "trailing", "input_count", "symbol_count", "local_symbol_count")}
-    n = F.col("end") - F.col("start") + 1
-    rows = rows.withColumns(zero).withColumn("n", n).withColumn("support", F.when(F.col("n") == 1, F.col("support")).otherwise(0.0))
-    mass = F.col("internal_edge_count") + 0.35 * F.col("internal_control_edge_count")
-    features = {
-        "internal_cohesion": mass / (mass + F.greatest(F.lit(1), F.col("n") - 1)),
-        "external_compactness": 1.0 / hundredths(0.35, F.col("input_count") + F.col("output_count")),
-        "symbol_locality": F.when(F.col("symbol_count") > 0, F.col("local_symbol_count") / F.col("symbol_count")).otherwise(1.0),
-        "size_fitness": F.greatest(size_fitness(F.col("n")), F.col("support")),
-        "finalization_completeness": F.when(F.col("is_compound"), 1.0 / (1.0 + F.col("trailing"))).otherwise(1.0),
-        "orphan_resistance": F.when(F.col("n") == 1, F.col("support")).otherwise(1.0),
-    }
-    rows = rows.withColumns(features)
-    score = sum((w * F.col(k) for k, w in MODULE_WEIGHTS.items()), F.lit(0.0))
-    return rows.select(*at, "start_line", "end_line", "internal_edge_count", "internal_control_edge_count", "input_count", "output_count", "symbol_count", "local_symbol_count", F.col("trailing").alias("trailing_output_count"), F.col("support").alias("existing_call_support"), *features, score.alias("score"))
+    from weftline.operators.scoring import grid_input, sweep_of
+
+    # one long for each interval, by end
+    asked = intervals.groupBy(*KEY).agg(F.collect_set(F.shiftleft(F.col("end").cast("long"), 32) + F.col("start")).alias("asked"))
+    lines = st.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "start_line", "end_line"))).alias("lines"))
+    made = arrow_schema(SCORED)
+    counts = {"internal_edge_count": "internal", "internal_control_edge_count": "control", "input_count": "inputs", "output_count": "outputs", "symbol_count": "symbols", "local_symbol_count": "local"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in records(batches):
+            ends, starts = np.divmod(np.sort(np.array(r["asked"], np.int64)), 1 << 32)
+            begin, finish = (np.array([x[c] for x in r["lines"]]) for c in ("start_line", "end_line"))
+            sweep, held, rows = sweep_of(r["rows"], r["edges"], np.unique(starts).tolist()), [], 0
+            wanted, first = np.unique(ends, return_index=True)
+            for given, (e, m, c) in zip(np.split(starts, first[1:]), sweep.scored(wanted.tolist())):
+                at = np.searchsorted(sweep.starts, given)
+                told = {k: np.broadcast_to(v, m)[at] for k, v in c.items()}
+                held.append(told | {name: told[k] for name, k in counts.items()} | {"start": given, "end": np.full(len(at), e), "start_line": begin[given], "end_line": np.full(len(at), finish[e]), "trailing_output_count": np.full(len(at), sweep.trailing(e))})
+                rows += len(at)
+                if rows > 50_000 or e == wanted[-1]:
+                    cells = {x.name: np.concatenate([h[x.name] for h in held]).astype(x.type.to_pandas_dtype()) for x in made if x.name not in KEY}
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[x.name]) if x.name in cells else pa.repeat(r[x.name], rows) for x in made], schema=made)
+                    held, rows = [], 0
+
+    return grid_input(st, edges).join(asked, KEY).join(lines, KEY).mapInArrow(run, SCORED)
 
 
 def adjacent_quality(st: DataFrame, window: int = 4, edges: DataFrame | None = None) -> DataFrame:
@@ -255,7 +251,7 @@ class Sweep:
         return len({x for _, x in self.out[e]})
 
     def scored(self, ends: list[int]) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-        """As columns(), with score."""
+        """As columns(), with the six features, the end's own support and score."""
         for e, m, c in self.columns(ends):
             k = (e - self.starts[:m] + 1).astype(float)
             own = np.where(k == 1, self.support[e], 0.0)
@@ -269,7 +265,7 @@ class Sweep:
                 "finalization_completeness": np.full(m, 1 / (1 + self.trailing(e)) if self.compound[e] else 1.0),
                 "orphan_resistance": np.where(k == 1, own, 1.0),
             }
-            yield e, m, c | {"score": sum((w * parts[x] for x, w in MODULE_WEIGHTS.items()), np.zeros(m))}
+            yield e, m, c | parts | {"existing_call_support": own, "score": sum((w * parts[x] for x, w in MODULE_WEIGHTS.items()), np.zeros(m))}
 
 
 def gaps(runs: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
