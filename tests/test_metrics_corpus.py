@@ -207,6 +207,18 @@ def test_more_tasks_than_examples(spark, folder):
     assert adam.t == 1 and losses[0] > 0 and np.any(theta != energy.initial())
 
 
+def test_an_epoch_is_the_same_in_short_jobs(spark, folder, monkeypatch):
+    path, _ = folder
+    fit = training.numbered(api.corpus_examples(spark, str(path), ("train", "validation")).drop("split"), "sample_id", "place")
+    n, config = fit.count(), training.TrainingConfig(batch_size=1)
+    assert n > 1
+    run = lambda: training.one_epoch(fit, n, 1, energy.initial(), training.Adam(energy.SIZE, 0.0), config)
+    whole = run()
+    monkeypatch.setattr(training, "STRETCH", 1)
+    short = run()
+    assert (whole[0] == short[0]).all() and whole[1].t == short[1].t == n and whole[2] == pytest.approx(short[2])
+
+
 def graph(spark, control="none"):
     tasks = spark.createDataFrame([("g", 0, "load", "acquisition", [], ["x"], 1, "none", 0, ""), ("g", 1, "clean", "normalization", ["x"], ["y"], 2, control, 1, "m"), ("g", 2, "show", "output", ["y"], [], 1, "none", 0, "m")], semantic.TASK)
     return tasks, spark.createDataFrame([], semantic.OPERATION), spark.createDataFrame([], "graph_id string, source_op string, target_op string"), spark.createDataFrame([("g", "b1", "load", "clean", "cut")], semantic.BOUNDARY)

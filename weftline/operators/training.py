@@ -1,16 +1,17 @@
-"""Training of the structured model: one barrier job an epoch, whose tasks hold the examples and add up their gradients.
+"""Training of the structured model: an epoch's examples, shuffled and dealt to ranges, pass one short job after another.
 
-Each task keeps its share of the examples and a copy of the parameters. After each mini-batch the tasks gather one
-another's sums of losses and gradients, some three kilobytes each, add them up in the same order and take the same step;
-examples never move. A step takes about a second, the interval at which Spark's tasks look for one
-another's messages, so larger mini-batches are the way to larger data. All tasks of a barrier job run at once, so it takes as many slots as it has tasks, without dynamic
-allocation; a lost task starts its epoch anew, from the parameters that the driver got from the epoch before.
+Each mini-batch starts from the parameters that the one before left, so an epoch is a chain. A job takes a stretch of the
+shuffled examples, reads them in order and returns parameters and optimizer, some ten kilobytes, from which the next one
+starts; no task holds more than a few examples, none sees more than a stretch. Making the tasks of a barrier job add up
+their gradients after each mini-batch took about a second a step, the interval at which Spark looks for their messages;
+a mini-batch of eight takes less in one task. A lost task starts its stretch anew.
 """
 
 from __future__ import annotations
 
-import base64
+import functools
 import hashlib
+import itertools
 import json
 import math
 import os
@@ -22,15 +23,16 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import energy as en
 from weftline.operators import metrics
 from weftline.operators.blocks import numbered
+from weftline.operators.pieces import records
 from weftline.schema import KEY, VERSIONS
-from weftline.session import materialize
+from weftline.session import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -115,43 +117,55 @@ class Selection:
         return wins
 
 
-def added_up(context: BarrierTaskContext, own: np.ndarray) -> np.ndarray:
-    """The sum of all tasks' vectors, in the order of tasks, so that every task gets the same bits."""
-    told = context.allGather(base64.b64encode(own.tobytes()).decode())
-    return sum((np.frombuffer(base64.b64decode(x)) for x in told), np.zeros(len(own)))
+#: examples that one job takes in turn
+STRETCH = 2048
 
 
-def one_epoch(fit: DataFrame, n: int, epoch: int, theta: np.ndarray, adam: Adam, config: TrainingConfig) -> tuple[np.ndarray, Adam, np.ndarray]:
-    """Parameters and optimizer after an epoch, and its sums of losses; fit: examples with their place among n.
+@functools.lru_cache(maxsize=1)
+def turns(n: int, seed: int) -> np.ndarray:
+    """When each place comes up in a shuffle of the places 0 to n - 1."""
+    order, out = list(range(n)), np.empty(n, np.int64)
+    random.Random(seed).shuffle(order)
+    out[order] = np.arange(n)
+    return out
 
-    The order is a shuffle of the places 0 to n - 1, which every task makes for itself.
-    """
-    tasks = max(1, min(n, fit.sparkSession.sparkContext.defaultParallelism))
+
+def one_epoch(fit: DataFrame, n: int, epoch: int, theta: np.ndarray, adam: Adam, config: TrainingConfig) -> tuple[np.ndarray, Adam, np.ndarray]:
+    """Parameters and optimizer after an epoch, and its sums of losses; fit: examples with their place among n."""
+    spark, seed = fit.sparkSession, config.random_seed + epoch
     rate, auxiliary = cosine(epoch, config)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = BarrierTaskContext.get()
-        held = {int(r["place"]): (en.region_of(r), [int(c) for c in r["cuts"]]) for frame in frames for r in frame.to_dict("records")}
-        order, at, state, losses = list(range(n)), theta, adam, np.zeros(3)
-        random.Random(config.random_seed + epoch).shuffle(order)
-        for i in range(0, n, config.batch_size):
-            batch, own = order[i : i + config.batch_size], np.zeros(3 + en.SIZE)
-            for k in batch:
-                if k in held:
-                    own += np.concatenate(en.loss_and_gradient(at, *held[k], config.soft_dp_temperature, auxiliary))
-            total = added_up(context, own)
+    @F.pandas_udf("long")
+    def turn(places: pd.Series) -> pd.Series:
+        return pd.Series(turns(n, seed)[places.to_numpy()])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(fit.withColumn("turn", turn("place")).repartitionByRange(parts, "turn").sortWithinPartitions("turn"), "dealt")
+    each, losses = max(1, STRETCH // config.batch_size) * config.batch_size, np.zeros(3)
+    for first in range(0, n, each):
+        rows = dealt.where((F.col("turn") >= first) & (F.col("turn") < first + each)).coalesce(1).sortWithinPartitions("turn")
+        got = np.array(rows.mapInArrow(steps(theta, adam, rate, auxiliary, config), "v array<double>").first().v)
+        after = Adam(en.SIZE, adam.decay)
+        lost, theta, after.m, after.v = np.split(got, [3, 3 + en.SIZE, 3 + 2 * en.SIZE])
+        after.t = adam.t + -(-(min(n, first + each) - first) // config.batch_size)
+        adam, losses = after, losses + lost
+    discard(dealt)
+    return theta, adam, losses
+
+
+def steps(theta: np.ndarray, adam: Adam, rate: float, auxiliary: float, config: TrainingConfig) -> Callable:
+    """A task's work: a step for each mini-batch of the examples it reads, in their order. It holds a few of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, losses = theta, adam, np.zeros(3)
+        examples = records(batches)
+        while batch := list(itertools.islice(examples, config.batch_size)):
+            total = sum((np.concatenate(en.loss_and_gradient(at, en.region_of(r), [int(c) for c in r["cuts"]], config.soft_dp_temperature, auxiliary)) for r in batch), np.zeros(3 + en.SIZE))
             losses = losses + total[:3]
             at = state.step(at, clipped(total[3:] / len(batch), config.gradient_clip), rate)
-        if context.partitionId() == 0:
-            yield pd.DataFrame({"v": [np.concatenate([losses, at, state.m, state.v]).tolist()]})
-
-    dealt = fit.repartition(tasks, "place")
-    # collect, as a barrier job has to run all its tasks; one of them returns a row
-    got = np.array(dealt.mapInPandas(run, "v array<double>", barrier=True).collect()[0].v)
-    after = Adam(en.SIZE, config.weight_decay)
-    losses, theta, after.m, after.v = np.split(got, [3, 3 + en.SIZE, 3 + 2 * en.SIZE])
-    after.t = adam.t + -(-n // config.batch_size)
-    return theta, after, losses
+        yield pa.RecordBatch.from_pydict({"v": [np.concatenate([losses, at, state.m, state.v]).tolist()]})
+
+    return run
 
 
 def clipped(gradient: np.ndarray, most: float) -> np.ndarray:
