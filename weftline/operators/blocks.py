@@ -20,10 +20,13 @@ def block_of(at: Column, span: int = SPAN) -> Column:
     return F.floor(at / span).cast("int")
 
 
-def with_halo(rows: DataFrame, reach: int, at: str = "idx", span: int = SPAN) -> DataFrame:
-    """Adds block_ and own_: every row in its block (own_), and in a neighbouring one if that is within reach."""
-    near = F.array_distinct(F.array(*(block_of(F.col(at) + d, span) for d in (0, -reach, reach))))
-    return rows.withColumn(BLOCK, F.explode(near)).withColumn(OWN, F.col(BLOCK) == block_of(F.col(at), span))
+def with_halo(rows: DataFrame, reach: int | Column, at: str = "idx", span: int = SPAN, ahead: int | Column | None = None, ends: bool = False) -> DataFrame:
+    """Adds block_ and own_: every row in its block (own_), and in every other that is within reach (ahead: where the reach
+    towards later blocks is another). ends: adds the block's first and last position, from_ and to_."""
+    at, ahead = F.col(at), reach if ahead is None else ahead
+    near = F.sequence(F.greatest(F.lit(0), block_of(at - reach, span)), F.greatest(F.lit(0), block_of(at + ahead, span)))
+    rows = rows.withColumn(BLOCK, F.explode(near)).withColumn(OWN, F.col(BLOCK) == block_of(at, span))
+    return rows.withColumns({"from_": F.col(BLOCK) * span, "to_": F.col(BLOCK) * span + span - 1}) if ends else rows
 
 
 def running(rows: DataFrame, keys: list[str], at: str, columns: list[str], span: int = SPAN) -> DataFrame:

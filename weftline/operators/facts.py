@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence
-from weftline.operators.blocks import BLOCK, dyadic, running, with_halo
+from weftline.operators.blocks import BLOCK, OWN, dyadic, running, with_halo
 from weftline.schema import KEY
 from weftline.session import materialize
 
@@ -23,12 +23,12 @@ STANDALONE = ("direct_assignment", "direct_multi_output", "effect_only", "comman
 
 
 def distinct(a: Column) -> Column:
-    return F.array_sort(F.array_distinct(a))
+    return F.sort_array(F.array_distinct(a))
 
 
 def histogram(a: Column) -> Column:
-    """Sorted (name, count) of a list with repeats."""
-    return F.transform(distinct(a), lambda x: F.struct(x.alias("name"), F.size(F.filter(a, lambda y: y == x)).alias("count")))
+    """Sorted (name, count) of a list with repeats; a column, as its expression would be evaluated for each name."""
+    return F.transform(distinct(a), lambda x: F.struct(x.alias("name"), F.when(x.isNull(), 0).otherwise(F.size(a) - F.size(F.array_remove(a, x))).alias("count")))
 
 
 def empty_strings() -> Column:
@@ -58,6 +58,11 @@ def with_calls(st: DataFrame) -> DataFrame:
 
 def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
     """Facts from statement frames alone; one row for each boundary."""
+    return frame_facts(st, window).drop(BLOCK)
+
+
+def frame_facts(st: DataFrame, window: int = 4) -> DataFrame:
+    """The facts of statement frames with the block of each boundary, by which the rows are dealt."""
     st = with_halo(st, max(window, 3))
     order = Window.partitionBy(*KEY, BLOCK).orderBy("idx")
     left, right, both = order.rowsBetween(1 - window, 0), order.rowsBetween(1, window), order.rowsBetween(1 - window, window)
@@ -71,14 +76,14 @@ def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
     nxt = lambda c, k=1: F.lead(c, k).over(order)
 
     cols: dict[str, Column] = {"b": F.col("idx"), "boundary_index": F.col("idx") + 1, "after_line": F.col("end_line"), "before_line": nxt("start_line"), "is_last": nxt("idx").isNull(), "own_": F.col("own_")}
+    sets, histograms = [], []
     for side, w in (("left", left), ("right", right)):
         cols[f"{side}_context_size"] = F.count("*").over(w).cast("int")
-        cols[f"{side}_symbols"] = distinct(all_("symbols", w))
-        cols[f"{side}_calls"] = distinct(all_("used_calls", w))
-        cols[f"{side}_access_domains"] = distinct(all_("access_domains", w))
+        for name, c in (("symbols", "symbols"), ("calls", "used_calls"), ("access_domains", "access_domains")):
+            cols[f"{side}_{name}"], sets = all_(c, w), [*sets, f"{side}_{name}"]
         for name, c in (("call_kind", "call_kinds"), ("effect", "effects"), ("role", "roles")):
-            cols[f"{side}_{name}_histogram"] = histogram(all_(c, w))
-    cols["left_writes"] = distinct(all_("writes", left))
+            cols[f"{side}_{name}_histogram"], histograms = all_(c, w), [*histograms, f"{side}_{name}_histogram"]
+    cols["left_writes"], sets = all_("writes", left), [*sets, "left_writes", "all_risks"]
     # call-site facts look at most three statements ahead
     cols["support"], cols["next_support"] = F.col("support"), nxt("support")
     cols["outs"], cols["next_ins"], cols["own_writes"] = F.col("outs"), nxt("ins"), F.col("writes")
@@ -89,13 +94,14 @@ def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
     cols["compound_ends_here"] = F.col("is_compound")
     cols["forbidden"] = F.array_union("forbid_cut_after", F.coalesce(nxt("forbid_cut_before"), empty_strings()))
     cols["adjacent_ok"] = F.col("parse_reliable") & F.coalesce(nxt("parse_reliable"), F.lit(True))
-    cols["all_risks"] = distinct(all_("risks", both))
+    cols["all_risks"] = all_("risks", both)
     cols["parse"] = F.min(F.col("parse_reliable").cast("double")).over(both)
     cols["n_resolved"] = F.sum(F.size("resolved_calls") + F.size("resolved_indexes")).over(both)
     cols["n_unresolved"] = F.sum(F.size("unresolved_calls")).over(both)
     cols["unknown_role"] = F.max((F.array_contains("roles", "unknown") | (F.size("roles") == 0)).cast("int")).over(both) == 1
     cols["site_min"] = F.coalesce(F.min("site_min").over(both), F.lit(1.0))
-    rows = st.select(*KEY, *(c.alias(n) for n, c in cols.items())).where("own_ and not is_last")
+    rows = st.select(*KEY, BLOCK, *(c.alias(n) for n, c in cols.items())).where("own_ and not is_last")
+    rows = rows.withColumns({c: distinct(F.col(c)) for c in sets} | {c: histogram(F.col(c)) for c in histograms})
 
     both_on = (F.col("support") > 0) & (F.col("next_support") > 0)
     share = lambda part, of: F.size(part) / F.greatest(F.lit(1), F.size(of))
@@ -111,7 +117,7 @@ def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
         dynamic.cast("double").alias("dynamic_workspace_risk"), alias.cast("double").alias("alias_uncertainty"), F.filter(codes, lambda x: x.isNotNull()).alias("reason_codes"),
     )
     return rows.select(
-        *KEY, "b", "boundary_index", "after_line", "before_line", *(f"{s}_{n}" for s in ("left", "right") for n in ("context_size", "symbols", "calls", "access_domains", "call_kind_histogram", "effect_histogram", "role_histogram")), "left_writes",
+        *KEY, BLOCK, "b", "boundary_index", "after_line", "before_line", *(f"{s}_{n}" for s in ("left", "right") for n in ("context_size", "symbols", "calls", "access_domains", "call_kind_histogram", "effect_histogram", "role_histogram")), "left_writes",
         F.size("left_symbols").alias("left_symbol_count"), F.size("right_symbols").alias("right_symbol_count"),
         F.least("support", "next_support").alias("standalone_call_transition"), F.when(both_on, share(F.array_intersect("outs", "next_ins"), F.array_union("outs", "next_ins"))).otherwise(0.0).alias("artifact_handoff"),
         F.when(F.col("target_ins").isNotNull() & (F.col("support") == 0), share(F.array_intersect("own_writes", "target_ins"), F.col("target_ins"))).otherwise(0.0).alias("unfinished_call_setup"),
@@ -122,13 +128,17 @@ def statement_facts(st: DataFrame, window: int = 4) -> DataFrame:
 
 
 def span_facts(st: DataFrame) -> DataFrame:
-    """key, b, dead_symbols, born_symbols, cross_symbols: whose last use, first use, or both sides lie at the boundary."""
-    spans = dependence.spans(st)
-    at = F.array(F.struct(F.lit("dead").alias("what"), F.col("last").alias("b")), F.struct(F.lit("born").alias("what"), (F.col("first") - 1).alias("b")))
-    crossing = F.when(F.col("first") < F.col("last"), F.transform(F.sequence("first", F.greatest("first", F.col("last") - 1)), lambda b: F.struct(F.lit("cross").alias("what"), b.alias("b")))).otherwise(F.array().cast("array<struct<what:string,b:int>>"))
-    rows = spans.select(*KEY, "symbol", F.explode(F.concat(at, crossing)).alias("e")).select(*KEY, "symbol", "e.what", "e.b")
-    pick = lambda what: F.array_sort(F.collect_set(F.when(F.col("what") == what, F.col("symbol")))).alias(f"{what}_symbols")
-    return rows.groupBy(*KEY, "b").agg(pick("dead"), pick("born"), pick("cross"))
+    """key, block_, b, dead_symbols, born_symbols, cross_symbols: whose last use, first use, or both sides lie at the boundary.
+
+    Symbols are dealt to the blocks that they lie in, and only there become rows of boundaries.
+    """
+    first, last = F.col("first"), F.col("last")
+    spans = with_halo(dependence.spans(st), last - first + 1, "last", ahead=0, ends=True)
+    spans = spans.select(*KEY, BLOCK, "symbol", "first", "last", F.explode(F.sequence(F.greatest(first - 1, F.col("from_"), F.lit(0)), F.greatest(F.least(last, F.col("to_")), F.lit(0)))).alias("b"))
+    b = F.col("b")
+    pick = lambda what, when: F.sort_array(F.collect_list(F.when(when, F.col("symbol")))).alias(f"{what}_symbols")
+    # a symbol is one row for each boundary
+    return spans.repartition(*KEY, BLOCK).groupBy(*KEY, BLOCK, "b").agg(pick("dead", b == last), pick("born", b == first - 1), pick("cross", (b >= first) & (b < last)))
 
 
 #: Sums of 1 / (target - b) over targets far from a run of boundaries are smooth in b: they are taken at these places of the
@@ -177,13 +187,15 @@ def waiting(e: DataFrame) -> DataFrame:
 
 
 def symbol_loads(e: DataFrame) -> DataFrame:
-    """key, b, symbol, k (its edges over the boundary), inverse (1 / (target - b), summed up), for k above 0."""
-    steps = e.select(*KEY, "symbol", F.explode(F.array(F.struct(F.col("source").alias("at"), F.lit(1).alias("k")), F.struct(F.col("target").alias("at"), F.lit(-1).alias("k")))).alias("s")).select(*KEY, "symbol", "s.*")
-    levels = running(steps, [*KEY, "symbol"], "at", ["k"])
+    """key, b, symbol, k (its edges over the boundary), span (their lengths, summed up), targets (those that count),
+    inverse (1 / (target - b), summed up), in some rows for each."""
+    sums = {"k": F.lit(1), "span": F.col("target") - F.col("source"), "targets": F.col("leads").cast("int")}
+    step = lambda at, sign: F.struct(F.col(at).alias("at"), *((sign * c).cast("bigint").alias(n) for n, c in sums.items()))
+    steps = e.select(*KEY, "symbol", F.explode(F.array(step("source", 1), step("target", -1))).alias("s")).select(*KEY, "symbol", "s.*")
+    levels = running(steps, [*KEY, "symbol"], "at", list(sums))
     until = F.lead("at").over(Window.partitionBy(*KEY, "symbol").orderBy("at")) - 1
-    held = levels.withColumn("until", until).where("k > 0").select(*KEY, "symbol", "k", F.explode(F.sequence("at", "until")).alias("b"))
-    rows = held.withColumn("inverse", F.lit(0.0)).unionByName(waiting(e).withColumn("k", F.lit(0).cast("bigint")))
-    return rows.groupBy(*KEY, "b", "symbol").agg(F.sum("k").alias("k"), F.sum("inverse").alias("inverse"))
+    held = levels.withColumn("until", until).where("k > 0").select(*KEY, "symbol", *sums, F.explode(F.sequence("at", "until")).alias("b"))
+    return held.withColumn("inverse", F.lit(0.0)).unionByName(waiting(e), allowMissingColumns=True)
 
 
 def longest_over(e: DataFrame) -> DataFrame:
@@ -195,49 +207,72 @@ def longest_over(e: DataFrame) -> DataFrame:
     return runs.select(*KEY, "span", at.alias("b")).groupBy(*KEY, "b").agg(F.max("span").alias("dependency_span_max"))
 
 
-def edge_facts(edges: DataFrame, sizes: DataFrame, window: int = 4, medium: int = 12) -> DataFrame:
-    """key, b and what the def-use edges around each boundary add up to; sizes: key, n.
+#: edges up to this long become rows of the boundaries that they lie over
+SHORT = 32
+
 
-    Counts change where edges begin and end only: they are running totals of such changes, block by block. Rows for each
+def with_leads(edges: DataFrame) -> DataFrame:
+    """key, source, target, symbol, leads: edges that go forward, and whether a target counts by this one, its longest."""
+    order = Window.partitionBy(*KEY, "target").orderBy("source", "symbol")
+    return edges.where("source < target").select(*KEY, "source", "target", "symbol", (F.row_number().over(order) == 1).alias("leads"))
+
+
+def loads(e: DataFrame, window: int, medium: int) -> DataFrame:
+    """key, block_, b and what the edges (with_leads) around each boundary add up to; boundaries behind a region's last, and
+    those of neighbouring blocks, may have rows too.
+
+    A short edge is copied to the boundaries that it lies over or near, within its block. What longer edges add up to
+    changes only where they begin and end: these are running totals of such changes, block by block. Rows for each
     boundary and symbol are made for symbols that have an edge over it, no more than the sets of symbols hold.
     """
-    # read five times below
-    e = materialize(edges.where("source < target").select(*KEY, "source", "target", "symbol"), "edges")
-    src, tgt = F.col("source"), F.col("target")
-    ranges = {
-        "cross": (src, tgt - 1), "near": (tgt - window, src + window - 1), "near_cross": (F.greatest(src, tgt - window), F.least(tgt - 1, src + window - 1)), "near_left": (tgt, src + window - 1), "near_right": (tgt - window, src - 1),
-        "mid": (tgt - medium, src + medium - 1), "mid_cross": (F.greatest(src, tgt - medium), F.least(tgt - 1, src + medium - 1)), "followups": (src, F.when(tgt <= src + min(2, window), src).otherwise(src - 1)),
-    }
-    sums = [*ranges, "span", "targets", "boundaries"]
-    step = lambda at, **v: F.struct(at.cast("int").alias("b"), *(v.get(c, F.lit(0)).cast("bigint").alias(c) for c in sums))
-
-    def steps(low: Column, high: Column, **v: Column) -> Column:
-        return F.when(low <= high, F.array(step(F.greatest(low, F.lit(0)), **v), step(high + 1, **{c: -x for c, x in v.items()}))).otherwise(F.array().cast(f"array<struct<b:int,{','.join(f'{c}:bigint' for c in sums)}>>"))
-
-    one = F.lit(1)
-    by_edge = F.concat(steps(src, tgt - 1, cross=one, span=tgt - src), *(steps(*ranges[c], **{c: one}) for c in ranges if c != "cross"))
-    changes = e.select(*KEY, F.explode(by_edge).alias("s")).select(*KEY, "s.*")
-    # a target counts from its earliest source on
-    held = e.groupBy(*KEY, "target").agg(F.min("source").alias("source"))
-    changes = changes.unionByName(held.select(*KEY, F.explode(steps(src, tgt - 1, targets=one)).alias("s")).select(*KEY, "s.*"))
-    # regions without edges have no changes and take no part
-    every = sizes.join(e.select(*KEY).distinct(), KEY, "left_semi").where("n > 1").select(*KEY, F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("b"))
-    every = every.select(*KEY, "b", *(F.lit(int(c == "boundaries")).cast("bigint").alias(c) for c in sums))
-    # changes behind the last boundary are of no use: there, b runs ahead of the number of boundaries
-    totals = running(changes.unionByName(every), KEY, "b", sums).where("boundaries = b + 1")
-    loads = symbol_loads(e).groupBy(*KEY, "b").agg(F.sum(F.col("k") * F.col("k")).alias("reuse"), F.sum((1.0 + F.col("k")) * F.col("inverse")).alias("unfinished"), F.array_sort(F.collect_set("symbol")).alias("input_symbols"))
-    on = [*KEY, "b"]
-    rows = totals.join(loads, on, "left").join(longest_over(e), on, "left")
+    src, tgt, b = F.col("source"), F.col("target"), F.col("b")
+    short = max(SHORT, 2 * medium, 2 * window)
+    over = (src <= b) & (b < tgt)
+    near, mid = ((b >= tgt - k) & (b <= src + k - 1) for k in (window, medium))
+    low, high = F.greatest(F.lit(0), F.col("from_"), F.least(src, tgt - max(medium, window))), F.least(F.col("to_"), F.greatest(tgt - 1, src + max(medium, window) - 1))
+    close = with_halo(e.where(tgt - src <= short), short, "target", ends=True).select(*KEY, BLOCK, "symbol", "source", "target", "leads", low.alias("low"), high.alias("high")).where("low <= high")
+    far = e.where(tgt - src > short)
+    long = symbol_loads(far).unionByName(longest_over(far).withColumnRenamed("dependency_span_max", "longest"), allowMissingColumns=True)
+    rows = close.unionByName(with_halo(long, 0, "b").drop(OWN).withColumnsRenamed({"b": "low"}).withColumn("high", F.col("low")), allowMissingColumns=True)
+    rows = rows.repartition(*KEY, BLOCK).withColumn("b", F.explode(F.sequence("low", "high")))
+    told = {"k": over, "near": near, "near_cross": near & over, "near_left": near & (tgt <= b), "near_right": near & (src > b), "mid": mid, "mid_cross": mid & over, "followups": (src == b) & (tgt <= src + min(2, window)), "targets": over & F.col("leads")}
+    told = {n: F.coalesce(c.cast("int"), F.col(n) if n in long.columns else F.lit(0), F.lit(0)) for n, c in told.items()}
+    span, inverse = (F.when(over, c).when(src.isNotNull(), 0) for c in (tgt - src, 1.0 / (tgt - b)))
+    told |= {"span": F.coalesce(span, "span", F.lit(0)), "longest": F.coalesce(span, "longest", F.lit(0)), "inverse": F.coalesce(inverse, "inverse", F.lit(0.0))}
+    rows = rows.select(*KEY, BLOCK, "b", "symbol", *(c.alias(n) for n, c in told.items()))
+    sums = [n for n in told if n not in ("longest", "inverse")]
+    rows = rows.groupBy(*KEY, BLOCK, "b", "symbol").agg(*(F.sum(c).alias(c) for c in (*sums, "inverse")), F.max("longest").alias("longest"))
+    k = F.col("k")
+    rows = rows.groupBy(*KEY, BLOCK, "b").agg(
+        *(F.sum(c).alias(c) for c in sums), F.max("longest").alias("longest"), F.sum(k * k).alias("reuse"), F.sum((1.0 + k) * F.col("inverse")).alias("unfinished"),
+        F.sort_array(F.collect_list(F.when(k > 0, F.col("symbol")))).alias("input_symbols"),
+    )
     return rows.select(
-        *on, F.col("cross").alias("cross_dependency_count"), F.col("near").alias("nearby_dependency_count"), F.col("near_cross").alias("local_cross_dependency_count"), F.col("near_left").alias("left_internal_data_edge_count"), F.col("near_right").alias("right_internal_data_edge_count"),
-        F.col("mid").alias("medium_dependency_count"), F.col("mid_cross").alias("medium_cross_dependency_count"), F.when(F.col("cross") > 0, F.col("span") / F.col("cross")).otherwise(0.0).alias("dependency_span_mean"), F.coalesce("dependency_span_max", F.lit(0)).alias("dependency_span_max"),
-        F.col("targets").alias("dependency_target_count"), F.coalesce("reuse", F.lit(0)).alias("dependency_reuse_mass"), F.col("followups").alias("control_followup_edge_count"), F.coalesce("unfinished", F.lit(0.0)).alias("unfinished_work_mass"), F.coalesce("input_symbols", empty_strings()).alias("input_symbols"),
+        *KEY, BLOCK, "b", k.alias("cross_dependency_count"), F.col("near").alias("nearby_dependency_count"), F.col("near_cross").alias("local_cross_dependency_count"), F.col("near_left").alias("left_internal_data_edge_count"), F.col("near_right").alias("right_internal_data_edge_count"),
+        F.col("mid").alias("medium_dependency_count"), F.col("mid_cross").alias("medium_cross_dependency_count"), F.when(k > 0, F.col("span") / k).otherwise(0.0).alias("dependency_span_mean"), F.col("longest").cast("int").alias("dependency_span_max"),
+        F.col("targets").alias("dependency_target_count"), F.col("reuse").alias("dependency_reuse_mass"), F.col("followups").alias("control_followup_edge_count"), F.col("unfinished").alias("unfinished_work_mass"), "input_symbols",
     )
 
 
+def edge_facts(edges: DataFrame, sizes: DataFrame, window: int = 4, medium: int = 12) -> DataFrame:
+    """key, b and what the def-use edges around each boundary add up to, for all boundaries of regions with edges; sizes: key, n."""
+    # read three times below
+    e = materialize(with_leads(edges), "edges")
+    every = sizes.join(e.select(*KEY).distinct(), KEY, "left_semi").where("n > 1").select(*KEY, F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("b"))
+    rows = with_halo(every, 0, "b").drop(OWN).join(loads(e, window, medium), [*KEY, BLOCK, "b"], "left").drop(BLOCK)
+    return filled(rows)
+
+
 COUNTS = ("cross_dependency_count", "nearby_dependency_count", "local_cross_dependency_count", "left_internal_data_edge_count", "right_internal_data_edge_count", "medium_dependency_count", "medium_cross_dependency_count", "dependency_span_max", "dependency_target_count", "dependency_reuse_mass", "control_followup_edge_count")
 
 
+def filled(rows: DataFrame) -> DataFrame:
+    """Facts that no edge, symbol or chain adds anything to, as zeros and empty sets."""
+    sets = ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "completion_roles", "completion_symbols")
+    fill = {c: F.coalesce(c, F.lit(0)) for c in (*COUNTS, "completion_chain_length")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("dependency_span_mean", "unfinished_work_mass")} | {c: F.coalesce(c, empty_strings()) for c in sets}
+    return rows.withColumns({c: e for c, e in fill.items() if c in rows.columns})
+
+
 def sizes(st: DataFrame) -> DataFrame:
     return st.groupBy(*KEY).agg(F.count("*").cast("int").alias("n"))
 
@@ -250,13 +285,14 @@ def boundary_facts(st: DataFrame, edges: DataFrame | None = None, window: int =
 
     parts: which of the joined groups of facts are wanted; one that is left out costs nothing and adds no columns.
     """
-    edges = dependence.linear_def_use(st) if edges is None else edges
-    on = [*KEY, "b"]
-    made = {"spans": lambda: span_facts(st), "edges": lambda: edge_facts(edges, sizes(st), window, medium), "completion": lambda: completion_facts(st, edges)}
-    rows = reduce(lambda a, p: a.join(made[p](), on, "left"), parts, statement_facts(st, window))
-    sets = ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "completion_roles", "completion_symbols")
-    fill = {c: F.coalesce(c, F.lit(0)) for c in (*COUNTS, "completion_chain_length")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("dependency_span_mean", "unfinished_work_mass")} | {c: F.coalesce(c, empty_strings()) for c in sets}
-    rows = rows.withColumns({c: e for c, e in fill.items() if c in rows.columns})
+    on = [*KEY, BLOCK, "b"]
+    e = dependence.linear_def_use(st) if edges is None else edges
+    if "edges" in parts:
+        # read four times below
+        e = materialize(with_leads(e), "edges")
+    made = {"spans": lambda: span_facts(st), "edges": lambda: loads(e, window, medium), "completion": lambda: with_halo(completion_facts(st, e), 0, "b").drop(OWN)}
+    # all sides are dealt by blocks of boundaries, so joins move no rows
+    rows = filled(reduce(lambda a, p: a.join(made[p](), on, "left"), parts, frame_facts(st, window)).drop(BLOCK))
     if "edges" in parts:
         rows = rows.withColumn("output_symbols", F.array_intersect("input_symbols", "left_writes"))
     counted = [c for c in ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "output_symbols") if c in rows.columns]
