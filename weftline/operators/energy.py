@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.features import cosine_distance, jaccard_distance, names
 from weftline.operators.facts import boundary_facts
-from weftline.operators.pieces import map_rows
+from weftline.operators.pieces import arrow_schema, map_rows
 from weftline.operators.quality import MODULE_WEIGHTS, Sweep
 from weftline.operators.scoring import grid_input, sweep_of
 from weftline.operators.segments import Swept, best_segmentation, marginals
@@ -129,18 +130,23 @@ class Region:
         return self.sweep.n
 
 
+def features_of(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
+    """Learned features of boundaries with inputs x, one row each, and what gradients need of them."""
+    a, tau = softplus(p["alpha"]) + 1e-6, softplus(p["tau"]) + 1e-6
+    col = {k: x[:, i] for i, k in enumerate(INPUTS)}
+    done = sigmoid(p["completion_bias"] - a[4] * col["unfinished"] / tau)
+    f = [1 - np.exp(-a[0] * col["dead"]), 1 - np.exp(-a[1] * col["born"]), 1 - col["overlap"], np.exp(-a[2] * col["interface"]), 1 - col["crossing"], np.exp(-a[3] * col["reuse"]), np.exp(-col["span"] / tau), col["role"], col["calls"], col["effects"], done, col["compound"] * done]
+    f += [col[k] for k in ("access", "terminal", "call_kinds", "transition", "handoff", "setup", "finalization", "nonprimitive")]
+    return np.stack(f, 1), a, tau, col, done
+
+
 class Energy:
     """Boundary and segment scores of a region under one parameter vector, kept with what gradients need."""
 
     def __init__(self, theta: np.ndarray, region: Region):
-        p, x = unpack(theta), region.x
-        self.p, self.region, m = p, region, len(x)
-        a, tau = softplus(p["alpha"]) + 1e-6, softplus(p["tau"]) + 1e-6
-        col = {k: x[:, i] for i, k in enumerate(INPUTS)} if m else {k: np.zeros(0) for k in INPUTS}
-        done = sigmoid(p["completion_bias"] - a[4] * col["unfinished"] / tau)
-        f = [1 - np.exp(-a[0] * col["dead"]), 1 - np.exp(-a[1] * col["born"]), 1 - col["overlap"], np.exp(-a[2] * col["interface"]), 1 - col["crossing"], np.exp(-a[3] * col["reuse"]), np.exp(-col["span"] / tau), col["role"], col["calls"], col["effects"], done, col["compound"] * done]
-        f += [col[k] for k in ("access", "terminal", "call_kinds", "transition", "handoff", "setup", "finalization", "nonprimitive")]
-        self.features = np.stack(f, 1)
+        p, m = unpack(theta), len(region.x)
+        self.p, self.region = p, region
+        self.features, self.a, self.tau, self.col, self.done = features_of(p, region.x)
         r = region.r.reshape(m, 20)
         self.effective = r * self.features + (1 - r) * sigmoid(p["baseline"])
         self.hidden = np.tanh(self.effective @ p["w1"].T + p["b1"])
@@ -148,7 +154,6 @@ class Energy:
         value = p["bias"] + self.contributions.sum(1) + self.hidden @ p["w2"]
         self.legal = region.legal
         self.boundary = np.where(self.legal, value - softplus(p["cut"]), -np.inf)
-        self.a, self.tau, self.col, self.done = a, tau, col, done
 
         self.scale, self.heat = softplus(p["size_scale"]) + 1e-6, softplus(p["orphan_temperature"]) + 1e-6
         self.weights = softplus(p["module"])
@@ -278,15 +283,32 @@ def loss_and_gradient(theta: np.ndarray, region: Region, cuts: list[int], temper
     return np.array([loss, loss / scale, extra]), e.gradient(d_cut / scale + auxiliary * d_extra, slopes / scale)
 
 
+def data_edges(edges: DataFrame | None) -> DataFrame | None:
+    return None if edges is None else edges.where("kind = 'DATA'").select(*KEY, "source", "target", "symbol").distinct()
+
+
 def region_rows(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """key, rows, edges, marks (b, legal, x, r): one row for each region, what a Region needs."""
-    data = None if edges is None else edges.where("kind = 'DATA'").select(*KEY, "source", "target", "symbol").distinct()
-    marks = boundary_inputs(boundary_facts(st, data)).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("b", "legal", "x", "r"))).alias("marks"))
+    marks = boundary_inputs(boundary_facts(st, data_edges(edges), parts=("spans", "edges"))).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("b", "legal", "x", "r"))).alias("marks"))
     rows = grid_input(st, edges).join(marks, KEY, "left")
     # so many parts that adaptive execution doesn't put them together: rows are small, the work on each is not
     return rows.repartition(int(st.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
 
 
+def learned_features(st: DataFrame, theta: np.ndarray, edges: DataFrame | None = None) -> DataFrame:
+    """key, boundary_index, features of each boundary. A boundary's features follow from its facts: no region is put together."""
+    p, schema = unpack(theta), "path string, region_id string, boundary_index int, features array<double>"
+    made = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = features_of(p, batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(INPUTS)))[0]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * f.shape[1], pa.int32()), pa.array(f.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["path"], batch["region_id"], pa.array(batch["b"].to_numpy() + 1, pa.int32()), listed], schema=made)
+
+    return boundary_inputs(boundary_facts(st, data_edges(edges), parts=("spans", "edges"))).select(*KEY, "b", "x").mapInArrow(run, schema)
+
+
 def region_of(row) -> Region:
     marks = row["marks"] if row["marks"] is not None else []
     x, r = np.array([list(m["x"]) for m in marks], float), np.array([list(m["r"]) for m in marks], float)

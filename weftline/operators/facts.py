@@ -11,11 +11,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import dependence
 from weftline.operators.blocks import BLOCK, OWN, dyadic, running, with_halo
+from weftline.operators.spread import lists, spread
 from weftline.schema import KEY
 from weftline.session import materialize
 
@@ -72,18 +75,18 @@ def frame_facts(st: DataFrame, window: int = 4) -> DataFrame:
     has = lambda c: F.size(c) > 0
     kinds = F.array(F.when(has("resolved_calls"), "resolved_call"), F.when(has("unresolved_calls"), "external_or_unresolved_call"), F.when(has("resolved_indexes"), "index_access"), F.when(risk("indirect_call"), "indirect_call"))
     st = st.withColumn("call_kinds", F.filter(kinds, lambda x: x.isNotNull()))
-    all_ = lambda c, w: F.flatten(F.collect_list(c).over(w))
     nxt = lambda c, k=1: F.lead(c, k).over(order)
 
     cols: dict[str, Column] = {"b": F.col("idx"), "boundary_index": F.col("idx") + 1, "after_line": F.col("end_line"), "before_line": nxt("start_line"), "is_last": nxt("idx").isNull(), "own_": F.col("own_")}
-    sets, histograms = [], []
+    # a frame's statements are collected once, with all that is told of them
+    told = {"symbols": "symbols", "calls": "used_calls", "access_domains": "access_domains", "call_kind_histogram": "call_kinds", "effect_histogram": "effects", "role_histogram": "roles", "writes": "writes"}
+    sets, histograms = {}, {}
     for side, w in (("left", left), ("right", right)):
         cols[f"{side}_context_size"] = F.count("*").over(w).cast("int")
-        for name, c in (("symbols", "symbols"), ("calls", "used_calls"), ("access_domains", "access_domains")):
-            cols[f"{side}_{name}"], sets = all_(c, w), [*sets, f"{side}_{name}"]
-        for name, c in (("call_kind", "call_kinds"), ("effect", "effects"), ("role", "roles")):
-            cols[f"{side}_{name}_histogram"], histograms = all_(c, w), [*histograms, f"{side}_{name}_histogram"]
-    cols["left_writes"], sets = all_("writes", left), [*sets, "left_writes", "all_risks"]
+        cols[f"{side}_"] = F.collect_list(F.struct(*(F.col(c).alias(n) for n, c in told.items() if side == "left" or n != "writes"))).over(w)
+        for name in told:
+            if side == "left" or name != "writes":
+                (histograms if name.endswith("_histogram") else sets)[f"{side}_{name}"] = F.flatten(F.col(f"{side}_.{name}"))
     # call-site facts look at most three statements ahead
     cols["support"], cols["next_support"] = F.col("support"), nxt("support")
     cols["outs"], cols["next_ins"], cols["own_writes"] = F.col("outs"), nxt("ins"), F.col("writes")
@@ -94,14 +97,15 @@ def frame_facts(st: DataFrame, window: int = 4) -> DataFrame:
     cols["compound_ends_here"] = F.col("is_compound")
     cols["forbidden"] = F.array_union("forbid_cut_after", F.coalesce(nxt("forbid_cut_before"), empty_strings()))
     cols["adjacent_ok"] = F.col("parse_reliable") & F.coalesce(nxt("parse_reliable"), F.lit(True))
-    cols["all_risks"] = all_("risks", both)
+    cols["risks_"], sets["all_risks"] = F.collect_list("risks").over(both), F.flatten("risks_")
     cols["parse"] = F.min(F.col("parse_reliable").cast("double")).over(both)
     cols["n_resolved"] = F.sum(F.size("resolved_calls") + F.size("resolved_indexes")).over(both)
     cols["n_unresolved"] = F.sum(F.size("unresolved_calls")).over(both)
     cols["unknown_role"] = F.max((F.array_contains("roles", "unknown") | (F.size("roles") == 0)).cast("int")).over(both) == 1
     cols["site_min"] = F.coalesce(F.min("site_min").over(both), F.lit(1.0))
     rows = st.select(*KEY, BLOCK, *(c.alias(n) for n, c in cols.items())).where("own_ and not is_last")
-    rows = rows.withColumns({c: distinct(F.col(c)) for c in sets} | {c: histogram(F.col(c)) for c in histograms})
+    # in two steps: Java doesn't compile methods of over 8,000 bytes, and interprets a whole stage that makes one
+    rows = rows.withColumns(histograms).withColumns({n: distinct(c) for n, c in sets.items()} | {n: histogram(F.col(n)) for n in histograms})
 
     both_on = (F.col("support") > 0) & (F.col("next_support") > 0)
     share = lambda part, of: F.size(part) / F.greatest(F.lit(1), F.size(of))
@@ -133,12 +137,14 @@ def span_facts(st: DataFrame) -> DataFrame:
     Symbols are dealt to the blocks that they lie in, and only there become rows of boundaries.
     """
     first, last = F.col("first"), F.col("last")
-    spans = with_halo(dependence.spans(st), last - first + 1, "last", ahead=0, ends=True)
-    spans = spans.select(*KEY, BLOCK, "symbol", "first", "last", F.explode(F.sequence(F.greatest(first - 1, F.col("from_"), F.lit(0)), F.greatest(F.least(last, F.col("to_")), F.lit(0)))).alias("b"))
-    b = F.col("b")
-    pick = lambda what, when: F.sort_array(F.collect_list(F.when(when, F.col("symbol")))).alias(f"{what}_symbols")
-    # a symbol is one row for each boundary
-    return spans.repartition(*KEY, BLOCK).groupBy(*KEY, BLOCK, "b").agg(pick("dead", b == last), pick("born", b == first - 1), pick("cross", (b >= first) & (b < last)))
+    low, high = F.greatest(first - 1, F.col("from_"), F.lit(0)), F.greatest(F.least(last, F.col("to_")), F.lit(0))
+    spans = with_halo(dependence.spans(st), last - first + 1, "last", ahead=0, ends=True).select(*KEY, BLOCK, low.alias("low"), high.alias("high"), "symbol", "first", "last")
+
+    def make(c: dict[str, np.ndarray], b: np.ndarray, starts: np.ndarray, names: pa.Array) -> dict[str, pa.Array]:
+        picks = {"dead": b == c["last"], "born": b == c["first"] - 1, "cross": (b >= c["first"]) & (b < c["last"])}
+        return {f"{k}_symbols": lists(names, c["rank"], wanted, starts) for k, wanted in picks.items()}
+
+    return spread(spans, make, "dead_symbols array<string>, born_symbols array<string>, cross_symbols array<string>")
 
 
 #: Sums of 1 / (target - b) over targets far from a run of boundaries are smooth in b: they are taken at these places of the
@@ -207,8 +213,14 @@ def longest_over(e: DataFrame) -> DataFrame:
     return runs.select(*KEY, "span", at.alias("b")).groupBy(*KEY, "b").agg(F.max("span").alias("dependency_span_max"))
 
 
-#: edges up to this long become rows of the boundaries that they lie over
-SHORT = 32
+#: edges up to this long are spread over the boundaries that they lie over
+SHORT = 256
+
+
+LOADS = (
+    "cross_dependency_count bigint, nearby_dependency_count bigint, local_cross_dependency_count bigint, left_internal_data_edge_count bigint, right_internal_data_edge_count bigint, medium_dependency_count bigint, medium_cross_dependency_count bigint, dependency_span_mean double, dependency_span_max int, "
+    "dependency_target_count bigint, dependency_reuse_mass bigint, control_followup_edge_count bigint, unfinished_work_mass double, input_symbols array<string>"
+)
 
 
 def with_leads(edges: DataFrame) -> DataFrame:
@@ -221,37 +233,40 @@ def loads(e: DataFrame, window: int, medium: int) -> DataFrame:
     """key, block_, b and what the edges (with_leads) around each boundary add up to; boundaries behind a region's last, and
     those of neighbouring blocks, may have rows too.
 
-    A short edge is copied to the boundaries that it lies over or near, within its block. What longer edges add up to
+    A short edge is spread over the boundaries that it lies over or near, within its block. What longer edges add up to
     changes only where they begin and end: these are running totals of such changes, block by block. Rows for each
-    boundary and symbol are made for symbols that have an edge over it, no more than the sets of symbols hold.
+    boundary and symbol are made for symbols that have a longer edge over it, no more than the sets of symbols hold.
     """
-    src, tgt, b = F.col("source"), F.col("target"), F.col("b")
+    src, tgt = F.col("source"), F.col("target")
     short = max(SHORT, 2 * medium, 2 * window)
-    over = (src <= b) & (b < tgt)
-    near, mid = ((b >= tgt - k) & (b <= src + k - 1) for k in (window, medium))
     low, high = F.greatest(F.lit(0), F.col("from_"), F.least(src, tgt - max(medium, window))), F.least(F.col("to_"), F.greatest(tgt - 1, src + max(medium, window) - 1))
     close = with_halo(e.where(tgt - src <= short), short, "target", ends=True).select(*KEY, BLOCK, "symbol", "source", "target", "leads", low.alias("low"), high.alias("high")).where("low <= high")
     far = e.where(tgt - src > short)
     long = symbol_loads(far).unionByName(longest_over(far).withColumnRenamed("dependency_span_max", "longest"), allowMissingColumns=True)
     rows = close.unionByName(with_halo(long, 0, "b").drop(OWN).withColumnsRenamed({"b": "low"}).withColumn("high", F.col("low")), allowMissingColumns=True)
-    rows = rows.repartition(*KEY, BLOCK).withColumn("b", F.explode(F.sequence("low", "high")))
-    told = {"k": over, "near": near, "near_cross": near & over, "near_left": near & (tgt <= b), "near_right": near & (src > b), "mid": mid, "mid_cross": mid & over, "followups": (src == b) & (tgt <= src + min(2, window)), "targets": over & F.col("leads")}
-    told = {n: F.coalesce(c.cast("int"), F.col(n) if n in long.columns else F.lit(0), F.lit(0)) for n, c in told.items()}
-    span, inverse = (F.when(over, c).when(src.isNotNull(), 0) for c in (tgt - src, 1.0 / (tgt - b)))
-    told |= {"span": F.coalesce(span, "span", F.lit(0)), "longest": F.coalesce(span, "longest", F.lit(0)), "inverse": F.coalesce(inverse, "inverse", F.lit(0.0))}
-    rows = rows.select(*KEY, BLOCK, "b", "symbol", *(c.alias(n) for n, c in told.items()))
-    sums = [n for n in told if n not in ("longest", "inverse")]
-    rows = rows.groupBy(*KEY, BLOCK, "b", "symbol").agg(*(F.sum(c).alias(c) for c in (*sums, "inverse")), F.max("longest").alias("longest"))
-    k = F.col("k")
-    rows = rows.groupBy(*KEY, BLOCK, "b").agg(
-        *(F.sum(c).alias(c) for c in sums), F.max("longest").alias("longest"), F.sum(k * k).alias("reuse"), F.sum((1.0 + k) * F.col("inverse")).alias("unfinished"),
-        F.sort_array(F.collect_list(F.when(k > 0, F.col("symbol")))).alias("input_symbols"),
-    )
-    return rows.select(
-        *KEY, BLOCK, "b", k.alias("cross_dependency_count"), F.col("near").alias("nearby_dependency_count"), F.col("near_cross").alias("local_cross_dependency_count"), F.col("near_left").alias("left_internal_data_edge_count"), F.col("near_right").alias("right_internal_data_edge_count"),
-        F.col("mid").alias("medium_dependency_count"), F.col("mid_cross").alias("medium_cross_dependency_count"), F.when(k > 0, F.col("span") / k).otherwise(0.0).alias("dependency_span_mean"), F.col("longest").cast("int").alias("dependency_span_max"),
-        F.col("targets").alias("dependency_target_count"), F.col("reuse").alias("dependency_reuse_mass"), F.col("followups").alias("control_followup_edge_count"), F.col("unfinished").alias("unfinished_work_mass"), "input_symbols",
-    )
+    numbers = [F.coalesce(c, F.lit(-1)).cast("int").alias(c) for c in ("source", "target")] + [F.coalesce(F.col(c).cast(k), F.lit(0).cast(k)).alias(c) for c, k in (("leads", "int"), ("k", "bigint"), ("span", "bigint"), ("targets", "bigint"), ("longest", "int"), ("inverse", "double"))]
+
+    def make(c: dict[str, np.ndarray], b: np.ndarray, starts: np.ndarray, names: pa.Array) -> dict[str, pa.Array | np.ndarray]:
+        src, tgt, edge = c["source"].astype(np.int64), c["target"].astype(np.int64), c["source"] >= 0
+        over = edge & (src <= b) & (b < tgt)
+        near, mid = (edge & (b >= tgt - k) & (b <= src + k - 1) for k in (window, medium))
+        total = lambda x, at=starts: np.add.reduceat(x.astype(np.int64), at)
+        k, span = c["k"] + over, np.where(over, tgt - src, c["span"])
+        # by symbol, then by boundary
+        change = np.concatenate([[True], c["rank"][1:] != c["rank"][:-1]])
+        change[starts] = True
+        by = np.flatnonzero(change)
+        each, first = total(k, by), np.searchsorted(by, starts)
+        weight = (1.0 + each) * np.add.reduceat(np.where(over, 1.0 / np.where(over, tgt - b, 1), c["inverse"]), by)
+        count = total(k)
+        return {
+            "cross_dependency_count": count, "nearby_dependency_count": total(near), "local_cross_dependency_count": total(near & over), "left_internal_data_edge_count": total(near & (tgt <= b)), "right_internal_data_edge_count": total(near & (src > b)),
+            "medium_dependency_count": total(mid), "medium_cross_dependency_count": total(mid & over), "dependency_span_mean": np.where(count > 0, total(span) / np.maximum(1, count), 0.0), "dependency_span_max": np.maximum.reduceat(np.where(over, tgt - src, c["longest"]), starts),
+            "dependency_target_count": total(np.where(over, c["leads"], c["targets"])), "dependency_reuse_mass": total(each * each, first), "control_followup_edge_count": total(edge & (src == b) & (tgt <= src + min(2, window))), "unfinished_work_mass": np.add.reduceat(weight, first),
+            "input_symbols": lists(names, c["rank"][by], each > 0, first),
+        }
+
+    return spread(rows.select(*KEY, BLOCK, "low", "high", "symbol", *numbers), make, LOADS)
 
 
 def edge_facts(edges: DataFrame, sizes: DataFrame, window: int = 4, medium: int = 12) -> DataFrame:
