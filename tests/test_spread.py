@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import energy, facts, spread
+from weftline.operators import energy, facts, pieces, segments, spread
 from weftline.operators.blocks import BLOCK
 from weftline.sources.tables import events_statements
 
@@ -34,8 +35,6 @@ def test_small_pieces_and_batches_change_nothing(spark, monkeypatch):
 
     def by_hand(rows, make, schema):
         """Each boundary's pairs on their own."""
-        import pyarrow as pa
-
         held = {}
         for r in rows.collect():
             for b in range(r.low, r.high + 1):
@@ -73,3 +72,18 @@ def test_learned_features_need_no_program_over_regions(spark):
     want = {(r.region_id, r.boundary_index): r.features for r in energy.structured_analysis(st, theta).collect()}
     assert set(got) == set(want) and len(got) == 87
     assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_regions_come_as_arrays_and_blocks_are_scored_once(spark, monkeypatch):
+    rows = energy.region_rows(statements(spark)).toArrow().to_batches()
+    found = [r for r in pieces.records(rows)]
+    assert found and all(isinstance(r[c], np.ndarray) and len(r[c]) == 20 * len(r["marks"]) for r in found for c in ("x", "r"))
+    scored = []
+    monkeypatch.setattr(energy.Energy, "score", lambda self, first, counts, f=energy.Energy.score: scored.append(first) or f(self, first, counts))
+    e = energy.Energy(energy.initial(), energy.region_of(found[0]))
+    segments.best_segmentation(e.boundary, e.segments)
+    segments.marginals(e.boundary, e.segments)
+    assert scored == [0]
+    # nulls and empty lists keep their places
+    b = pa.RecordBatch.from_pydict({"v": pa.array([[1.0], None, [], [2.0, 3.0]], pa.list_(pa.float64())), "i": [0, 1, 2, 3]})
+    assert [None if r["v"] is None else r["v"].tolist() for r in pieces.records([b], rows=3)] == [[1.0], None, [], [2.0, 3.0]]

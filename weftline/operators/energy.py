@@ -288,8 +288,10 @@ def data_edges(edges: DataFrame | None) -> DataFrame | None:
 
 
 def region_rows(st: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """key, rows, edges, marks (b, legal, x, r): one row for each region, what a Region needs."""
+    """key, rows, edges, marks (b, legal), x and r (those of the marks, one after another): one row for each region, what a
+    Region needs."""
     marks = boundary_inputs(boundary_facts(st, data_edges(edges), parts=("spans", "edges"))).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("b", "legal", "x", "r"))).alias("marks"))
+    marks = marks.select(*KEY, F.arrays_zip(F.col("marks.b").alias("b"), F.col("marks.legal").alias("legal")).alias("marks"), F.flatten("marks.x").alias("x"), F.flatten("marks.r").alias("r"))
     rows = grid_input(st, edges).join(marks, KEY, "left")
     # so many parts that adaptive execution doesn't put them together: rows are small, the work on each is not
     return rows.repartition(int(st.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
@@ -311,8 +313,8 @@ def learned_features(st: DataFrame, theta: np.ndarray, edges: DataFrame | None =
 
 def region_of(row) -> Region:
     marks = row["marks"] if row["marks"] is not None else []
-    x, r = np.array([list(m["x"]) for m in marks], float), np.array([list(m["r"]) for m in marks], float)
-    return Region(x.reshape(-1, 20), r.reshape(-1, 20), np.array([m["legal"] for m in marks], bool), sweep_of(row["rows"], row["edges"], list(range(len(row["rows"])))))
+    x, r = (np.array([] if row[c] is None else row[c], float).reshape(-1, 20) for c in ("x", "r"))
+    return Region(x, r, np.array([m["legal"] for m in marks], bool), sweep_of(row["rows"], row["edges"], list(range(len(row["rows"])))))
 
 
 def structured_analysis(st: DataFrame, theta: np.ndarray, edges: DataFrame | None = None, temperature: float = 1.0) -> DataFrame:
