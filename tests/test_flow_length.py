@@ -74,7 +74,7 @@ def test_reaching_definitions_are_those_of_all_paths():
         assert flow.reaching(nodes, edges) == by_paths(nodes, edges)
 
 
-@pytest.mark.parametrize("name", ["reaching_definitions"])
+@pytest.mark.parametrize("name", ["reaching_definitions", "control_dependence", "postdominance"])
 def test_work_follows_a_programs_length(name, monkeypatch):
     monkeypatch.setattr(flow, "_per_region", lambda regions, schema, f, *facts: f)
     f = getattr(flow, name)(None)
