@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import materialize
+from weftline.session import by_key, materialize
 
 #: positions in a block
 SPAN = 4096
@@ -37,7 +37,7 @@ def running(rows: DataFrame, keys: list[str], at: str, columns: list[str], span:
     # a block's last row has its sum: the carries of a region are one row for each block
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carries = each.where("end_").select(*keys, BLOCK, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in columns))
-    return each.join(carries, [*keys, BLOCK]).select(*keys, at, *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in columns))
+    return each.join(by_key(carries), [*keys, BLOCK]).select(*keys, at, *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in columns))
 
 
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.blocks import BLOCK, with_halo
 from weftline.schema import COMPLETION_ROLES, KEY
+from weftline.session import by_key
 
 
 def symbols_of() -> F.Column:
@@ -85,7 +86,7 @@ def completion(st: DataFrame, edges: DataFrame, steps: int = 4) -> DataFrame:
     incoming = edges.where("source < target").groupBy(*KEY, "target").agg(F.collect_set(F.struct("source", "symbol")).alias("inc"), F.size(F.collect_set("symbol")).alias("n_symbols"))
     wanted = F.array(*map(F.lit, COMPLETION_ROLES))
     rows = st.select(*KEY, "idx", "is_compound", F.array_sort(F.array_intersect("roles", wanted)).alias("done"))
-    rows = rows.join(incoming, (rows["path"] == incoming["path"]) & (rows["region_id"] == incoming["region_id"]) & (rows["idx"] == incoming["target"]), "left").select(rows["*"], F.coalesce("inc", F.array().cast("array<struct<source:int,symbol:string>>")).alias("inc"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
+    rows = rows.join(by_key(incoming), (rows["path"] == incoming["path"]) & (rows["region_id"] == incoming["region_id"]) & (rows["idx"] == incoming["target"]), "left").select(rows["*"], F.coalesce("inc", F.array().cast("array<struct<source:int,symbol:string>>")).alias("inc"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
     w = Window.partitionBy(*KEY, BLOCK).orderBy("idx")
     cur = with_halo(rows, steps)
     for k in range(1, steps + 1):

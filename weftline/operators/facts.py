@@ -20,7 +20,7 @@ from weftline.operators import dependence
 from weftline.operators.blocks import BLOCK, OWN, dyadic, running, with_halo
 from weftline.operators.spread import lists, spread
 from weftline.schema import KEY
-from weftline.session import materialize
+from weftline.session import by_key, materialize
 
 STANDALONE = ("direct_assignment", "direct_multi_output", "effect_only", "command")
 
@@ -273,8 +273,8 @@ def edge_facts(edges: DataFrame, sizes: DataFrame, window: int = 4, medium: int
     """key, b and what the def-use edges around each boundary add up to, for all boundaries of regions with edges; sizes: key, n."""
     # read three times below
     e = materialize(with_leads(edges), "edges")
-    every = sizes.join(e.select(*KEY).distinct(), KEY, "left_semi").where("n > 1").select(*KEY, F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("b"))
-    rows = with_halo(every, 0, "b").drop(OWN).join(loads(e, window, medium), [*KEY, BLOCK, "b"], "left").drop(BLOCK)
+    every = sizes.join(by_key(e.select(*KEY).distinct()), KEY, "left_semi").where("n > 1").select(*KEY, F.explode(F.sequence(F.lit(0), F.col("n") - 2)).alias("b"))
+    rows = with_halo(every, 0, "b").drop(OWN).join(by_key(loads(e, window, medium)), [*KEY, BLOCK, "b"], "left").drop(BLOCK)
     return filled(rows)
 
 
@@ -307,7 +307,7 @@ def boundary_facts(st: DataFrame, edges: DataFrame | None = None, window: int =
         e = materialize(with_leads(e), "edges")
     made = {"spans": lambda: span_facts(st), "edges": lambda: loads(e, window, medium), "completion": lambda: with_halo(completion_facts(st, e), 0, "b").drop(OWN)}
     # all sides are dealt by blocks of boundaries, so joins move no rows
-    rows = filled(reduce(lambda a, p: a.join(made[p](), on, "left"), parts, frame_facts(st, window)).drop(BLOCK))
+    rows = filled(reduce(lambda a, p: a.join(by_key(made[p]()), on, "left"), parts, frame_facts(st, window)).drop(BLOCK))
     if "edges" in parts:
         rows = rows.withColumn("output_symbols", F.array_intersect("input_symbols", "left_writes"))
     counted = [c for c in ("dead_symbols", "born_symbols", "cross_symbols", "input_symbols", "output_symbols") if c in rows.columns]

@@ -89,6 +89,15 @@ def _delete(spark: SparkSession, p: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt by key whatever size Spark expects of it.
+
+    Sides made of written tables are sized by these tables' compressed files, which take far less than the rows: Spark
+    would send hundreds of megabytes to all tasks, by way of the driver.
+    """
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
 
