@@ -50,7 +50,9 @@ LEARNED = (
 CHANNEL = ("parse",) * 3 + ("dependency",) * 4 + ("role", "call_resolution", "effect", "dependency", "parse", "parse", "parse", "call_resolution") + ("callsite",) * 5
 HIDDEN = 16
 SHAPES = {"alpha": (5,), "tau": (), "completion_bias": (), "weights": (20,), "bias": (), "baseline": (20,), "w1": (HIDDEN, 20), "b1": (HIDDEN,), "w2": (HIDDEN,), "module": (6,), "size_scale": (), "orphan_temperature": (), "cut": ()}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+_ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES.values()]).tolist()
+PLACES = dict(zip(SHAPES, zip([0, *_ENDS], _ENDS)))
+SIZE = _ENDS[-1]
 
 
 def softplus(x):
@@ -66,12 +68,7 @@ def inverse_softplus(y):
 
 
 def unpack(theta: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = theta[at : at + n].reshape(s)
-        at += n
-    return out
+    return {k: theta[i:j].reshape(SHAPES[k]) for k, (i, j) in PLACES.items()}
 
 
 def initial(seed: int = 1729) -> np.ndarray:
@@ -140,24 +137,52 @@ def features_of(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     return np.stack(f, 1), a, tau, col, done
 
 
-class Energy:
-    """Boundary and segment scores of a region under one parameter vector, kept with what gradients need."""
+class Boundaries:
+    """Scores of boundaries, of one region or several, under one parameter vector, kept with what gradients need."""
 
-    def __init__(self, theta: np.ndarray, region: Region):
-        p, m = unpack(theta), len(region.x)
-        self.p, self.region = p, region
-        self.features, self.a, self.tau, self.col, self.done = features_of(p, region.x)
-        r = region.r.reshape(m, 20)
-        self.effective = r * self.features + (1 - r) * sigmoid(p["baseline"])
+    def __init__(self, theta: np.ndarray, x: np.ndarray, r: np.ndarray, legal: np.ndarray):
+        p = unpack(theta)
+        self.p, self.r = p, r.reshape(len(x), 20)
+        self.features, self.a, self.tau, self.col, self.done = features_of(p, x)
+        self.effective = self.r * self.features + (1 - self.r) * sigmoid(p["baseline"])
         self.hidden = np.tanh(self.effective @ p["w1"].T + p["b1"])
         self.contributions = self.effective * softplus(p["weights"])
         value = p["bias"] + self.contributions.sum(1) + self.hidden @ p["w2"]
-        self.legal = region.legal
+        self.legal = legal
         self.boundary = np.where(self.legal, value - softplus(p["cut"]), -np.inf)
 
         self.scale, self.heat = softplus(p["size_scale"]) + 1e-6, softplus(p["orphan_temperature"]) + 1e-6
         self.weights = softplus(p["module"])
-        self.segments = Swept(region.sweep, self.score)
+
+    def gradient(self, d_boundary: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """Of a loss with these derivatives by boundary scores and (segment_slopes, summed up) by segment scores."""
+        p, col, e = self.p, self.col, self.effective
+        g = {k: np.zeros(s) for k, s in SHAPES.items()}
+        d = np.where(self.legal, d_boundary, 0.0)
+        slope = p["w2"] * (1 - self.hidden**2)
+        pre = d[:, None] * slope
+        g["cut"], g["bias"], g["weights"] = -d.sum() * sigmoid(p["cut"]), d.sum(), (d @ e) * sigmoid(p["weights"])
+        g["w2"], g["w1"], g["b1"] = d @ self.hidden, pre.T @ e, pre.sum(0)
+        de = d[:, None] * softplus(p["weights"]) + pre @ p["w1"]
+        r, s = self.r, sigmoid(p["baseline"])
+        g["baseline"] = (de * (1 - r)).sum(0) * s * (1 - s)
+        df = de * r
+        bell = self.done * (1 - self.done) * (df[:, 10] + df[:, 11] * col["compound"])
+        da = np.array([(df[:, 0] * col["dead"] * np.exp(-self.a[0] * col["dead"])).sum(), (df[:, 1] * col["born"] * np.exp(-self.a[1] * col["born"])).sum(), -(df[:, 3] * col["interface"] * self.features[:, 3]).sum(), -(df[:, 5] * col["reuse"] * self.features[:, 5]).sum(), -(bell * col["unfinished"]).sum() / self.tau])
+        g["alpha"] = da * sigmoid(p["alpha"])
+        g["tau"] = ((df[:, 6] * self.features[:, 6] * col["span"]).sum() + self.a[4] * (bell * col["unfinished"]).sum()) / self.tau**2 * sigmoid(p["tau"])
+        g["completion_bias"] = bell.sum()
+        g["module"] = slopes[:6] * sigmoid(p["module"])
+        g["size_scale"], g["orphan_temperature"] = slopes[6] * sigmoid(p["size_scale"]), slopes[7] * sigmoid(p["orphan_temperature"])
+        return np.concatenate([np.ravel(g[k]) for k in SHAPES])
+
+
+class Energy(Boundaries):
+    """Boundary and segment scores of a region under one parameter vector, kept with what gradients need."""
+
+    def __init__(self, theta: np.ndarray, region: Region):
+        super().__init__(theta, region.x, region.r, region.legal)
+        self.region, self.segments = region, Swept(region.sweep, self.score)
 
     def score(self, first: int, counts: dict[str, np.ndarray]) -> np.ndarray:
         """Scores of a block of segments; what gradients need of it is kept until the next block."""
@@ -188,28 +213,6 @@ class Energy:
         out.append(-(d * self.weights[5] * (orphan > own) * z * (1 - z) * (k - 1.5) / self.heat**2).sum())
         return np.array(out)
 
-    def gradient(self, d_boundary: np.ndarray, slopes: np.ndarray) -> np.ndarray:
-        """Of a loss with these derivatives by boundary scores and (segment_slopes, summed up) by segment scores."""
-        p, col, e = self.p, self.col, self.effective
-        g = {k: np.zeros(s) for k, s in SHAPES.items()}
-        d = np.where(self.legal, d_boundary, 0.0)
-        slope = p["w2"] * (1 - self.hidden**2)
-        pre = d[:, None] * slope
-        g["cut"], g["bias"], g["weights"] = -d.sum() * sigmoid(p["cut"]), d.sum(), (d @ e) * sigmoid(p["weights"])
-        g["w2"], g["w1"], g["b1"] = d @ self.hidden, pre.T @ e, pre.sum(0)
-        de = d[:, None] * softplus(p["weights"]) + pre @ p["w1"]
-        r, s = self.region.r.reshape(len(d), 20), sigmoid(p["baseline"])
-        g["baseline"] = (de * (1 - r)).sum(0) * s * (1 - s)
-        df = de * r
-        bell = self.done * (1 - self.done) * (df[:, 10] + df[:, 11] * col["compound"])
-        da = np.array([(df[:, 0] * col["dead"] * np.exp(-self.a[0] * col["dead"])).sum(), (df[:, 1] * col["born"] * np.exp(-self.a[1] * col["born"])).sum(), -(df[:, 3] * col["interface"] * self.features[:, 3]).sum(), -(df[:, 5] * col["reuse"] * self.features[:, 5]).sum(), -(bell * col["unfinished"]).sum() / self.tau])
-        g["alpha"] = da * sigmoid(p["alpha"])
-        g["tau"] = ((df[:, 6] * self.features[:, 6] * col["span"]).sum() + self.a[4] * (bell * col["unfinished"]).sum()) / self.tau**2 * sigmoid(p["tau"])
-        g["completion_bias"] = bell.sum()
-        g["module"] = slopes[:6] * sigmoid(p["module"])
-        g["size_scale"], g["orphan_temperature"] = slopes[6] * sigmoid(p["size_scale"]), slopes[7] * sigmoid(p["orphan_temperature"])
-        return np.concatenate([np.ravel(g[k]) for k in SHAPES])
-
 
 def segmentation_energy(boundary: np.ndarray, segments: np.ndarray, cuts: list[int]) -> float:
     points = [0, *sorted(cuts), len(segments) - 1]
@@ -231,16 +234,16 @@ def soft(boundary: np.ndarray, segments: np.ndarray, temperature: float = 1.0) -
     return z, cut, chance
 
 
-def check_truth(energy: Energy, cuts: list[int]) -> None:
-    if any(c < 1 or c >= energy.region.n for c in cuts):
+def check_truth(legal: np.ndarray, n: int, cuts: list[int]) -> None:
+    if any(c < 1 or c >= n for c in cuts):
         raise ValueError("ground-truth cut lies outside the region")
-    if any(not energy.legal[c - 1] for c in cuts):
+    if any(not legal[c - 1] for c in cuts):
         raise ValueError("ground-truth cut violates a hard constraint")
 
 
 def nll(energy: Energy, cuts: list[int], temperature: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
     """Structured loss, its derivatives by boundary scores, and Energy.segment_slopes of those by segment scores."""
-    check_truth(energy, cuts)
+    check_truth(energy.legal, energy.region.n, cuts)
     points, slopes = [0, *sorted(cuts), energy.region.n], np.zeros(8)
 
     def visit(first: int, chance: np.ndarray) -> None:
