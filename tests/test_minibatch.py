@@ -49,8 +49,8 @@ def one_by_one(theta, rows, temperature, auxiliary):
 def test_a_batch_equals_its_regions_one_by_one(examples):
     plain = [r.asDict(True) for r in examples.orderBy("place").collect()]
     made = [r.asDict(True) for r in minibatch.prepared(examples).orderBy("place").collect()]
-    assert [r["cells"] is None for r in made] == [len(r["rows"]) > minibatch.MOST for r in plain]
-    assert all((r["rows"] is None) == (r["cells"] is not None) for r in made)
+    assert [r["packed"] is None for r in made] == [len(r["rows"]) > minibatch.MOST for r in plain]
+    assert all((r["rows"] is None) == (r["packed"] is not None) for r in made)
     rng = np.random.default_rng(3)
     for theta in (energy.initial(), energy.initial() + rng.normal(0, 0.5, energy.SIZE), energy.initial() + rng.normal(0, 3, energy.SIZE)):
         for temperature in (1.0, 0.01):  # scores lie too far apart for exponentials at the second
@@ -63,7 +63,7 @@ def test_only_the_split_asked_for_is_prepared(spark):
     rng = random.Random(1)
     rows = [region(rng, i, 6, split=s) for i, s in enumerate(["train", "validation", "test", "train"])]
     made = minibatch.prepared(spark.createDataFrame(rows, SCHEMA), "train").orderBy("place").collect()
-    assert [r.cells is not None for r in made] == [True, False, False, True]
+    assert [r.packed is not None for r in made] == [True, False, False, True]
     assert [r.rows is not None for r in made] == [False, True, True, False]
 
 

@@ -21,7 +21,7 @@ from weftline.operators.facts import boundary_facts
 from weftline.operators.pieces import arrow_schema, map_rows
 from weftline.operators.quality import MODULE_WEIGHTS, Sweep
 from weftline.operators.scoring import grid_input, sweep_of
-from weftline.operators.segments import Swept, best_segmentation, marginals
+from weftline.operators.segments import Swept, best_segmentation, marginals, partition
 from weftline.schema import KEY
 
 LEARNED = (
@@ -220,7 +220,7 @@ def segmentation_energy(boundary: np.ndarray, segments: np.ndarray, cuts: list[i
 
 
 def log_partition(boundary: np.ndarray, segments, temperature: float = 1.0) -> float:
-    return marginals(boundary, segments, temperature)[0]
+    return partition(boundary, segments, temperature)[0]
 
 
 def soft(boundary: np.ndarray, segments: np.ndarray, temperature: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
@@ -241,6 +241,13 @@ def check_truth(legal: np.ndarray, n: int, cuts: list[int]) -> None:
         raise ValueError("ground-truth cut violates a hard constraint")
 
 
+def loss(energy: Energy, cuts: list[int], temperature: float = 1.0) -> float:
+    """Structured loss without derivatives."""
+    check_truth(energy.legal, energy.region.n, cuts)
+    z, along = partition(energy.boundary, energy.segments, temperature, [0, *sorted(cuts), energy.region.n])
+    return z - along - float(sum(energy.boundary[c - 1] for c in cuts))
+
+
 def nll(energy: Energy, cuts: list[int], temperature: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
     """Structured loss, its derivatives by boundary scores, and Energy.segment_slopes of those by segment scores."""
     check_truth(energy.legal, energy.region.n, cuts)

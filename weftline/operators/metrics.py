@@ -126,7 +126,7 @@ def evaluate(examples: DataFrame, theta, temperature: float = 1.0) -> DataFrame:
     def run(row: dict) -> Iterator[tuple]:
         e, truth = en.Energy(theta, en.region_of(row)), [int(c) for c in row["cuts"]]
         cuts, _ = en.best_segmentation(e.boundary, e.segments)
-        loss, _, _ = en.nll(e, truth, temperature)
+        loss = en.loss(e, truth, temperature)
         yield row["sample_id"], row["project"], row["region_id"], e.region.n, cuts, truth, loss, sum(not e.legal[c - 1] for c in cuts)
 
     rows = map_rows(examples, run, "sample_id string, project string, region_id string, n int, predicted array<int>, truth array<int>, nll double, violations int")

@@ -119,7 +119,7 @@ class Selection:
 
 
 #: examples that one job takes in turn
-STRETCH = 2048
+STRETCH = 8192
 
 
 @functools.lru_cache(maxsize=1)
@@ -141,8 +141,10 @@ def one_epoch(fit: DataFrame, n: int, epoch: int, theta: np.ndarray, adam: Adam,
         return pd.Series(turns(n, seed)[places.to_numpy()])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fit = fit if set(minibatch.KEPT) <= set(fit.columns) else minibatch.prepared(fit)
-    dealt = materialize(fit.select("cuts", *minibatch.DROPPED, *minibatch.KEPT, turn("place").alias("turn")).repartitionByRange(parts, "turn").sortWithinPartitions("turn"), "dealt")
+    fit = fit if minibatch.KEPT in fit.columns else materialize(minibatch.prepared(fit), "fit")
+    # columns that only long regions have are left out where there are none
+    more = () if fit.where(F.col(minibatch.KEPT).isNull()).isEmpty() else minibatch.DROPPED
+    dealt = materialize(fit.select("cuts", minibatch.KEPT, *more, turn("place").alias("turn")).repartitionByRange(parts, "turn").sortWithinPartitions("turn"), "dealt")
     each, losses = max(1, STRETCH // config.batch_size) * config.batch_size, np.zeros(3)
     for first in range(0, n, each):
         rows = dealt.where((F.col("turn") >= first) & (F.col("turn") < first + each)).coalesce(1).sortWithinPartitions("turn")
@@ -185,7 +187,7 @@ def train(examples: DataFrame, config: TrainingConfig = TrainingConfig(), theta:
     if config.device != "cpu":
         raise RuntimeError(f"device {config.device!r} is not available")
     both = materialize(minibatch.prepared(examples.where(F.col("split").isin("train", "validation")), "train"), "examples")
-    fit, held = (both.where(F.col("split") == split).drop(*unwanted) for split, unwanted in (("train", ()), ("validation", minibatch.KEPT)))
+    fit, held = (both.where(F.col("split") == split).drop(*unwanted) for split, unwanted in (("train", ()), ("validation", [minibatch.KEPT])))
     fit = materialize(numbered(fit, "sample_id", "place"), "fit")
     n = fit.count()
     if not n or not held.count():
